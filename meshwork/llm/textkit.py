@@ -186,6 +186,28 @@ def fast_sketch(values: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(n, t)
 
 
+def one_permutation(values: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
+    """One-permutation MinHash signatures of t coordinates, a row for each set that isn't empty.
+
+    Each element goes to one bin, by its hash; a bin keeps its least hash.  An empty bin takes the value of a full one,
+    chosen by a random sequence that is the same for all sets (densification).
+    """
+    n = len(first) - 1
+    out = np.full(n * t, ~U(0), U)
+    r = mix(values ^ U(0x2545F4914F6CDD1D))
+    np.minimum.at(out, np.repeat(np.arange(n), np.diff(first)) * t + (((r >> U(32)) * U(t)) >> U(32)).astype(np.int64), r & U(0xFFFFFFFF) | (r << U(32)))
+    out = out.reshape(n, t)
+    row, place = np.nonzero(out == ~U(0))
+    full, turn = out.copy(), 0
+    while len(row):
+        turn += 1
+        got = full[row, (mix(place.astype(U) * U(_STEP) + U(turn)) % U(t)).astype(np.int64)]
+        out[row, place] = got
+        left = (got == ~U(0)) & (full[row] != ~U(0)).any(1) if turn == 1 else got == ~U(0)
+        row, place = row[left], place[left]
+    return out
+
+
 def bands(sketch: np.ndarray, width: int) -> np.ndarray:
     """A key for each `width` coordinates in a row, different for each place."""
     n, t = sketch.shape
