@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from . import decontaminate, license_scan, quality_rules, substring_dedup
 from .decontaminate import op9_benchmark_decontamination
+from .lattice_lm import op6_lattice_scores
 from .license_scan import op10_license_scan
 from .line_dedup import op3_line_dedup
 from .near_dedup import op1_minhash_near_dedup
 from .quality_rules import op7_quality_rules
-from .surrogates import op4_pii_surrogates
 from .substring_dedup import op5_substring_dedup
+from .surrogates import op4_pii_surrogates
+from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_pii_surrogates, op5_substring_dedup, op7_quality_rules, op9_benchmark_decontamination, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op3_line_dedup,
+        op4_pii_surrogates,
+        op5_substring_dedup,
+        op6_lattice_scores,
+        op7_quality_rules,
+        op8_token_counts,
+        op9_benchmark_decontamination,
+        op10_license_scan,
+    )
+}
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
