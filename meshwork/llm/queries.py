@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, license_scan, quality_rules, substring_dedup
 from .decontaminate import op9_benchmark_decontamination
 from .lattice_lm import op6_lattice_scores
 from .license_scan import op10_license_scan
 from .line_dedup import op3_line_dedup
+from .mixing import op2_source_mixing
 from .near_dedup import op1_minhash_near_dedup
 from .quality_rules import op7_quality_rules
 from .substring_dedup import op5_substring_dedup
@@ -17,6 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_source_mixing,
         op3_line_dedup,
         op4_pii_surrogates,
         op5_substring_dedup,
@@ -27,6 +31,7 @@ QUERIES = {
         op10_license_scan,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
