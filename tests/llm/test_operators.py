@@ -1,0 +1,406 @@
+"""The operators against brute force on small documents, with nulls, empty and long texts, repeated rows and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from meshwork.llm import decontaminate, lattice_lm, license_scan, line_dedup, mixing, near_dedup, quality_rules, shared, substring_dedup, surrogates, token_counts
+from meshwork.llm import textkit as tk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, id string, _k string, rate string, component string"
+
+
+def words(rng, n):
+    return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()) + str(rng.randrange(30)) for _ in range(n)]
+
+
+def documents():
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.choice([1, 3, 20, 60, 120]))) for _ in range(30)]
+    base = words(rng, 150)
+    for i in range(8):
+        w = list(base)
+        for _ in range(i):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    shared_part = " ".join(words(rng, 50))
+    texts += [f"{' '.join(words(rng, 30))} {shared_part} {' '.join(words(rng, 30))}" for _ in range(4)]
+    texts += [texts[3], texts[3], texts[31], "Ünï çödé\tWORDS\nline two\r\n\nline two", "", " \n\t ", None, " ".join(["again"] * 80), "x" * 3000, "\n".join(["Same line of text here, number 1"] * 5 + ["another line that is not the same"])]
+    texts.append("\n".join(" ".join(words(rng, 12)) for _ in range(300)))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [rows[2], (None, texts[4]), (None, "nobody's own words are here"), (7, texts[4])]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    data = [(i, t, "en", None if i is not None and i % 7 == 0 else f"src{(i or 0) % 3}", len(t or ""), "k", 1, "id", "_k", "r", "c") for i, t in rows]
+    return spark.createDataFrame(data, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(t):
+    return (t or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def spaced(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def key(r):
+    return repr(r)
+
+
+def joined(sets, percent=80):
+    """The least index reachable from each set."""
+    n = len(sets)
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(n), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(docs, rows, empty, k):
+    def shingles(t):
+        w = spaced(lower(t))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t in rows]
+    root = joined(sets)
+    want = []
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None] if sets[i] else []
+        c = min(ids) if ids else d
+        want.append((d, len(sets[i]), c, d == c))
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, shingle=k).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert near_dedup.near_duplicates(empty, shingle=k).count() == 0
+
+
+def test_family_of_near_copies(spark):
+    """Many copies of one text that is not there itself; some are linked by others only."""
+    rng = random.Random(3)
+    base = words(rng, 100)
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 6, 8, 12])):
+            w[rng.randrange(100)] = f"m{rng.randrange(12)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(str.split, texts)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert [got[i] for i in range(120)] == joined(sets)
+
+
+def test_sketches_agree_as_sets_do():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    a, b = pool[:2000], pool[500:2500]  # similarity 0.6
+    for sketch, t in ((tk.fast_sketch, 1024), (tk.one_permutation, 1024)):
+        s = sketch(np.concatenate((a, b, pool[:3])), np.array([0, 2000, 4000, 4003]), t)
+        assert abs((s[0] == s[1]).mean() - 0.6) < 0.08
+        assert (s != ~np.uint64(0)).all()
+    assert (tk.fast_sketch(pool[:0], np.array([0, 0]), 8) == ~np.uint64(0)).all()
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 3), (100, 25)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.id: r.component for r in shared.components(df).collect()}
+    assert got == {**{i: 0 for i in range(10)}, **{i: 10 for i in range(10, 20)}, **{i: 0 for i in range(20, 30)}, **{i: 30 for i in range(30, 40)}, 100: 0}
+    assert shared.components(df.where("a < 0")).count() == 0
+
+
+def test_line_dedup(docs, rows, empty):
+    once = list(dict.fromkeys(rows))
+    lines = [(d, n, s) for d, t in once for n, s in enumerate((t or "").split("\n")) if spaced(s)]
+
+    def shingles(s):
+        s = lower(s.strip(" \t\n\x0b\x0c\r"))
+        return {s[i : i + 8] for i in range(len(s) - 7)} if len(s) >= 8 else {s}
+
+    root = joined([shingles(s) for *_, s in lines])
+    first = {}
+    for i, (d, n, _) in enumerate(lines):
+        first.setdefault(root[i], []).append(((d is not None, d or 0, n), i))
+    stay = {min(v)[1] for v in first.values()}
+    gone = Counter((lines[i][0]) for i in range(len(lines)) if i not in stay)
+    removed = line_dedup.removed_lines(docs).select("doc_id", "key", "line").distinct().collect()
+    assert Counter(r.doc_id for r in removed) == gone
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    text = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
+    assert text[rows[-5][0] - 1] != ""  # the document of repeated lines keeps one of each
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def removed_words(texts, window=35):
+    all_ = [spaced(t) for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in all_ for i in range(len(w) - window + 1))
+    for w in all_:
+        gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        yield len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("window,gram", [(35, 8), (12, 3)])
+def test_substring_dedup(docs, rows, empty, window, gram):
+    want = [(d, *x) for (d, _), x in zip(rows, removed_words([t for _, t in rows], window), strict=True)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(docs, window, gram).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert substring_dedup.without_repeats(empty).count() == 0
+
+
+def segmentations(word, pieces):
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield (word[:n], *rest)
+
+
+def test_lattice_is_the_sum_over_segmentations():
+    pieces = [b" ", b" a", b"a", b"b", b"ab", b"ba", b" ab", b"aba"]
+    logs = np.log(np.arange(1, 9) / 36)
+    lattice = lattice_lm.Lattice(pieces, logs)
+    p = dict(zip(pieces, logs, strict=True))
+    for word in (b" abab", b" a", b" bbaab"):
+        want = math.log(sum(math.exp(sum(p[x] for x in s)) for s in segmentations(word, set(pieces))))
+        codes = np.frombuffer(word, np.uint8)[None]
+        assert lattice.forward(codes, lattice.edges(codes))[0, -1] == pytest.approx(want)
+        assert lattice.long_score(word) == pytest.approx(want)
+        total = np.zeros(len(pieces))
+        lattice.counted(codes, np.ones(1), total)
+        ways = [(math.exp(sum(p[x] for x in s) - want), s) for s in segmentations(word, set(pieces))]
+        assert total == pytest.approx([sum(w * s.count(x) for w, s in ways) for x in pieces])
+
+
+def test_lattice_scores(docs, rows, empty):
+    import zlib
+
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    count = Counter(w for d, t in rows if not held(d) for w in spaced(lower(t)))
+    ends = sum(not held(d) for d, _ in rows)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    want = sorted([(d, held(d), len(spaced(t)) + 1, sum(count[w] > 0 for w in spaced(lower(t))) + 1, n, round(sum(base(count[w]) for w in spaced(lower(t))) + base(ends), 6)) for d, t in rows], key=key)
+    out = {}
+    for most in (1 << 18, 10):
+        got = lattice_lm.scored_texts(docs, most_frequent=most, rounds=1).collect()
+        assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=key) == want
+        assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+        out[most] = sorted(((r.doc_id, round(r.score, 6)) for r in got), key=key)
+    assert out[10] == out[1 << 18]
+    assert lattice_lm.scored_texts(empty, rounds=1).count() == 0
+
+
+def test_quality_rules(docs, rows, empty):
+    def own(t):
+        w, lines = spaced(t), [x for x in (t or "").split("\n") if spaced(x)]
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(runs)
+        again = {j for i, x in enumerate(runs) if n[x] > 1 for j in range(i, i + 3)}
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), failed
+
+    got = quality_rules.judged(docs).collect()
+    assert sorted([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], key=key) == sorted([(d, *own(t)) for d, t in rows], key=key)
+    assert all(r.kept == (not r.base_failed) for r in got)  # no line is frequent
+    out = quality_rules.kept_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=key) == sorted((r.doc_id for r in got if r.kept), key=key)
+    assert quality_rules.kept_documents(empty).count() == quality_rules.judged(empty).count() == 0
+
+
+def test_frequent_lines_deplete_all_but_the_first(spark):
+    rng = random.Random(2)
+    common = " ".join(words(rng, 60))
+    data = [(i, f"{common}\n{' '.join(words(rng, 12))}", f"h{i % 2}") for i in range(12)] + [(20, " ".join(words(rng, 80)), "h0")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.kept, r.n_frequent) for r in quality_rules.judged(df, most_docs=5).collect()}
+    assert [d for d, (kept, _) in got.items() if kept and d < 20] == [0, 1]
+    assert got[20] == (True, 0) and got[5] == (False, 60)
+    assert {r.doc_id for r in quality_rules.kept_documents(df, most_docs=5).collect()} == {0, 1, 20}
+
+
+def test_token_counts(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    want = [len(other.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+    lengths = token_counts.token_lengths(docs)
+    assert sorted((r.n_tokens for r in lengths.collect())) == sorted(want)
+    table = token_counts.limits(token_counts.length_histogram(lengths)).cache()
+    for r in table.collect():
+        n = r.n_tokens
+        assert (r.docs, r.docs_longer, r.tokens_in_longer) == (want.count(n), sum(w > n for w in want), sum(w for w in want if w > n))
+        assert (r.tokens_kept, r.tokens_cut) == (sum(min(w, n) for w in want), sum(max(w - n, 0) for w in want))
+    q = {r.share: r.n_tokens for r in token_counts.quantiles(table, [0.5, 1.0]).collect()}
+    assert q == {0.5: sorted(want)[math.ceil(len(want) / 2) - 1], 1.0: max(want)}
+    assert token_counts.at_limit(table, 100).first().tokens_cut == sum(max(w - 100, 0) for w in want)
+    assert token_counts.limits(token_counts.length_histogram(token_counts.token_lengths(empty))).count() == 0
+
+
+@pytest.mark.parametrize("block", [500_000, 3])
+def test_decontamination(spark, docs, rows, empty, block):
+    rng = random.Random(9)
+    long = next(t for _, t in rows if t and len(spaced(t)) > 100)
+    items = [("a", " ".join(spaced(long)[20:45]) + "!"), ("b", " ".join(words(rng, 14))), ("b", "çödé words"), (None, " ".join(spaced(long)[60:70])), ("d", ""), ("e", None), ("f", "Same line, OF text here number 1 same line of text")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = []
+    for i, t in items:
+        w = alnum(t)
+        windows += [(i or "", w[j : j + 10]) for j in range(max(1, len(w) - 9))] if w else []
+    want = []
+    for d, t in rows:
+        w, hit, found = alnum(t), set(), set()
+        for item, x in windows:
+            for j in range(len(w) - len(x) + 1):
+                if w[j : j + len(x)] == x:
+                    hit |= set(range(j, j + len(x)))
+                    found.add(item)
+        want.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    got = decontaminate.contamination(docs, bench, block=block).drop("items").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    clean = decontaminate.decontaminated(docs, bench, block=block)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in want)
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.decontaminated(docs, bench.where("1 = 0")).count() == len(rows)
+
+
+def test_license_scan(spark, docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+    part = mit.split("\n")
+    texts = [mit, "\n".join([part[0], "All rights reserved.", "Words between.", *part[1:]]), "\n".join(reversed(part)), "Some text. Released under the MIT License. More.", "Licensed under the Apache License, Version 2.0.", "the licence is licensed", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scanned(df).collect()}
+    assert got == {0: ["MIT"], 1: ["All-rights-reserved", "MIT"], 2: [], 3: ["MIT"], 4: ["Apache-2.0"], 5: [], 6: [], 7: []}
+    assert license_scan.scanned(docs).count() == docs.count()
+    assert all(any(m in form for m in license_scan.MARKS) for forms in license_scan.SENTENCES.values() for form in forms)
+
+
+def test_surrogates(spark, docs, rows, empty):
+    texts = ["Write to Jo.Doe@mail.example.com or +1 (499) 555-6503, card 4532015112830366.", "jo.doe@mail.example.com: 10.20.30.40 and 10.20.30.41. Card 4532 0151 1283 0366", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" ok', "Mrs. Anna Smith met Herr Müller; Mrs. Anna Smith left. Г-жа Иванова too", "clean text 12 of 2020, v1.2.3", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._entities) for r in surrogates.with_surrogates(df, "key").collect()}
+    assert [got[i][1] for i in range(6)] == [3, 4, 1, 4, 0, 0]
+    assert got[4][0] == texts[4] and got[5][0] is None
+    a, b, c, d = (got[i][0] for i in range(4))
+    mail = re.search(r"\S+@\S+", a)[0]
+    assert mail in b.replace(":", "") and "doe" not in mail.lower() and mail.count("@") == 1
+    assert re.fullmatch(r"Write to \S+@\S+ or \+1 \(\d{3}\) \d{3}-\d{4}, card 4\d{15}\.", a) and "499" not in a
+    card = re.search(r"4\d{15}", a)[0]
+    assert card != "4532015112830366" and card == b.split("Card ")[1].replace(" ", "") and len(b.split("Card ")[1]) == 19
+    assert sum(sum(divmod(int(x) * 2, 10)) if i % 2 else int(x) for i, x in enumerate(reversed(card))) % 10 == 0
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", b)
+    assert len(set(ips)) == 2 and not {"10.20.30.40", "10.20.30.41"} & set(ips)
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" ok', c) and "1eb9" not in c
+    names = re.fullmatch(r"Mrs\. (\w+ \w+) met Herr (\w+); Mrs\. (\w+ \w+) left\. Г-жа ([а-яА-Я]+) too", d)
+    assert names and names[1] == names[3] and names[1].split()[0] in surrogates.FIRST["latin", "female"] and "Иванова" not in d
+    assert got == {r.doc_id: (r.text, r._entities) for r in surrogates.with_surrogates(df, "key").collect()}
+    out = surrogates.with_surrogates(docs, "key")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(rows, key=key)
+    assert surrogates.with_surrogates(empty, "key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    ips = [(i, f"host 9.8.{i // 250}.{i % 250 + 1} up") for i in range(600)]
+    df = spark.createDataFrame(ips, "doc_id long, text string")
+    out = [re.search(r"\d+\.\d+\.\d+\.\d+", r.text)[0] for r in surrogates.with_surrogates(df, "k").collect()]
+    assert len(set(out)) == 600
+    names = spark.createDataFrame([("name", f"m:Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(500)], "kind string, canon string")
+    assigned = surrogates.assigned(names, "k").collect()
+    assert len({r.surrogate for r in assigned}) == len(assigned) == 500
+
+
+def test_mixing_meets_its_targets(spark, docs, empty):
+    rng = random.Random(4)
+    data, labels = [], []
+    for i in range(400):
+        q, t = i % 4 != 0, i % 5 == 0
+        w = [rng.choice(["nice", "clear", "sound"] if q else ["spam", "buy", "now"]) + str(rng.randrange(5)) for _ in range(30)] + (["vile"] * 5 if t else ["kind"] * 5)
+        rng.shuffle(w)
+        data.append((i, " ".join(w)))
+        if i % 3:
+            labels.append((i, int(q), int(t)))
+    labels += [(1, None, 1), (None, 1, 1), labels[0]]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = mixing.mixed(df, lab).collect()
+    # held out: documents without a label
+    right = [max(range(4), key=lambda k: r[f"p{k}"]) == (r.doc_id % 4 != 0) + 2 * (r.doc_id % 5 == 0) for r in got if r.doc_id % 3 == 0]
+    assert sum(right) / len(right) > 0.95
+    total = sum(r.n_tokens for r in got)
+    for k, name in enumerate(mixing.DOMAINS):
+        assert sum(r.rate * r.n_tokens * r[f"p{k}"] for r in got) / total == pytest.approx(mixing.TARGETS[name], abs=1e-3)
+    assert all(r.rate >= 0 for r in got)
+    assert mixing.mixed(empty, lab.where("1 = 0")).count() == 0
+    assert mixing.mixed(docs, lab.where("1 = 0")).count() == docs.count()
+
+
+def test_rates_are_projected_gradient_steps(spark):
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([0.5] * 4, 60)
+    n = rng.integers(1, 50, 60)
+    df = spark.createDataFrame([(int(m), *map(float, x)) for m, x in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double, p3 double")
+    order = np.lexsort((p[:, 0], n))
+    p, n = p[order], n[order]
+    for target in ((0.35, 0.25, 0.2, 0.2), (1.0, 0.0, 0.0, 0.0)):  # the second is out of reach
+        got = np.array([r.rate for r in mixing.rates(df, dict(zip(mixing.DOMAINS, target, strict=True))).orderBy("n_tokens", "p0").collect()])
+        size, goal = n @ p, n.sum() * np.array(target)
+        r = np.ones(60)
+        for _ in range(mixing.PASSES):
+            total = (r * n) @ p
+            if abs(total - goal).max() <= mixing.NEAR * goal.sum():
+                break
+            r = np.maximum(0, r - p @ ((total - goal) / size))
+        assert got == pytest.approx(r, abs=1e-9)
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    d = str(tmp_path)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([("a", " ".join(spaced(documents()[35][1])[40:60]))], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, d)
+        assert out.columns[:5] == docs.columns
+        out.write.parquet(f"{d}/{name}")
+        now = spark.read.parquet(f"{d}/{name}")
+    want = sorted((tuple(r) for r in now.collect()), key=key)
+    assert want and sorted((tuple(r) for r in corpus_pipeline.run(spark, d).collect()), key=key) == want
+    left = {r.doc_id for r in now.collect()}
+    near = near_dedup.near_duplicates(spark.read.parquet(f"{d}/lines"), shingle=5).where("kept").select("doc_id").distinct()
+    assert left <= {r.doc_id for r in near.collect()}
