@@ -1,55 +1,132 @@
-"""Links between the nodes of banded sketches, without expanding a bucket into its pairs."""
+"""Links between the nodes of banded sketches, exact within buckets, without expanding a bucket into its pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import textkit as tk
 from .shared import components, drop, written
 
-#: Of a bucket, in the first round; twice as many in each further round
-PIVOTS = 8
 
+MORE = 8
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(id, component) of every node that has a link; members has a row (key, id, n) for each bucket of each node, n
-    being its set's size, and verify makes (a, b, ok) of pairs (a, b).
 
-    A node's weight is how many nodes it meets in its buckets.  First each node is tried against its bucket's heaviest
-    node: where copies differ from one original more than they are allowed to differ from each other, that is the original.
-    It settles the buckets whose nodes all turn out connected.  In the others, the nodes outside a bucket's largest
-    component are pivots: some of a bucket at a time, heaviest first and each once, they are tried with all nodes of the
-    bucket that have another component and a size that allows a link.  So every pair in a bucket is tried but those
-    known to be connected.
+def comparing(sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int):
+    """For mapInArrow: (p, x, text_p, text_x) to (p, x, both, np, nx, more, less): sizes of the sets and of their intersection, and, where the
+    two may belong to one family, what x has more and less than p."""
+    least = 3 * percent - 200
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.chunks(batch, "text_p"):
+                (a, fa), (b, fb) = sets(part.column("text_p")), sets(part.column("text_x"))
+                sizes, more, less = [], [], []
+                for i in range(part.num_rows):
+                    p, x = a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]]
+                    both = len(np.intersect1d(p, x, True))
+                    sizes.append((both, len(p), len(x)))
+                    near = both and 100 * both >= least * (len(p) + len(x) - both)
+                    more.append(np.setdiff1d(x, p, True) if near else p[:0])
+                    less.append(np.setdiff1d(p, x, True) if near else p[:0])
+                ends = lambda parts: np.concatenate(([0], np.cumsum([len(v) for v in parts]))).astype(np.int64)
+                columns = [tk.lists(np.concatenate(v), ends(v)) for v in (more, less)]
+                yield pa.RecordBatch.from_arrays([part.column("p"), part.column("x"), *[pa.array(v, pa.int32()) for v in zip(*sizes, strict=True)], *columns], ["p", "x", "both", "np", "nx", "more", "less"])
+
+    return of
+
+
+def compared(pairs: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
+    """comparing() of pairs (p, x) of ids; texts has id and text.  Both joins read one shuffle of the texts."""
+    kind = pairs.schema["p"].dataType.simpleString()
+    one = pairs.join(texts.alias("a"), F.col("p") == F.col("a.id")).select("p", "x", F.col("a.text").alias("text_p"))
+    two = one.join(texts.alias("b"), F.col("x") == F.col("b.id")).select("p", "x", "text_p", F.col("b.text").alias("text_x"))
+    return two.mapInArrow(comparing(sets, percent), f"p {kind}, x {kind}, both int, np int, nx int, more array<long>, less array<long>")
+
+
+def _similar(both: Column, sizes: Column, percent: int) -> Column:
+    return 100 * both >= percent * (sizes - both)
+
+
+def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(id, component) of every node that has a link; members has a row (key, id) for each bucket of each node, and
+    compare is compared() of pairs.
+
+    In each round each bucket's nodes are compared with some of them, its pivots: those that meet most others in all
+    buckets; among copies of one original that is the original.  The first round has one pivot, and a further one MORE
+    times as many as the one before, of what is left.  As Jaccard distance is a metric, with t = 1 - percent
+    a node within 2t of the pivot can only be linked with nodes within 3t of it; those links are found from what each has more and less than the pivot (see
+    _within), and the node is settled, as are pivots.  The others go to the next round; a bucket ends when they are connected.
+    So every link within a bucket is found.
     """
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("c")).where("a <> z").select("key", "c")
-    shared = members.join(buckets, "key").distinct()
+    shared = members.select("key", "id").join(buckets, "key").distinct()
     weights = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    shared = written(shared.drop("c").join(weights, "id"))
-    heaviest = shared.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("top"))
-    pairs = shared.join(heaviest, "key").where("id <> top").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
-    links, done, many = written(verify(pairs)), None, PIVOTS
+    left = written(shared.drop("c").join(weights, "id"))
+    links, many = None, 1
     while True:
-        label = written(components(links.where("ok").select("a", "b")))
-        named = shared.join(label, "id", "left").select("key", "id", "n", "w", F.coalesce("component", "id").alias("c"))
-        open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_ = written(named.join(open_keys, "key"))
-        sizes = open_.groupBy("key", "c").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-        outside = open_.join(largest, "key").where("c <> top").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), "w")
-        if done is not None:
-            outside = outside.join(done, ["key", "p"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "p"))
-        pivots = written(outside.withColumn("i", rank).where(F.col("i") <= many).drop("i", "w"))
-        if not pivots.take(1):
-            drop(open_, pivots, links, shared)
+        if many == 1:
+            pivots = left.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("p"), F.lit(1).alias("i"))
+        else:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), F.desc("id")))
+            pivots = left.select("key", F.col("id").alias("p"), rank.alias("i")).where(F.col("i") <= many)
+        pivots = written(pivots)
+        rest = left.join(pivots.select("key", F.col("p").alias("id"), F.col("i").alias("own")), ["key", "id"], "left")
+        # of two pivots the first is the second's
+        led = written(rest.join(pivots, "key").where("own is null or own > i").select("key", "id", "w", "p", F.col("own").isNotNull().alias("done")))
+        tried = written(compare(led.select("p", F.col("id").alias("x")).distinct()))
+        ok = tried.where(_similar(F.col("both"), F.col("np") + F.col("nx"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b"))
+        ok = written(ok if links is None else links.union(ok))
+        label = written(components(ok))
+        more = written(_within(tried, label, percent))
+        if more.take(1):
+            ok, before = written(ok.union(more)), ok
+            label, old = written(components(ok)), label
+            drop(before, old)
+        near = tried.select("p", F.col("x").alias("id"), _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100).alias("settled"))
+        rest = led.where("not done").join(near, ["p", "id"]).groupBy("key", "id", "w").agg(F.max("settled").alias("settled")).where("not settled").drop("settled")
+        named = rest.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        next_ = written(rest.join(open_, "key"))
+        drop(left, led, pivots, tried, more, links)
+        left, links, many = next_, ok, many * MORE
+        if not left.take(1):
+            drop(left, links)
             return label
-        pairs = pivots.join(open_, "key").where(f"c <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-        pairs = pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links, old = written(links.union(verify(pairs))), links
-        done, before = written(pivots.select("key", "p") if done is None else done.union(pivots.select("key", "p"))), done
-        drop(label, open_, pivots, old, before)
-        many *= 2
+        drop(label)
+
+
+def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes that were compared with one pivot, of different components; one of the two is
+    within 2t of the pivot.
+
+    What most of a pivot's nodes have and it has not is counted as the pivot's, too.  Two nodes that share nothing beyond that can only be
+    linked if each has enough of it; two others are found by what they share.  Sizes of intersections follow from what the nodes have more and less.
+    """
+    near = tried.where(F.size("more") + F.size("less") > 0)
+    c = label.select(F.col("id").alias("x"), F.col("component").alias("c"))
+    cp = label.select(F.col("id").alias("p"), F.col("component").alias("cp"))
+    near = near.join(c, "x", "left").join(cp, "p", "left").withColumn("c", F.coalesce("c", "x")).withColumn("cp", F.coalesce("cp", "p"))
+    # only families with nodes of several components have anything to find
+    several = near.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("any"), F.count("*").alias("f")).where("any").select("p", "f")
+    near = written(near.join(several, "p"))
+    usual = near.select("p", "f", F.explode("more").alias("t")).groupBy("p", "f", "t").agg(F.count("*").alias("m")).where("2 * m > f").groupBy("p").agg(F.collect_list("t").alias("usual"))
+    near = near.join(usual, "p", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    far = F.array_except("more", "usual")
+    family = written(
+        near.select("p", "x", "c", "cp", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100).alias("close"))
+    )
+    x = family.where("close and c <> cp").select("p", "x", F.col("c").alias("cx"), F.col("nx"), F.col("m").alias("mx"), F.col("more").alias("more_x"), F.col("less").alias("less_x"))
+    y = family.select("p", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("more").alias("more_y"), F.col("less").alias("less_y"), "q")
+    apart = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    by_token = x.select("p", "x", "cx", "nx", F.explode("more_x").alias("t")).join(y.select("p", "y", "cy", "ny", F.explode("more_y").alias("t")), ["p", "t"]).where(apart).select("p", "x", "y")
+    full = lambda df, m, n: df.where(f"100 * {m} >= {percent} * {n}")
+    by_size = full(x, "mx", "nx").select("p", "x", "cx", "nx", "mx").join(full(y, "my", "ny").select("p", "y", "cy", "ny", "my"), "p").where(f"{apart} and {100 + percent} * least(mx, my) >= {percent} * (nx + ny)").select("p", "x", "y")
+    pairs = by_token.union(by_size).distinct().join(x, ["p", "x"]).join(y, ["p", "y"])
+    both = F.size(F.array_intersect("more_x", "more_y")) + F.col("q") - F.size(F.array_union("less_x", "less_y"))
+    return pairs.where(_similar(both, F.col("nx") + F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

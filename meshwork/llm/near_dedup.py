@@ -1,12 +1,9 @@
 """MinHash near-dedup: fast similarity sketches, banding, exact verification, connected components.
 
 A document's set is its distinct word shingles.  Documents with equal sets are folded into one node first.  Each
-node's fast similarity sketch (see textkit.fast_sketch) is cut into bands; nodes that share a band are candidates.
-In each bucket every node is compared with the bucket's least node; that settles buckets whose nodes all turn out
-connected.  In the rest, the nodes outside a bucket's largest component are compared, a block at a time, with every
-node of another component.  A link counts only if the full sets, made again from the whole texts, are similar enough.
-So no bucket is expanded into all its pairs, and no link within a bucket is lost but where both ends are known to be
-connected already.
+node's fast similarity sketch (see textkit.fast_sketch) is cut into bands; nodes that share a band are candidates, and
+banding.linked() finds their links: by the full sets, made again from the whole texts.  No bucket is expanded into all its
+pairs, and no link within a bucket is lost but where both ends are known to be connected already.
 
 With the defaults (240 coordinates in 40 bands of 6), two sets of similarity 0.8 share no band with probability
 5e-6; at 0.9, 3e-14.
@@ -24,14 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .shared import components, drop, written
-
-#: Of a bucket, in a round
-PIVOTS = 32
-
+from .banding import compared, linked
+from .shared import written
 
 def word_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     words = tk.Words(texts)
@@ -48,77 +41,27 @@ def _sketched(k: int, n_bands: int, width: int, least: int):
                 chosen = values[np.repeat(sketched, n)]
                 keys = tk.bands(tk.fast_sketch(chosen, np.concatenate(([0], np.cumsum(n[sketched]))), n_bands * width), width)
                 at = np.concatenate(([0], np.cumsum(np.where(sketched, n_bands, 0))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), tk.signed(tk.segment_sums(tk.mix(values), first)), tk.signed(tk.segment_sums(tk.mix(~values), first)), tk.lists(keys.reshape(-1), at)], ["doc_id", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n), tk.signed(tk.segment_sums(tk.mix(values), first)), tk.signed(tk.segment_sums(tk.mix(~values), first)), tk.lists(keys.reshape(-1), at)], ["doc_id", "key", "n", "d1", "d2", "bands"])
 
     return of
 
 
-def _similar(k: int, percent: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.chunks(batch, "text_a"):
-                (x, fx), (y, fy) = (word_shingles(part.column(c), k) for c in ("text_a", "text_b"))
-                both = np.fromiter((len(np.intersect1d(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]], True)) for i in range(part.num_rows)), np.int64, part.num_rows)
-                union = np.diff(fx) + np.diff(fy) - both
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array((100 * both >= percent * union) & (both > 0))], ["a", "b", "ok"])
-
-    return of
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, ok) of pairs (a, b) of ids; texts has doc_id and text.  Both joins read one shuffle of the texts."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts.alias("x"), F.col("a") == F.col("x.doc_id")).select("a", "b", F.col("x.text").alias("text_a"))
-    two = one.join(texts.alias("y"), F.col("b") == F.col("y.doc_id")).select("a", "b", "text_a", F.col("y.text").alias("text_b"))
-    return two.mapInArrow(_similar(k, percent), f"a {kind}, b {kind}, ok boolean")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, n_bands: int = 40, width: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept, key of each row of docs (doc_id, text); key is xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # two unequal sets: at best n of n + 1
-    rows = written(docs.mapInArrow(_sketched(shingle, n_bands, width, least), f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>"))
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sketched(shingle, n_bands, width, least), f"doc_id {kind}, key long, n long, d1 long, d2 long, bands array<long>"))
     nodes = written(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    members = nodes.select("id", "n", F.explode("bands").alias("key"))
-
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
-    pairs = members.select("key", F.col("id").alias("b")).join(buckets.select("key", "a"), "key").where("a <> b").select("a", "b").distinct()
-    links, done = written(verified(pairs, docs, shingle, percent)), None
-    while True:
-        label = written(components(links.where("ok").select("a", "b")))
-        pivots, pairs = _open_pairs(members, label, done, percent)
-        if not pivots.take(1):
-            break
-        pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links = written(links.union(verified(pairs, docs, shingle, percent)))
-        done = pivots if done is None else written(done.union(pivots))
-        drop(label)
+    members = nodes.select("id", F.explode("bands").alias("key"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+
+    label = linked(members, lambda pairs: compared(pairs, texts, lambda t: word_shingles(t, shingle), percent), percent)
     of_set = nodes.select("d1", "d2", "n", "id").join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("rep"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(of_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _open_pairs(members: DataFrame, label: DataFrame, done: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The next pivots (key, p), and the pairs (a, b) to try: each pivot with every node of its bucket that has another
-    component and a size that allows a link.
-
-    Pivots are nodes outside their bucket's largest component, PIVOTS of a bucket at a time, each once.
-    """
-    named = members.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(named.join(open_keys, "key"))
-    sizes = open_.groupBy("key", "c").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    outside = open_.join(largest, "key").where("c <> top").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-    if done is not None:
-        outside = outside.join(done, ["key", "p"], "left_anti")
-    outside = outside.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("p"))).where(F.col("i") <= PIVOTS).drop("i")
-    pivots = written(outside)
-    pairs = pivots.join(open_, "key").where(f"c <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    return pivots.select("key", "p"), pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    out = rows.select("doc_id", "key", "n", "d1", "d2").join(of_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table's near-duplicate classes on two-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2).drop("key")

@@ -33,7 +33,8 @@ def _sums(variables: list[str]) -> list[Column]:
 def test_moments(edges: DataFrame, samples: DataFrame, covariates: list[str]) -> DataFrame:
     """Sums by run_id, edge_id, sample_fold; edges (sample_id, edge_id, value), samples (run_id, sample_id,
     sample_fold, y, covariates).  Missing values are left out, pair by pair."""
-    rows = edges.withColumnRenamed("value", "x").where(F.col("x").isNotNull()).join(samples, "sample_id")
+    used = samples.select("run_id", "sample_id", "sample_fold", "y", *covariates)
+    rows = edges.withColumnRenamed("value", "x").where(F.col("x").isNotNull()).join(used, "sample_id")
     return rows.groupBy("run_id", "edge_id", "sample_fold").agg(*_sums(_names(covariates)))
 
 
