@@ -53,9 +53,9 @@ def _similar(both: Column, sizes: Column, percent: int) -> Column:
     return 100 * both >= percent * (sizes - both)
 
 
-def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(id, component) of every node that has a link; members has a row (key, id) for each bucket of each node, and
-    compare is compared() of pairs.
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets, percent: int) -> DataFrame:
+    """(id, component) of every node that has a link; members has a row (key, id) for each bucket of each node,
+    texts_of makes (id, text) of ids, and sets the sets of texts.
 
     In each round each bucket's nodes are compared with some of them, its pivots: those that meet most others in all
     buckets; among copies of one original that is the original.  The first round has one pivot, and a further one MORE
@@ -68,42 +68,50 @@ def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], percen
     shared = members.select("key", "id").join(buckets, "key").distinct()
     weights = shared.groupBy("id").agg(F.sum("c").alias("w"))
     left = written(shared.drop("c").join(weights, "id"))
-    links, many = None, 1
+    texts = written(texts_of(left.select("id").distinct()))
+    links, label, many = None, None, 1
     while True:
         if many == 1:
             pivots = left.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("p"), F.lit(1).alias("i"))
         else:
             rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), F.desc("id")))
             pivots = left.select("key", F.col("id").alias("p"), rank.alias("i")).where(F.col("i") <= many)
-        pivots = written(pivots)
         rest = left.join(pivots.select("key", F.col("p").alias("id"), F.col("i").alias("own")), ["key", "id"], "left")
         # of two pivots the first is the second's
-        led = written(rest.join(pivots, "key").where("own is null or own > i").select("key", "id", "w", "p", F.col("own").isNotNull().alias("done")))
-        tried = written(compare(led.select("p", F.col("id").alias("x")).distinct()))
-        ok = tried.where(_similar(F.col("both"), F.col("np") + F.col("nx"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b"))
-        ok = written(ok if links is None else links.union(ok))
-        label = written(components(ok))
-        more = written(_within(tried, label, percent))
-        if more.take(1):
-            ok, before = written(ok.union(more)), ok
-            label, old = written(components(ok)), label
-            drop(before, old)
+        led = rest.join(pivots, "key").where("own is null or own > i").select("key", "id", "w", "p", F.col("own").isNotNull().alias("done"))
+        tried = written(compared(led.select("p", F.col("id").alias("x")).distinct(), texts, sets, percent))
+        links, label = _added(links, label, tried.where(_similar(F.col("both"), F.col("np") + F.col("nx"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
+        if (more := _within(tried, label, percent)) is not None:
+            links, label = _added(links, label, more)
         near = tried.select("p", F.col("x").alias("id"), _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100).alias("settled"))
         rest = led.where("not done").join(near, ["p", "id"]).groupBy("key", "id", "w").agg(F.max("settled").alias("settled")).where("not settled").drop("settled")
         named = rest.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
         open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         next_ = written(rest.join(open_, "key"))
-        drop(left, led, pivots, tried, more, links)
-        left, links, many = next_, ok, many * MORE
+        drop(left, tried)
+        left, many = next_, many * MORE
         if not left.take(1):
-            drop(left, links)
+            drop(left, links, texts)
             return label
-        drop(label)
 
 
-def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _added(links: DataFrame | None, label: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with some more, and their components; both as they were if there are none."""
+    more = written(more)
+    if links is None:
+        return more, written(components(more))
+    if not more.take(1):
+        drop(more)
+        return links, label
+    both = written(links.union(more))
+    new = written(components(both))
+    drop(links, label, more)
+    return both, new
+
+
+def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
     """(a, b): links between nodes that were compared with one pivot, of different components; one of the two is
-    within 2t of the pivot.
+    within 2t of the pivot.  None if no pivot's nodes have several components.
 
     What most of a pivot's nodes have and it has not is counted as the pivot's, too.  Two nodes that share nothing beyond that can only be
     linked if each has enough of it; two others are found by what they share.  Sizes of intersections follow from what the nodes have more and less.
@@ -114,7 +122,11 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     near = near.join(c, "x", "left").join(cp, "p", "left").withColumn("c", F.coalesce("c", "x")).withColumn("cp", F.coalesce("cp", "p"))
     # only families with nodes of several components have anything to find
     several = near.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("any"), F.count("*").alias("f")).where("any").select("p", "f")
-    near = written(near.join(several, "p"))
+    several = written(several)
+    if not several.take(1):
+        drop(several)
+        return None
+    near = near.join(several, "p")
     usual = near.select("p", "f", F.explode("more").alias("t")).groupBy("p", "f", "t").agg(F.count("*").alias("m")).where("2 * m > f").groupBy("p").agg(F.collect_list("t").alias("usual"))
     near = near.join(usual, "p", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
     far = F.array_except("more", "usual")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .banding import compared, linked
+from .banding import linked
 from .shared import written
 
 def word_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, n_band
     members = nodes.select("id", F.explode("bands").alias("key"))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
 
-    label = linked(members, lambda pairs: compared(pairs, texts, lambda t: word_shingles(t, shingle), percent), percent)
+    label = linked(members, lambda ids: texts.join(ids, "id", "left_semi"), lambda t: word_shingles(t, shingle), percent)
     of_set = nodes.select("d1", "d2", "n", "id").join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("rep"))
     out = rows.select("doc_id", "key", "n", "d1", "d2").join(of_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
