@@ -64,7 +64,9 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets,
     _within), and the node is settled, as are pivots.  The others go to the next round; a bucket ends when they are connected.
     So every link within a bucket is found.
     """
+    # written, so that the join reads it by a shuffle of its own and Spark can split a large bucket's rows
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("c")).where("a <> z").select("key", "c")
+    buckets = written(buckets)
     shared = members.select("key", "id").join(buckets, "key").distinct()
     weights = shared.groupBy("id").agg(F.sum("c").alias("w"))
     left = written(shared.drop("c").join(weights, "id"))

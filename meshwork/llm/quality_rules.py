@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Fixed values of the contract
 WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 50, 3, 50
@@ -60,8 +62,9 @@ def frequent_words(docs: DataFrame, host: str, most_docs: int) -> DataFrame:
     form = F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "0")
     lines = lines.select("doc_id", "key", "host", F.xxhash64(form).alias("hash"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
     once = lines.groupBy("host", "hash", "key").agg(F.min("doc_id").alias("first"))
+    # written, so that Spark can split a frequent line's rows in the join
     frequent = once.groupBy("host", "hash").agg(F.count("*").alias("m"), F.min("first").alias("home")).where(F.col("m") > most_docs).select("host", "hash", "home")
-    gone = lines.join(frequent, ["host", "hash"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
+    gone = lines.join(written(frequent), ["host", "hash"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
     return gone.groupBy("doc_id", "key").agg(F.sum("n").alias("n_frequent"))
 
 

@@ -54,11 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
         if not ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 and down > 0").take(1):
             break
         both = now.union(now.select(F.col("p").alias("v"), F.col("v").alias("p")))
-        least = both.groupBy("v").agg(F.least(F.min("p"), F.first("v")).alias("m"))
+        # written, so that Spark can split a hub's rows in the join
+        least = written(both.groupBy("v").agg(F.least(F.min("p"), F.first("v")).alias("m")))
         large = both.join(least, "v").where("p > v").select(F.col("p").alias("v"), F.col("m").alias("p")).distinct()
         small = large.groupBy("v").agg(F.min("p").alias("m"))
         step = large.join(small, "v")
         new = written(step.select("v", F.col("m").alias("p")).union(step.where("p > m").select(F.col("p").alias("v"), F.col("m").alias("p"))).distinct())
-        drop(now)
+        drop(now, least)
         now = new
     return now.select(F.col("v").alias("id"), F.col("p").alias("component")).union(now.select(F.col("p").alias("id"), F.col("p").alias("component")).distinct())

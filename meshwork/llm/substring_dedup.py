@@ -114,7 +114,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.hash("text").alias("key"), "text")
     blocks = rows.mapInArrow(_blocks(window, gram), f"doc_id {kind}, key int, anchor long, block long, at int, m int")
-    again = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("whole"))
+    # written, so that the join reads it by a shuffle of its own and Spark can split a frequent anchor's rows
+    again = written(blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("whole")))
     found = written(blocks.join(again, "anchor"))
 
     edge = found.where("not whole")
