@@ -284,7 +284,7 @@ def _nonlinear(method: str):
 
 
 for _method in nonlinear.METHODS:
-    QUERIES[f"cpm_{_method}"] = _nonlinear(_method)
+    QUERIES[f"nonlinear_{_method}"] = _nonlinear(_method)
 
 
 # --- metrics and results
