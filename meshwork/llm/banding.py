@@ -122,8 +122,9 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | Non
     c = label.select(F.col("id").alias("x"), F.col("component").alias("c"))
     cp = label.select(F.col("id").alias("p"), F.col("component").alias("cp"))
     near = near.join(c, "x", "left").join(cp, "p", "left").withColumn("c", F.coalesce("c", "x")).withColumn("cp", F.coalesce("cp", "p"))
-    # only families with nodes of several components have anything to find
-    several = near.groupBy("p").agg(F.max(F.col("c") != F.col("cp")).alias("any"), F.count("*").alias("f")).where("any").select("p", "f")
+    near = near.withColumn("close", _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100))
+    # only families with a close node of another component have anything to find
+    several = near.groupBy("p").agg(F.max(F.col("close") & (F.col("c") != F.col("cp"))).alias("any"), F.count("*").alias("f")).where("any").select("p", "f")
     several = written(several)
     if not several.take(1):
         drop(several)
@@ -133,12 +134,14 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | Non
     near = near.join(usual, "p", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
     far = F.array_except("more", "usual")
     family = written(
-        near.select("p", "x", "c", "cp", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100).alias("close"))
+        near.select("p", "x", "c", "cp", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), "close")
     )
     x = family.where("close and c <> cp").select("p", "x", F.col("c").alias("cx"), F.col("nx"), F.col("m").alias("mx"), F.col("more").alias("more_x"), F.col("less").alias("less_x"))
     y = family.select("p", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("more").alias("more_y"), F.col("less").alias("less_y"), "q")
     apart = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    by_token = x.select("p", "x", "cx", "nx", F.explode("more_x").alias("t")).join(y.select("p", "y", "cy", "ny", F.explode("more_y").alias("t")), ["p", "t"]).where(apart).select("p", "x", "y")
+    enough = f"{100 + percent} * (shared + least(mx, my)) >= {percent} * (nx + ny)"
+    by_token = x.select("p", "x", "cx", "nx", "mx", F.explode("more_x").alias("t")).join(y.select("p", "y", "cy", "ny", "my", F.explode("more_y").alias("t")), ["p", "t"]).where(apart)
+    by_token = by_token.groupBy("p", "x", "y", "mx", "my", "nx", "ny").agg(F.count("*").alias("shared")).where(enough).select("p", "x", "y")
     full = lambda df, m, n: df.where(f"100 * {m} >= {percent} * {n}")
     by_size = full(x, "mx", "nx").select("p", "x", "cx", "nx", "mx").join(full(y, "my", "ny").select("p", "y", "cy", "ny", "my"), "p").where(f"{apart} and {100 + percent} * least(mx, my) >= {percent} * (nx + ny)").select("p", "x", "y")
     pairs = by_token.union(by_size).distinct().join(x, ["p", "x"]).join(y, ["p", "y"])
