@@ -31,7 +31,7 @@ from .shared import written
 #: Domains in the labels' order: quality + 2 * toxic
 DOMAINS = ("plain", "good", "plain_toxic", "good_toxic")
 TARGETS = {"plain": 0.25, "good": 0.70, "plain_toxic": 0.01, "good_toxic": 0.04}
-BUCKETS, SMOOTHING = 1 << 14, 0.5
+BUCKETS, SMOOTHING = 1 << 14, 0.02
 MOST_LABELLED = 20_000
 PASSES, STAGE, NEAR, STEP = 48, 12, 1e-4, 1.0
 #: Words count as independent evidence up to so many; longer texts' evidence is scaled down to that
