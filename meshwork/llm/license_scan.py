@@ -1,9 +1,11 @@
 """License scans: sentence-rule recognition.
 
-A text is cut into sentences at newlines and after . ! ? before white space.  A sentence is normalised (lower case, all but letters
-and digits as one space) and looked up among the known licence sentences; that makes the text's sequence of
-sentence identifiers.  A rule is an ordered sequence of identifiers; it matches where its identifiers follow one another, with at
-most `GAP` other known sentences between two of them.  All of it is expressions on a row: no shuffle.
+A text is cut into lines at newlines and after . ! ? before white space, without comment leaders.  A line is normalised (lower case,
+all but letters and digits as one space).  A line, or several that follow one another without a blank line or a sentence's end between
+them (a wrapped notice), is looked up among the known licence sentences; of lines within lines that make the same sentence only the
+fewest count.  That makes the text's sequence of sentence identifiers, by where they begin.  A rule is an ordered sequence of
+identifiers; it matches where its identifiers follow one another, with at most `GAP` other known sentences between two of them.
+All of it is expressions on a row: no shuffle.
 
 Defined results: a null or empty text has no sentences; known sentences that no rule uses are listed but name no licence.
 """
@@ -53,23 +55,51 @@ RULES = [
     ("All-rights-reserved", ["all-rights"]),
 ]
 #: Each known sentence has one of these
-MARKS = ("licen", "rights reserved", "warrant", "permission", "redistribution")
+MARKS = ("licen", "reserved", "warrant", "permission", "redistribution")
+#: Comment leaders that are words; all others have neither letters nor digits
+LEADER = r"(?<![^\n])(?:(?:[ \t]*@?(?:dnl|rem)|c)(?=[ \t\r\n]))?[^a-z0-9\n]*"
 
 
 def _pattern(ids: list[str]) -> str:
     return f" {(' (?:[^ ]+ ){0,' + str(GAP) + '}').join(ids)} "
 
 
+def _wrapped(form: str) -> str:
+    return form.replace(" ", "[ \n]")
+
+
+def _inner(form: str, forms: list[str]) -> str | None:
+    """What finds a shorter form of the same sentence on whole lines of its own within the lines of form; None if there is none."""
+    shorter = [_wrapped(x) for x in forms if x != form and f" {x} " in f" {form} "]
+    return f"(?<![^\n])(?:{'|'.join(shorter)})(?![^\n])" if shorter else None
+
+
+def _found(text: Column) -> Column:
+    """The identifiers of the known sentences of text (lower case)."""
+    # a sentence's end makes an empty line, as a blank line does
+    cut = F.regexp_replace(F.regexp_replace(text, LEADER, ""), r"[.!?](?:[ \t]+|[ \t\r]*(?=\n))", "\n\n")
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), F.lit("\n")), " ?\n ?", "\n")
+    forms = sorted(((form, name, _inner(form, all_)) for name, all_ in SENTENCES.items() for form in all_), key=lambda x: (len(x[0]), x[0]))
+    begins = "|".join(sorted({_wrapped(" ".join(form.split()[:2])) for form, *_ in forms}))
+    # from each line that begins as a known sentence does, as many characters as the longest one has, and the one after it
+    starts = F.regexp_extract_all(lines, F.lit(rf"(?<=\n)(?=((?:{begins})[ \n][a-z0-9 \n]{{0,{len(forms[-1][0])}}}))"), F.lit(1))
+    known = F.array(*[F.struct(F.lit(form).alias("form"), F.lit(name).alias("id"), F.lit(inner).cast("string").alias("inner")) for form, name, inner in forms])
+
+    def here(start: Column, x: Column) -> Column:
+        n = F.length(x["form"])
+        least = x["inner"].isNull() | ~F.call_function("rlike", F.substring(start, F.lit(1), n), x["inner"])
+        return (F.substring(start, n + 1, F.lit(1)) == "\n") & F.translate(start, "\n", " ").startswith(x["form"]) & least
+
+    return F.flatten(F.transform(starts, lambda start: F.transform(F.filter(known, lambda x: here(start, x)), lambda x: x["id"])))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with sentence_ids and licenses (sorted) in place of text."""
     text = F.lower(F.coalesce("text", F.lit("")))
     marked = F.lit(False)
     for mark in MARKS:
         marked = marked | text.contains(mark)
-    known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for form in forms for x in (form, name)])
-    form: Column = F.transform(F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(form, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
-    df = docs.select("doc_id", F.when(marked, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
+    df = docs.select("doc_id", F.when(marked, _found(text)).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # each identifier has a space of its own on both sides, so that patterns can begin and end with one
     sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     names = F.array(*[F.when(sequence.rlike(_pattern(ids)), F.lit(name)) for name, ids in RULES])

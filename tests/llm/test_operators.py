@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -309,6 +310,28 @@ def test_license_scan(spark, docs):
     assert all(any(m in form for m in license_scan.MARKS) for forms in license_scan.SENTENCES.values() for form in forms)
 
 
+def test_licenses_of_wrapped_notices(spark):
+    def wrapped(leader, *paragraphs, width=72):
+        return "\n".join([f"{leader} {line}".rstrip() for p in paragraphs for line in [*textwrap.wrap(p, width), ""]])
+
+    form = {k: v[-1] for k, v in license_scan.SENTENCES.items()}
+    mit = ["MIT License", "Copyright (c) 2020 Someone", form["mit-grant"] + ":", form["mit-notice"] + ".", form["mit-as-is"].upper() + ". In no event shall the authors be liable."]
+    gpl = [form["gpl-free"] + ".", form["gpl-hope"] + ". See the GNU General Public License for more details.", form["gpl-received"] + ".  If not, see <https://www.gnu.org/licenses/>."]
+    gpl2 = [form["gpl2-free"] + ".", *gpl[1:]]
+    bsd = ["Copyright (c) 2020, Someone. All rights reserved.", form["bsd-redistribution"] + ":", "1. Redistributions of source code must retain the above copyright notice."]
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", form["apache2-basis"] + "."]
+    cases = [(wrapped(leader, *p, width=w), want) for leader in ("", "//", " *", "#", "!", "dnl", "C", "REM") for w in (60, 72, 80) for p, want in ((mit, ["MIT"]), (gpl, ["GPL-3.0-or-later"]), (gpl2, ["GPL-2.0-or-later"]), (bsd, ["All-rights-reserved", "BSD"]))]
+    cases += [(t.replace("\n", "\r\n"), want) for t, want in cases[:4]] + [(wrapped("", " ".join(gpl)), ["GPL-3.0-or-later"])]
+    cases += [("This project is licensed under\nthe MIT License.", ["MIT"]), ("All rights\nreserved.", ["All-rights-reserved"]), ("Licensed under\n\nthe MIT License", []), ("Licensed under.\nthe MIT License", []), ("not licensed under\nthe MIT License", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scanned(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    df = spark.createDataFrame([(w, wrapped("//", *apache, width=w)) for w in (66, 80)] + [(0, "This project is\nlicensed under the MIT License")], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.scanned(df).collect()}
+    assert got[66] == (["apache2-ref", "apache2-use", "apache2-copy", "apache2-basis"], ["Apache-2.0"]) and got[80][1] == ["Apache-2.0"]
+    assert got[0] == (["mit-ref"], ["MIT"])
+
+
 def test_surrogates(spark, docs, rows, empty):
     texts = ["Write to Jo.Doe@mail.example.com or +1 (499) 555-6503, card 4532015112830366.", "jo.doe@mail.example.com: 10.20.30.40 and 10.20.30.41. Card 4532 0151 1283 0366", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" ok', "Mrs. Anna Smith met Herr Müller; Mrs. Anna Smith left. Г-жа Иванова too", "clean text 12 of 2020, v1.2.3", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
