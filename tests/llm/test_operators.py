@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meshwork.llm import decontaminate, lattice_lm, license_scan, line_dedup, mixing, near_dedup, quality_rules, shared, substring_dedup, surrogates, token_counts
@@ -356,6 +357,26 @@ def test_surrogates(spark, docs, rows, empty):
     assert surrogates.with_surrogates(empty, "key").count() == 0
 
 
+def test_no_entity_is_missed_by_the_first_look(spark):
+    least = {
+        "email": ["a@b.cd", "é@é.éé"],
+        "secret": ["token=abcdefghijkl", "api_key : abcdefghijkl", "Password='abcdefghijkl", "abcdefab" * 4],
+        "ip": ["1.2.3.4", "255.255.255.255"],
+        "iban": ["GB82WESTABCDEFGH", "GB82 WEST ABCD EFGH"],
+        "card": ["4532015112830366", "4532 0151 1283 0366", "4532-0151-1283-0366"],
+        "ssn": ["123-45-6789"],
+        "phone": ["+33 1 42 68 53 00", "+49 30 12 34 56", "+1 2 34 56", "+1(2)34 56", "+1-2-34-56", "+12 34 56 78", "(499) 555-6503", "499-555-6503", "499.555.6503"],
+        "name": [f"{t}{dot} {n}" for t in surrogates.MALE + surrogates.FEMALE for dot in ("", ".") for n in ("Li", "Юн")],
+    }
+    assert set(least) == set(surrogates.TYPES)
+    data = [(kind, x, f"{a}{x}{b}") for kind, all_ in least.items() for x in all_ for a, b in (("", ""), ("so ", " it is"))]
+    df = spark.createDataFrame(data, "kind string, one string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    looked = df.select("kind", "one", F.col("text").rlike(surrogates.PATTERN).alias("whole"), F.col("text").rlike(surrogates.MAYBE).alias("maybe"), *[F.col("text").rlike(p).alias(f"is_{k}") for k, p in surrogates.TYPES.items()]).collect()
+    assert all(r.whole and r.maybe and r[f"is_{r.kind}"] for r in looked), [r.one for r in looked if not (r.whole and r.maybe)]
+    out = surrogates.with_surrogates(df, "key").collect()
+    assert all(r._entities == 1 and r.one not in r.text for r in out)
+
+
 def test_surrogates_stay_distinct(spark):
     ips = [(i, f"host 9.8.{i // 250}.{i % 250 + 1} up") for i in range(600)]
     df = spark.createDataFrame(ips, "doc_id long, text string")
