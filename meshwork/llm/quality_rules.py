@@ -5,12 +5,13 @@ occur twice or more in it.  Cross-document rule: normalised lines (lower case, t
 hashed, and the distinct documents with the line are counted per host; copies of a text count as one document.
 Lines of more than `most_docs` documents of a host are removed from all of them but the first (least doc_id),
 which keeps each line once in the corpus.  A document that keeps less than `least_kept` percent of its words is
-depleted and rejected.
+depleted and rejected.  judged() has counts and verdicts on texts as they are, kept_documents() the texts without those lines.
 
-All of it is DataFrame expressions.  What is shuffled are hashes of lines; texts stay where they are read.
+All of it is DataFrame expressions.  What is shuffled are hashes and numbers of lines; kept_documents() also joins
+the texts with the numbers of their lines to remove.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; rows that
-repeat a doc_id and its text get equal results.
+repeat a doc_id, its text and its host get equal results, and count as one document.
 """
 
 from __future__ import annotations
@@ -55,37 +56,50 @@ def own_counts(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def frequent_words(docs: DataFrame, host: str, most_docs: int) -> DataFrame:
-    """(doc_id, key, n_frequent): the words of each document that are in lines to remove; key is xxhash64 of the text."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(F.split("text", "\n")).alias("line"))
+def _host(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def frequent_lines(docs: DataFrame, host: str, most_docs: int) -> DataFrame:
+    """(doc_id, key, all): of each document the lines to remove, once each however many rows repeat it, as host, at (number
+    from 0) and n (words); key is xxhash64 of the text."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("key"), _host(F.col(host)).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     form = F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "0")
-    lines = lines.select("doc_id", "key", "host", F.xxhash64(form).alias("hash"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    lines = lines.select("doc_id", "key", "host", "at", F.xxhash64(form).alias("hash"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
     once = lines.groupBy("host", "hash", "key").agg(F.min("doc_id").alias("first"))
     # written, so that Spark can split a frequent line's rows in the join
     frequent = once.groupBy("host", "hash").agg(F.count("*").alias("m"), F.min("first").alias("home")).where(F.col("m") > most_docs).select("host", "hash", "home")
     gone = lines.join(written(frequent), ["host", "hash"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
-    return gone.groupBy("doc_id", "key").agg(F.sum("n").alias("n_frequent"))
+    return gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("host", "at", "n")).alias("all"))
+
+
+def _with_frequent(own: DataFrame, frequent: DataFrame) -> DataFrame:
+    """own (_d, _k, _h and others) with _gone, the lines to remove under the row's host, and n_frequent, their words."""
+    same = F.col("_d").eqNullSafe(F.col("y.doc_id")) & (F.col("_k") == F.col("y.key"))
+    out = own.alias("x").join(frequent.alias("y"), same, "left").select("x.*", F.filter("y.all", lambda x: x["host"] == F.col("_h")).alias("_gone"))
+    return out.withColumn("n_frequent", F.coalesce(F.aggregate("_gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long")))
+
+
+def _enough(n_words: str, least_kept: int) -> Column:
+    return 100 * (F.col(n_words) - F.col("n_frequent")) >= least_kept * F.col(n_words)
 
 
 def judged(docs: DataFrame, host: str = "source", most_docs: int = 100, least_kept: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_frequent of each row."""
-    own = own_counts(docs.select("doc_id", "text", F.xxhash64("text").alias("key")))
-    frequent = frequent_words(docs, host, most_docs)
-    out = own.alias("x").join(frequent.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key")), "left")
-    out = out.select("x.*", F.coalesce("y.n_frequent", F.lit(0)).cast("long").alias("n_frequent")).drop("key")
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_frequent")) >= least_kept * F.col("n_words")))
+    own = own_counts(docs.select("doc_id", "text", F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), _host(F.col(host)).alias("_h")))
+    out = _with_frequent(own, frequent_lines(docs, host, most_docs)).drop("_d", "_k", "_h", "_gone")
+    return out.withColumn("kept", ~F.col("base_failed") & _enough("n_words", least_kept))
 
 
 def kept_documents(docs: DataFrame, host: str = "source", most_docs: int = 100, least_kept: int = 30) -> DataFrame:
-    """The rows of docs that pass, with all their columns.  Own rules need no shuffle; the depleted are looked up."""
+    """The rows of docs that pass, their text without the lines to remove, their other columns as they were."""
     own = own_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).where(~F.col("base_failed"))
-    own = own.select("_row", F.col("_row.doc_id").alias("_d"), F.xxhash64("_row.text").alias("_k"), F.col("n_words").alias("_n"))
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(words_of(F.col("text"))).alias("n")).distinct()
-    frequent = frequent_words(docs, host, most_docs).alias("y")
-    depleted = frequent.join(words.alias("x"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key"))).where(100 * (F.col("n") - F.col("n_frequent")) < least_kept * F.col("n")).select("x.doc_id", "x.key").alias("z")
-    out = own.join(depleted, F.col("_d").eqNullSafe(F.col("z.doc_id")) & (F.col("_k") == F.col("z.key")), "left_anti")
-    return out.select("_row.*").select(docs.columns)
+    own = own.select("_row", F.col("_row.doc_id").alias("_d"), F.xxhash64("_row.text").alias("_k"), _host(F.col(f"_row.`{host}`")).alias("_h"), F.col("n_words").alias("_n"))
+    out = _with_frequent(own, frequent_lines(docs, host, most_docs)).where(_enough("_n", least_kept))
+    text = F.col("_row.text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone.at", i)), "\n")
+    return out.select(*[F.when(F.coalesce(F.size("_gone"), F.lit(0)) <= 0, text).otherwise(left).alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

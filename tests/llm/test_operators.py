@@ -253,6 +253,29 @@ def test_frequent_lines_deplete_all_but_the_first(spark):
     assert {r.doc_id for r in quality_rules.kept_documents(df, most_docs=5).collect()} == {0, 1, 20}
 
 
+def test_frequent_lines_go_and_repeated_rows_count_once(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    common = " ".join(words(rng, 40))
+    own = {i: " ".join(words(rng, 60)) for i in range(120)}
+    data = [(i, f"{common}\n{t}\n{common.upper()}" if i == 9 else f"{common}\n\n{t}", "h", 1) for i, t in own.items()]
+    data += [data[7], data[7], (*data[8][:2], "other", 1), (None, *data[5][1:]), (None, *data[5][1:])]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars int").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(quality_rules.SQL)
+    columns = [d[0] for d in cur.description]
+    got = quality_rules.judged(df).collect()
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=key) == sorted(cur.fetchall(), key=key)
+    assert all(r.n_frequent == 40 and r.kept for r in got if r.doc_id == 7)
+    out = corpus_pipeline.quality(spark, df, "")
+    assert out.columns == df.columns
+    want = [(d, t if d == 0 or s == "other" else own[d] if d == 9 else "\n" + t.split("\n")[2], s) for d, t, s, _ in data]
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(((d, t, s, len(t)) for d, t, s in want), key=key)
+
+
 def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer
 
