@@ -120,11 +120,10 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | Non
     """
     near = tried.where(F.size("more") + F.size("less") > 0)
     c = label.select(F.col("id").alias("x"), F.col("component").alias("c"))
-    cp = label.select(F.col("id").alias("p"), F.col("component").alias("cp"))
-    near = near.join(c, "x", "left").join(cp, "p", "left").withColumn("c", F.coalesce("c", "x")).withColumn("cp", F.coalesce("cp", "p"))
+    near = near.join(c, "x", "left").withColumn("c", F.coalesce("c", "x"))
     near = near.withColumn("close", _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100))
-    # only families with a close node of another component have anything to find
-    several = near.groupBy("p").agg(F.max(F.col("close") & (F.col("c") != F.col("cp"))).alias("any"), F.count("*").alias("f")).where("any").select("p", "f")
+    # only families with a close node and several components have anything to find; the close node may be of the pivot's own
+    several = near.groupBy("p").agg(F.max("close").alias("any"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("f")).where("any and lo <> hi").select("p", "f")
     several = written(several)
     if not several.take(1):
         drop(several)
@@ -134,9 +133,9 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | Non
     near = near.join(usual, "p", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
     far = F.array_except("more", "usual")
     family = written(
-        near.select("p", "x", "c", "cp", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), "close")
+        near.select("p", "x", "c", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), "close")
     )
-    x = family.where("close and c <> cp").select("p", "x", F.col("c").alias("cx"), F.col("nx"), F.col("m").alias("mx"), F.col("more").alias("more_x"), F.col("less").alias("less_x"))
+    x = family.where("close").select("p", "x", F.col("c").alias("cx"), F.col("nx"), F.col("m").alias("mx"), F.col("more").alias("more_x"), F.col("less").alias("less_x"))
     y = family.select("p", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("more").alias("more_y"), F.col("less").alias("less_y"), "q")
     apart = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
     enough = f"{100 + percent} * (shared + least(mx, my)) >= {percent} * (nx + ny)"

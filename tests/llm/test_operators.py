@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshwork.llm import decontaminate, lattice_lm, license_scan, line_dedup, mixing, near_dedup, quality_rules, shared, substring_dedup, surrogates, token_counts
+from meshwork.llm import banding, decontaminate, lattice_lm, license_scan, line_dedup, mixing, near_dedup, quality_rules, shared, substring_dedup, surrogates, token_counts
 from meshwork.llm import textkit as tk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, id string, _k string, rate string, component string"
@@ -163,6 +163,31 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_links_of_settled_nodes_are_found(spark):
+    def sets(texts):
+        parts = [np.array(sorted(map(int, t.as_py().split())), np.uint64) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+
+    def check(have, buckets):
+        text = spark.createDataFrame([(i, " ".join(map(str, v))) for i, v in have.items()], "id long, text string")
+        members = spark.createDataFrame([(k, i) for k, ids in enumerate(buckets) for i in ids], "key long, id long")
+        got = {r.id: r.component for r in banding.linked(members, lambda ids: text.join(ids, "id"), sets, 80).collect()}
+        root = {i: i for i in have}
+        for a, b in (x for ids in buckets for x in itertools.combinations(ids, 2)):
+            if 100 * len(have[a] & have[b]) >= 80 * len(have[a] | have[b]):
+                root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+        want = {frozenset(i for i in have if root[i] == r) for r in root.values()}
+        assert {frozenset(i for i in have if got.get(i, i) == r) for r in {got.get(i, i) for i in have}} == want
+
+    shifted = lambda s: set(range(s, s + 100))
+    far = {100 + i: set(range(1000 * i, 1000 * i + 50)) for i in (1, 2, 3)}
+    # the hub 1 meets most others, so it is the pivot; 3 joins its component by the second bucket, and 4 is linked with 3 only
+    check({1: shifted(0), 2: shifted(10), 3: shifted(20), 4: shifted(30)} | far, [[1, 2, 3, 4], [2, 3], [1, *far], [1, *far]])
+    rng = random.Random(8)
+    ids = rng.sample(range(1, 60), 12)
+    check({i: shifted(10 * k) for k, i in enumerate(ids)} | far, [ids, *[ids[k : k + 2] for k in range(0, 12, 2)], *[[ids[6], *far]] * 1, *[[ids[6], 101, 102, 103]] * 9])
+
+
 def removed_words(texts, window=35):
     all_ = [spaced(t) for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in all_ for i in range(len(w) - window + 1))
