@@ -1,15 +1,19 @@
 """PII surrogates: detected entities get keyed replacements of the same type, and keep their format.
 
-Types: e-mail addresses, IPv4 addresses, payment card and phone numbers, social security numbers, IBANs, secrets
-(values named token, secret, password, API key, and long hexadecimal strings), and names after a title.  An entity's
-canonical form (lower case for e-mail, digits for numbers, the value of a secret, a name without its title) is replaced by
-one that a keyed hash chooses: digits by digits, letters by letters of the same case and script, the rest as it was.  A
-phone number keeps its country code, a card its first digit and whether its checksum holds, an address its four parts, a name its script
-and the gender that its title says.  Each mention is then written in the mention's own format.
-
-Equal entities get equal surrogates in all documents (coreference), different ones different surrogates (distinctness):
-surrogates are compared over the whole corpus, with each other and with the real entities; those that collide are chosen anew
-until none is left.  Only entities are shuffled for that; texts are only in documents with entities.
+Types: e-mail addresses, IPv4 and IPv6 addresses, payment card, phone and passport numbers, social security numbers, IBANs,
+dates of birth, street addresses, secrets (values named token, secret, password, API key, and long hexadecimal strings, however long), and names after a
+title or a phrase such as "my name is".  An entity's canonical form (lower case for e-mail, digits for numbers, what follows the
+words that name it) is replaced by one that a keyed hash chooses: digits by digits, letters by letters of the same case and
+script, the rest as it was.  A phone number keeps its country code; a card its first digit and an IBAN its country, and both
+whether their checks hold; an address its kind of street; a name its script and the gender that its title says
+(after neutral titles: that of its ending).  Each mention is then written in the mention's own format.
+
+Equal entities get equal surrogates in all documents (coreference), different ones different surrogates (distinctness).  A name's parts are
+entities of their own, so that a person keeps the surname with and without a given name or a title.
+Surrogates are compared over the whole corpus, with each other and with the real entities; those that collide are chosen anew.
+Each attempt has more to choose from than the one before: names grow by syllables, all others get a tail from attempt TRIES on, of 8
+hexadecimal digits more each time.  So a type whose form has too few values (addresses a@b.com) ends as well.  What has neither a letter nor a digit is no entity.
+Only entities are shuffled for that; texts are only in documents with entities.
 
 Everything is DataFrame expressions.  Defined results: a null text stays null and has no entities; rows that repeat a
 doc_id and its text get equal results; other columns pass through, whatever their names.
@@ -22,38 +26,71 @@ from pyspark.sql import functions as F
 
 from .shared import drop, written
 
-# Titles by gender
-MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Don", "Monsieur", "M", "Господин", "Г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа", "Г-жа")
-FIRST = {
-    ("latin", "male"): "Adam Ben Carl David Emil Felix Georg Henri Ivan Jonas Karl Leon Martin Noel Oscar Paul".split(),
-    ("latin", "female"): "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula".split(),
-    ("cyrillic", "male"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур".split(),
-    ("cyrillic", "female"): "Анна Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Раиса".split(),
+TRIES, KEY = 4, "spark.meshwork.surrogates.key"
+
+# Titles by gender, and what comes before a name otherwise
+MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Don", "Monsieur", "M", "Господин", "Г-н", "Κύριος", "Κος", "السيد")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа", "Г-жа", "Κυρία", "Κα", "السيدة", "الآنسة")
+NEUTRAL = ("Dr", "Prof", "Professor", "Professorin", "Dra", "Доктор", "Δρ", "الدكتور", "الدكتورة", "[Mm]y name is", "[Mm]ein Name ist", "[Jj]e m'appelle", "[Mm]e llamo", "[Мм]еня зовут", "[Μμ]ε λένε")
+#: By script: given names of men and women, and syllables of surnames
+NAMES = {
+    "latin": ("Adam Ben Carl David Emil Felix Georg Henri Ivan Jonas Karl Leon Martin Noel Oscar Paul", "Anna Bella Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula", "ba be da do el fa ga ha ka la le ma mi na no or pa ra ri sa so ta to va"),
+    "cyrillic": ("Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур", "Анна Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Раиса", "ба ве га да жа за ка ла ле ма ми на но ор па ра ри са со та то ва ша ю"),
+    "greek": ("Αλέξης Γιάννης Δημήτρης Ηλίας Θάνος Κώστας Λευτέρης Μάρκος Νίκος Πέτρος Σπύρος Τάσος", "Άννα Βασιλική Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Ράνια Σοφία Χαρά", "βα γα δα θε κα λα λε μα μι να νο πα ρα ρι σα σο τα το φα χα"),
+    "arabic": ("أحمد جمال حسن خالد رامي سامي طارق عادل فارس كريم ماجد ياسر", "أمل جميلة دينا ريم زينب سارة عائشة فاطمة ليلى مريم نور هند", "با تا جا حا دا را زا سا شا صا طا عا فا قا كا لا ما نا ها يا"),
+    "hebrew": ("אבי בני גיל דוד חיים יוסי משה עמית רון שלמה", "אורית דנה חנה יעל מיכל נועה רות שרה תמר", "בא גא דא הא זא חא טא יא כא לא מא נא סא פא קא רא שא תא"),
 }
-SYLLABLES = {"latin": "ba be da do el fa ga ha ka la le ma mi na no or pa ra ri sa so ta to va".split(), "cyrillic": "ба ве га да жа за ка ла ле ма ми на но ор па ра ри са со та то ва ша ю".split()}
-
-_TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-_CAP = r"\p{Lu}[\p{Ll}'\-]+"
+#: By script: first and last letter of its range (upper and lower case apart), and what letters are replaced by
+ALPHABETS = (
+    ("a", "z", "abcdefghijklmnopqrstuvwxyz"),
+    ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("а", "џ", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+    ("Ѐ", "Я", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
+    ("ά", "ώ", "αβγδεζηθικλμνξοπρστυφχψω"),
+    ("Ά", "Ϋ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    ("ա", "և", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ"),
+    ("Ա", "Ֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ"),
+    ("א", "ת", "אבגדהוזחטיכלמנסעפצקרשת"),
+    ("ء", "ي", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    ("अ", "ह", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"),
+    ("ก", "ฮ", "กขคงจชซดตถทนบปผพฟมยรลวสหอ"),
+    ("ა", "ჰ", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    ("ぁ", "ゖ", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろ"),
+    ("ァ", "ヺ", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロ"),
+    ("㐀", "鿿", "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许邓冯韩曹曾彭"),
+    ("가", "힣", "가나다라마바사아자차카타파하거너더러머버서어저처고노도로모보소오"),
+)
+
+_ALL = (*MALE, *FEMALE, *NEUTRAL)
+_TITLES = "|".join(sorted(_ALL, key=len, reverse=True))
+_CAP = r"(?:\p{Lu}[\p{Ll}'\-]+|\p{Lo}{2,32})"
+_SECRET_NAME = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)"
+_PASSPORT_NAME = r"(?i:\bpassport(?: (?:no|number|nr)\b)?\.?\s{0,2}[:#]?\s{0,2})"
+_BIRTH_NAME = r"(?i:\b(?:date of birth|dob|born(?: on)?|geboren am|née? le|nacid[oa] el)\b\s{0,2}:?\s{0,2})"
+_STREETS, _STRASSE = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square", "straße|strasse|weg|platz|allee"
+_HEX = "[0-9A-Fa-f]{1,4}"
 TYPES = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-/+]{12,256}|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "secret": _SECRET_NAME + r"(?=[_\-/+]*+[A-Za-z0-9])[A-Za-z0-9_\-/+]{12,}|(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "birth": _BIRTH_NAME + r"(?:\d{1,2}[./\-]\d{1,2}[./\-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})(?!\d)",
+    "passport": _PASSPORT_NAME + r"[A-Z]{0,2}\d{6,9}\b",
     "card": r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": rf"\b(?:{_TITLES})\.? {_CAP}(?: {_CAP})?",
+    "street": rf"\b\d{{1,5}} (?:\p{{Lu}}[\p{{L}}'\-]+ ){{1,3}}(?:{_STREETS})\b|\b\p{{Lu}}\p{{L}}{{2,40}}?(?:{_STRASSE}) \d{{1,4}}\b",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAP}(?: {_CAP})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
-#: Cheaper to look for, and in every text that PATTERN is in; by type: e-mail; card, ssn and local phone numbers; ip; secrets;
-#: international phone numbers, which may come in pairs; IBANs, of which only two digits are sure; names
-MAYBE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[=:]|[0-9a-f]{{8}}|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|\b(?:{_TITLES})[. ]"
-_SECRET_NAME = r"^(?i:(?:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
-_TITLE = rf"^(?:{_TITLES})\.? "
+#: Cheaper to look for, and in every text that PATTERN is in; by type: e-mail; card, ssn, passport and local phone numbers; ip and dates; secrets and IPv6;
+#: international phone numbers, which may come in pairs; IBANs, of which only two digits are sure; streets; names
+MAYBE = rf"@|[0-9]{{3}}|[0-9][./\-][0-9]|[=:]|[0-9a-f]{{8}}|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9] \p{{Lu}}|[egz] [0-9]|(?<!\p{{L}})(?:{_TITLES})[. ]"
+#: What a mention keeps
+_BEFORE = {"secret": _SECRET_NAME, "birth": _BIRTH_NAME, "passport": _PASSPORT_NAME, "name": rf"(?:{_TITLES})\.? "}
 
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-_CYR = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+_DIGITS, _NIBBLES = "0123456789", "0123456789abcdef"
 
 
 def _type(mention: Column) -> Column:
@@ -63,12 +100,17 @@ def _type(mention: Column) -> Column:
     return out
 
 
+def _before(kind: Column, mention: Column) -> Column:
+    out = F.lit("")
+    for name, pattern in _BEFORE.items():
+        out = F.when(kind == name, F.regexp_extract(mention, f"^{pattern}", 0)).otherwise(out)
+    return out
+
+
 def _canon(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(mention))
-        .when(kind == "secret", F.regexp_replace(mention, _SECRET_NAME, ""))
-        .when(kind == "name", F.concat(F.when(F.regexp_extract(mention, rf"^({_TITLES})", 1).isin(*FEMALE), "f:").otherwise("m:"), F.regexp_replace(mention, _TITLE, "")))
+        F.when(kind.isin("email", "ipv6", "street"), F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind.isin("card", "ssn"), digits)
         # how many digits the country code has is kept with a phone's digits
@@ -77,6 +119,19 @@ def _canon(kind: Column, mention: Column) -> Column:
     )
 
 
+def _parts(kind: Column, mention: Column) -> Column:
+    """(kind, canon) of what is to be replaced in a mention: a name's parts, else one."""
+    before = _before(kind, mention)
+    own = F.substring(mention, F.length(before) + 1, F.length(mention))
+    given = F.substring_index(own, " ", 1)
+    female = F.when(before.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), True).when(before.rlike(rf"^(?:{'|'.join(MALE)})\.? "), False).otherwise(given.rlike("[aаяαήةת]$") | given.isin(*" ".join(n[1] for n in NAMES.values()).split()))
+    first = F.struct(F.when(female, "given_f").otherwise("given_m").alias("kind"), given.alias("canon"))
+    last = F.struct(F.lit("surname").alias("kind"), F.substring_index(own, " ", -1).alias("canon"))
+    called = before.rlike(r" .* $| .*зовут $")  # a phrase, after which a single name is a given one
+    name = F.when(own.contains(" "), F.array(first, last)).when(called, F.array(first)).otherwise(F.array(last))
+    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), _canon(kind, own).alias("canon"))))
+
+
 def _number(random: Column, i: Column) -> Column:
     """The i-th random number below 65536; random has 32 of them, then they repeat, moved by their turn."""
     at = i % 32
@@ -88,81 +143,129 @@ def _pick(letters: str, n: Column) -> Column:
 
 
 def _mapped(text: Column, random: Column, keep: Column) -> Column:
-    """text with each character from place `keep` on replaced by one of its kind."""
+    """text with each character from place `keep` on replaced by one of its kind; letters of scripts that ALPHABETS hasn't, by Latin ones."""
 
     def one(c: Column, i: Column) -> Column:
         n = _number(random, i)
-        return (
-            F.when(i < keep, c)
-            .when(c.between("0", "9"), _pick(_DIGITS, n))
-            .when(c.between("a", "z"), _pick(_LOWER, n))
-            .when(c.between("A", "Z"), _pick(_UPPER, n))
-            .when(c.between("а", "я"), _pick(_CYR, n))
-            .when(c.between("А", "Я"), F.upper(_pick(_CYR, n)))
-            .when(c.rlike(r"\p{Lu}"), _pick(_UPPER, n))
-            .when(c.rlike(r"\p{L}"), _pick(_LOWER, n))
-            .otherwise(c)
-        )
+        out = F.when(i < keep, c).when(c.between("0", "9"), _pick(_DIGITS, n))
+        for lo, hi, letters in ALPHABETS:
+            out = out.when(c.between(lo, hi), _pick(letters, n))
+        return out.when(c.rlike(r"\p{Lu}"), _pick(ALPHABETS[1][2], n)).when(c.rlike(r"\p{L}"), _pick(ALPHABETS[0][2], n)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _hexadecimal(text: Column, random: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick(_NIBBLES, _number(random, i))).otherwise(c)), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The checksum modulo 10; the last digit counts once."""
     parts = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") / 5) + c.cast("int") * 2 % 10))
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x) % 10
 
 
-def _named(canon: Column, random: Column, attempt: Column) -> Column:
-    male, cyrillic = canon.startswith("m:"), canon.rlike(r"\p{IsCyrillic}")
-    first = F.lit(None).cast("string")
-    for (script, gender), names in FIRST.items():
-        here = (cyrillic if script == "cyrillic" else ~cyrillic) & (male if gender == "male" else ~male)
-        first = F.when(here, F.element_at(F.array(*map(F.lit, names)), _number(random, F.lit(0)) % len(names) + 1)).otherwise(first)
+def _mod97(text: Column) -> Column:
+    """text modulo 97, its letters read as 10 to 35."""
+    digits = F.transform(F.split(text, ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(digits, F.lit(0), lambda a, x: ((a * F.when(x > 9, 100).otherwise(10) + x) % 97).cast("int"))
+
+
+def _bank(canon: Column, random: Column) -> Column:
+    """An IBAN of the same country, whose check digits hold if canon's do."""
+    mapped = _mapped(canon, random, F.lit(2))
+    country, account = F.substring(mapped, 1, 2), F.substring(mapped, F.lit(5), F.length(mapped))
+    holds = _mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(holds, check).otherwise(F.substring(mapped, 3, 2)), account)
+
+
+def _script(canon: Column) -> Column:
+    out = F.lit("latin")
+    for name in ("cyrillic", "greek", "arabic", "hebrew"):
+        out = F.when(canon.rlike(rf"\p{{Is{name.capitalize()}}}"), name).otherwise(out)
+    return out
 
-    def last(script: str) -> Column:
-        parts = F.array(*map(F.lit, SYLLABLES[script]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 4 + attempt), lambda i: F.element_at(parts, _number(random, i) % len(SYLLABLES[script]) + 1)), ""))
 
-    surname = F.when(cyrillic, last("cyrillic")).otherwise(last("latin"))
-    return F.concat(F.substring(canon, 1, 2), F.when(canon.contains(" "), F.concat(first, F.lit(" "), surname)).otherwise(surname))
+def _one_of(items: str, random: Column):
+    """For a place, one of the items, by the place's random number."""
+    each = items.split()
+    return lambda i: F.element_at(F.array(*map(F.lit, each)), _number(random, i) % len(each) + 1)
 
 
-def _surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    random = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, canon, attempt.cast("string")), 512)
+def _syllables(script: Column, random: Column, n: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, (_, _, syllables) in NAMES.items():
+        out = F.when(script == name, F.array_join(F.transform(F.sequence(F.lit(1), n), _one_of(syllables, random)), "")).otherwise(out)
+    return F.initcap(out)
+
+
+def _given(script: Column, female: Column, random: Column, attempt: Column) -> Column:
+    """At the first attempt a name of the list, then one with more and more syllables behind it."""
+    out = F.lit(None).cast("string")
+    for name, lists in NAMES.items():
+        for women in (False, True):
+            out = F.when((script == name) & (female == F.lit(women)), _one_of(lists[women], random)(F.lit(0))).otherwise(out)
+    more = F.when(attempt > 0, F.lower(_syllables(script, random, attempt))).otherwise("")
+    ending = F.when(~female | (attempt == 0), "").when(script == "cyrillic", "на").when(script == "greek", "να").when(script == "latin", "na").otherwise("")
+    return F.concat(out, more, ending)
+
+
+def _day(canon: Column, random: Column) -> Column:
+    """A date in canon's form that is one whichever of day and month comes first."""
+    def one(part: Column, i: Column) -> Column:
+        n = _number(random, i)
+        return F.when(F.length(part) == 4, (n % 90 + 1920).cast("string")).when(i == 2, F.when(canon.rlike("^[0-9]{4}"), F.lpad((n % 28 + 1).cast("string"), 2, "0")).otherwise(F.lpad((n % 100).cast("string"), 2, "0"))).when(F.length(part) == 2, F.lpad((n % 12 + 1).cast("string"), 2, "0")).otherwise((n % 9 + 1).cast("string"))
+
+    return F.replace(F.array_join(F.transform(F.split(canon, r"[./\-]"), one), "/"), F.lit("/"), F.regexp_extract(canon, r"[./\-]", 0))
+
+
+def _surrogate(secret: str, kind: Column, canon: Column, attempt: int) -> Column:
+    tried = F.lit(attempt)
+    random = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, canon, tried.cast("string")), 512)
+    script = _script(canon)
     last_dot = F.length(F.substring_index(canon, ".", -1))
     host = F.element_at(F.split(canon, "@"), -1)
     local = F.substring_index(canon, "@", 1)
-    mail = F.concat(_mapped(local, random, F.lit(0)), F.lit("@"), _mapped(F.substring_index(host, ".", 1), F.reverse(random), F.lit(0)), F.lit(".example."), F.substring(canon, -1 * last_dot, last_dot))
+    # all the host's labels but the last, and then one that no real host has
+    labels = F.substring(host, F.lit(1), F.length(host) - last_dot - 1)
+    mail = F.concat(_mapped(local, random, F.lit(0)), F.lit("@"), _mapped(labels, F.reverse(random), F.lit(0)), F.lit(".example."), F.substring(canon, -1 * last_dot, last_dot))
     address = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, _number(random, i) % 223 + 1).otherwise(_number(random, i) % 256).cast("string")), ".")
     card = _mapped(canon, random, F.lit(1))
     fixed = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(F.substring(card, -1, 1).cast("int") + _luhn(canon) - _luhn(card), F.lit(10)).cast("string"))
     code = F.substring(canon, 1, 1).cast("int")
-    hexadecimal = F.array_join(F.transform(F.split(canon, ""), lambda c, i: _pick("0123456789abcdef", _number(random, i))), "")
-    return (
+    house, of_kind = F.regexp_extract(canon, r"\d+", 0), F.regexp_extract(canon, rf"(?i)(?:{_STREETS}|{_STRASSE})(?=$| \d+$)", 0)
+    named = _syllables(script, random, F.lit(3))
+    street = F.when(canon.rlike(r"^\d"), F.concat(_mapped(house, random, F.lit(0)), F.lit(" "), named, F.lit(" "), F.initcap(of_kind))).otherwise(F.concat(named, of_kind, F.lit(" "), _mapped(house, random, F.lit(0))))
+    out = (
         F.when(kind == "email", mail)
         .when(kind == "ip", address)
+        .when(kind == "ipv6", _hexadecimal(canon, random))
         .when(kind == "card", fixed)
         .when(kind == "phone", F.concat(F.substring(canon, 1, 2), _mapped(F.substring(canon, F.lit(3), F.length(canon)), random, code)))
-        .when(kind == "iban", _mapped(canon, random, F.lit(2)))
-        .when(kind == "name", _named(canon, random, attempt))
-        .when(canon.rlike("^[0-9a-f]+$"), hexadecimal)
+        .when(kind == "iban", _bank(canon, random))
+        .when(kind == "birth", _day(canon, random))
+        .when(kind == "street", street)
+        .when(kind == "surname", _syllables(script, random, tried + 3))
+        .when(kind.startswith("given"), _given(script, kind == "given_f", random, tried))
+        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _hexadecimal(canon, random))
         .otherwise(_mapped(canon, random, F.lit(0)))
     )
+    if attempt < TRIES:
+        return out
+    tail = F.substring(F.reverse(random), F.lit(1), F.lit(8 * (attempt - TRIES + 1)))
+    # in front of an address's @, at the end of others
+    return F.when(kind == "surname", out).when(kind.startswith("given"), out).when(kind == "email", F.regexp_replace(out, "@", F.concat(F.lit("-"), tail, F.lit("@")))).otherwise(F.concat(out, F.lit("-"), tail))
 
 
-def _written(kind: Column, mention: Column, canon: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's format."""
+def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
+    """A part's surrogate in the mention's format; what doesn't fit in follows."""
     bare = F.when(kind == "phone", F.substring(surrogate, F.lit(3), F.length(surrogate))).otherwise(surrogate)
     chars = F.transform(F.split(mention, ""), lambda c: F.struct(c.alias("c"), (F.when(kind == "iban", c != " ").otherwise(c.between("0", "9"))).alias("own")))
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
     step = lambda a, x: F.struct(F.concat(a["text"], F.when(x["own"], F.substring(bare, a["next"], F.lit(1))).otherwise(x["c"])).alias("text"), (a["next"] + x["own"].cast("int")).alias("next"))
-    return (
-        F.when(kind.isin("card", "ssn", "phone", "iban"), F.aggregate(chars, start, step)["text"])
-        .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET_NAME, 0), surrogate))
-        .when(kind == "name", F.concat(F.regexp_extract(mention, _TITLE, 0), F.substring(surrogate, F.lit(3), F.length(surrogate))))
-        .otherwise(surrogate)
-    )
+    filled = F.aggregate(chars, start, step, lambda a: F.concat(a["text"], F.substring(bare, a["next"], F.length(bare))))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), filled).otherwise(surrogate)
 
 
 def assigned(entities: DataFrame, secret: str) -> DataFrame:
@@ -171,7 +274,7 @@ def assigned(entities: DataFrame, secret: str) -> DataFrame:
     real = written(entities.select("kind", "canon").distinct())
     left, fixed, attempt = real, None, 0
     while True:
-        tried = written(left.select("kind", "canon", _surrogate(secret, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("surrogate")))
+        tried = written(left.select("kind", "canon", _surrogate(secret, F.col("kind"), F.col("canon"), attempt).alias("surrogate")))
         winner = tried.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         good = winner.join(real.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if fixed is not None:
@@ -190,12 +293,13 @@ def with_surrogates(docs: DataFrame, secret: str) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"))
     text = F.col("_row.text")
     has = F.coalesce(text.rlike(MAYBE) & text.rlike(PATTERN), F.lit(False))
-    found = rows.where(has).select("_d", "_k", F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("i", "mention"))
-    found = found.withColumn("kind", _type(F.col("mention"))).withColumn("canon", _canon(F.col("kind"), F.col("mention")))
-    found = written(found)
-    named = found.join(assigned(found, secret), ["kind", "canon"])
-    named = named.select("_d", "_k", F.struct("i", _written(F.col("kind"), F.col("mention"), F.col("canon"), F.col("surrogate")).alias("s")).alias("one"))
-    lists = named.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("one")).alias("all")).alias("y")
+    found = rows.where(has).select("_d", "_k", F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("i", "mention")).withColumn("of", _type(F.col("mention")))
+    found = written(found.select("*", F.posexplode(_parts(F.col("of"), F.col("mention"))).alias("j", "part")).select("_d", "_k", "i", "j", "mention", "of", "part.kind", "part.canon"))
+    named = found.join(assigned(found.select("kind", "canon"), secret), ["kind", "canon"])
+    piece = F.concat(F.when(F.col("j") == 0, _before(F.col("of"), F.col("mention"))).otherwise(" "), _written(F.col("of"), F.col("mention"), F.col("surrogate")))
+    # a mention's pieces, then a document's mentions
+    whole = named.groupBy("_d", "_k", "i").agg(F.sort_array(F.collect_set(F.struct("j", piece.alias("s")))).alias("of"))
+    lists = whole.groupBy("_d", "_k").agg(F.sort_array(F.collect_list(F.struct("i", F.array_join("of.s", "").alias("s")))).alias("all")).alias("y")
     dirty = rows.where(has).alias("x").join(lists, F.col("x._d").eqNullSafe(F.col("y._d")) & (F.col("x._k") == F.col("y._k")))
     pieces = F.split(text, PATTERN, -1)
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("all", i)["s"], F.lit("")))), "")
@@ -205,6 +309,6 @@ def with_surrogates(docs: DataFrame, secret: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text with surrogates, and the number of entities."""
+    """Each document's text with surrogates, and the number of entities; the key is the setting KEY, which has to be kept secret."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_surrogates(docs, secret="meshwork").select("doc_id", F.col("_entities").alias("n_entities"), "text")
+    return with_surrogates(docs, secret=spark.conf.get(KEY, "set your own")).select("doc_id", F.col("_entities").alias("n_entities"), "text")
