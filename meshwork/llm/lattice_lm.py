@@ -6,13 +6,19 @@ the sums over its words' segmentations: each distinct word's is found once, by a
 the lattice of its pieces, and joined with the documents.
 
 Learning: pieces start with the vocabulary's own scores (ranks, as Zipf weights), and get expected counts from
-forward-backward over the distinct words of the training documents (`rounds` rounds of EM); a word's first piece, its
-further pieces and its stopping are separate choices, so that the words' probabilities sum to one.  Every piece, each single byte among
-them, gets 0.1 more, so that any word has a probability.  A word of the training documents also is an edge of its own lattice, with
-its share of their tokens; what that leaves for new words is the share of words seen once (Good-Turing).
+forward-backward over the distinct words of the training documents, in rounds of EM until the words' likelihood settles
+(a round gains less than TOLERANCE of it); a word's first piece, its further pieces and its stopping are separate choices, so that
+the words' probabilities sum to one.  Every piece, each single byte among them, gets 0.1 more, so that any word has a probability.
+A word of the training documents also is an edge of its own lattice, with its share of their tokens; what that leaves for new
+words is the share of words seen once (Good-Turing).
+
+A document belongs to one of a few classes, which nothing tells: the column `by` (its language) of the training documents does, and
+their shares and word counts are learnt by class.  A text's probability is the sum over classes.  The most_classes classes
+with most training documents are told apart, the others (and null) are one more.  Within a class, 2 % of a word's share are its share in all.
 
 What is learnt, word counts, is spread over the cluster and grows with the corpus; only the pieces' sums (as many as the
-vocabulary has) and the `most_frequent` words with their scores are sent to all tasks.  The other words of each document are joined.
+vocabulary has) and at most `most_frequent` words with their scores are sent to all tasks: those above a count, which a
+histogram of counts gives.  The other words of each document are joined.
 
 Defined results: a null text is an empty one: only its end is scored; a null doc_id is taken as empty text (and is held
 out); rows that repeat a doc_id and its text get equal results.
@@ -20,19 +26,20 @@ out); rows that repeat a doc_id and its text get equal results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .shared import drop, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_FREQUENT, ROUNDS, EXTRA = 1 << 18, 1, 0.1
+MOST_FREQUENT, TOLERANCE, EXTRA, OWN = 1 << 17, 0.004, 0.1, 0.98
 LONG = 512
 
 
@@ -104,8 +111,8 @@ class Lattice:
                 out[word, end] = np.logaddexp(out[word, end], out[word, end - size] + self.logs[piece])
         return out
 
-    def counted(self, codes: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-        """Adds the pieces' expected counts over all segmentations, each word taken `weight` times."""
+    def counted(self, codes: np.ndarray, total: np.ndarray) -> float:
+        """Adds the pieces' expected counts over all segmentations of each word; the sum of their log probabilities."""
         edges = self.edges(codes)
         forward = self.forward(codes, edges)
         n = codes.shape[1]
@@ -115,23 +122,39 @@ class Lattice:
             for size, word, piece in edges[end - 1]:
                 through = back[word, end] + self.logs[piece]
                 back[word, end - size] = np.logaddexp(back[word, end - size], through)
-                np.add.at(total, piece, np.exp(forward[word, end - size] + through - forward[word, n]) * weight[word])
+                np.add.at(total, piece, np.exp(forward[word, end - size] + through - forward[word, n]))
+        return float(forward[:, n].sum())
 
-    def long_score(self, word: bytes) -> float:
-        """The same for one long word: its pieces are found for all ends at once."""
-        codes = np.frombuffer(word, np.uint8)
-        sums, n = self._sums(codes), len(word)
+    def _ways(self, word: bytes) -> list[list[tuple[int, int, float]]]:
+        """Of one long word, for each end, the pieces that end there: where they begin, which and their logs."""
+        sums, n = self._sums(np.frombuffer(word, np.uint8)), len(word)
         _, down = tk.powers(tk._STEP, n + 1)
-        ways: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        ways: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
         for size in range(1, min(self.longest, n) + 1):
             begin, piece = self._find((sums[size:] - sums[:-size]) * down[: n - size + 1] + self._of_size(size))
-            for b, p in zip(begin.tolist(), self.logs[piece].tolist(), strict=True):
-                ways[b + size].append((b, p))
-        out = np.full(n + 1, -np.inf)
+            for b, p, log in zip(begin.tolist(), piece.tolist(), self.logs[piece].tolist(), strict=True):
+                ways[b + size].append((b, p, log))
+        return ways
+
+    def long_score(self, word: bytes, ways: list | None = None) -> np.ndarray:
+        """forward() of one long word: its pieces are found for all ends at once."""
+        ways = ways or self._ways(word)
+        out = np.full(len(word) + 1, -np.inf)
         out[0] = 0
-        for end in range(1, n + 1):
-            out[end] = np.logaddexp.reduce([out[b] + p for b, p in ways[end]])
-        return float(out[n])
+        for end in range(1, len(word) + 1):
+            out[end] = np.logaddexp.reduce([out[b] + log for b, _, log in ways[end]])
+        return out
+
+    def long_counted(self, word: bytes, total: np.ndarray) -> float:
+        """counted() of one long word, once; its log probability."""
+        ways = self._ways(word)
+        forward, back = self.long_score(word, ways), np.full(len(word) + 1, -np.inf)
+        back[-1] = 0
+        for end in range(len(word), 0, -1):
+            for b, p, log in ways[end]:
+                back[b] = np.logaddexp(back[b], back[end] + log)
+                total[p] += math.exp(forward[b] + back[end] + log - forward[-1])
+        return float(forward[-1])
 
 
 def _groups(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,25 +181,28 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterato
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (class, text) to (class, h, word, c); class -1 is held out, and counts 0."""
     for batch in batches:
         for part in tk.chunks(batch):
             words = tk.Words(part.column("text"))
-            train = ~np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), words.counts())
+            of = np.repeat(part.column("class").to_numpy().astype(np.int64), words.counts())
             h, at, back = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
-            n = np.bincount(back, train, len(h)).astype(np.int64)
-            text = [words.bytes(i).lower().decode("utf-8", "replace") for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([tk.signed(h), pa.array(text, pa.string()), pa.array(n)], ["h", "word", "c"])
+            text = pa.array([words.bytes(i).lower().decode("utf-8", "replace") for i in at.tolist()], pa.string())
+            both, n = np.unique(back * 64 + of + 1, return_counts=True)
+            which, c = both // 64, both % 64 - 1
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), tk.signed(h[which]), text.take(pa.array(which)), pa.array(np.where(c < 0, 0, n))], ["class", "h", "word", "c"])
 
 
 def _expected(lattice):
+    """For mapInArrow: words to the pieces' expected counts, and the words' log probability as piece -1."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(lattice.value.logs))
+        total, log = np.zeros(len(lattice.value.logs)), 0.0
         for batch in _together(batches):
-            for which, codes in _groups(batch.column("word")):
-                if codes.shape[1] <= LONG:  # longer words are no words of a language
-                    lattice.value.counted(codes, np.ones(len(which)), total)
+            for _, codes in _groups(batch.column("word")):
+                log += lattice.value.counted(codes, total) if codes.shape[1] <= LONG else sum(lattice.value.long_counted(x.tobytes(), total) for x in codes)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], log))], ["piece", "m"])
 
     return of
 
@@ -189,17 +215,25 @@ def _logs(pieces: list[bytes], weight: np.ndarray, words: int) -> tuple[np.ndarr
     return np.where(first, np.log(weight / weight[first].sum()), np.log(weight / weight[~first].sum()) + np.log(1 - stop)), float(np.log(stop))
 
 
-def _scored(lattice, stop: float, new: float, n: int, v: int):
+def _scored(lattice, stop: float, new: float, v: int, sizes: list[int]):
+    """For mapInArrow: (h, word, c0, c1, ...) to (h, c, base, s0, s1, ...): logs of the word's probability by class. sizes: the classes' tokens."""
+    n, classes = sum(sizes), range(len(sizes))
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _together(batches):
-            c = batch.column("c").to_numpy()
+            each = [batch.column(f"c{k}").to_numpy() for k in classes]
+            c = sum(each, np.zeros(batch.num_rows, np.int64))
             score = np.zeros(len(c))
             for which, codes in _groups(batch.column("word")):
                 if codes.shape[1] <= LONG:
                     score[which] = lattice.value.forward(codes, lattice.value.edges(codes))[:, -1]
                 else:
-                    score[which] = [lattice.value.long_score(x.tobytes()) for x in codes]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))), pa.array(np.log10((1 - new) * c / max(n, 1) + new * np.exp(np.maximum(score + stop, -700))) + np.where(c > 0, 0, np.minimum(score + stop + 700, 0) / np.log(10)))], ["h", "c", "base", "score"])
+                    score[which] = [lattice.value.long_score(x.tobytes())[-1] for x in codes]
+            tail = new * np.exp(np.maximum(score + stop, -700))
+            less = np.where(c > 0, 0, np.minimum(score + stop + 700, 0) / np.log(10))
+            logs = [np.log10((1 - new) * (OWN * each[k] / max(sizes[k], 1) + (1 - OWN) * c / max(n, 1)) + tail) + less for k in classes]
+            names = ["h", "c", "base", *[f"s{k}" for k in classes]]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(c), pa.array(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))), *map(pa.array, logs)], names)
 
     return of
 
@@ -217,18 +251,19 @@ def _split(top):
     return of
 
 
-def _frequent(top, end: tuple[bool, float, float]):
+def _frequent(top, names: list[str]):
+    """For mapInArrow: (doc_id, key, held_out, text) to its sums over frequent words of top's columns, and the number of other words."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, (_, known, base, score) = _split(top), top.value
+        split, (_, *columns) = _split(top), top.value
         for batch in batches:
             for part in tk.chunks(batch):
                 words = tk.Words(part.column("text"))
                 at, own = split(words.hashes(lower=True))
-                sums = [tk.segment_sums(np.where(own, x[at], 0) if len(x) else np.zeros(len(at)), words.first) for x in (known, base, score)]
-                n = words.counts()
+                sums = [tk.segment_sums(np.where(own, x[at], 0) if len(x) else np.zeros(len(at)), words.first) for x in columns]
                 rare = tk.segment_sums((~own).astype(np.int64), words.first)
-                columns = [n + 1, rare, sums[0].astype(np.int64) + end[0], sums[1] + end[1], sums[2] + end[2]]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "key", "held_out")] + [pa.array(x) for x in columns], ["doc_id", "key", "held_out", "n_tokens", "rare", "n_known", "base", "score"])
+                out = [words.counts() + 1, rare, sums[0].astype(np.int64), *sums[1:]]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "key", "held_out")] + [pa.array(x) for x in out], ["doc_id", "key", "held_out", "n_tokens", "rare", "n_known", *names])
 
     return of
 
@@ -251,47 +286,88 @@ def _rare(top):
     return of
 
 
-def scored_texts(docs: DataFrame, vocabulary: str = VOCABULARY, most_frequent: int = MOST_FREQUENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+def _classes(rows: DataFrame, most: int) -> tuple[Column, list[int]]:
+    """Of rows (held_out, group), each one's class as a number, and the classes' training documents. The last is that of all other groups."""
+    if most < 1:
+        return F.lit(0), [rows.where("not held_out").count()]
+    counts = rows.where("not held_out").groupBy("group").agg(F.count("*").alias("n"))
+    first = counts.where("group is not null").orderBy(F.desc("n"), "group").limit(most).collect()
+    out = F.lit(len(first))
+    for k, r in enumerate(first):
+        out = F.when(F.col("group") == r["group"], k).otherwise(out)
+    return out, [*[r["n"] for r in first], (counts.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in first)]
+
+
+def _above(table: DataFrame, most: int) -> int:
+    """The least count that at most `most` words reach; from a histogram in steps of a sixteenth, of a few hundred rows."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    total, above = 0, 1 << 62
+    for r in table.where("c > 0").groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():
+        total += r["n"]
+        if total > most:
+            return above
+        above = r["c"]
+    return 1
+
+
+def scored_texts(docs: DataFrame, vocabulary: str = VOCABULARY, most_frequent: int = MOST_FREQUENT, by: str | None = "lang", most_classes: int = 7) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, and `by` if it is there)."""
     context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.hash("text").alias("key"), (F.crc32(id_text) % 10 == 0).alias("held_out"), "text")
-    words = written(rows.select("held_out", "text").mapInArrow(_counting, "h long, word string, c long").groupBy("h", "word").agg(F.sum("c").alias("c")))
+    group = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), (F.crc32(id_text) % 10 == 0).alias("held_out"), group.alias("group"), "text")
+    of, members = _classes(rows.select("held_out", "group"), most_classes if by in docs.columns else 0)
+    classes = range(len(members))
+    counted = rows.select(F.when(F.col("held_out"), -1).otherwise(of).alias("class"), "text").mapInArrow(_counting, "class int, h long, word string, c long")
+    each = [F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in classes]
+    words = written(counted.groupBy("h", "word").agg(*each, F.sum("c").alias("c")))
     seen = words.where("c > 0")
-    n_words, v_words = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = rows.where("not held_out").count()
-    n, v = n_words + ends, v_words + (ends > 0)
+    sizes = seen.agg(F.count("*"), F.count_if(F.col("c") == 1), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in classes]).first()
+    v_words, once, ends = sizes[0], sizes[1], sum(members)
+    sizes = [a + b for a, b in zip(sizes[2:], members, strict=True)]
+    n, v = sum(sizes), v_words + (ends > 0)
 
-    once = seen.where("c = 1").count()
     # some chance for new words, and for known ones
     new = min(max(once / max(n, 1), 1 / (n + 2)), (n + 1) / (n + 2)) if n else 1.0
     pieces, weight = pieces_of(vocabulary)
     logs, stop = _logs(pieces, weight, 0.5 * weight.sum())
-    for _ in range(rounds):
+    before = -np.inf
+    while v_words:
         shared = context.broadcast(Lattice(pieces, logs))
+        got = {r["piece"]: r["m"] for r in seen.mapInArrow(_expected(shared), "piece int, m double").groupBy("piece").agg(F.sum("m").alias("m")).collect()}
+        now = got.pop(-1) + v_words * stop
         weight = np.full(len(pieces), EXTRA)
-        for r in seen.mapInArrow(_expected(shared), "piece int, m double").groupBy("piece").agg(F.sum("m").alias("m")).collect():
-            weight[r["piece"]] += r["m"]
+        weight[list(got)] += list(got.values())
         logs, stop = _logs(pieces, weight, v_words)
+        shared.destroy()
+        if now - before < -TOLERANCE * now:
+            break
+        before = now
     shared = context.broadcast(Lattice(pieces, logs))
-    end = (1 - new) * ends / n if ends else 0.5
-
-    table = written(words.mapInArrow(_scored(shared, stop, new, n, v), "h long, c long, base double, score double"))
-    frequent = table.orderBy(F.desc("c"), "h").limit(most_frequent).collect()
-    frequent.sort(key=lambda r: r["h"] & (2**64 - 1))
-    keys = np.array([r["h"] for r in frequent], np.int64).view(tk.U)
-    top = context.broadcast((keys, np.array([float(r["c"] > 0) for r in frequent]), *(np.array([r[c] for r in frequent]) for c in ("base", "score"))))
-    of_end = (ends > 0, float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))), float(np.log10(end)))
-
-    mine = rows.mapInArrow(_frequent(top, of_end), f"doc_id {kind}, key int, held_out boolean, n_tokens long, rare long, n_known long, base double, score double")
-    rest = rows.drop("held_out").mapInArrow(_rare(top), f"doc_id {kind}, key int, h long, m int").join(table, "h")
-    rest = rest.groupBy("doc_id", "key").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_known"), *[F.sum(F.col("m") * F.col(c)).alias(c) for c in ("base", "score")])
+
+    scores = [f"s{k}" for k in classes]
+    names = ["base", *scores]
+    scored = words.select("h", "word", *[f"c{k}" for k in classes]).mapInArrow(_scored(shared, stop, new, v, sizes), "h long, c long, " + ", ".join(f"{c} double" for c in names))
+    table = written(scored)
+    drop(words)
+    frequent = table.where(F.col("c") >= _above(table, most_frequent)).toArrow()
+    frequent = frequent.take(pa.array(np.argsort(frequent["h"].to_numpy().view(tk.U))))
+    top = context.broadcast((frequent["h"].to_numpy().view(tk.U), (frequent["c"].to_numpy() > 0).astype(float), *(frequent[c].to_numpy() for c in names)))
+
+    mine = rows.drop("group").mapInArrow(_frequent(top, names), f"doc_id {kind}, key long, held_out boolean, n_tokens long, rare long, n_known long, " + ", ".join(f"{c} double" for c in names))
+    rest = rows.select("doc_id", "key", "text").mapInArrow(_rare(top), f"doc_id {kind}, key long, h long, m int").join(table, "h")
+    rest = rest.groupBy("doc_id", "key").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_known"), *[F.sum(F.col("m") * F.col(c)).alias(c) for c in names])
     both = mine.alias("x").join(rest.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key")), "left")
     share = F.coalesce(F.col("x.rare") / F.col("y.m"), F.lit(0.0))  # repeated rows are joined once
     add = lambda c: F.col(f"x.{c}") + F.coalesce(share * F.col(f"y.{c}"), F.lit(0.0))
-    drop(words)
-    return both.select("x.doc_id", "x.held_out", "x.n_tokens", F.round(add("n_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base").alias("base_score"), add("score").alias("score"))
+    of_end = lambda k: (1 - new) * (OWN * members[k] / max(sizes[k], 1) + (1 - OWN) * ends / n) if ends else 0.5
+    by_class = F.array(*[add(f"s{k}") + float(np.log10(of_end(k) * (members[k] / ends if ends else 1))) for k in classes if members[k] or not ends])
+    highest = F.array_max("all")
+    score = highest + F.log10(F.aggregate(F.transform("all", lambda x: F.pow(F.lit(10.0), x - highest)), F.lit(0.0), lambda a, x: a + x))
+    base = add("base") + float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
+    out = both.select("x.doc_id", "x.held_out", "x.n_tokens", F.round(add("n_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), by_class.alias("all"))
+    return out.withColumn("score", score).drop("all")
 
 
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
