@@ -24,6 +24,8 @@ from .shared import written
 #: Fixed values of the contract
 WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 50, 3, 50
+#: A line of more documents of one host is boilerplate
+MOST_DOCS = 10
 
 
 def words_of(text: Column) -> Column:
@@ -85,14 +87,14 @@ def _enough(n_words: str, least_kept: int) -> Column:
     return 100 * (F.col(n_words) - F.col("n_frequent")) >= least_kept * F.col(n_words)
 
 
-def judged(docs: DataFrame, host: str = "source", most_docs: int = 100, least_kept: int = 30) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, least_kept: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_frequent of each row."""
     own = own_counts(docs.select("doc_id", "text", F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), _host(F.col(host)).alias("_h")))
     out = _with_frequent(own, frequent_lines(docs, host, most_docs)).drop("_d", "_k", "_h", "_gone")
     return out.withColumn("kept", ~F.col("base_failed") & _enough("n_words", least_kept))
 
 
-def kept_documents(docs: DataFrame, host: str = "source", most_docs: int = 100, least_kept: int = 30) -> DataFrame:
+def kept_documents(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, least_kept: int = 30) -> DataFrame:
     """The rows of docs that pass, their text without the lines to remove, their other columns as they were."""
     own = own_counts(docs.select(F.struct(*docs.columns).alias("_row"), "text")).where(~F.col("base_failed"))
     own = own.select("_row", F.col("_row.doc_id").alias("_d"), F.xxhash64("_row.text").alias("_k"), _host(F.col(f"_row.`{host}`")).alias("_h"), F.col("n_words").alias("_n"))
@@ -117,7 +119,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM ln GROUP BY r),
 x AS (SELECT r, i, w[i : i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 rep AS (SELECT r, count(DISTINCT j) AS n_rep FROM (SELECT r, unnest(range(i, i + 3)) AS j FROM
         (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM x) WHERE c > 1) GROUP BY r),
-freq AS (SELECT host, form, min(doc_id) AS home FROM ln GROUP BY host, form HAVING count(DISTINCT key) > 100),
+freq AS (SELECT host, form, min(doc_id) AS home FROM ln GROUP BY host, form HAVING count(DISTINCT key) > 10),
 gone AS (SELECT r, sum(n) AS n_freq FROM ln JOIN freq USING (host, form) WHERE doc_id IS DISTINCT FROM home GROUP BY r),
 c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
