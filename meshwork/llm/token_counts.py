@@ -7,7 +7,8 @@ the least lengths that enough documents fit.  Limits between two rows follow fro
 
 Suffix sums are taken in blocks of `BLOCK` lengths and then over blocks, so that no task gets the whole histogram.
 
-Defined results: a null or empty text has no tokens; strings that look like special tokens are ordinary text.
+Defined results: a null or empty text has no tokens; strings that look like special tokens are ordinary text; repeated rows
+count each; further columns are ignored, whatever their names; an empty table has an empty histogram.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are cut before merging
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 128
 
 
 def _lengths(path: str, cut: str):
@@ -81,4 +84,5 @@ def at_limit(limits: DataFrame, limit: int) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' length histogram with its totals for every limit."""
-    return limits(length_histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    # written, as it's small and read twice: the texts are encoded once
+    return limits(written(length_histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))))
