@@ -12,54 +12,112 @@ Defined results: a null or empty text has no sentences; known sentences that no
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP = 3
 
-# Known sentences of public licence notices, normalised
-SENTENCES = {
-    "apache2-ref": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0"],
+# Public licences, by SPDX identifier, and what they are called, normalised
+LICENCES = {
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "MIT": ["mit license"],
+    "ISC": ["isc license"],
+    "BSD": ["bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl v2", "gplv2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl v3", "gplv3"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgplv2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lesser general public license v3 0", "lgplv3"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu affero general public license v3 0", "agplv3"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "Unlicense": ["unlicense"],
+    "CC0-1.0": ["cc0 1 0", "cc0 1 0 universal"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+}
+#: How a notice refers to a licence; a name of "license" may also stand on a line of its own, as a title
+REFERENCES = ("licensed under", "released under", "distributed under", "available under", "this project is licensed under", "this work is licensed under", "this software is licensed under", "this program is licensed under", "this file is licensed under")
+#: Sentences of the licences' own texts and notices, normalised
+TEXTS = {
     "apache2-use": ["you may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
-    "apache2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at"],
+    "apache2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0", "you may obtain a copy of the license at"],
     "apache2-basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "gpl3-ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
+    "apache2-see": ["see the license for the specific language governing permissions and limitations under the license"],
     "gpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl2-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "lgpl21-free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3-free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl-hope": [f"this {x} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose" for x in ("program", "library")],
     "gpl-received": ["you should have received a copy of the gnu general public license along with this program"],
-    "mit-ref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
+    "lgpl-received": ["you should have received a copy of the gnu lesser general public license along with this library"],
+    "agpl-received": ["you should have received a copy of the gnu affero general public license along with this program"],
+    "mpl2-subject": [f"this source code form is subject to the terms of the mozilla public license v{x}" for x in ("", " 2 0")],
+    "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "mit-as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "bsd-ref": ["licensed under the bsd license", "released under the bsd license"],
+    "mit-liable": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "isc-grant": [f"permission to use copy modify and{x} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("", " or")],
     "bsd-redistribution": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-nc-4-ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
-    "cc-by-4-ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
-    "cc-by-sa-4-ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
+    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd-name": [f"neither the name of the {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for x in ("copyright holder", "organization", "university", "project")],
+    "bsd-as-is": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
     "all-rights": ["all rights reserved"],
 }
+
+
+def _slug(name: str) -> str:
+    short = name.lower().removesuffix(".0")
+    return short if short.startswith("cc") else re.sub(r"-([0-9])", r"\1", short)
+
+
+def _references() -> dict[str, list[str]]:
+    """For each licence, the sentences that name it: ...-ref, and SPDX tags and titles as ...-tag and ...-title."""
+    out = {}
+    for name, called in LICENCES.items():
+        slug, spdx = _slug(name), re.sub("[^a-z0-9]+", " ", name.lower())
+        variants = [spdx, *(f"{spdx} {x}" for x in ("only", "or later") if "GPL" in name)]
+        out[f"{slug}-tag"] = [f"spdx license identifier {x}" for x in variants]
+        out[f"{slug}-ref"] = [f"{verb} {the}{x}" for verb in REFERENCES for x in called for the in ("", "the ")]
+        out[f"{slug}-title"] = [x for x in called if "license" in x and x != "unlicense"]
+    out["apache2-ref"].append("licensed under the apache license version 2 0 the license")
+    return {name: forms for name, forms in out.items() if forms}
+
+
+SENTENCES = TEXTS | _references()
+#: A licence, the sentences that name it, in this order, and licences that are more exact
 RULES = [
-    ("Apache-2.0", ["apache2-ref"]),
-    ("Apache-2.0", ["apache2-use", "apache2-copy", "apache2-basis"]),
-    ("GPL-3.0", ["gpl3-ref"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"]),
-    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-received"]),
-    ("MIT", ["mit-ref"]),
-    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("BSD", ["bsd-ref"]),
-    ("BSD", ["all-rights", "bsd-redistribution"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4-ref"]),
-    ("CC-BY-4.0", ["cc-by-4-ref"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4-ref"]),
-    ("All-rights-reserved", ["all-rights"]),
+    *[(name, [f"{_slug(name)}-{kind}"], ()) for name in LICENCES for kind in ("ref", "tag", "title") if f"{_slug(name)}-{kind}" in SENTENCES],
+    ("Apache-2.0", ["apache2-use", "apache2-copy", "apache2-basis"], ()),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"], ()),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-received"], ()),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-hope", "lgpl-received"], ()),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-received"], ()),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope", "agpl-received"], ()),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-copy"], ()),
+    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"], ()),
+    ("ISC", ["isc-grant"], ()),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name"], ()),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"], ("BSD-3-Clause",)),
+    ("BSD", ["bsd-redistribution"], ("BSD-2-Clause", "BSD-3-Clause")),
+    ("All-rights-reserved", ["all-rights"], ()),
 ]
 #: Each known sentence has one of these
-MARKS = ("licen", "reserved", "warrant", "permission", "redistribution")
+MARKS = ("licen", "reserved", "warrant", "permission", "redistribution", "mpl", "gpl", "cc0", "cc by", "cc-by", "in no event", "obtain a copy")
 #: Comment leaders that are words; all others have neither letters nor digits
 LEADER = r"(?<![^\n])(?:(?:[ \t]*@?(?:dnl|rem)|c)(?=[ \t\r\n]))?[^a-z0-9\n]*"
 
 
+def _names(text: Column, rules: list) -> Column:
+    return F.array_compact(F.array(*[F.when(text.rlike(_pattern(ids)), F.lit(name)) for name, ids, _ in rules]))
+
+
 def _pattern(ids: list[str]) -> str:
     return f" {(' (?:[^ ]+ ){0,' + str(GAP) + '}').join(ids)} "
 
@@ -102,8 +160,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", F.when(marked, _found(text)).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # each identifier has a space of its own on both sides, so that patterns can begin and end with one
     sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    names = F.array(*[F.when(sequence.rlike(_pattern(ids)), F.lit(name)) for name, ids in RULES])
-    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(names))))
+    df = df.withColumn("_all", F.when(F.size("sentence_ids") > 0, _names(sequence, RULES)).otherwise(F.array().cast("array<string>")))
+    less = [(name, exact) for name, exact in dict((name, exact) for name, _, exact in RULES).items() if exact]
+    # a name goes where a more exact one is found
+    blunt = F.array_compact(F.array(*[F.when(F.arrays_overlap("_all", F.array(*map(F.lit, exact))), F.lit(name)) for name, exact in less]))
+    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.array_except("_all", blunt)))).drop("_all")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +175,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     known = ", ".join(f"('{form}', '{name}')" for name, forms in SENTENCES.items() for form in forms)
-    rules = ", ".join(f"('{name}', '{_pattern(ids)}')" for name, ids in RULES)
+    rules = ", ".join(f"('{name}', '{_pattern(ids)}')" for name, ids, _ in RULES)
+    exact = ", ".join(f"('{name}', '{x}')" for name, _, all_ in RULES for x in all_)
     return rf"""
-WITH known(form, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}),
+WITH known(form, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}), exact(name, better) AS (SELECT DISTINCT * FROM (VALUES {exact})),
 d AS (SELECT doc_id, row_number() OVER () AS r, lower(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM d)),
 f AS (SELECT r, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM s JOIN known ON form = trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
-m AS (SELECT r, string_agg(DISTINCT name, ' ' ORDER BY name) AS licenses FROM f JOIN rules ON regexp_matches(' ' || ids || ' ', pattern) GROUP BY r)
+n AS (SELECT DISTINCT r, name FROM f JOIN rules ON regexp_matches(' ' || ids || ' ', pattern)),
+m AS (SELECT r, string_agg(name, ' ' ORDER BY name) AS licenses FROM (SELECT * FROM n ANTI JOIN (SELECT n.r, e.name FROM n JOIN exact e ON e.better = n.name) USING (r, name)) GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses
 FROM d LEFT JOIN f USING (r) LEFT JOIN m USING (r)"""
