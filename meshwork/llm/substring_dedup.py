@@ -112,8 +112,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """doc_id, n_words, n_removed, kept_sha256, kept of each row of docs (doc_id, text): kept has the words that stay,
     with a space between."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.hash("text").alias("key"), "text")
-    blocks = rows.mapInArrow(_blocks(window, gram), f"doc_id {kind}, key int, anchor long, block long, at int, m int")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    blocks = rows.mapInArrow(_blocks(window, gram), f"doc_id {kind}, key long, anchor long, block long, at int, m int")
     # written, so that the join reads it by a shuffle of its own and Spark can split a frequent anchor's rows
     again = written(blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("whole")))
     found = written(blocks.join(again, "anchor"))
@@ -124,7 +124,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     asked = edge.where(F.col("one").eqNullSafe(F.struct("doc_id", "key", "at"))).dropDuplicates(["anchor", "block"])
     asked = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "at", "m")).alias("asked"))
     here = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "key")]
-    windows = asked.alias("y").join(rows.alias("x"), here[0] & here[1]).select("x.doc_id", "x.key", "x.text", "y.asked").mapInArrow(_windows(window), f"doc_id {kind}, key int, anchor long, words long, at int")
+    windows = asked.alias("y").join(rows.alias("x"), here[0] & here[1]).select("x.doc_id", "x.key", "x.text", "y.asked").mapInArrow(_windows(window), f"doc_id {kind}, key long, anchor long, words long, at int")
     twice = windows.groupBy("anchor", "words").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "words")
     single = windows.join(twice, ["anchor", "words"]).select("doc_id", "key", "at", F.lit(1).alias("m"))
 
