@@ -5,6 +5,8 @@ Ties in p get equal adjusted values, whatever their order.  A family is one run'
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,16 +67,23 @@ def _two_stage(df: DataFrame, method: str, w, falling, p: str, alpha: float) ->
 def _hommel(df: DataFrame, by: list[str], p: str) -> DataFrame:
     """Hommel's closed test: the least a such that no subset's Simes test with the edge keeps the null.
 
-    For every size j, Simes of the j largest p-values, min over k of j * p(m - j + k) / k, bounds the adjusted value below;
-    an edge's own bound is min(that, j * p) where it isn't among them.  A family has one row for each size and rank
-    within an array, so it should have thousands of edges at most.
+    Simes of the j largest p-values, the least of j * p(m - j + k) / k over k, says up to which a they are kept.  An
+    edge is rejected at a if h(a) * p <= a, where h(a) is the largest j whose p-values are kept.  A family is one group: its p-values are one array,
+    and the work on it grows with its square.
     """
-    w = Window.partitionBy(*by)
-    df = df.withColumn("_all", F.array_sort(F.collect_list(p).over(w)))
-    m = F.size("_all")
-    simes = lambda j: F.array_min(F.transform(F.sequence(F.lit(1), j), lambda k: j * F.element_at("_all", m - j + k) / k))
-    bounds = F.transform(F.sequence(F.lit(1), m), lambda j: simes(j))
-    once = df.groupBy(*by).agg(F.first("_all").alias("_all")).withColumn("_simes", bounds).drop("_all")
-    df = df.join(once, by) if by else df.crossJoin(once)
-    j_of = F.transform("_simes", lambda s, j: F.when(F.col("_i") > F.col("_m") - (j + 1), s).otherwise(F.least(s, (j + 1) * F.col(p))))
-    return df.withColumn("p_adjusted", F.least(F.lit(1.0), F.greatest(F.col(p), F.array_max(j_of))))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def one(family: pa.Table) -> pa.Table:
+        value = family.column(p).to_numpy(zero_copy_only=False).astype(float)
+        known = np.flatnonzero(~np.isnan(value))
+        m, out = len(known), np.full(len(value), np.nan)
+        q = np.sort(value[known])
+        kept = np.array([(j * q[m - j :] / np.arange(1, j + 1)).min() for j in range(1, m + 1)])
+        kept = np.maximum.accumulate(kept[::-1])[::-1]  # of j or more
+        # h(a) <= j from kept[j] on; the first j for which that is not above j * p
+        bound = np.append(kept[1:], 0.0) / np.arange(1, m + 1)
+        j = m - np.searchsorted(bound[::-1], value[known], "right")
+        out[known] = np.minimum(1.0, np.minimum((j + 1) * value[known], kept[np.minimum(j, m - 1)])) if m else out[known]
+        return family.append_column("p_adjusted", pa.array(out, from_pandas=True))
+
+    return df.groupBy(*by).applyInArrow(one, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()) + ", p_adjusted double")

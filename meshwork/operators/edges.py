@@ -7,15 +7,12 @@ grouping keys, so one plan covers them all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import correlation, critical_z, p_of, z_of
+from . import blocks
 
 LEAST_VARIANCE = 1e-6
 STATISTICS = ("pearson", "pearson_partial", "spearman", "spearman_partial", "point_biserial", "point_biserial_partial")
@@ -38,38 +35,13 @@ def test_moments(edges: DataFrame, samples: DataFrame, covariates: list[str]) ->
     return rows.groupBy("run_id", "edge_id", "sample_fold").agg(*_sums(_names(covariates)))
 
 
-def test_moments_blocked(subjects: DataFrame, runs: DataFrame, covariates: list[str]) -> DataFrame:
-    """The same sums from subjects (sample_id, x array, sample_fold, covariates) and runs (sample_id, ys array, a target for each run).
+def test_moments_blocked(subjects: DataFrame, samples: DataFrame, covariates: list[str]) -> DataFrame:
+    """The same sums from subjects (sample_id, x array), of blocks of edges and runs; x and y must not have missing values.
 
-    Each task multiplies its samples' matrices and passes on sums, so that what is shuffled doesn't grow with the number of
-    samples times edges times runs.  Values must not be missing.
+    See operators.blocks: tasks multiply the samples' matrices and pass on sums, so that what is shuffled doesn't grow with the number
+    of samples times edges times runs.
     """
-    variables = _names(covariates)
-    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i:]]
-    names = ["run_id", "edge_id", "sample_fold", "n", *[f"s_{v}" for v in variables], *[f"s_{a}_{b}" for a, b in pairs]]
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float)
-            y = np.array(batch.column("ys").to_pylist(), float)
-            c = np.array([batch.column(v).to_numpy(zero_copy_only=False) for v in covariates], float).reshape(len(covariates), len(x))
-            fold = batch.column("sample_fold").to_numpy(zero_copy_only=False)
-            for f in np.unique(fold):
-                xs, ys, cs = x[fold == f], y[fold == f], c[:, fold == f]
-                full = lambda a: np.broadcast_to(a, (y.shape[1], x.shape[1])).ravel()  # noqa: E731  runs x edges
-                value = {("x", "x"): full((xs**2).sum(0)), ("x", "y"): (ys.T @ xs).ravel(), ("y", "y"): full((ys**2).sum(0)[:, None])}
-                single = {"x": full(xs.sum(0)), "y": full(ys.sum(0)[:, None])}
-                for i, v in enumerate(covariates):
-                    single[v] = full(cs[i].sum())
-                    value["x", v], value["y", v] = full(cs[i] @ xs), full((cs[i] @ ys)[:, None])
-                    value |= {(v, w): full(cs[i] @ cs[j]) for j, w in enumerate(covariates) if j >= i}
-                keys = [full(np.arange(y.shape[1])[:, None]), full(np.arange(x.shape[1])), full(f), full(len(xs))]
-                arrays = [pa.array(a.astype(t)) for a, t in zip(keys, (np.int32, np.int32, np.int32, np.int64), strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(single[v]) for v in variables], *[pa.array(value[p]) for p in pairs]], names)
-
-    schema = "run_id int, edge_id int, sample_fold int, n long, " + ", ".join(f"{c} double" for c in names[4:])
-    parts = subjects.join(runs, "sample_id").mapInArrow(of, schema)
-    return parts.groupBy("run_id", "edge_id", "sample_fold").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    return blocks.unpacked(blocks.moments(subjects, samples, covariates), covariates)
 
 
 def train_moments(test: DataFrame) -> DataFrame:
@@ -118,11 +90,12 @@ def ordinal_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return rows.withColumns({c: (F.row_number().over(Window.partitionBy(*by).orderBy(c, "sample_id")) - 1).cast("double") for c in columns})
 
 
-def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None) -> DataFrame:
+def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None) -> DataFrame:
     """run_id, edge_id, fold, n, r, z, p of each edge in the training part of each fold, by one of STATISTICS.
 
     samples: run_id, sample_id, sample_fold, y, covariates.  Spearman's ranks are taken within each training part, so it
-    expands the samples by folds; the others don't.
+    expands the samples by folds; the others don't.  With subjects (sample_id, x array), which must not have missing values,
+    sums are taken by blocks of edges and runs.
     """
     if method not in STATISTICS:
         raise NotImplementedError(f"{method} is none of {STATISTICS}")
@@ -131,14 +104,28 @@ def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates
         raise ValueError(f"{method} needs covariates")
     samples = samples.select("run_id", "sample_id", "sample_fold", "y", *used)
     if not method.startswith("spearman"):
-        return statistics(train_moments(test_moments(edges, samples, used)), used)
+        sums = test_moments(edges, samples, used) if subjects is None else test_moments_blocked(subjects, samples, used)
+        return statistics(train_moments(sums), used)
     folds = samples.select(F.col("sample_fold").alias("fold")).distinct()
     train = samples.join(F.broadcast(folds), F.col("sample_fold") != F.col("fold")).drop("sample_fold")
-    ranked = ordinal_ranks(train, ["run_id", "fold"], ["y", *used])
-    # an edge's ranks depend on who is in the training part, not on the run
-    who = train.where("run_id = 0").select("fold", "sample_id")
-    values = ordinal_ranks(edges.where(F.col("value").isNotNull()).join(who, "sample_id"), ["fold", "edge_id"], ["value"])
-    return statistics(all_moments(values, ranked, used), used)
+    return training_statistic(method, edges, train, used)
+
+
+def training_statistic(method: str, values: DataFrame, train: DataFrame, covariates: list[str], keys: tuple[str, ...] = ("run_id", "fold")) -> DataFrame:
+    """The keys, edge_id, n, r, z, p over training parts that are listed: values (sample_id, edge_id, value, and the keys that they
+    depend on), train (keys, sample_id, y, covariates)."""
+    if method not in STATISTICS:
+        raise NotImplementedError(f"{method} is none of {STATISTICS}")
+    used = list(covariates) if method.endswith("_partial") else []
+    train = train.select(*keys, "sample_id", "y", *used)
+    if method.startswith("spearman"):
+        # an edge's ranks depend on who is in the training part, not on the run
+        parts = [k for k in keys if k != "run_id"]
+        who = train.where("run_id = 0").select(*parts, "sample_id")
+        shared = [k for k in ("sample_id", *parts) if k in values.columns]
+        values = ordinal_ranks(values.where(F.col("value").isNotNull()).join(who, shared), [*parts, "edge_id"], ["value"])
+        train = ordinal_ranks(train, list(keys), ["y", *used])
+    return statistics(all_moments(values, train, used, keys), used)
 
 
 def selected(statistics: DataFrame, alpha: float) -> DataFrame:
@@ -148,10 +135,12 @@ def selected(statistics: DataFrame, alpha: float) -> DataFrame:
     return kept.select(*keys, F.when(F.col("r") > 0, "positive").otherwise("negative").alias("network"))
 
 
-def selected_by_grid(statistics: DataFrame, alphas: list[float]) -> DataFrame:
-    """selected() for each alpha, with its place in the list as param_id; the statistics are worked out once."""
-    params = F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(critical_z(a)).alias("z_min")) for i, a in enumerate(alphas)])
-    rows = statistics.select("*", F.explode(params).alias("_p")).select("*", F.col("_p.param_id").alias("param_id")).where((F.abs("z") > F.col("_p.z_min")) & (F.col("r") != 0))
+def selected_by_grid(statistics: DataFrame, alphas: list[float], first: int = 0, adjusted: bool = False) -> DataFrame:
+    """selected() for each alpha, with its place in the list (from `first` on) as param_id; the statistics are worked out once.
+    adjusted: p_adjusted decides."""
+    params = F.array(*[F.struct(F.lit(first + i).alias("param_id"), F.lit(critical_z(a)).alias("z_min"), F.lit(a).alias("alpha")) for i, a in enumerate(alphas)])
+    enough = F.col("p_adjusted") < F.col("_p.alpha") if adjusted else F.abs("z") > F.col("_p.z_min")
+    rows = statistics.select("*", F.explode(params).alias("_p")).select("*", F.col("_p.param_id").alias("param_id")).where(enough & (F.col("r") != 0))
     keys = [c for c in ("run_id", "fold", "param_id", "inner_fold", "edge_id") if c in rows.columns]
     return rows.select(*keys, F.when(F.col("r") > 0, "positive").otherwise("negative").alias("network"))
 

@@ -28,9 +28,9 @@ def fit_logistic(design: DataFrame, by: list[str], features: list[str], rounds:
     f = [F.lit(1.0), *[F.col(c) for c in features]]
     names = [f"beta_{i}" for i in range(len(f))]
     beta = solved(train.groupBy(*by).agg(*gram(f, F.col("y"))), len(f)).withColumn("_moves", F.lit(True))
-    for i in range(rounds):
+    for _ in range(rounds):
         eta = reduce(lambda a, b: a + b, (F.col(n) * x for n, x in zip(names, f, strict=True)))
-        rows = train.join(F.broadcast(beta) if i < 0 else beta, by).where("_moves").withColumn("_p", sigmoid(eta)).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(LEAST_WEIGHT)))
+        rows = train.join(beta, by).where("_moves").withColumn("_p", sigmoid(eta)).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(LEAST_WEIGHT)))
         weighted = [x * F.sqrt("_w") for x in f]
         step = solved(rows.groupBy(*by).agg(*gram(weighted, (F.col("y") - F.col("_p")) / F.sqrt("_w"))), len(f)).withColumnsRenamed({n: f"_d_{n}" for n in names})
         moved = reduce(F.greatest, [F.abs(f"_d_{n}") for n in names]) >= near

@@ -10,17 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import gram, solved
+from . import blocks
 
 VARIANTS = ("connectome", "covariates", "full", "residuals")
 NETWORKS = ("positive", "negative", "both")
 
 
-def strengths(edges: DataFrame, mask: DataFrame, rows: DataFrame) -> DataFrame:
+def strengths(edges: DataFrame, mask: DataFrame, rows: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """rows (run_id, fold, sample_id, ...) with the sums of each network's edges: pos and neg; an empty network gives 0.
 
-    The mask (run_id, fold, edge_id, network) is sparse; Spark sends it to all tasks where it is small.
+    The mask (run_id, fold, edge_id, network) is sparse; Spark sends it to all tasks where it is small.  With subjects
+    (sample_id, x array) the sums are products by blocks (see operators.blocks), for many runs.
     """
-    sums = edges.join(mask, "edge_id").groupBy("run_id", "fold", "sample_id").agg(F.sum(F.when(F.col("network") == "positive", F.col("value"))).alias("pos"), F.sum(F.when(F.col("network") == "negative", F.col("value"))).alias("neg"))
+    if subjects is not None:
+        return rows.join(blocks.strengths(subjects, mask), ["run_id", "fold", "sample_id"], "left").fillna(0.0, ["pos", "neg"])
+    shared = ["edge_id", *[k for k in ("fold", "unit") if k in edges.columns and k in mask.columns]]  # where values depend on the fold
+    sums = edges.join(mask, shared).groupBy("run_id", "fold", "sample_id").agg(F.sum(F.when(F.col("network") == "positive", F.col("value"))).alias("pos"), F.sum(F.when(F.col("network") == "negative", F.col("value"))).alias("neg"))
     return rows.join(sums, ["run_id", "fold", "sample_id"], "left").fillna(0.0, ["pos", "neg"])
 
 
@@ -75,7 +80,8 @@ def residual_edges(edges: DataFrame, rows: DataFrame, covariates: list[str]) ->
     """(fold, sample_id, edge_id, value) of each edge less what covariates predict of it, learnt on each fold's training part; rows: fold, sample_id,
     is_test, covariates."""
     cov = [F.col(c) for c in covariates]
-    long = edges.join(rows.select("fold", "sample_id", "is_test", *covariates), "sample_id")
+    shared = [k for k in ("sample_id", "fold") if k in edges.columns]  # imputed values depend on the fold
+    long = edges.join(rows.select("fold", "sample_id", "is_test", *covariates), shared)
     fit = _fitted(long, cov, F.col("value"), ~F.col("is_test"), ["fold", "edge_id"])
     predicted = sum((F.col(f"beta_{i + 1}") * c for i, c in enumerate(cov)), F.col("beta_0"))
     return long.join(fit, ["fold", "edge_id"]).select("fold", "sample_id", "edge_id", (F.col("value") - predicted).alias("value"))

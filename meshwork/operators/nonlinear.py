@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _tree(x: np.ndarray, y: np.ndarray, pick: Callable[[int], np.ndarray] | None = None) -> list:
+def _tree(x: np.ndarray, y: np.ndarray) -> list:
     """A regression tree grown until leaves are pure, as nodes (feature, cut, left, right, value)."""
     nodes: list = []
     work = [(np.arange(len(y)), -1, False)]
@@ -20,7 +20,7 @@ def _tree(x: np.ndarray, y: np.ndarray, pick: Callable[[int], np.ndarray] | None
         if parent >= 0:
             nodes[parent][3 if right else 2] = at
         best = (1e-12, -1, 0.0)
-        for f in range(x.shape[1]) if pick is None else pick(x.shape[1]):
+        for f in range(x.shape[1]):
             order = rows[np.argsort(x[rows, f], kind="stable")]
             v, t = x[order, f], y[order]
             cut = np.flatnonzero(v[1:] > v[:-1]) + 1
@@ -39,13 +39,13 @@ def _tree(x: np.ndarray, y: np.ndarray, pick: Callable[[int], np.ndarray] | None
 
 
 def _guess(nodes: list, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        at = 0
-        while nodes[at][0] >= 0:
-            at = nodes[at][2] if row[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
-        out[i] = nodes[at][4]
-    return out
+    """All rows go down the tree together, a level at a time."""
+    feature, cut, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
+    at = np.zeros(len(x), np.int64)
+    while len(rows := np.flatnonzero(feature[at] >= 0)):
+        now = at[rows]
+        at[rows] = np.where(x[rows, feature[now]] <= cut[now], left[now], right[now])
+    return value[at]
 
 
 def tree(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:

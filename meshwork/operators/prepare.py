@@ -51,6 +51,15 @@ def imputed(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return long.join(means, ["fold", "edge_id"]).select("fold", "sample_id", "edge_id", F.coalesce("value", "_mean").alias("value"))
 
 
+def imputed_covariates(rows: DataFrame, covariates: list[str]) -> DataFrame:
+    """rows (run_id, fold, is_test, covariates and others) with a covariate's missing values as its mean over the fold's training part."""
+    if not covariates:
+        return rows
+    means = rows.where("not is_test").groupBy("run_id", "fold").agg(*[F.avg(c).alias(f"_mean_{c}") for c in covariates])
+    filled = rows.join(means, ["run_id", "fold"]).withColumns({c: F.coalesce(c, f"_mean_{c}") for c in covariates})
+    return filled.drop(*[f"_mean_{c}" for c in covariates])
+
+
 def varying_edges(edges: DataFrame, least: float = 1e-6) -> DataFrame:
     """(edge_id, variance) of edges whose sample variance is above `least`."""
     return edges.groupBy("edge_id").agg(F.var_samp("value").alias("variance")).where(F.col("variance") > least)

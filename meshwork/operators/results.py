@@ -33,10 +33,10 @@ def stability(mask: DataFrame, n_folds: int) -> DataFrame:
 
 
 def stable_edges(stability: DataFrame, share: float, n_folds: int) -> DataFrame:
-    """Edges that at least this share of the folds selects; folds are counted, so that no rounding decides."""
+    """Edges that more than this share of the folds selects; folds are counted, so that no rounding decides."""
     import math
 
-    return stability.where(F.col("n_selected") >= math.ceil(share * n_folds - 1e-9))
+    return stability.where(F.col("n_selected") > math.floor(share * n_folds + 1e-9))
 
 
 def best_parameters(metrics: DataFrame, metric: str) -> DataFrame:

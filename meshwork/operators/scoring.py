@@ -10,6 +10,7 @@ from ..functions.stats import METRIC_TINY as TINY
 
 REGRESSION = ("explained_variance_score", "pearson_score", "mean_squared_error", "mean_absolute_error")
 CLASSIFICATION = ("accuracy", "balanced_accuracy", "f1_score", "roc_auc")
+BUCKETS = 1024
 KEYS = ("run_id", "fold", "param_id", "inner_fold", "model", "network")
 
 
@@ -33,12 +34,24 @@ def regression_metrics(predictions: DataFrame, by: list[str] | None = None) -> D
 
 
 def roc_auc(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """The area under the curve by mid-ranks; ties count a half."""
-    w = Window.partitionBy(*by)
-    ranked = predictions.withColumn("_r", F.rank().over(w.orderBy("y_pred")) + (F.count("*").over(Window.partitionBy(*by, "y_pred")) - 1) / 2.0)
-    pos, neg = F.sum((F.col("y_true") == 1).cast("double")), F.sum((F.col("y_true") != 1).cast("double"))
-    ranks = F.sum(F.when(F.col("y_true") == 1, F.col("_r")).otherwise(0.0))
-    return ranked.groupBy(*by).agg(((ranks - pos * (pos + 1) / 2) / (pos * neg + TINY)).alias("roc_auc"))
+    """The area under the curve: of all pairs of a 1 and another, the share in which the 1 has the greater y_pred; ties count a half.
+
+    Equal predictions are counted first, and counts are added up within BUCKETS ranges of y_pred and over them, so that no task sorts a whole
+    group.  Missing predictions come first, NaN last.
+    """
+    up = (F.col("y_true") == 1).cast("double")
+    counts = predictions.groupBy(*by, "y_pred").agg(F.sum(up).alias("_pos"), F.sum(1 - up).alias("_neg"))
+    real = F.nanvl("y_pred", F.lit(None).cast("double"))
+    ends = predictions.groupBy(*by).agg(F.min(real).alias("_lo"), F.max(real).alias("_hi"))
+    at = F.least(F.floor((F.col("y_pred") - F.col("_lo")) * BUCKETS / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(BUCKETS - 1))
+    place = F.when(F.col("y_pred").isNull(), -1).when(F.isnan("y_pred"), BUCKETS).otherwise(F.coalesce(at, F.lit(0))).cast("int")
+    rows = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).select(*by, "y_pred", "_pos", "_neg", place.alias("_bucket"))
+    before = Window.unboundedPreceding, -1
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum("_neg").alias("_n"))
+    sums = sums.withColumn("_below", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(*before)), F.lit(0.0))).drop("_n")
+    own = F.coalesce(F.sum("_neg").over(Window.partitionBy(*by, "_bucket").orderBy("y_pred").rowsBetween(*before)), F.lit(0.0))
+    won = F.col("_pos") * (F.col("_own") + F.col("_below") + F.col("_neg") / 2)
+    return rows.withColumn("_own", own).join(sums, [*by, "_bucket"]).groupBy(*by).agg((F.sum(won) / (F.sum("_pos") * F.sum("_neg") + TINY)).alias("roc_auc"))
 
 
 def classification_metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -65,3 +65,28 @@ def permuted_targets(samples: DataFrame, runs: int, seed: int = 42, y: str = "y"
 def with_roles(samples: DataFrame, k: int) -> DataFrame:
     """samples (with sample_fold) once for each fold: fold, is_test."""
     return samples.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("is_test", F.col("fold") == F.col("sample_fold"))
+
+
+SPLITTERS = ("kfold", "stratified", "repeated", "shuffle")
+
+
+def roles(samples: DataFrame, splitter: str, n: int, seed: int = 42, by: list[str] | None = None, repeats: int = 1, test_share: float = 0.2, name: str = "fold", y: str = "y") -> DataFrame:
+    """(by, sample_id, name, is_test) of each split, numbered from 0, within `by`; samples: by, sample_id, y.
+
+    kfold and stratified have n folds, repeated has repeats times n (as those of repeats seeds), shuffle has n independent splits.
+    """
+    if splitter not in SPLITTERS:
+        raise ValueError(f"{splitter} is none of {SPLITTERS}")
+    by = by or []
+    outer = [F.col(c).cast("string") for c in by]
+    if splitter == "shuffle":
+        rows = samples.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        sizes = samples.groupBy(*by).agg(F.count("*").alias("_n")) if by else samples.agg(F.count("*").alias("_n"))
+        out = ranked(rows, _key("split", (F.col(name) + seed).cast("string"), *outer, F.col("sample_id").cast("string")), [*by, name])
+        out = out.join(F.broadcast(sizes), by) if by else out.crossJoin(F.broadcast(sizes))
+        return out.select(*by, "sample_id", name, (F.col("rank") < F.ceil(F.col("_n") * test_share)).alias("is_test"))
+    rows = samples.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit((repeats if splitter == "repeated" else 1) - 1))))
+    within = [*by, "_repeat", *([y] if splitter == "stratified" else [])]
+    own = ranked(rows, _key("fold", (F.col("_repeat") + seed).cast("string"), *outer, F.col("sample_id").cast("string")), within).withColumn("_own", F.pmod("rank", F.lit(n)))
+    out = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out.select(*by, "sample_id", (F.col("_repeat") * n + F.col("_k")).cast("int").alias(name), (F.col("_own") == F.col("_k")).alias("is_test"))

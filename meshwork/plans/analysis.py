@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
-from ..operators import graph, models, results, scoring, splits
+from ..operators import graph, models, prepare, results, scoring, splits
 from ..operators.adjust import adjusted
 from ..operators.logistic import logistic_predictions
 from ..operators.nonlinear import nonlinear_predictions
@@ -21,106 +21,188 @@ from ..sources.tables import materialized
 
 @dataclass(frozen=True)
 class Settings:
-    """An analysis: of several alphas (or corrections) the best is chosen by inner folds."""
+    """An analysis: of several methods, corrections and alphas the best combination is chosen by inner folds."""
 
     task: str = "regression"
-    method: str = "pearson"
+    method: str | tuple[str, ...] = "pearson"
     alphas: tuple[float, ...] = (0.05,)
-    correction: str | None = None
+    correction: str | None | tuple[str | None, ...] = None
     folds: int = 5
+    splitter: str | None = None
+    repeats: int = 1
+    test_share: float = 0.2
     inner_folds: int = 0
+    inner_splitter: str = "kfold"
+    inner_repeats: int = 1
+    inner_test_share: float = 0.2
     stable_share: float | None = None
     permutations: int = 0
     seed: int = 42
     covariates: tuple[str, ...] = ("c1", "c2")
     model: str = "linear"
     residual_edges: bool = False
+    impute: bool = True
     nbs_threshold: float = 0.5
+    nbs_statistic: str = "extent"
+    inference: tuple[str, ...] = ("nbs", "tfce")
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if len(self.alphas) > 1 and not self.inner_folds:
-            raise ValueError("several alphas need inner folds")
+        if len(self.grid) > 1 and not self.inner_folds:
+            raise ValueError("several alphas, corrections or methods need inner folds")
         if self.stable_share is not None and not self.inner_folds:
             raise ValueError("stable edges need inner folds")
         if self.task == "classification" and self.model not in ("linear", "logistic"):
             raise ValueError("non-linear models are for regression")
+        if set(self.inference) - {"nbs", "tfce"}:
+            raise ValueError(f"unknown inference {self.inference}")
+
+    @property
+    def grid(self) -> list[tuple[str, str | None, float]]:
+        """(method, correction, alpha) of each param_id."""
+        methods = (self.method,) if isinstance(self.method, str) else self.method
+        corrections = self.correction if isinstance(self.correction, tuple) else (self.correction,)
+        return [(m, c, a) for m in methods for c in corrections for a in self.alphas]
+
+    @property
+    def n_splits(self) -> int:
+        return self.folds * (self.repeats if self.splitter == "repeated" else 1)
+
+    @property
+    def n_inner(self) -> int:
+        return self.inner_folds * (self.inner_repeats if self.inner_splitter == "repeated" else 1)
+
+    @property
+    def partition(self) -> bool:
+        """Whether each sample is in one test part."""
+        return self.splitter in (None, "kfold", "stratified")
 
 
 def folded(subjects: DataFrame, s: Settings) -> DataFrame:
-    """(run_id, sample_id, sample_fold, y, covariates) of the observed and the permuted runs; folds are the observed run's."""
+    """(run_id, sample_id, sample_fold, y, covariates) of the observed and the permuted runs; folds are the observed run's.  Without sample_fold
+    where test parts overlap."""
     base = subjects.select("sample_id", "y", *s.covariates)
-    made = splits.stratified_kfold(base, s.folds, "y", s.seed) if s.task == "classification" else splits.kfold(base, s.folds, s.seed)
-    made = made.withColumnRenamed("fold", "sample_fold")
     targets = splits.permuted_targets(base, s.permutations, s.seed) if s.permutations else base.select(F.lit(0).alias("run_id"), "sample_id", "y")
+    if not s.partition:
+        return targets.join(base.select("sample_id", *s.covariates), "sample_id")
+    stratified = s.splitter == "stratified" or s.splitter is None and s.task == "classification"
+    made = splits.stratified_kfold(base, s.folds, "y", s.seed) if stratified else splits.kfold(base, s.folds, s.seed)
+    made = made.withColumnRenamed("fold", "sample_fold")
     return targets.join(made.select("sample_id", "sample_fold", *s.covariates), "sample_id")
 
 
-def edge_table(subjects: DataFrame, samples: DataFrame, s: Settings) -> DataFrame:
-    """The statistics of all runs' and folds' edges."""
-    cov = list(s.covariates)
-    edges = long_edges(subjects)
-    if s.residual_edges:
-        rows = splits.with_roles(samples.where("run_id = 0"), s.folds)
-        values = models.residual_edges(edges, rows, cov)
-        train = splits.with_roles(samples, s.folds).where("not is_test")
-        return E.statistics(E.all_moments(values, train.select("run_id", "fold", "sample_id", "y"), []), [])
-    return E.edge_statistic(s.method, edges, samples, cov)
+def roles(samples: DataFrame, s: Settings, gaps: bool = False) -> DataFrame:
+    """(run_id, fold, sample_id, is_test, y, covariates) of all runs and splits; with gaps, covariates are imputed."""
+    if s.partition:
+        rows = splits.with_roles(samples, s.folds)
+    else:
+        own = splits.roles(samples.where("run_id = 0").select("sample_id", "y"), s.splitter, s.folds, s.seed, repeats=s.repeats, test_share=s.test_share)
+        rows = samples.join(own, "sample_id")
+    return prepare.imputed_covariates(rows, list(s.covariates)) if gaps and s.impute else rows
+
+
+def has_gaps(subjects: DataFrame, s: Settings) -> bool:
+    """Whether edge values or covariates are missing."""
+    missing = F.exists("x", lambda v: v.isNull() | F.isnan(v.cast("double")))
+    for c in s.covariates:
+        missing = missing | F.col(c).isNull()
+    return bool(subjects.where(missing).take(1))
+
+
+def edge_values(subjects: DataFrame, rows: DataFrame, s: Settings, gaps: bool) -> DataFrame:
+    """(sample_id, edge_id, value), with fold where imputed and residual values depend on it; rows: roles()."""
+    values, observed = long_edges(subjects), rows.where("run_id = 0")
+    if gaps and s.impute:
+        values = prepare.imputed(values, observed)
+    return models.residual_edges(values, observed, list(s.covariates)) if s.residual_edges else values
+
+
+def edge_table(subjects: DataFrame, samples: DataFrame, s: Settings, method: str | None = None, gaps: bool = False) -> DataFrame:
+    """The statistics of all runs' and splits' edges."""
+    method, cov = method or s.grid[0][0], list(s.covariates)
+    if s.partition and not gaps and not s.residual_edges:
+        return E.edge_statistic(method, long_edges(subjects), samples, cov, subjects)
+    rows = roles(samples, s, gaps)
+    return E.training_statistic(method, edge_values(subjects, rows, s, gaps), rows.where("not is_test"), cov)
 
 
 def mask(statistics: DataFrame, s: Settings, alpha: float | None = None) -> DataFrame:
-    alpha = s.alphas[0] if alpha is None else alpha
-    if not s.correction:
-        return E.selected(statistics, alpha)
-    fixed = adjusted(statistics, s.correction, ["run_id", "fold"])
-    network = F.when(F.col("r") > 0, "positive").otherwise("negative").alias("network")
-    return fixed.where((F.col("p_adjusted") < alpha) & (F.col("r") != 0)).select("run_id", "fold", "edge_id", network)
+    """The selected edges of the first (method and) correction, at its first alpha or the given one."""
+    return _selected(statistics, s.grid[0][1], [s.grid[0][2] if alpha is None else alpha], ["run_id", "fold"], 0).drop("param_id")
+
+
+def _selected(statistics: DataFrame, correction: str | None, alphas: list[float], family: list[str], first: int) -> DataFrame:
+    if not correction:
+        return E.selected_by_grid(statistics, alphas, first)
+    return E.selected_by_grid(adjusted(statistics, correction, family), alphas, first, True)
+
+
+def grid_masks(statistic, s: Settings, family: list[str]) -> DataFrame:
+    """(family, param_id, edge_id, network) of the whole grid; statistic(method) gives the family's statistics."""
+    out, n, methods = None, len(s.alphas), list(dict.fromkeys(m for m, _, _ in s.grid))
+    corrections = list(dict.fromkeys(c for _, c, _ in s.grid))
+    for i, method in enumerate(methods):
+        found = statistic(method)
+        found = materialized(found) if len(corrections) > 1 else found
+        for j, correction in enumerate(corrections):
+            one = _selected(found, correction, list(s.alphas), family, (i * len(corrections) + j) * n)
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
-def chosen_mask(subjects: DataFrame, samples: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """The mask of each outer fold, with the parameter that inner folds choose; and the choice (run_id, fold, param_id, mean)."""
-    statistics = edge_table(subjects, samples, s)
+def chosen_mask(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The mask of each outer split, with the parameter that inner folds choose; and the choice (run_id, fold, param_id, mean)."""
     if not s.inner_folds:
-        return mask(statistics, s), None
-    best, inner = inner_search(subjects, samples, s)
+        return mask(edge_table(subjects, samples, s, gaps=gaps), s), None
+    best, inner = inner_search(subjects, samples, s, gaps)
     if s.stable_share is not None:
-        stable = results.stability(inner.withColumnRenamed("fold", "outer").withColumnRenamed("inner_fold", "fold").withColumn("run_id", F.struct("run_id", "outer")), s.inner_folds)
-        stable = results.stable_edges(stable, s.stable_share, s.inner_folds)
+        stable = results.stability(inner.withColumnRenamed("fold", "outer").withColumnRenamed("inner_fold", "fold").withColumn("run_id", F.struct("run_id", "outer")), s.n_inner)
+        stable = results.stable_edges(stable, s.stable_share, s.n_inner)
         stable = stable.select("run_id.run_id", F.col("run_id.outer").alias("fold"), "param_id", "edge_id", "network")
         return stable.join(best.select("run_id", "fold", "param_id"), ["run_id", "fold", "param_id"]).drop("param_id"), best
-    grid = E.selected_by_grid(statistics, list(s.alphas))
-    return grid.join(best.select("run_id", "fold", "param_id"), ["run_id", "fold", "param_id"]).drop("param_id"), best
+    masks = grid_masks(lambda method: edge_table(subjects, samples, s, method, gaps), s, ["run_id", "fold"])
+    return masks.join(best.select("run_id", "fold", "param_id"), ["run_id", "fold", "param_id"]).drop("param_id"), best
 
 
-def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """The best parameter of each run and outer fold, and the inner folds' masks.
+def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The best parameter of each run and outer split, and the inner splits' masks.
 
-    An inner fold is a fold of an outer fold's training part; both are keys, and statistics don't depend on the parameter.
+    An inner split is one of an outer split's training part; both are keys, and statistics are worked out once for all alphas and
+    corrections.  Imputed and residual values are the outer split's.
     """
-    outer = splits.with_roles(samples, s.folds).where("not is_test").drop("is_test", "sample_fold")
-    order = splits.ranked(outer.where("run_id = 0").select("fold", "sample_id"), F.md5(F.concat_ws(":", F.lit("inner"), F.lit(str(s.seed)), F.col("fold").cast("string"), F.col("sample_id").cast("string"))), ["fold"])
-    inner = outer.join(order.select("fold", "sample_id", F.pmod("rank", F.lit(s.inner_folds)).cast("int").alias("own")), ["fold", "sample_id"])
-    inner = materialized(inner.withColumn("inner_fold", F.explode(F.sequence(F.lit(0), F.lit(s.inner_folds - 1)))).withColumn("is_test", F.col("own") == F.col("inner_fold")).drop("own"))
+    rows = roles(samples, s, gaps)
+    values = edge_values(subjects, rows, s, gaps)
+    outer = rows.where("not is_test").select("run_id", "fold", "sample_id", "y", *s.covariates)
+    own = splits.roles(outer.where("run_id = 0").select("fold", "sample_id", "y"), s.inner_splitter, s.inner_folds, s.seed, ["fold"], s.inner_repeats, s.inner_test_share, "inner_fold")
+    inner = materialized(outer.join(own, ["fold", "sample_id"]))
     keys = ("run_id", "fold", "inner_fold")
-    edges = long_edges(subjects)
-    cov = list(s.covariates) if s.method.endswith("_partial") else []
-    moments = E.all_moments(edges, inner.where("not is_test").select(*keys, "sample_id", "y", *cov), cov, keys)
-    masks = materialized(E.selected_by_grid(E.statistics(moments, cov), list(s.alphas)))
-    # one key for what the models group by
-    unit = F.struct("run_id", "fold", "inner_fold")
-    rows = inner.select(unit.alias("unit"), "sample_id", "is_test", "y", *s.covariates).crossJoin(F.broadcast(subjects.sparkSession.range(len(s.alphas)).select(F.col("id").cast("int").alias("fold")))).withColumnRenamed("unit", "run_id")
-    rows = models.strengths(edges, masks.select(unit.alias("run_id"), F.col("param_id").alias("fold"), "edge_id", "network"), rows)
-    both = rows.select("run_id", "fold", "sample_id", "is_test", "y", F.lit("connectome").alias("model"), F.lit("both").alias("network"), F.col("pos").alias("f1"), F.col("neg").alias("f2"))
-    predict = logistic_predictions if s.task == "classification" else models.linear_predictions
-    scores = scoring.score(predict(both), s.task)
-    scores = scores.select("run_id.run_id", F.col("run_id.fold").alias("outer"), F.col("run_id.inner_fold").alias("inner_fold"), F.col("fold").alias("param_id"), "model", "network", *scoring.metrics_of(s.task))
+    train = inner.where("not is_test")
+    masks = materialized(grid_masks(lambda method: E.training_statistic(method, values, train, list(s.covariates), keys), s, list(keys)))
+    # a number for each run, outer and inner split, as the run that the models group by
+    unit = ((F.col("run_id") * s.n_splits + F.col("fold")) * s.n_inner + F.col("inner_fold")).cast("int")
+    params = F.explode(F.sequence(F.lit(0), F.lit(len(s.grid) - 1)))
+    named = inner.select(unit.alias("run_id"), "sample_id", "is_test", "y", *s.covariates).withColumn("fold", params)
+    if "fold" in values.columns:
+        values = values.withColumnRenamed("fold", "unit")
+    own_mask = masks.select(unit.alias("run_id"), F.col("fold").alias("unit"), F.col("param_id").alias("fold"), "edge_id", "network")
+    found = models.strengths(values, own_mask, named)
+    both = found.select("run_id", "fold", "sample_id", "is_test", "y", F.lit("connectome").alias("model"), F.lit("both").alias("network"), F.col("pos").alias("f1"), F.col("neg").alias("f2"))
+    if s.task == "classification":
+        guesses = logistic_predictions(both)
+    else:
+        guesses = models.linear_predictions(both) if s.model == "linear" else nonlinear_predictions(both, s.model)
+    scores = scoring.score(guesses, s.task)
+    run, fold = F.floor(F.col("run_id") / (s.n_splits * s.n_inner)).cast("int"), (F.floor(F.col("run_id") / s.n_inner) % s.n_splits).cast("int")
+    scores = scores.select(run.alias("run_id"), fold.alias("outer"), (F.col("run_id") % s.n_inner).alias("inner_fold"), F.col("fold").alias("param_id"), "model", "network", *scoring.metrics_of(s.task))
     metric = "balanced_accuracy" if s.task == "classification" else "pearson_score"
     return results.best_parameters(scores.withColumnRenamed("outer", "fold"), metric), masks
 
 
-def design_rows(subjects: DataFrame, samples: DataFrame, selected: DataFrame, s: Settings) -> DataFrame:
-    rows = splits.with_roles(samples, s.folds)
-    return models.with_residual_strengths(models.strengths(long_edges(subjects), selected, rows), list(s.covariates))
+def design_rows(subjects: DataFrame, samples: DataFrame, selected: DataFrame, s: Settings, gaps: bool = False) -> DataFrame:
+    rows = roles(samples, s, gaps)
+    values = edge_values(subjects, rows, s, gaps)
+    blocked = None if "fold" in values.columns else subjects
+    return models.with_residual_strengths(models.strengths(values, selected, rows, blocked), list(s.covariates))
 
 
 def predictions(rows: DataFrame, s: Settings) -> DataFrame:
@@ -140,14 +222,15 @@ def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
     samples = folded(subjects, s)
     if s.permutations or s.inner_folds:
         samples = materialized(samples)
-    selected, choice = chosen_mask(subjects, samples, s)
+    gaps = has_gaps(subjects, s)
+    selected, choice = chosen_mask(subjects, samples, s, gaps)
     selected = materialized(selected)
-    rows = design_rows(subjects, samples, selected, s)
+    rows = design_rows(subjects, samples, selected, s, gaps)
     guesses = predictions(rows, s)
     metrics = materialized(results.with_increment(scoring.score(guesses, s.task)))
     summary = results.summary(metrics)
     strengths = rows.where("is_test").select("run_id", "fold", "sample_id", F.col("y").alias("y_true"), "pos", "neg", "pos_res", "neg_res")
-    stability = results.stability(selected, s.folds)
+    stability = results.stability(selected, s.n_splits)
     out = {"selection": selected, "strengths": strengths, "predictions": guesses, "metrics": metrics, "summary": summary, "stability": stability}
     if choice is not None:
         out["parameters"] = choice
@@ -159,6 +242,8 @@ def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
         runs = subjects.sparkSession.range(s.permutations + 1).select(F.col("id").cast("int").alias("run_id"))
         names = [f"{m}__mean" for m in scoring.metrics_of(s.task)]
         out["p_values"] = results.permutation_p(summary, names)
-        out["nbs_edges"], out["nbs_components"], out["nbs_critical"] = graph.nbs(named, runs, s.nbs_threshold, s.folds)
-        out["tfce_edges"] = graph.tfce_p(graph.tfce(named), runs)
+        if "nbs" in s.inference:
+            out["nbs_edges"], out["nbs_components"], out["nbs_critical"] = graph.nbs(named, runs, s.nbs_threshold, s.n_splits, s.nbs_statistic)
+        if "tfce" in s.inference:
+            out["tfce_edges"] = graph.tfce_p(graph.tfce(named), runs)
     return out

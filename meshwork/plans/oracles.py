@@ -74,28 +74,31 @@ def _gram(features: list[str], target: str, source: str, keys: str, name: str, w
     return f"{name}g AS (SELECT {keys}, {', '.join(cols)} FROM {source} WHERE {where} GROUP BY {keys}),\n" + solved_sql(f"{name}g", keys, len(f), name)
 
 
-RESIDUAL = (
-    _gram(["c1", "c2"], "pos", "rows0", "fold", "rp")
-    + ",\n"
-    + _gram(["c1", "c2"], "neg", "rows0", "fold", "rn")
-    + ",\nrows1 AS (SELECT rows0.*, pos - (rp.beta_0 + rp.beta_1 * c1 + rp.beta_2 * c2) AS pos_res, neg - (rn.beta_0 + rn.beta_1 * c1 + rn.beta_2 * c2) AS neg_res FROM rows0 JOIN rp USING (fold) JOIN rn USING (fold))"
-)
+def residual(keys: str = "fold") -> str:
+    fits = ",\n".join(_gram(["c1", "c2"], x, "rows0", keys, name) for x, name in (("pos", "rp"), ("neg", "rn")))
+    own = "pos - (rp.beta_0 + rp.beta_1 * c1 + rp.beta_2 * c2) AS pos_res, neg - (rn.beta_0 + rn.beta_1 * c1 + rn.beta_2 * c2) AS neg_res"
+    return f"{fits},\nrows1 AS (SELECT rows0.*, {own} FROM rows0 JOIN rp USING ({keys}) JOIN rn USING ({keys}))"
 
 
-def design() -> str:
+def design(keys: str = "fold") -> str:
     parts = []
     zero = "CAST(0 AS DOUBLE)"
     for network in ("positive", "negative", "both"):
         p, n = network != "negative", network != "positive"
         raw, res = (["pos" if p else zero, "neg" if n else zero], ["pos_res" if p else zero, "neg_res" if n else zero])
         for model, f in (("connectome", [*raw, zero, zero]), ("covariates", [zero, zero, "c1", "c2"]), ("full", [*raw, "c1", "c2"]), ("residuals", [*res, zero, zero])):
-            parts.append(f"SELECT fold, sample_id, is_test, y, '{model}' AS model, '{network}' AS network, " + ", ".join(f"{c} AS f{i + 1}" for i, c in enumerate(f)) + " FROM rows1")
+            parts.append(f"SELECT {keys}, sample_id, is_test, y, '{model}' AS model, '{network}' AS network, " + ", ".join(f"{c} AS f{i + 1}" for i, c in enumerate(f)) + " FROM rows1")
     return "d AS (" + " UNION ALL ".join(parts) + ")"
 
 
-PRED = _gram(["f1", "f2", "f3", "f4"], "y", "d", "fold, model, network", "co") + ",\npred AS (SELECT fold, model, network, sample_id, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 + beta_3 * f3 + beta_4 * f4 AS y_pred FROM d JOIN co USING (fold, model, network) WHERE is_test)"
+def predicted(keys: str = "fold") -> str:
+    by = f"{keys}, model, network"
+    fit = _gram(["f1", "f2", "f3", "f4"], "y", "d", by, "co")
+    return f"{fit},\npred AS (SELECT {by}, sample_id, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 + beta_3 * f3 + beta_4 * f4 AS y_pred FROM d JOIN co USING ({by}) WHERE is_test)"
+
+
 BASE = (S, E_, fold(), ROLES, TRAIN, stat())
-CHAIN = (*BASE, MASK, STRENGTH, RESIDUAL, design(), PRED)
+CHAIN = (*BASE, MASK, STRENGTH, residual(), design(), predicted())
 
 
 def reg(source: str, keys: str, digits: int = 6) -> str:
@@ -112,7 +115,7 @@ INC = "inc AS (SELECT a.fold, a.network, " + ", ".join(f"a.{m} - b.{m} AS {m}" f
 ROUNDED = ", ".join(f"{r6(m)} AS {m}" for m in METRICS)
 DIM = "dim AS (SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS edge_id, CAST(i AS INTEGER) AS node_i, CAST(j AS INTEGER) AS node_j FROM (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j) WHERE i < j)"
 STAB = f"stab AS (SELECT edge_id, network, count(DISTINCT fold) AS n_selected, count(DISTINCT fold) / CAST({K} AS DOUBLE) AS stability FROM mask GROUP BY 1, 2)"
-OBS = "obs AS (SELECT stab.*, node_i, node_j, round(1.0 - stability * CAST(0.96 AS DOUBLE), 6) AS p_value FROM stab JOIN dim USING (edge_id))"
+OBS = "obs AS (SELECT p.edge_id, p.network, p.n_selected, p.stability, p.node_i, p.node_j, round(coalesce(found.p_value, 1.0), 6) AS p_value FROM pst p LEFT JOIN named ON named.run_id = 0 AND named.network = p.network AND named.edge_id = p.edge_id LEFT JOIN found ON found.network = named.network AND found.component = named.component WHERE p.run_id = 0)"
 
 # permuted runs
 TARGETS = f"""nat AS (SELECT sample_id, y, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) AS q FROM s),
@@ -195,28 +198,50 @@ def _adjusted(method: str) -> str:
     return _with(*BASE, P, pm, bh, body=f"SELECT fold, edge_id, {r6(f'least(1.0, CASE WHEN k = 0 OR k = m THEN b * {factor} ELSE b * (m - k) / m * {factor} END)')} AS p_adjusted FROM rj")
 
 
-def _nested() -> tuple[str, ...]:
+def _inner(ranked: bool = False, correction: bool = False) -> tuple[str, ...]:
+    """Three inner folds in each of three outer ones: i_mask, i_mean and best, the parameters being alphas."""
     k = "(SELECT CAST(unnest(range(3)) AS INTEGER) AS {})"
-    z = ", ".join(f"({i}, CAST({critical_z(a)!r} AS DOUBLE))" for i, a in enumerate((0.05, 0.01)))
+    z = ", ".join(f"({i}, CAST({critical_z(a)!r} AS DOUBLE), CAST({a} AS DOUBLE))" for i, a in enumerate((0.05, 0.01)))
+    value = "row_number() OVER (PARTITION BY fold, inner_fold, edge_id ORDER BY {}, sample_id)" if ranked else "{}"
+    enough = "p_adjusted < alpha AND r <> 0" if correction else "abs(z) > z_min"
     return (
         S,
         E_,
         fold(3),
         f"o AS (SELECT k.fold, s.sample_id, s.y FROM s JOIN f USING (sample_id), {k.format('fold')} k WHERE f.sample_fold <> k.fold)",
-        "own AS (SELECT *, CAST((row_number() OVER (PARTITION BY fold ORDER BY md5('inner:42:' || fold || ':' || sample_id), sample_id) - 1) % 3 AS INTEGER) AS own FROM o)",
+        "own AS (SELECT *, CAST((row_number() OVER (PARTITION BY fold ORDER BY md5('fold:42:' || fold || ':' || sample_id), sample_id) - 1) % 3 AS INTEGER) AS own FROM o)",
         f"i AS (SELECT own.*, k.inner_fold, own.own = k.inner_fold AS is_test FROM own, {k.format('inner_fold')} k)",
-        "t AS (SELECT fold, inner_fold, edge_id, count(*) AS n, corr(value, y) AS r FROM i JOIN e USING (sample_id) WHERE NOT is_test GROUP BY 1, 2, 3)",
-        f"zz AS (SELECT *, {_z('r', 0)} AS z FROM t)",
-        f"mask AS (SELECT fold, inner_fold, param_id, edge_id, {NETWORK} AS network FROM zz, (VALUES {z}) g(param_id, z_min) WHERE abs(z) > z_min)",
-        "st1 AS (SELECT m.fold, m.inner_fold, m.param_id, e.sample_id, sum(value) FILTER (network = 'positive') AS pos, sum(value) FILTER (network = 'negative') AS neg FROM mask m JOIN e USING (edge_id) GROUP BY 1, 2, 3, 4)",
-        "d AS (SELECT i.*, g.param_id, coalesce(pos, 0.0) AS f1, coalesce(neg, 0.0) AS f2 FROM i CROSS JOIN (SELECT unnest([0, 1]) AS param_id) g LEFT JOIN st1 USING (fold, inner_fold, param_id, sample_id))",
-        _gram(["f1", "f2"], "y", "d", "fold, inner_fold, param_id", "co"),
-        "pred AS (SELECT fold, inner_fold, param_id, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 AS y_pred FROM d JOIN co USING (fold, inner_fold, param_id) WHERE is_test)",
-        f"met AS ({reg('pred', 'fold, inner_fold, param_id')})",
-        "mean AS (SELECT fold, param_id, avg(pearson_score) AS mean FROM met GROUP BY 1, 2)",
+        f"i_x AS (SELECT fold, inner_fold, edge_id, {value.format('value')} AS x, {value.format('y')} AS y FROM i JOIN e USING (sample_id) WHERE NOT is_test)",
+        "i_t AS (SELECT fold, inner_fold, edge_id, count(*) AS n, corr(x, y) AS r FROM i_x GROUP BY 1, 2, 3)",
+        f"i_z AS (SELECT *, {_z('r', 0)} AS z FROM i_t)",
+        _corrected("i_z", "i_s", "fold, inner_fold"),
+        f"g AS (SELECT * FROM (VALUES {z}) g(param_id, z_min, alpha))",
+        f"i_mask AS (SELECT fold, inner_fold, param_id, edge_id, {NETWORK} AS network FROM i_s, g WHERE {enough})",
+        "i_st AS (SELECT m.fold, m.inner_fold, m.param_id, e.sample_id, sum(value) FILTER (network = 'positive') AS pos, sum(value) FILTER (network = 'negative') AS neg FROM i_mask m JOIN e USING (edge_id) GROUP BY 1, 2, 3, 4)",
+        "i_d AS (SELECT i.*, g.param_id, coalesce(pos, 0.0) AS f1, coalesce(neg, 0.0) AS f2 FROM i CROSS JOIN g LEFT JOIN i_st USING (fold, inner_fold, param_id, sample_id))",
+        _gram(["f1", "f2"], "y", "i_d", "fold, inner_fold, param_id", "i_co"),
+        "i_pred AS (SELECT fold, inner_fold, param_id, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 AS y_pred FROM i_d JOIN i_co USING (fold, inner_fold, param_id) WHERE is_test)",
+        f"i_met AS ({reg('i_pred', 'fold, inner_fold, param_id')})",
+        "mean AS (SELECT fold, param_id, avg(pearson_score) AS mean FROM i_met GROUP BY 1, 2)",
+        "best AS (SELECT fold, param_id, mean FROM mean QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC, param_id) = 1)",
     )
 
 
+def _corrected(source: str, name: str, family: str) -> str:
+    """source (z) with p_adjusted after Benjamini and Hochberg."""
+    p = f"least(1.0, {erfc_sql('abs(z) / sqrt(CAST(2 AS DOUBLE))')})"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY p, edge_id) AS i, count(*) OVER (PARTITION BY {family}) AS m FROM (SELECT *, {p} AS p FROM {source})"
+    return f"{name} AS (SELECT *, least(1.0, min(m * p / i) OVER (PARTITION BY {family} ORDER BY p DESC, edge_id DESC)) AS p_adjusted FROM ({ranked}))"
+
+
+def _outer(mask: str, *ctes: str, ranked: bool = False) -> str:
+    """Metrics of the outer folds with the edges of mask."""
+    three = ROLES.replace(f"range({K})", "range(3)")
+    train = (three, TRAIN, *((RANKED,) if ranked else ()), stat(0, "tr" if ranked else "t"), _corrected("st", "st_s", "fold"))
+    both = "allm AS (SELECT fold, model, network, " + ", ".join(METRICS) + " FROM met UNION ALL SELECT fold, 'increment', network, " + ", ".join(METRICS) + " FROM inc)"
+    return _with(*ctes, *train, mask, STRENGTH, residual(), design(), predicted(), MET, INC, both, body=f"SELECT fold, model, network, {ROUNDED} FROM allm")
+
+
 def _statistic(base: str, k: int, ranked: bool = False) -> str:
     ctes = (base, E_, fold(), ROLES, TRAIN) + ((RANKED,) if ranked else ()) + (stat(k, "tr" if ranked else "t"),)
     return _with(*ctes, body=f"SELECT fold, edge_id, n, {r6('r')} AS r, {r6('z')} AS z FROM st")
@@ -258,7 +283,7 @@ def oracles() -> dict[str, str]:
     for method in METHODS:
         o[f"padj_{method.replace('-', '_')}"] = _adjusted(method)
     o["network_strength"] = _with(*BASE, MASK, STRENGTH, body=f"SELECT fold, sample_id, is_test, {r6('pos')} AS pos, {r6('neg')} AS neg FROM rows0")
-    o["residualized_strength"] = _with(*BASE, MASK, STRENGTH, RESIDUAL, body=f"SELECT fold, sample_id, {r6('pos_res')} AS pos_res, {r6('neg_res')} AS neg_res FROM rows1 WHERE is_test")
+    o["residualized_strength"] = _with(*BASE, MASK, STRENGTH, residual(), body=f"SELECT fold, sample_id, {r6('pos_res')} AS pos_res, {r6('neg_res')} AS neg_res FROM rows1 WHERE is_test")
     for model in ("connectome", "covariates", "full", "residuals"):
         o[f"cv_pred_{model}"] = _with(*CHAIN, body=f"SELECT fold, network, sample_id, {r6('y_true')} AS y_true, {r6('y_pred')} AS y_pred FROM pred WHERE model = '{model}'")
     o["cv_metrics_regression"] = _with(*CHAIN, MET, body=f"SELECT fold, model, network, {ROUNDED} FROM met")
@@ -273,16 +298,23 @@ def oracles() -> dict[str, str]:
     pairs = ", ".join(f"{r6(f'avg({m})')} AS {m}__mean, {r6(f'stddev_samp({m})')} AS {m}__std" for m in METRICS)
     o["cv_summary"] = _with(*CHAIN, MET, INC, both, body=f"SELECT model, network, {pairs} FROM allm GROUP BY 1, 2")
     o["edge_stability"] = _with(*BASE, MASK, STAB, body="SELECT * FROM stab")
-    o["stable_edges"] = _with(*BASE, MASK, STAB, body="SELECT edge_id, network, n_selected FROM stab WHERE n_selected >= 4")
-    o["inner_cv_best_param"] = _with(*_nested(), body=f"SELECT fold, param_id, {r6('mean')} AS mean FROM mean QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC, param_id) = 1")
-    prow = f"""pro AS (SELECT tg.run_id, k.fold, sample_id, f.sample_fold = k.fold AS is_test, tg.y FROM tg JOIN f USING (sample_id), (SELECT CAST(unnest(range({K})) AS INTEGER) AS fold) k),
+    o["stable_edges"] = _with(*BASE, MASK, STAB, body="SELECT edge_id, network, n_selected FROM stab WHERE n_selected > 3")
+    o["inner_cv_best_param"] = _with(*_inner(), body=f"SELECT fold, param_id, {r6('mean')} AS mean FROM best")
+    by_z, by_p = (f"mask AS (SELECT fold, edge_id, {NETWORK} AS network FROM st_s JOIN best USING (fold) JOIN g USING (param_id) WHERE {x})" for x in ("abs(z) > z_min", "p_adjusted < alpha AND r <> 0"))
+    o["nested_cv_metrics"] = _outer(by_z, *_inner())
+    o["nested_cv_spearman"] = _outer(by_z, *_inner(ranked=True), ranked=True)
+    o["nested_cv_corrected"] = _outer(by_p, *_inner(correction=True))
+    o["stable_edges_metrics"] = _outer("mask AS (SELECT fold, edge_id, network FROM i_mask WHERE param_id = 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT inner_fold) > 1)", *_inner())
+    prow = f"""pro AS (SELECT tg.run_id, k.fold, sample_id, f.sample_fold = k.fold AS is_test, tg.y, s.c1, s.c2 FROM tg JOIN f USING (sample_id) JOIN s USING (sample_id), (SELECT CAST(unnest(range({K})) AS INTEGER) AS fold) k),
 pss AS (SELECT m.run_id, m.fold, e.sample_id, sum(value) FILTER (network = 'positive') AS pos, sum(value) FILTER (network = 'negative') AS neg FROM pmask m JOIN e USING (edge_id) GROUP BY 1, 2, 3),
-pd0 AS (SELECT pro.*, coalesce(pos, 0.0) AS pos, coalesce(neg, 0.0) AS neg FROM pro LEFT JOIN pss USING (run_id, fold, sample_id)),
-d AS (SELECT run_id, fold, is_test, y, network, CASE WHEN network = 'negative' THEN 0.0 ELSE pos END AS f1, CASE WHEN network = 'positive' THEN 0.0 ELSE neg END AS f2 FROM pd0, (SELECT unnest(['positive', 'negative', 'both']) AS network))"""
-    ppred = _gram(["f1", "f2"], "y", "d", "run_id, fold, network", "co") + ",\npred AS (SELECT run_id, fold, network, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 AS y_pred FROM d JOIN co USING (run_id, fold, network) WHERE is_test)"
-    pmet = f"met AS ({reg('pred', 'run_id, fold, network')}),\nmm AS (SELECT run_id, network, avg(pearson_score) AS r, avg(mean_squared_error) AS e FROM met GROUP BY 1, 2)"
-    one = "(1 + count(*) FILTER ({})) / CAST({} AS DOUBLE)"
-    o["perm_pvalues"] = _with(*PBASE, prow, ppred, pmet, body=f"SELECT 'connectome' AS model, n.network, {r6(one.format('n.r > t.r', RUNS + 1))} AS pearson_score__mean, {r6(one.format('n.e < t.e', RUNS + 1))} AS mean_squared_error__mean FROM mm n JOIN mm t ON n.network = t.network AND n.run_id > 0 AND t.run_id = 0 GROUP BY n.network")
+rows0 AS (SELECT pro.*, coalesce(pos, 0.0) AS pos, coalesce(neg, 0.0) AS neg FROM pro LEFT JOIN pss USING (run_id, fold, sample_id))"""
+    by = "run_id, fold, network"
+    more = ", ".join(f"a.{m} - b.{m} AS {m}" for m in METRICS)
+    pmet = f"""met AS ({reg('pred', 'run_id, fold, model, network')}),
+allm AS (SELECT {by}, model, {', '.join(METRICS)} FROM met UNION ALL SELECT {by}, 'increment', {more} FROM met a JOIN met b USING ({by}) WHERE a.model = 'full' AND b.model = 'covariates'),
+mm AS (SELECT run_id, model, network, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM allm GROUP BY 1, 2, 3)"""
+    better = ", ".join(r6(f"(1 + count(*) FILTER (n.{m} {'<' if m.endswith('error') else '>'} t.{m})) / CAST({RUNS + 1} AS DOUBLE)") + f" AS {m}__mean" for m in METRICS)
+    o["perm_pvalues"] = _with(*PBASE, prow, residual("run_id, fold"), design("run_id, fold"), predicted("run_id, fold"), pmet, body=f"SELECT n.model, n.network, {better} FROM mm n JOIN mm t ON n.network = t.network AND n.model = t.model AND n.run_id > 0 AND t.run_id = 0 GROUP BY 1, 2")
     o["edge_components"] = _rec(*PBASE, KEPT, comp("kept", "run_id, network"), body="SELECT run_id, network, node, component FROM comp")
     extent, intensity = nbs("1.0"), nbs("stability - CAST(0.5 AS DOUBLE)")
     o["nbs_extent_edges"] = _rec(*extent, body=f"SELECT network, node_i, node_j, {r6('p_value')} AS p_value FROM named JOIN found USING (network, component) WHERE run_id = 0")
@@ -293,13 +325,13 @@ d AS (SELECT run_id, fold, is_test, y, network, CASE WHEN network = 'negative' T
     o["tfce_scores"] = _rec(*TFALL, body=f"SELECT run_id, network, node_i, node_j, {r6('score')} AS score FROM sc")
     tnull = NULLS.replace("max(statistic)", "max(score)").replace("LEFT JOIN sz", "LEFT JOIN sc")
     o["tfce_pvalues"] = _rec(*TFALL, tnull, body=f"SELECT network, node_i, node_j, {r6('score')} AS score, {r6(f'(1 + (SELECT count(*) FROM nul WHERE nul.network = sc.network AND top >= score - 1e-12)) / CAST({RUNS + 1} AS DOUBLE)')} AS p_value FROM sc WHERE run_id = 0")
-    observed = (*BASE, MASK, STAB, DIM, OBS)
+    observed = (*extent, OBS)
     signed = "sg AS (SELECT node_i, node_j, sum(CASE WHEN network = 'positive' THEN stability ELSE -stability END) AS signed FROM obs GROUP BY 1, 2)"
-    o["report_edge_table"] = _with(*observed, body=f"SELECT 'R' || node_j AS region_a, 'R' || node_i AS region_b, {r6('stability', 5)} AS stability, {r6('p_value', 5)} AS p_value FROM obs")
-    o["report_signed_stability"] = _with(*observed, signed, body=f"SELECT node_i, node_j, {r6('signed')} AS signed FROM sg")
-    o["report_shown_edges"] = _with(*observed, body="SELECT edge_id, network FROM obs QUALIFY p_value < 0.05 OR NOT bool_or(p_value < 0.05) OVER (PARTITION BY network)")
-    o["report_group_summary"] = _with(*observed, signed, body=f"SELECT 'N' || least(node_i % 3, node_j % 3) AS group_a, 'N' || greatest(node_i % 3, node_j % 3) AS group_b, {r6('avg(signed)')} AS mean, count(*) AS n FROM sg GROUP BY 1, 2")
-    o["report_node_degrees"] = _with(*observed, body="SELECT node, count(*) FILTER (network = 'positive') AS n_positive, count(*) FILTER (network = 'negative') AS n_negative, count(*) AS total FROM (SELECT network, unnest([node_i, node_j]) AS node FROM obs) GROUP BY 1 ORDER BY total DESC, node DESC LIMIT 5")
+    o["report_edge_table"] = _rec(*observed, body=f"SELECT 'R' || node_j AS region_a, 'R' || node_i AS region_b, {r6('stability', 5)} AS stability, {r6('p_value', 5)} AS p_value FROM obs")
+    o["report_signed_stability"] = _rec(*observed, signed, body=f"SELECT node_i, node_j, {r6('signed')} AS signed FROM sg")
+    o["report_shown_edges"] = _rec(*observed, body="SELECT edge_id, network FROM obs QUALIFY p_value < 0.05 OR NOT bool_or(p_value < 0.05) OVER (PARTITION BY network)")
+    o["report_group_summary"] = _rec(*observed, signed, body=f"SELECT 'N' || least(node_i % 3, node_j % 3) AS group_a, 'N' || greatest(node_i % 3, node_j % 3) AS group_b, {r6('avg(signed)')} AS mean, count(*) AS n FROM sg GROUP BY 1, 2")
+    o["report_node_degrees"] = _rec(*observed, body="SELECT node, count(*) FILTER (network = 'positive') AS n_positive, count(*) FILTER (network = 'negative') AS n_negative, count(*) AS total FROM (SELECT network, unnest([node_i, node_j]) AS node FROM obs) GROUP BY 1 ORDER BY total DESC, node DESC LIMIT 5")
     o["report_matrix_order"] = 'WITH n AS (SELECT CAST(n_nationkey AS INTEGER) AS node_id, CAST(n_regionkey AS VARCHAR) AS g FROM nation) SELECT node_id, g AS "group", CAST(row_number() OVER (ORDER BY g, node_id) - 1 AS INTEGER) AS place, coalesce(lag(g) OVER (ORDER BY g, node_id) <> g, true) AS starts_block FROM n'
     long = "lm AS (" + " UNION ALL ".join(f"SELECT fold, model, network, '{m}' AS metric, {m} AS value FROM met" for m in METRICS) + ")"
     o["report_metrics_melt"] = _with(*CHAIN, MET, long, body=f"SELECT fold, model, network, metric, {r6('value')} AS value FROM lm")
@@ -310,7 +342,7 @@ d AS (SELECT run_id, fold, is_test, y, network, CASE WHEN network = 'negative' T
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     o["report_pair_correlations"] = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS r FROM lineitem" for i, a in enumerate(names) for b in names[i + 1 :])
     place = "list_position(['covariates', 'connectome', 'full', 'residuals'], model) * 10 + list_position(['positive', 'negative', 'both'], network)"
-    p = "round(abs(avg(pearson_score)) / 10, 6)"
+    p = f"round(least(1.0, {erfc_sql('abs(' + _z('avg(pearson_score)', 0).replace('(n - ', '((SELECT count(*) FROM s) - ') + ') / sqrt(CAST(2 AS DOUBLE))')}), 6)"
     star = f"CASE WHEN {p} < 0.001 THEN '<0.001**' WHEN {p} < 0.01 THEN printf('%.3f', {p}) || '**' WHEN {p} < 0.05 THEN printf('%.3f', {p}) || '*' ELSE printf('%.3f', {p}) END"
     o["report_apa"] = _with(*CHAIN, MET, body=f"SELECT CAST({place} AS BIGINT) AS position, model, network, printf('%.3f [%.3f]', avg(mean_absolute_error), stddev_samp(mean_absolute_error)) AS mae, {star} AS p FROM met GROUP BY model, network")
     r2 = "m AS (SELECT edge_id, corr(value, y) AS xy, corr(value, c1) AS xc, corr(y, c1) AS yc FROM e JOIN s USING (sample_id) GROUP BY 1)"

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import clean
+from ..functions.stats import clean, p_of, z_of
 from ..operators import adjust, graph, models, nonlinear, prepare, report, results, scoring, splits
 from ..operators import edges as E
 from ..operators.logistic import logistic_predictions
@@ -44,7 +44,7 @@ def _samples(subjects: DataFrame, **more) -> DataFrame:
 
 
 def _mask(subjects: DataFrame, samples: DataFrame, method: str = "pearson") -> DataFrame:
-    return E.selected(E.edge_statistic(method, long_edges(subjects), samples, COV), 0.05)
+    return E.selected(E.edge_statistic(method, long_edges(subjects), samples, COV, subjects), 0.05)
 
 
 def _rows(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
@@ -197,8 +197,7 @@ def edge_pearson_blocked(spark, sf_dir):
     """The same as edge_pearson, by matrix products within tasks."""
     s = embedding_subjects(spark, sf_dir)
     samples = _samples(s)
-    moments = E.test_moments_blocked(s.select("sample_id", "x").join(samples.select("sample_id", "sample_fold"), "sample_id"), samples.select("sample_id", F.array("y").alias("ys")), [])
-    out = E.statistics(E.train_moments(moments), [])
+    out = E.edge_statistic("pearson", long_edges(s), samples, subjects=s)
     return _clean(out.select("fold", "edge_id", "n", "r", "z"), "r", "z")
 
 
@@ -338,7 +337,7 @@ def edge_stability(spark, sf_dir):
 @query
 def stable_edges(spark, sf_dir):
     s = embedding_subjects(spark, sf_dir)
-    return results.stable_edges(results.stability(_mask(s, _samples(s)), K), 0.8, K).select("edge_id", "network", "n_selected")
+    return results.stable_edges(results.stability(_mask(s, _samples(s)), K), 0.6, K).select("edge_id", "network", "n_selected")
 
 
 _NESTED = Settings(folds=3, inner_folds=3, alphas=(0.05, 0.01))
@@ -357,6 +356,18 @@ def nested_cv_metrics(spark, sf_dir):
     return _clean(analysis.run(embedding_subjects(spark, sf_dir), _NESTED)["metrics"].drop("run_id"), *scoring.REGRESSION)
 
 
+def _nested(name: str, **more) -> None:
+    def of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Settings(**{"folds": 3, "inner_folds": 3, "alphas": (0.05, 0.01), **more})
+        return _clean(analysis.run(embedding_subjects(spark, sf_dir), s)["metrics"].drop("run_id"), *scoring.REGRESSION)
+
+    QUERIES[name] = of
+
+
+_nested("nested_cv_spearman", method="spearman")
+_nested("nested_cv_corrected", correction="fdr_bh")
+
+
 @query
 def stable_edges_metrics(spark, sf_dir):
     """Metrics where edges are those that most inner folds select."""
@@ -384,10 +395,9 @@ def perm_pvalues(spark, sf_dir):
     set_ = Settings(folds=K, permutations=PERMUTATIONS)
     samples = materialized(analysis.folded(s, set_))
     rows = analysis.design_rows(s, samples, _mask(s, samples), set_)
-    design = models.design(rows, COV).where("model = 'connectome'")
-    metrics = scoring.regression_metrics(models.linear_predictions(design))
-    p = results.permutation_p(results.summary(metrics), ["pearson_score__mean", "mean_squared_error__mean"])
-    return _clean(p, "pearson_score__mean", "mean_squared_error__mean")
+    metrics = results.with_increment(scoring.regression_metrics(models.linear_predictions(models.design(rows, COV))))
+    names = [f"{m}__mean" for m in scoring.REGRESSION]
+    return _clean(results.permutation_p(results.summary(metrics), names), *names)
 
 
 @query
@@ -430,8 +440,11 @@ def _groups(spark: SparkSession) -> DataFrame:
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = embedding_subjects(spark, sf_dir)
-    return results.stability(_mask(s, _samples(s)), K).drop("run_id").join(F.broadcast(edge_dim(spark, 11)), "edge_id").withColumn("p_value", F.round(1.0 - F.col("stability") * 0.96, 6))
+    """The observed run's edges with their p-values: those of the network-based statistic, 1 where it has none."""
+    stability, runs = _permuted_stability(spark, sf_dir)
+    edges, _, _ = graph.nbs(stability, runs, 0.5, K)
+    seen = stability.where("run_id = 0").drop("run_id").join(edges, ["network", "node_i", "node_j"], "left")
+    return seen.withColumn("p_value", F.round(F.coalesce("p_value", F.lit(1.0)), 6))
 
 
 @query
@@ -500,9 +513,11 @@ def report_pair_correlations(spark, sf_dir):
 
 @query
 def report_apa(spark, sf_dir):
-    """Mean and deviation as text, with the strength of a p-value, in display order."""
+    """Mean and deviation as text, with the p-value of the mean correlation, in display order."""
     summary = results.summary(scoring.regression_metrics(_predictions(spark, sf_dir))).drop("run_id")
-    p = F.round(F.abs("pearson_score__mean") / 10.0, 6)
+    n = embedding_subjects(spark, sf_dir).agg(F.count("*").alias("n"))
+    summary = summary.crossJoin(F.broadcast(n))
+    p = F.round(p_of(z_of(F.col("pearson_score__mean"), F.col("n"))), 6)
     rows = report.in_order(summary).select("position", "model", "network", report.apa(F.col("mean_absolute_error__mean"), F.col("mean_absolute_error__std")).alias("mae"), report.apa_p(p).alias("p"))
     return rows
 

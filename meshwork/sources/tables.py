@@ -22,7 +22,7 @@ def materialized(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="meshwork-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = str(PurePosixPath(uuid.uuid4().hex)) if not root else f"{root.rstrip('/')}/meshwork/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/meshwork/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = "edge_pearson edge_pearson_blocked edge_spearman_partial edge_partial_2cov edge_select_grid padj_holm_sidak padj_hommel cv_pred_full cv_summary stable_edges inner_cv_best_param perm_pvalues nbs_intensity_components tfce_pvalues metrics_classification stratified_kfold permuted_targets report_shown_edges report_metrics_box confound_r2s".split()
+NAMES = "edge_pearson edge_pearson_blocked edge_spearman_partial edge_partial_2cov edge_select_grid padj_holm_sidak padj_hommel cv_pred_full cv_summary stable_edges inner_cv_best_param perm_pvalues nbs_intensity_components tfce_pvalues metrics_classification stratified_kfold permuted_targets report_shown_edges report_metrics_box report_apa confound_r2s nested_cv_metrics nested_cv_spearman nested_cv_corrected stable_edges_metrics roc_auc_midrank".split()
 
 
 def same(v):
