@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,11 +15,11 @@ from . import textkit as tk
 from .shared import components, drop, written
 
 
-MORE = 8
+FIRST, MORE, SIEVE = 1, 32, 1 << 22
 
 
 def comparing(sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int):
-    """For mapInArrow: (p, x, text_p, text_x) to (p, x, both, np, nx, more, less): sizes of the sets and of their intersection, and, where the
+    """For mapInArrow: (p, x, open, text_p, text_x) to (p, x, open, both, np, nx, more, less): sizes of the sets and of their intersection, and, where the
     two may belong to one family, what x has more and less than p."""
     least = 3 * percent - 200
 
@@ -26,97 +27,131 @@ def comparing(sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent
         for batch in batches:
             for part in tk.chunks(batch, "text_p"):
                 (a, fa), (b, fb) = sets(part.column("text_p")), sets(part.column("text_x"))
-                sizes, more, less = [], [], []
-                for i in range(part.num_rows):
-                    p, x = a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]]
-                    both = len(np.intersect1d(p, x, True))
-                    sizes.append((both, len(p), len(x)))
-                    near = both and 100 * both >= least * (len(p) + len(x) - both)
-                    more.append(np.setdiff1d(x, p, True) if near else p[:0])
-                    less.append(np.setdiff1d(p, x, True) if near else p[:0])
-                ends = lambda parts: np.concatenate(([0], np.cumsum([len(v) for v in parts]))).astype(np.int64)
-                columns = [tk.lists(np.concatenate(v), ends(v)) for v in (more, less)]
-                yield pa.RecordBatch.from_arrays([part.column("p"), part.column("x"), *[pa.array(v, pa.int32()) for v in zip(*sizes, strict=True)], *columns], ["p", "x", "both", "np", "nx", "more", "less"])
+                na, nb = np.diff(fa), np.diff(fb)
+                both, more, less = np.zeros(len(na), np.int64), [], []
+                for rows, x, y in tk.padded_pairs(a, fa, b, fb):
+                    # the real values of both come first in each row, in order; the same value twice in a row is in both sets
+                    order = np.argsort(np.concatenate((x, y), 1), axis=1, kind="stable")
+                    value, of_x = np.take_along_axis(np.concatenate((x, y), 1), order, 1), order >= x.shape[1]
+                    real = np.arange(value.shape[1]) < (na[rows] + nb[rows])[:, None]
+                    same = (value[:, 1:] == value[:, :-1]) & real[:, 1:]
+                    both[rows] = same.sum(1)
+                    near = (both[rows] > 0) & (100 * both[rows] >= least * (na[rows] + nb[rows] - both[rows]))
+                    own = real & near[:, None]
+                    own[:, 1:] &= ~same
+                    own[:, :-1] &= ~same
+                    for out, which in ((more, own & of_x), (less, own & ~of_x)):
+                        out.append((rows, which.sum(1), value[which]))
+                columns = [tk.gathered(parts, len(na)) for parts in (more, less)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("p", "x", "open")], *[pa.array(v, pa.int32()) for v in (both, na, nb)], *columns], ["p", "x", "open", "both", "np", "nx", "more", "less"])
 
     return of
 
 
 def compared(pairs: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
-    """comparing() of pairs (p, x) of ids; texts has id and text.  Both joins read one shuffle of the texts."""
+    """comparing() of pairs (p, x, open) of ids; texts has id and text.  Both joins read one shuffle of the texts."""
     kind = pairs.schema["p"].dataType.simpleString()
-    one = pairs.join(texts.alias("a"), F.col("p") == F.col("a.id")).select("p", "x", F.col("a.text").alias("text_p"))
-    two = one.join(texts.alias("b"), F.col("x") == F.col("b.id")).select("p", "x", "text_p", F.col("b.text").alias("text_x"))
-    return two.mapInArrow(comparing(sets, percent), f"p {kind}, x {kind}, both int, np int, nx int, more array<long>, less array<long>")
+    one = pairs.join(texts.alias("a"), F.col("p") == F.col("a.id")).select("p", "x", "open", F.col("a.text").alias("text_p"))
+    two = one.join(texts.alias("b"), F.col("x") == F.col("b.id")).select("p", "x", "open", "text_p", F.col("b.text").alias("text_x"))
+    return two.mapInArrow(comparing(sets, percent), f"p {kind}, x {kind}, open boolean, both int, np int, nx int, more array<long>, less array<long>")
 
 
 def _similar(both: Column, sizes: Column, percent: int) -> Column:
     return 100 * both >= percent * (sizes - both)
 
 
-def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets, percent: int) -> DataFrame:
-    """(id, component) of every node that has a link; members has a row (key, id) for each bucket of each node,
+def sieve(keys: Column, rows: DataFrame) -> np.ndarray:
+    """SIEVE bits of which those of the rows' keys are set.  Its size is fixed; it only spares work: the more keys there are, the more others pass."""
+    slot = keys.bitwiseAND(SIEVE - 1)
+    bit = F.expr("shiftleft(1L, cast(slot & 31 as int))")
+    words = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(SIEVE >> 5, np.uint32)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys & tk.U(SIEVE - 1)).astype(np.int64)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
+def _sifted(bits):
+    """For mapInArrow: (id, bands) to a row (key, id) of each band that passes."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            keys = bands.flatten().to_numpy().view(tk.U)
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(bands), 0).to_numpy())
+            some = passes(bits.value, keys)
+            yield pa.RecordBatch.from_arrays([tk.signed(keys[some]), batch.column("id").take(pa.array(row[some]))], ["key", "id"])
+
+    return of
+
+
+def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets, percent: int) -> DataFrame:
+    """(id, component) of every node that has a link; nodes has id and bands, the keys of its buckets (rows may repeat),
     texts_of makes (id, text) of ids, and sets the sets of texts.
 
     In each round each bucket's nodes are compared with some of them, its pivots: those that meet most others in all
-    buckets; among copies of one original that is the original.  The first round has one pivot, and a further one MORE
+    buckets; among copies of one original that is the original.  The first round has FIRST pivots, and a further one MORE
     times as many as the one before, of what is left.  As Jaccard distance is a metric, with t = 1 - percent
     a node within 2t of the pivot can only be linked with nodes within 3t of it; those links are found from what each has more and less than the pivot (see
     _within), and the node is settled, as are pivots.  The others go to the next round; a bucket ends when they are connected.
     So every link within a bucket is found.
     """
+    kind = nodes.schema["id"].dataType.simpleString()
+    nodes = nodes.select("id", "bands")
     # written, so that the join reads it by a shuffle of its own and Spark can split a large bucket's rows
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("c")).where("a <> z").select("key", "c")
-    buckets = written(buckets)
-    shared = members.select("key", "id").join(buckets, "key").distinct()
-    weights = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    left = written(shared.drop("c").join(weights, "id"))
+    buckets = written(nodes.select(F.explode("bands").alias("key"), "id").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key"))
+    bits = nodes.sparkSession.sparkContext.broadcast(sieve(F.col("key"), buckets))
+    shared = written(nodes.mapInArrow(_sifted(bits), f"key long, id {kind}").join(buckets, "key").distinct())
+    bits.destroy()
+    sizes = shared.groupBy("key").agg(F.count("*").alias("c"))
+    weights = shared.join(sizes, "key").groupBy("id").agg(F.sum("c").alias("w"))
+    left = written(shared.join(weights, "id"))
+    drop(shared, buckets)
     texts = written(texts_of(left.select("id").distinct()))
-    links, label, many = None, None, 1
+    label, many = None, FIRST
     while True:
-        if many == 1:
-            pivots = left.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("p"), F.lit(1).alias("i"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), F.desc("id")))
-            pivots = left.select("key", F.col("id").alias("p"), rank.alias("i")).where(F.col("i") <= many)
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), F.desc("id")))
+        pivots = written(left.select("key", F.col("id").alias("p"), rank.alias("i")).where(F.col("i") <= many))
         rest = left.join(pivots.select("key", F.col("p").alias("id"), F.col("i").alias("own")), ["key", "id"], "left")
         # of two pivots the first is the second's
         led = rest.join(pivots, "key").where("own is null or own > i").select("key", "id", "w", "p", F.col("own").isNotNull().alias("done"))
-        tried = written(compared(led.select("p", F.col("id").alias("x")).distinct(), texts, sets, percent))
-        links, label = _added(links, label, tried.where(_similar(F.col("both"), F.col("np") + F.col("nx"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
-        if (more := _within(tried, label, percent)) is not None:
-            links, label = _added(links, label, more)
+        open_ = led.where("not done").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", F.lit(True).alias("open"))
+        # pairs of buckets in which nodes are left that aren't compared with each other
+        pairs = led.join(open_, "key", "left").groupBy("p", F.col("id").alias("x")).agg(F.max(F.coalesce("open", F.lit(False))).alias("open"))
+        tried = written(compared(pairs, texts, sets, percent))
+        label = _added(label, tried.where(_similar(F.col("both"), F.col("np") + F.col("nx"), percent)).select(F.col("p").alias("a"), F.col("x").alias("b")))
+        label = _within(tried.where("open"), label, percent)
         near = tried.select("p", F.col("x").alias("id"), _similar(F.col("both"), F.col("np") + F.col("nx"), 2 * percent - 100).alias("settled"))
         rest = led.where("not done").join(near, ["p", "id"]).groupBy("key", "id", "w").agg(F.max("settled").alias("settled")).where("not settled").drop("settled")
         named = rest.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
         open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         next_ = written(rest.join(open_, "key"))
-        drop(left, tried)
+        drop(left, tried, pivots)
         left, many = next_, many * MORE
         if not left.take(1):
-            drop(left, links, texts)
+            drop(left, texts)
             return label
 
 
-def _added(links: DataFrame | None, label: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links with some more, and their components; both as they were if there are none."""
-    more = written(more)
-    if links is None:
-        return more, written(components(more))
-    if not more.take(1):
-        drop(more)
-        return links, label
-    both = written(links.union(more))
-    new = written(components(both))
-    drop(links, label, more)
-    return both, new
+def _added(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of label (id, component; None at first) and links (a, b) together: label's stars stand for the links it was made from."""
+    new = components(links if label is None else links.union(label.toDF("a", "b")))
+    drop(label)
+    return new
 
 
-def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
-    """(a, b): links between nodes that were compared with one pivot, of different components; one of the two is
-    within 2t of the pivot.  None if no pivot's nodes have several components.
+def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """label with the links between nodes that were compared with one pivot and are in different components; one of the two is
+    within 2t of the pivot.
 
     What most of a pivot's nodes have and it has not is counted as the pivot's, too.  Two nodes that share nothing beyond that can only be
-    linked if each has enough of it; two others are found by what they share.  Sizes of intersections follow from what the nodes have more and less.
+    linked if each has enough of it.  Two others have to share so much of what they have more that it's enough to look at the rarest
+    of it (a prefix in the order of how many of the family have it).  Sizes of intersections follow from what the nodes have more and less.
+    First all of a family are compared with the node that has most of the pivot: that joins most of those that are linked with each other anyway.
     """
     near = tried.where(F.size("more") + F.size("less") > 0)
     c = label.select(F.col("id").alias("x"), F.col("component").alias("c"))
@@ -127,22 +162,53 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame | Non
     several = written(several)
     if not several.take(1):
         drop(several)
-        return None
+        return label
     near = near.join(several, "p")
-    usual = near.select("p", "f", F.explode("more").alias("t")).groupBy("p", "f", "t").agg(F.count("*").alias("m")).where("2 * m > f").groupBy("p").agg(F.collect_list("t").alias("usual"))
+    counts = written(near.select("p", "f", F.explode("more").alias("t")).groupBy("p", "f", "t").agg(F.count("*").alias("often")).where("often > 1"))
+    usual = counts.where("2 * often > f").groupBy("p").agg(F.collect_list("t").alias("usual"))
     near = near.join(usual, "p", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
     far = F.array_except("more", "usual")
     family = written(
         near.select("p", "x", "c", "nx", far.alias("more"), F.array_union("less", F.array_except("usual", "more")).alias("less"), (F.col("both") + F.size("more") - F.size(far)).alias("m"), (F.col("np") + F.size("usual")).alias("q"), "close")
     )
+    top = family.where("close").groupBy("p").agg(F.max_by("x", F.struct(2 * F.col("m") - F.col("nx"), "x")).alias("x"))
+    top = written(family.join(top, ["p", "x"]).select("p", F.col("c").alias("cx"), "x", "nx", F.col("more").alias("more_x"), F.col("less").alias("less_x")))
+    star = written(_verified(_renamed(family).join(top, "p").where("cx <> cy"), percent))
+    label, before = _added(label, star), family
+    c = label.select(F.col("id").alias("x"), F.col("component").alias("now"))
+    family = before.join(c, "x", "left").withColumn("c", F.coalesce("now", "c")).drop("now")
+    apart_still = family.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p")
+    family = written(family.join(apart_still, "p"))
     x = family.where("close").select("p", "x", F.col("c").alias("cx"), F.col("nx"), F.col("m").alias("mx"), F.col("more").alias("more_x"), F.col("less").alias("less_x"))
-    y = family.select("p", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("more").alias("more_y"), F.col("less").alias("less_y"), "q")
+    y = _renamed(family)
     apart = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    enough = f"{100 + percent} * (shared + least(mx, my)) >= {percent} * (nx + ny)"
-    by_token = x.select("p", "x", "cx", "nx", "mx", F.explode("more_x").alias("t")).join(y.select("p", "y", "cy", "ny", "my", F.explode("more_y").alias("t")), ["p", "t"]).where(apart)
-    by_token = by_token.groupBy("p", "x", "y", "mx", "my", "nx", "ny").agg(F.count("*").alias("shared")).where(enough).select("p", "x", "y")
+    # of its `more`, a node has to share percent of its size less what it has of the pivot, at least
+    share = F.greatest(F.lit(1), F.ceil(F.expr(f"{percent} * nx / 100 - m")).cast("int"))
+    often = counts.where("2 * often <= f").drop("f")
+    tokens = family.select("p", "x", F.explode("more").alias("t"), (F.size("more") - share + 1).alias("first")).join(often, ["p", "t"], "left")
+    rarest = tokens.groupBy("p", "x", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("all"))
+    # left: how many are still to come, this one included; the first one that two nodes share leaves enough of them for both
+    some = rarest.select("p", "x", F.size("all").alias("of"), F.posexplode(F.slice("all", 1, F.greatest("first", F.lit(0)))).alias("i", "one")).where("one.often > 1")
+    some = some.select("p", "x", F.col("one.t").alias("t"), (F.col("of") - F.col("i")).alias("left"))
+    some = written(some.join(family.select("p", "x", "c", "nx", "m", "close"), ["p", "x"]))
+    of_x = some.where("close").select("p", "t", "x", F.col("c").alias("cx"), "nx", F.col("m").alias("mx"), F.col("left").alias("lx"))
+    of_y = some.select("p", "t", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("left").alias("ly"))
+    enough = f"{100 + percent} * (least(lx, ly) + least(mx, my)) >= {percent} * (nx + ny)"
+    by_token = of_x.join(of_y, ["p", "t"]).where(f"{apart} and {enough}").select("p", "x", "y")
     full = lambda df, m, n: df.where(f"100 * {m} >= {percent} * {n}")
     by_size = full(x, "mx", "nx").select("p", "x", "cx", "nx", "mx").join(full(y, "my", "ny").select("p", "y", "cy", "ny", "my"), "p").where(f"{apart} and {100 + percent} * least(mx, my) >= {percent} * (nx + ny)").select("p", "x", "y")
     pairs = by_token.union(by_size).distinct().join(x, ["p", "x"]).join(y, ["p", "y"])
+    links = written(_verified(pairs, percent))
+    label = _added(label, links)
+    drop(several, counts, top, star, before, family, some, links)
+    return label
+
+
+def _renamed(family: DataFrame) -> DataFrame:
+    return family.select("p", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("more").alias("more_y"), F.col("less").alias("less_y"), "q")
+
+
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs of a family that are similar enough."""
     both = F.size(F.array_intersect("more_x", "more_y")) + F.col("q") - F.size(F.array_union("less_x", "less_y"))
-    return pairs.where(_similar(both, F.col("nx") + F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return pairs.where(_similar(both, F.col("nx") + F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))

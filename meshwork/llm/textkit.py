@@ -155,11 +155,55 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, np.concatenate(([0], np.cumsum(size)))
 
 
+def _classes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows of about one size, and the largest of it: sizes of a power of two at most, and more than half of that."""
+    power = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    for k in np.unique(power).tolist():
+        rows = np.flatnonzero(power == k)
+        step = max(1, (1 << 21) >> k)
+        for i in range(0, len(rows), step):
+            yield rows[i : i + step], int(size[rows[i : i + step]].max())
+
+
+def _padded(values: np.ndarray, first: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The rows' values as a matrix; what is beyond a row's end is the greatest number."""
+    n = (first[1:] - first[:-1])[rows]
+    real = np.arange(width) < n[:, None]
+    out = np.full(real.shape, ~U(0))
+    out[real] = values[np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)]
+    return out
+
+
+def padded_pairs(a: np.ndarray, fa: np.ndarray, b: np.ndarray, fb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, and their values in a and b as matrices."""
+    na, nb = np.diff(fa), np.diff(fb)
+    for rows, _ in _classes(na + nb):
+        yield rows, _padded(a, fa, rows, int(na[rows].max())), _padded(b, fb, rows, int(nb[rows].max()))
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """Lists of n rows, of parts (rows, their sizes, their values one after another)."""
+    size = np.zeros(n, np.int64)
+    for rows, each, _ in parts:
+        size[rows] = each
+    first = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(first[-1], U)
+    for rows, each, values in parts:
+        out[np.arange(each.sum()) + np.repeat(first[rows] - (np.cumsum(each) - each), each)] = values
+    return lists(out, first)
+
+
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's values once, in order."""
-    parts = [np.unique(values[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else values[:0]), np.concatenate(([0], np.cumsum(size)))
+    parts = []
+    for rows, width in _classes(np.diff(first)):
+        x = _padded(values, first, rows, width)
+        x.sort(axis=1)
+        new = np.arange(width) < (first[1:] - first[:-1])[rows][:, None]
+        new[:, 1:] &= x[:, 1:] != x[:, :-1]
+        parts.append((rows, new.sum(1), x[new]))
+    out = gathered(parts, len(first) - 1)
+    return out.values.to_numpy().view(U), out.offsets.to_numpy().astype(np.int64)
 
 
 def fast_sketch(values: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
