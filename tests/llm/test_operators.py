@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import textwrap
@@ -223,11 +224,12 @@ def test_lattice_is_the_sum_over_segmentations():
         want = math.log(sum(math.exp(sum(p[x] for x in s)) for s in segmentations(word, set(pieces))))
         codes = np.frombuffer(word, np.uint8)[None]
         assert lattice.forward(codes, lattice.edges(codes))[0, -1] == pytest.approx(want)
-        assert lattice.long_score(word) == pytest.approx(want)
-        total = np.zeros(len(pieces))
-        lattice.counted(codes, np.ones(1), total)
+        assert lattice.long_score(word)[-1] == pytest.approx(want)
+        total, long_total = np.zeros(len(pieces)), np.zeros(len(pieces))
+        assert lattice.counted(codes, total) == pytest.approx(want) == lattice.long_counted(word, long_total)
         ways = [(math.exp(sum(p[x] for x in s) - want), s) for s in segmentations(word, set(pieces))]
         assert total == pytest.approx([sum(w * s.count(x) for w, s in ways) for x in pieces])
+        assert long_total == pytest.approx(total)
 
 
 def test_lattice_scores(docs, rows, empty):
@@ -239,14 +241,81 @@ def test_lattice_scores(docs, rows, empty):
     n, v = sum(count.values()) + ends, len(count) + 1
     base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     want = sorted([(d, held(d), len(spaced(t)) + 1, sum(count[w] > 0 for w in spaced(lower(t))) + 1, n, round(sum(base(count[w]) for w in spaced(lower(t))) + base(ends), 6)) for d, t in rows], key=key)
-    out = {}
+    scores = brute_scores([(held(d), g, spaced(lower(t))) for (d, t), g in zip(rows, ["en"] * len(rows), strict=True)])
     for most in (1 << 18, 10):
-        got = lattice_lm.scored_texts(docs, most_frequent=most, rounds=1).collect()
+        got = lattice_lm.scored_texts(docs, most_frequent=most).collect()
         assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=key) == want
+        by_row = sorted([(d, round(x, 5)) for (d, t), x in zip(rows, scores, strict=True) if x is not None], key=key)
+        long = {t for _, t in rows if t and "xxx" in t}
+        assert sorted([(r.doc_id, round(r.score, 5)) for r in got if all(rows[i][1] not in long for i in range(len(rows)) if rows[i][0] == r.doc_id)], key=key) == by_row
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-        out[most] = sorted(((r.doc_id, round(r.score, 6)) for r in got), key=key)
-    assert out[10] == out[1 << 18]
-    assert lattice_lm.scored_texts(empty, rounds=1).count() == 0
+    assert lattice_lm.scored_texts(empty).count() == 0
+
+
+def brute_scores(rows, own=lattice_lm.OWN):
+    """Of (held_out, class, words), each text's log10 probability, from all segmentations of each word; None with a word of over 20 bytes."""
+    pieces, weight = lattice_lm.pieces_of(lattice_lm.VOCABULARY)
+    known = {p: i for i, p in enumerate(pieces)}
+    ways = lambda w: [[known[x] for x in s] for s in segmentations(b" " + w.encode(), known)]
+    classes = sorted({g for h, g, _ in rows if not h})
+    counts = {g: Counter(w for h, c, ws in rows if not h and c == g for w in ws) for g in classes}
+    docs = {g: sum(not h and c == g for h, c, _ in rows) for g in classes}
+    sizes = {g: sum(counts[g].values()) + docs[g] for g in classes}
+    count, n = sum(counts.values(), Counter()), sum(sizes.values())
+    new = min(max(sum(c == 1 for c in count.values()) / n, 1 / (n + 2)), (n + 1) / (n + 2))
+    segmented = {w: ways(w) for w in {w for _, _, ws in rows for w in ws} if len(w.encode()) <= 20}
+    long = {w for _, _, ws in rows for w in ws} - set(segmented)
+    logs, stop = lattice_lm._logs(pieces, weight, 0.5 * weight.sum())
+    before = -math.inf
+    while True:
+        weight, now = np.full(len(pieces), 0.1), len(count) * stop
+        for w in count:
+            if w in long:
+                now += lattice_lm.Lattice(pieces, logs).long_counted(b" " + w.encode(), weight)
+                continue
+            each = [math.exp(sum(logs[i] for i in s)) for s in segmented[w]]
+            now += math.log(sum(each))
+            for e, s in zip(each, segmented[w], strict=True):
+                for i in s:
+                    weight[i] += e / sum(each)
+        logs, stop = lattice_lm._logs(pieces, weight, len(count))
+        if now - before < -lattice_lm.TOLERANCE * now:
+            break
+        before = now
+    tail = {w: new * sum(math.exp(sum(logs[i] for i in s) + stop) for s in x) for w, x in segmented.items()}
+    share = lambda g, c, c_all: (1 - new) * (own * c / sizes[g] + (1 - own) * c_all / n)
+    out = []
+    for _, _, ws in rows:
+        if any(w in long for w in ws):
+            out.append(None)
+            continue
+        each = [math.log(docs[g] / sum(docs.values())) + math.log(share(g, docs[g], sum(docs.values()))) + sum(math.log(share(g, counts[g][w], count[w]) + tail[w]) for w in ws) for g in classes]
+        out.append((max(each) + math.log(sum(math.exp(x - max(each)) for x in each))) / math.log(10))
+    return out
+
+
+def test_lattice_scores_by_class(spark):
+    """Words and languages that differ: the marginal over classes, against brute force."""
+    rng = random.Random(2)
+    bag = {"en": "the cat sat on a mat with this hat".split(), "de": "die katze sitzt auf der matte mit hut".split(), "fr": "le chat est sur la natte avec".split()}
+    data = [(i, " ".join(rng.choice(bag[g]) + rng.choice(["", "", "s", "en"]) for _ in range(rng.randrange(30))), g) for i, g in enumerate(rng.choices(["en", "de", "fr"], [5, 3, 1], k=60))]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    import zlib
+
+    want = brute_scores([(zlib.crc32(str(i).encode()) % 10 == 0, g, t.split()) for i, t, g in data])
+    got = {r.doc_id: r.score for r in lattice_lm.scored_texts(df).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(want)
+    # one class less: the least of them and what has no class are one
+    two = lattice_lm.scored_texts(df, most_classes=1).collect()
+    want = brute_scores([(zlib.crc32(str(i).encode()) % 10 == 0, "en" if g == "en" else "other", t.split()) for i, t, g in data])
+    assert [r.score for r in sorted(two)] == pytest.approx(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_lattice_beats_counting(spark):
+    """Texts are more likely under the model than under the smoothed word counts that it is compared with, those held out, too."""
+    total = lattice_lm.op6_lattice_scores(spark, "/root/testdata/sf0.1").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
+    assert len(total) == 2 and all(r.score > r.base for r in total)
 
 
 def test_quality_rules(docs, rows, empty):
@@ -381,6 +450,26 @@ def test_licenses_of_wrapped_notices(spark):
     assert got[0] == (["mit-ref"], ["MIT"])
 
 
+def test_published_licences(spark, empty):
+    """Notices and texts as their authors publish them."""
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.'
+    clauses = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    third = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    lesser = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.\n\nYou should have received a copy of the GNU Lesser General Public\nLicense along with this library; if not, write to the Free Software\nFoundation, Inc."
+    lesser = lesser.replace("library; if not", "library. If not")
+    mozilla = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    apache = '   Licensed under the Apache License, Version 2.0 (the "License");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n\n   Unless required by applicable law or agreed to in writing, software\n   distributed under the License is distributed on an "AS IS" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n   See the License for the specific language governing permissions and\n   limitations under the License.'
+    cases = [("MIT License\n\nCopyright (c) 2020 Someone\n\n" + grant, ["MIT"]), (clauses, ["BSD-2-Clause"]), (clauses + third, ["BSD-3-Clause"]), (lesser, ["LGPL-2.1-or-later"]), (mozilla, ["MPL-2.0"]), (isc, ["ISC"]), (apache, ["Apache-2.0"])]
+    cases += [("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: LGPL-2.1-only", ["LGPL-2.1"]), ("BSD 3-Clause License\n", ["BSD-3-Clause"]), ("GNU Lesser General Public License v2.1", ["LGPL-2.1"]), ("This project is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("the bsd license is short", [])]
+    comment = "\n".join(f"# {line}".rstrip() for line in apache.split("\n"))
+    cases += [(comment, ["Apache-2.0"]), (apache + "\n\n" + grant, ["Apache-2.0", "MIT"])]
+    df = spark.createDataFrame([(i, t, "x", ["y"]) for i, (t, _) in enumerate(cases)], "doc_id long, text string, licenses string, _all array<string>")
+    got = {r.doc_id: r.licenses for r in license_scan.scanned(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert license_scan.scanned(empty).count() == 0
+
+
 def test_surrogates(spark, docs, rows, empty):
     texts = ["Write to Jo.Doe@mail.example.com or +1 (499) 555-6503, card 4532015112830366.", "jo.doe@mail.example.com: 10.20.30.40 and 10.20.30.41. Card 4532 0151 1283 0366", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" ok', "Mrs. Anna Smith met Herr Müller; Mrs. Anna Smith left. Г-жа Иванова too", "clean text 12 of 2020, v1.2.3", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -398,7 +487,7 @@ def test_surrogates(spark, docs, rows, empty):
     assert len(set(ips)) == 2 and not {"10.20.30.40", "10.20.30.41"} & set(ips)
     assert re.fullmatch(r'token = "[0-9a-f]{40}" ok', c) and "1eb9" not in c
     names = re.fullmatch(r"Mrs\. (\w+ \w+) met Herr (\w+); Mrs\. (\w+ \w+) left\. Г-жа ([а-яА-Я]+) too", d)
-    assert names and names[1] == names[3] and names[1].split()[0] in surrogates.FIRST["latin", "female"] and "Иванова" not in d
+    assert names and names[1] == names[3] and names[1].split()[0] in surrogates.NAMES["latin"][1].split() and "Иванова" not in d
     assert got == {r.doc_id: (r.text, r._entities) for r in surrogates.with_surrogates(df, "key").collect()}
     out = surrogates.with_surrogates(docs, "key")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(rows, key=key)
@@ -413,8 +502,12 @@ def test_no_entity_is_missed_by_the_first_look(spark):
         "iban": ["GB82WESTABCDEFGH", "GB82 WEST ABCD EFGH"],
         "card": ["4532015112830366", "4532 0151 1283 0366", "4532-0151-1283-0366"],
         "ssn": ["123-45-6789"],
+        "ipv6": ["1:2:3:4:5:6:7:8", "a:b::c"],
+        "birth": ["DOB 1/2/90", "born on 1.2.1990", "Date of birth: 1990-01-02", "né le 1-2-1990", "nacida el 1/2/90", "geboren am 1.2.90"],
+        "passport": ["passport 123456", "Passport No. AB123456"],
+        "street": ["1 Old Lane", "12 Old Oak St", "Hauptstraße 1", "Ringweg 1", "Rathausplatz 12"],
         "phone": ["+33 1 42 68 53 00", "+49 30 12 34 56", "+1 2 34 56", "+1(2)34 56", "+1-2-34-56", "+12 34 56 78", "(499) 555-6503", "499-555-6503", "499.555.6503"],
-        "name": [f"{t}{dot} {n}" for t in surrogates.MALE + surrogates.FEMALE for dot in ("", ".") for n in ("Li", "Юн")],
+        "name": [f"{t}{dot} {n}" for t in map(plain, surrogates.MALE + surrogates.FEMALE + surrogates.NEUTRAL) for dot in ("", ".") for n in ("Li", "Юн")],
     }
     assert set(least) == set(surrogates.TYPES)
     data = [(kind, x, f"{a}{x}{b}") for kind, all_ in least.items() for x in all_ for a, b in (("", ""), ("so ", " it is"))]
@@ -425,6 +518,86 @@ def test_no_entity_is_missed_by_the_first_look(spark):
     assert all(r._entities == 1 and r.one not in r.text for r in out)
 
 
+def plain(title):
+    """A title of the pattern as it may stand in a text."""
+    return re.sub(r"\[(.)(.)\]", r"\2", title)
+
+
+def detected(text):
+    """By brute force: what stands between the entities, and (kind, mention) of each."""
+    import regex
+
+    found = [m[0] for m in regex.finditer(surrogates.PATTERN, text or "")]
+    return regex.split(surrogates.PATTERN, text or ""), [(next(k for k, p in surrogates.TYPES.items() if regex.fullmatch(p, m)), m) for m in found]
+
+
+def meant(kind, mention):
+    """What a mention and others of the same entity have in common."""
+    if kind in ("card", "ssn", "phone"):
+        return mention.split(" ")[0] * (kind == "phone") + re.sub("[^0-9]", "", mention)
+    return mention.replace(" ", "") if kind == "iban" else mention.lower() if kind in ("email", "ipv6", "street") else mention
+
+
+def test_surrogates_against_brute_force(spark):
+    """Detection, the rest of the texts, coreference and distinctness; on documents where they are there, and on made-up mentions of all types."""
+    rng = random.Random(9)
+    some = lambda n, of="0123456789": "".join(rng.choice(of) for _ in range(n))
+    made = {
+        "email": lambda: f"{some(3, 'abcXYZ')}@mail.{some(2, 'xyz')}.org",
+        "secret": lambda: rng.choice(["password: ", "api_key=", "token = '"]) + some(rng.choice([12, 300]), "aZ0-_"),
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "ipv6": lambda: rng.choice([":".join(some(4, "0123abcF") for _ in range(8)), f"fe80:{some(2)}::{some(4, 'abc1')}"]),
+        "iban": lambda: f"DE{some(2)} {some(4)} {some(4)} {some(4)}",
+        "birth": lambda: rng.choice(["born on ", "DOB: "]) + f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/19{some(2)}",
+        "passport": lambda: f"passport no. C{some(8)}",
+        "card": lambda: f"4{some(3)} {some(4)} {some(4)} {some(4)}",
+        "ssn": lambda: f"{some(3)}-{some(2)}-{some(4)}",
+        "phone": lambda: f"+49 30 {some(3)} {some(4)}",
+        "street": lambda: rng.choice([f"{some(2)} Old Oak Lane", f"Hauptstraße {some(2)}"]),
+        "name": lambda: rng.choice(["Mr. John", "Dr. Jane", "my name is Peter", "Κος Νίκος", "السيدة فاطمة"]) + " " + rng.choice(["Smith", "Miller", "Παππάς", "حسين"]),
+    }
+    texts = [f"a {made[k]()} or {made[rng.choice(list(made))]()}, then {made[k]()}." for k in made for _ in range(40)]
+    texts += [t + " " + texts[0] for t in texts[:20]]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forth, back, kinds = {}, {}, Counter()
+    for r in surrogates.with_surrogates(df, "key").collect():
+        pieces, mentions = detected(texts[r.doc_id])
+        assert r._entities == len(mentions)
+        new = re.fullmatch("(.+?)".join(map(re.escape, pieces)), r.text, re.DOTALL)
+        assert new, (texts[r.doc_id], r.text)
+        for (kind, mention), surrogate in zip(mentions, new.groups(), strict=True):
+            kinds[kind] += 1
+            if kind == "name" or any(x == "" for x in pieces[1:-1]):
+                continue
+            one, other = (kind, meant(kind, mention)), (kind, meant(kind, surrogate))
+            assert forth.setdefault(one, other) == other and back.setdefault(other, one) == one and other not in forth, (mention, surrogate)
+    assert set(kinds) == set(surrogates.TYPES)
+    assert not set(forth) & set(back)
+
+
+def test_surrogates_of_hard_cases(spark):
+    token, more = "k" * 300, "0f" * 70
+    texts = ["Your password: ____________ (fill in)", f"token={token}", f"see {more} there", "Mr. John Smith, later Mr. Smith and Dr. John Smith", "my name is Peter and mr", "Κυρία Μαρία Παπαδοπούλου", "السيد أحمد حسين", "κώστας@παράδειγμα.ελ", "IBAN GB82 WEST 1234 5698 7654 32", "IBAN GB83 WEST 1234 5698 7654 32", "std::vector 12:30:45 a::b"]
+    texts += [f"a@b.{i // 26 % 26 + 97:c}{i % 26 + 97:c}{i // 676 + 97:c}.com" for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(surrogates.with_surrogates(df, "key").select("doc_id", "text").collect())]
+    assert got[0] == texts[0] and got[10] == texts[10]
+    assert re.fullmatch("token=[a-z]{300}", got[1]) and "kkkk" not in got[1] and re.fullmatch("see [0-9a-f]{140} there", got[2]) and "0f0f0f0f" not in got[2]
+    a = re.fullmatch(r"Mr\. (\w+) (\w+), later Mr\. (\w+) and Dr\. (\w+) (\w+)", got[3])
+    assert a and a[2] == a[3] == a[5] and a[1] == a[4] and a[1] in surrogates.NAMES["latin"][0].split() and a[2] != "Smith"
+    assert re.fullmatch(r"my name is \w+ and mr", got[4]) and "Peter" not in got[4]
+    assert re.fullmatch(r"Κυρία [\u0370-\u03ff]+ [\u0370-\u03ff]+", got[5]) and "Παπα" not in got[5]
+    assert re.fullmatch(r"السيد [\u0600-\u06ff]+ [\u0600-\u06ff]+", got[6]) and "حسين" not in got[6]
+    assert re.fullmatch(r"[α-ω]{6}@[α-ω]{10}\.example\.ελ", got[7])
+    check = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    for i in (8, 9):
+        iban = got[i].removeprefix("IBAN ").replace(" ", "")
+        assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", iban) and (check(iban) == 1) == (i == 8)
+    assert len(set(got[11:])) == 700 and not set(got[11:]) & set(texts)
+
+
 def test_surrogates_stay_distinct(spark):
     ips = [(i, f"host 9.8.{i // 250}.{i % 250 + 1} up") for i in range(600)]
     df = spark.createDataFrame(ips, "doc_id long, text string")
@@ -496,3 +669,99 @@ def test_pipeline_stages(spark, docs, tmp_path):
     left = {r.doc_id for r in now.collect()}
     near = near_dedup.near_duplicates(spark.read.parquet(f"{d}/lines"), shingle=5).where("kept").select("doc_id").distinct()
     assert left <= {r.doc_id for r in near.collect()}
+
+
+def brute_pipeline(rows, items):
+    """(doc_id, text) that the first four stages leave of rows (doc_id, text, source), whose doc_ids differ."""
+    def bad(t):
+        w = spaced(t)
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(runs)
+        return len(w) < 50 or 100 * len({j for i, x in enumerate(runs) if n[x] > 1 for j in range(i, i + 3)}) > 50 * len(w)
+
+    form = lambda line: re.sub("[0-9]+", "0", line.strip(" ").lower())
+    seen = {}
+    for d, t, s in rows:
+        for line in (t or "").split("\n"):
+            if spaced(line):
+                seen.setdefault((s, form(line)), {}).setdefault(t, []).append(d)
+    home = {k: min(d for ds in v.values() for d in ds) for k, v in seen.items() if len(v) > quality_rules.MOST_DOCS}
+    now = []
+    for d, t, s in rows:
+        if bad(t):
+            continue
+        left = [line for line in t.split("\n") if home.get((s, form(line)), d) == d]
+        if 100 * sum(len(spaced(line)) for line in left) >= 30 * len(spaced(t)):
+            now.append((d, "\n".join(left)))
+    # of like lines, the first
+    lines = [(d, i, line) for d, t in now for i, line in enumerate(t.split("\n")) if spaced(line)]
+    trimmed = [lower(line.strip(" \t\n\x0b\x0c\r")) for *_, line in lines]
+    root = joined([{t[i : i + 8] for i in range(len(t) - 7)} or {t} for t in trimmed])
+    first = {}
+    for r, (d, i, _) in zip(root, lines, strict=True):
+        first[r] = min(first.get(r, (d, i)), (d, i))
+    gone = {(d, i) for r, (d, i, _) in zip(root, lines, strict=True)} - set(first.values())
+    now = [(d, "\n".join(line for i, line in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in now]
+    # of near copies, the first
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (spaced(lower(t)) for _, t in now)]
+    root = joined(sets)
+    least = {}
+    for r, (d, _), x in zip(root, now, sets, strict=True):
+        least[r] = min(least.get(r, d), d)
+    now = [(d, t) for r, (d, t), x in zip(root, now, sets, strict=True) if not x or least[r] == d]
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = [" ".join(w[j : j + 10]) for _, t in items for w in [alnum(t)] if w for j in range(max(1, len(w) - 9))]
+    return [(d, t) for d, t in now if not any(f" {x} " in f" {' '.join(alnum(t))} " for x in windows)]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    line = lambda n: " ".join(words(rng, n))
+    common, often, quiz = line(12), line(15), line(14)
+    rows = []
+    for i in range(60):
+        own = [line(rng.randrange(8, 20)) for _ in range(rng.randrange(3, 8))]
+        if i % 3 == 0:
+            own.insert(1, f"{common} {i}")  # numbers don't count: more than MOST_DOCS documents of a host have it
+        if i % 7 == 0:
+            own.insert(0, often.replace(often.split()[3], f"w{i}"))  # a fuzzy line
+        if i % 11 == 0:
+            own.append(f"before {quiz} after it")
+        rows.append((i, "\n".join(own), f"src{i % 2}" if i % 5 else None))
+    rows += [(90 + i, rows[i][1], rows[i][2]) for i in (1, 2, 10)]  # copies
+    near = rows[4][1].replace("\n", " ").split()
+    rows += [(70, " ".join(near[:-1]), "src0"), (71, " ".join([*near, "more"]), "src1")]  # near copies, of other lines
+    rows += [(80, "", "src0"), (81, None, None), (82, "few words", "src1"), (83, "again and again " * 40, "src0"), (84, "\n".join([f"{common} {i}" for i in range(9)]), "src1")]
+    d, items = str(tmp_path), [("q", quiz), ("none", None), ("other", line(20))]
+    names = "doc_id long, text string, source string, lang string, n_chars int, key long, gone int, rate string, copies string, row int, component_id long, kept int"
+    spark.createDataFrame([(i, t, s, "en", len(t or ""), 1, 2, "r", "c", 3, 4, 5) for i, t, s in rows], names).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    want = brute_pipeline(rows, items)
+    assert sorted((r.doc_id, r.text) for r in out) == sorted(want)
+    assert 0 < len(want) < 60 and {d for d, _ in want} & {4, 70, 71} and all(r.n_chars == len(r.text) for r in out)
+    assert all(r.rate >= 0 and r.copies >= 0 and (r.key, r.gone, r.row, r.component_id, r.kept) == (1, 2, 3, 4, 5) for r in out)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_lines_of_every_length_are_found():
+    """The share of pairs of lines of similarity 0.8 that have a band in common, by length."""
+    rng = np.random.default_rng(4)
+    for n in (10, 20, 40, 100):
+        both = int(np.ceil(8 * n / 9))  # of two sets of n, for a similarity of 0.8 at least
+        found = 0
+        for _ in range(20):
+            pool = rng.integers(0, 2**63, (100, 2 * n - both), dtype=np.int64).view(np.uint64)
+            a, b = pool[:, :n], pool[:, n - both :]
+            first = np.arange(101) * n
+            x, y = (tk.bands(tk.one_permutation(np.ascontiguousarray(v).reshape(-1), first, 24), 3) for v in (a, b))
+            found += int((x == y).any(1).sum())
+        assert found >= 0.99 * 2000, (n, found)
