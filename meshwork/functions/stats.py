@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Chebyshev coefficients of the complementary error function (relative error below 1.2e-7)
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-CLAMP, TINY, RIDGE, METRIC_TINY = 0.999999, 1e-12, 1e-8, 1e-8
+CLAMP, TINY, RIDGE, METRIC_TINY, LEAST_VARIANCE = 0.999999, 1e-12, 1e-8, 1e-8, 1e-6
 
 
 def critical_z(alpha: float) -> float:

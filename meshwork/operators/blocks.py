@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import CLAMP, LEAST_VARIANCE, TINY
+
 EDGES_A_BLOCK, RUNS_A_BLOCK, SAMPLES_A_TASK = 512, 128, 8192
 _KEYS = ["edge_block", "run_block", "fold"]
 
@@ -74,7 +76,7 @@ def _held(add, out, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def moments(subjects: DataFrame, samples: DataFrame, covariates: list[str]) -> DataFrame:
-    """(edge_block, run_block, fold) with sums as arrays: those by run and edge have a run's edges one after another.
+    """(edge_block, run_block, fold) with each task's sums as arrays: those by run and edge have a run's edges one after another.
 
     samples: run_id (0, 1, ...), sample_id, sample_fold, y, covariates; every run has the same samples.
     """
@@ -96,16 +98,70 @@ def moments(subjects: DataFrame, samples: DataFrame, covariates: list[str]) -> D
         return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], *[pa.array([a], pa.list_(pa.float64())) for a in arrays]], [*_KEYS, *names])
 
     schema = ", ".join(f"{k} int" for k in _KEYS) + ", " + ", ".join(f"{c} array<double>" for c in names)
-    parts = rows.drop("_task").mapInArrow(lambda batches: _held(add, out, batches), schema)
-    whole = parts.repartition("edge_block", "run_block").sortWithinPartitions(*_KEYS)
+    return rows.drop("_task").mapInArrow(lambda batches: _held(add, out, batches), schema)
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """Sums of different tasks next to each other, all folds of a block in one task."""
+    return parts.repartition("edge_block", "run_block").sortWithinPartitions(*_KEYS)
+
+
+def _added(names: list[str]):
+    return lambda part: [_matrix(part.column(c)).sum(0) for c in names]
 
-    def arrays_of(part: pa.RecordBatch) -> list[np.ndarray]:
-        return [_matrix(part.column(c)).sum(0) for c in names]
 
-    return whole.mapInArrow(lambda batches: _held(arrays_of, out, batches), schema)
+def statistics(parts: DataFrame, covariates: list[str], least_z: float | None = None) -> DataFrame:
+    """(run_id, edge_id, fold, n, r, z) over each fold's training part, of moments(): all, or those with |z| above least_z.
 
+    The same as edges.statistics(edges.train_moments(...)), on a block's arrays.
+    """
+    full, other = _names(covariates)
+    names = [*full, *other]
 
-def unpacked(blocks: DataFrame, covariates: list[str]) -> DataFrame:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, folds = None, {}
+        for key, arrays in _held(_added(names), lambda key, arrays: (key, arrays), batches):
+            if key[:2] != block and folds:
+                yield from _tested(block, folds, names, covariates, least_z)
+                folds = {}
+            block = key[:2]
+            folds[key[2]] = arrays
+        if folds:
+            yield from _tested(block, folds, names, covariates, least_z)
+
+    return _whole(parts).mapInArrow(of, "run_id int, edge_id int, fold int, n long, r double, z double")
+
+
+def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: list[str], covariates: list[str], least_z: float | None) -> Iterator[pa.RecordBatch]:
+    whole = [sum(a) for a in zip(*folds.values(), strict=True)]
+    left = ["x", "y", *covariates]
+    pairs = [(a, b) for i, a in enumerate(left) for b in left[i:]]
+    for fold, own in folds.items():
+        s = {c: a - b for c, a, b in zip(names, whole, own, strict=True)}
+        edges, runs = len(s["n"]), len(s["s_y"])
+        shape = lambda c: (runs, edges) if c == "s_x_y" else (1, edges) if c == "n" or c == "s_x" or c.startswith("s_x_") else (runs, 1) if c == "s_y" or c.startswith("s_y_") else (1, 1)  # noqa: E731, B023
+        s = {c: a.reshape(shape(c)) for c, a in s.items()}
+        n = s["n"]
+        v = {(a, b): s[f"s_{a}_{b}"] - s[f"s_{a}"] * s[f"s_{b}"] / n for a, b in pairs}
+        all_x, all_y, all_c, rest = v["x", "x"], v["y", "y"], {c: v[c, c] for c in covariates}, list(left)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for c in covariates:  # swept out one after another; one that those before explain adds nothing
+                rest.remove(c)
+                of = lambda a, b: v[a, b] if (a, b) in v else v[b, a]  # noqa: E731, B023
+                ok = v[c, c] > all_c[c] * 1e-10
+                v |= {(a, b): v[a, b] - np.where(ok, of(a, c) * of(b, c) / v[c, c], 0.0) for i, a in enumerate(rest) for b in rest[i:]}
+            related = lambda yy: np.clip(v["x", "y"] / (np.sqrt(np.maximum(v["x", "x"] * yy, 0.0)) + TINY), -CLAMP, CLAMP)  # noqa: E731, B023
+            varies = all_x / (n - 1) > LEAST_VARIANCE
+            partial, free = related(v["y", "y"]), n - 2 - len(covariates)
+            z = np.where(varies, partial * np.sqrt(free / (1 - partial**2)) / np.sqrt(free / (free + 1)), 0.0)
+            r = np.where(varies, related(all_y), 0.0)
+        run, edge = np.nonzero(np.ones_like(z) if least_z is None else np.abs(z) > least_z)
+        keys = (run + block[1] * RUNS_A_BLOCK, edge + block[0] * EDGES_A_BLOCK, np.full(len(run), fold))
+        count = np.broadcast_to(n, z.shape)[run, edge].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*[pa.array(k.astype(np.int32)) for k in keys], pa.array(count), pa.array(r[run, edge]), pa.array(z[run, edge])], ["run_id", "edge_id", "fold", "n", "r", "z"])
+
+
+def unpacked(parts: DataFrame, covariates: list[str]) -> DataFrame:
     """Rows (run_id, edge_id, sample_fold, n, sums) of moments()."""
     variables = ["x", "y", *covariates]
     by_edge, by_run = {"n", "s_x", "s_x_x", *[f"s_x_{c}" for c in covariates]}, {"s_y", "s_y_y", *[f"s_y_{c}" for c in covariates]}
@@ -126,7 +182,9 @@ def unpacked(blocks: DataFrame, covariates: list[str]) -> DataFrame:
                 values = [pa.array(spread(c, row[c], edges, runs).astype(np.int64 if c == "n" else float)) for c in names]
                 yield pa.RecordBatch.from_arrays([*[pa.array(k.astype(np.int32)) for k in keys], *values], ["run_id", "edge_id", "sample_fold", *names])
 
-    return blocks.mapInArrow(of, "run_id int, edge_id int, sample_fold int, n long, " + ", ".join(f"{c} double" for c in names[1:]))
+    rows = parts.mapInArrow(of, "run_id int, edge_id int, sample_fold int, n long, " + ", ".join(f"{c} double" for c in names[1:]))
+    return rows.groupBy("run_id", "edge_id", "sample_fold").agg(*[F.sum(c).alias(c) for c in names])
+
 
 
 def strengths(subjects: DataFrame, mask: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import correlation, critical_z, p_of, z_of
+from ..functions.stats import LEAST_VARIANCE, correlation, critical_z, p_of, z_of
 from . import blocks
 
-LEAST_VARIANCE = 1e-6
 STATISTICS = ("pearson", "pearson_partial", "spearman", "spearman_partial", "point_biserial", "point_biserial_partial")
 
 
@@ -90,12 +89,12 @@ def ordinal_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return rows.withColumns({c: (F.row_number().over(Window.partitionBy(*by).orderBy(c, "sample_id")) - 1).cast("double") for c in columns})
 
 
-def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None) -> DataFrame:
+def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None, least_z: float | None = None) -> DataFrame:
     """run_id, edge_id, fold, n, r, z, p of each edge in the training part of each fold, by one of STATISTICS.
 
     samples: run_id, sample_id, sample_fold, y, covariates.  Spearman's ranks are taken within each training part, so it
     expands the samples by folds; the others don't.  With subjects (sample_id, x array), which must not have missing values,
-    sums are taken by blocks of edges and runs.
+    sums are taken by blocks of edges and runs, and with least_z only edges whose |z| is above it are listed.
     """
     if method not in STATISTICS:
         raise NotImplementedError(f"{method} is none of {STATISTICS}")
@@ -104,8 +103,10 @@ def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates
         raise ValueError(f"{method} needs covariates")
     samples = samples.select("run_id", "sample_id", "sample_fold", "y", *used)
     if not method.startswith("spearman"):
-        sums = test_moments(edges, samples, used) if subjects is None else test_moments_blocked(subjects, samples, used)
-        return statistics(train_moments(sums), used)
+        if subjects is not None:
+            found = blocks.statistics(blocks.moments(subjects, samples, used), used, least_z)
+            return found.select("run_id", "edge_id", "fold", "n", "r", "z", p_of(F.col("z")).alias("p"))
+        return statistics(train_moments(test_moments(edges, samples, used)), used)
     folds = samples.select(F.col("sample_fold").alias("fold")).distinct()
     train = samples.join(F.broadcast(folds), F.col("sample_fold") != F.col("fold")).drop("sample_fold")
     return training_statistic(method, edges, train, used)

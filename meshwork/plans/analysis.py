@@ -118,10 +118,12 @@ def edge_values(subjects: DataFrame, rows: DataFrame, s: Settings, gaps: bool) -
 
 
 def edge_table(subjects: DataFrame, samples: DataFrame, s: Settings, method: str | None = None, gaps: bool = False) -> DataFrame:
-    """The statistics of all runs' and splits' edges."""
+    """The statistics of all runs' and splits' edges that may be selected."""
     method, cov = method or s.grid[0][0], list(s.covariates)
     if s.partition and not gaps and not s.residual_edges:
-        return E.edge_statistic(method, long_edges(subjects), samples, cov, subjects)
+        # without corrections only edges that some alpha lets pass matter
+        least = None if any(c for _, c, _ in s.grid) else E.critical_z(max(s.alphas))
+        return E.edge_statistic(method, long_edges(subjects), samples, cov, subjects, least)
     rows = roles(samples, s, gaps)
     return E.training_statistic(method, edge_values(subjects, rows, s, gaps), rows.where("not is_test"), cov)
 

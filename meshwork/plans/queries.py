@@ -44,7 +44,7 @@ def _samples(subjects: DataFrame, **more) -> DataFrame:
 
 
 def _mask(subjects: DataFrame, samples: DataFrame, method: str = "pearson") -> DataFrame:
-    return E.selected(E.edge_statistic(method, long_edges(subjects), samples, COV, subjects), 0.05)
+    return E.selected(E.edge_statistic(method, long_edges(subjects), samples, COV, subjects, E.critical_z(0.05)), 0.05)
 
 
 def _rows(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
