@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialized
+from ..sources.tables import dropped, materialized
 
 
 def components(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, component) of the nodes of edges (by, node_i, node_j): the least node it is connected with."""
     both = materialized(edges.select(*by, F.col("node_i").alias("node"), F.col("node_j").alias("other")).unionByName(edges.select(*by, F.col("node_j").alias("node"), F.col("node_i").alias("other"))).distinct())
-    label = materialized(both.groupBy(*by, "node").agg(F.least(F.first("node"), F.min("other")).alias("component")))
+    held = label = materialized(both.groupBy(*by, "node").agg(F.least(F.first("node"), F.min("other")).alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("node", "other"), [*by, "other"]).groupBy(*by, "node").agg(F.min("component").alias("_near"))
         jump = label.select(*by, F.col("node").alias("component"), F.col("component").alias("_jump"))
@@ -24,7 +24,10 @@ def components(edges: DataFrame, by: list[str]) -> DataFrame:
         new = materialized(new.select(*by, "node", "component", least.alias("new")))
         changed = bool(new.where("new < component").take(1))
         label = new.select(*by, "node", F.col("new").alias("component"))
+        dropped(held)
+        held = new
         if not changed:
+            dropped(both)
             return label
 
 
@@ -72,6 +75,22 @@ def nbs(stability: DataFrame, runs: DataFrame, threshold: float, n_folds: int, s
     return edges.select("network", "node_i", "node_j", "p_value"), found, critical
 
 
+def null_maxima(stability: DataFrame, runs: DataFrame, threshold: float, n_folds: int) -> DataFrame:
+    """(network, run_id, top): each permuted run's most edges in a component of nbs()."""
+    import math
+
+    kept = stability.where(F.col("n_selected") >= math.ceil(threshold * n_folds - 1e-9))
+    return _maxima(component_sizes(kept, ["run_id", "network"], F.lit(1.0))[1], runs, "statistic")
+
+
+def nbs_diagnostics(edges: DataFrame, found: DataFrame, critical: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(network, critical_value, observed_max, n_significant_edges) of what nbs() returns; 0 where a network has no component."""
+    most = found.groupBy("network").agg(F.max("statistic").cast("double").alias("observed_max"))
+    count = edges.where(F.col("p_value") < alpha).groupBy("network").agg(F.count("*").alias("n_significant_edges"))
+    out = critical.join(most, "network", "left").join(count, "network", "left")
+    return out.select("network", "critical_value", F.coalesce("observed_max", F.lit(0.0)).alias("observed_max"), F.coalesce("n_significant_edges", F.lit(0)).alias("n_significant_edges"))
+
+
 def tfce(stability: DataFrame, n_steps: int = 10, e: float = 0.5, h: float = 2.0) -> DataFrame:
     """(run_id, network, node_i, node_j, score): at each height, an edge of at least that stability adds extent^e * height^h * step."""
     step = 1.0 / n_steps

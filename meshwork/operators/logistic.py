@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import gram, solved
-from ..sources.tables import materialized
+from ..sources.tables import dropped, materialized
 
 LEAST_WEIGHT = 1e-8
 
@@ -34,10 +34,13 @@ def fit_logistic(design: DataFrame, by: list[str], features: list[str], rounds:
         weighted = [x * F.sqrt("_w") for x in f]
         step = solved(rows.groupBy(*by).agg(*gram(weighted, (F.col("y") - F.col("_p")) / F.sqrt("_w"))), len(f)).withColumnsRenamed({n: f"_d_{n}" for n in names})
         moved = reduce(F.greatest, [F.abs(f"_d_{n}") for n in names]) >= near
-        joined = beta.join(step, by, "left")
+        joined, before = beta.join(step, by, "left"), beta
         beta = materialized(joined.select(*by, *[(F.col(n) + F.coalesce(f"_d_{n}", F.lit(0.0))).alias(n) for n in names], F.coalesce(moved, F.lit(False)).alias("_moves")))
+        dropped(before)
         if not beta.where("_moves").take(1):
             break
+    if rounds:
+        dropped(train)
     return beta.drop("_moves")
 
 

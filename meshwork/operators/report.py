@@ -52,7 +52,7 @@ def in_order(table: DataFrame) -> DataFrame:
 
 
 def parameters_per_fold(table: DataFrame) -> DataFrame:
-    """One row for each fold: its chosen parameters, and how they are spread."""
+    """One row for each fold: its chosen parameters."""
     return table.dropDuplicates(["fold"])
 
 
@@ -130,8 +130,34 @@ def method_text(meta: dict) -> str:
     return f"Network-based statistic ({meta['component_stat']}) at stability {meta['threshold']:g} over {meta['n_permutations']} permutations"
 
 
+def null_histogram(maxima: DataFrame, observed: DataFrame) -> DataFrame:
+    """(network, bin, lo, hi, n, observed) of the permuted runs' greatest statistics (network, run_id, top): as many equally wide bins as there are distinct values,
+    10 at least and 40 at most; observed: network, statistic."""
+    seen = observed.groupBy("network").agg(F.max("statistic").cast("double").alias("observed"))
+    ends = maxima.groupBy("network").agg(F.min("top").alias("_lo"), F.max("top").alias("_hi"), F.least(F.lit(40), F.greatest(F.lit(10), F.count_distinct("top"))).alias("_bins"))
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
+    at = F.least(F.coalesce(F.floor((F.col("top") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(0)), F.col("_bins") - 1).cast("int")
+    counts = maxima.join(F.broadcast(ends), "network").groupBy("network", at.alias("bin"), (F.col("_lo") + at * width).alias("lo"), (F.col("_lo") + (at + 1) * width).alias("hi")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(seen), "network", "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
+
+
+def placed_edges(edges: DataFrame, atlas: DataFrame, value: str = "stability", least: float = 1e-9) -> DataFrame:
+    """edges (node_i, node_j, value and others) whose value isn't 0, with the coordinates of both ends; atlas: node_id, x, y, z."""
+    ends = [F.broadcast(atlas.select(F.col("node_id").alias(f"node_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in "xyz"])) for k in "ij"]
+    return edges.where(F.abs(value) > least).join(ends[0], "node_i").join(ends[1], "node_j")
+
+
+def verdict(summary: DataFrame, p_values: DataFrame, stable: DataFrame, task: str = "regression") -> DataFrame:
+    """One row: the headline metric of the connectome model on both networks, its permutation p-value as text, and how many edges are stable."""
+    metric = "pearson_score__mean" if task == "regression" else "roc_auc__mean"
+    own = "model = 'connectome' and network = 'both'"
+    value = summary.where("run_id = 0").where(own).select(F.lit(metric).alias("metric"), F.col(metric).alias("value"))
+    p = p_values.where(own).select(apa_p(F.col(metric)).alias("p"), (F.col(metric) < 0.05).alias("significant"))
+    return value.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(stable.agg(F.count("*").alias("n_stable_edges"))))
+
+
 def html(title: str, sections: dict[str, DataFrame], most_rows: int = 200) -> str:
-    """A self-contained page of small tables; of longer ones, the first rows."""
+    """A self-contained page of small tables; of longer ones, the first rows, and how many more there are."""
     from html import escape
 
     out = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
@@ -139,5 +165,6 @@ def html(title: str, sections: dict[str, DataFrame], most_rows: int = 200) -> st
         rows = df.limit(most_rows).collect()
         head = "".join(f"<th>{escape(c)}" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}" for v in r) for r in rows)
-        out.append(f"<h2>{escape(name)}</h2><table><tr>{head}{body}</table>")
+        more = df.count() - len(rows) if len(rows) == most_rows else 0
+        out.append(f"<h2>{escape(name)}</h2><table><tr>{head}{body}</table>" + (f"<p>and {more} more rows</p>" if more > 0 else ""))
     return "".join(out)

@@ -322,6 +322,12 @@ mm AS (SELECT run_id, model, network, {', '.join(f'avg({m}) AS {m}' for m in MET
     o["nbs_extent_components"] = _rec(*extent, body=f"SELECT {columns} FROM found")
     o["nbs_intensity_components"] = _rec(*intensity, body=f"SELECT {columns} FROM found")
     o["nbs_critical_value"] = _rec(*extent, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value FROM nul GROUP BY 1")
+    o["nbs_diagnostics"] = _rec(*extent, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value, CAST(coalesce((SELECT max(statistic) FROM found WHERE found.network = nul.network), 0) AS DOUBLE) AS observed_max, (SELECT count(*) FROM named JOIN found USING (network, component) WHERE run_id = 0 AND network = nul.network AND p_value < 0.05) AS n_significant_edges FROM nul GROUP BY network")
+    bins = "eb AS (SELECT network, CAST(min(top) AS DOUBLE) AS lo, CAST(max(top) AS DOUBLE) AS hi, least(40, greatest(10, count(DISTINCT top))) AS bins FROM nul GROUP BY 1)"
+    at = "ab AS (SELECT network, lo, (hi - lo) / bins AS width, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((top - lo) / ((hi - lo) / bins)), bins - 1) END AS INTEGER) AS bin FROM nul JOIN eb USING (network))"
+    o["report_null_histogram"] = _rec(*extent, bins, at, body=f"SELECT network, bin, {r6('lo + bin * width')} AS lo, {r6('lo + (bin + 1) * width')} AS hi, count(*) AS n, CAST(coalesce((SELECT max(statistic) FROM found WHERE found.network = ab.network), 0) AS DOUBLE) AS observed FROM ab GROUP BY network, bin, lo, width")
+    ends = ", ".join(f"{r6(f'{f}(node_{k} * (2 * CAST(3.141592653589793 AS DOUBLE) / 11))')} AS {c}_{k}" for k in "ij" for c, f in (("x", "cos"), ("y", "sin"))) + ", CAST(0 AS DOUBLE) AS z_i, CAST(0 AS DOUBLE) AS z_j"
+    o["report_placed_edges"] = _with(*PBASE, body=f"SELECT network, node_i, node_j, {r6('stability')} AS stability, {ends} FROM pst WHERE run_id = 0")
     o["tfce_scores"] = _rec(*TFALL, body=f"SELECT run_id, network, node_i, node_j, {r6('score')} AS score FROM sc")
     tnull = NULLS.replace("max(statistic)", "max(score)").replace("LEFT JOIN sz", "LEFT JOIN sc")
     o["tfce_pvalues"] = _rec(*TFALL, tnull, body=f"SELECT network, node_i, node_j, {r6('score')} AS score, {r6(f'(1 + (SELECT count(*) FROM nul WHERE nul.network = sc.network AND top >= score - 1e-12)) / CAST({RUNS + 1} AS DOUBLE)')} AS p_value FROM sc WHERE run_id = 0")

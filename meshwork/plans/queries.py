@@ -421,6 +421,29 @@ QUERIES["nbs_intensity_components"] = _nbs(1, "intensity")
 QUERIES["nbs_critical_value"] = _nbs(2)
 
 
+@query
+def nbs_diagnostics(spark, sf_dir):
+    stability, runs = _permuted_stability(spark, sf_dir)
+    return _clean(graph.nbs_diagnostics(*graph.nbs(stability, runs, 0.5, K)), "critical_value", "observed_max")
+
+
+@query
+def report_null_histogram(spark, sf_dir):
+    stability, runs = _permuted_stability(spark, sf_dir)
+    _, found, _ = graph.nbs(stability, runs, 0.5, K)
+    return _clean(report.null_histogram(graph.null_maxima(stability, runs, 0.5, K), found), "lo", "hi", "observed")
+
+
+@query
+def report_placed_edges(spark, sf_dir):
+    """The observed run's edges, with a circle's coordinates for its nodes."""
+    stability, _ = _permuted_stability(spark, sf_dir)
+    angle = F.col("id") * (2 * 3.141592653589793 / 11)
+    circle = spark.range(11).select(F.col("id").cast("int").alias("node_id"), F.cos(angle).alias("x"), F.sin(angle).alias("y"), F.lit(0.0).alias("z"))
+    out = report.placed_edges(stability.where("run_id = 0").select("network", "node_i", "node_j", "stability"), circle)
+    return _clean(out, "stability", *[f"{c}_{k}" for k in "ij" for c in "xyz"])
+
+
 @query
 def tfce_scores(spark, sf_dir):
     return _clean(graph.tfce(_permuted_stability(spark, sf_dir)[0]), "score")

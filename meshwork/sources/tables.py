@@ -24,7 +24,18 @@ def materialized(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/meshwork/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialized() that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -286,6 +286,11 @@ def test_results_round_trip_and_report(spark, subjects, tmp_path):
     tables.write_results({"summary": out["summary"]}, str(tmp_path), csv=("summary",))
     assert tables.read_results(spark, str(tmp_path), "summary").count() == 15
     assert tables.read_results(spark, str(tmp_path), "absent") is None
+    many = report.html("Long", {"rows": spark.range(7)}, most_rows=5)
+    assert many.count("<tr>") == 6 and "and 2 more rows" in many
+    p = spark.createDataFrame([("connectome", "both", 0.01)], "model string, network string, pearson_score__mean double")
+    one = report.verdict(out["summary"], p, out["stability"]).first()
+    assert one.p == "0.010*" and one.significant and one.value > 0.8 and one.n_stable_edges == out["stability"].count()
     page = report.html("Analysis", {"summary": report.in_order(out["summary"])})
     assert page.count("<tr>") == 16 and "pearson_score__mean" in page
     (tmp_path / "log.txt").write_text("start\n=====\nfolds: 3\nmethod: pearson\n=====\nend\n")
