@@ -185,12 +185,12 @@ def _within(tried: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     # of its `more`, a node has to share percent of its size less what it has of the pivot, at least
     share = F.greatest(F.lit(1), F.ceil(F.expr(f"{percent} * nx / 100 - m")).cast("int"))
     often = counts.where("2 * often <= f").drop("f")
-    tokens = family.select("p", "x", F.explode("more").alias("t"), (F.size("more") - share + 1).alias("first")).join(often, ["p", "t"], "left")
-    rarest = tokens.groupBy("p", "x", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("all"))
+    own = ["p", "x", "c", "nx", "m", "close"]
+    tokens = family.select(*own, F.explode("more").alias("t"), (F.size("more") - share + 1).alias("first")).join(often, ["p", "t"], "left")
+    rarest = tokens.groupBy(*own, "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("all"))
     # left: how many are still to come, this one included; the first one that two nodes share leaves enough of them for both
-    some = rarest.select("p", "x", F.size("all").alias("of"), F.posexplode(F.slice("all", 1, F.greatest("first", F.lit(0)))).alias("i", "one")).where("one.often > 1")
-    some = some.select("p", "x", F.col("one.t").alias("t"), (F.col("of") - F.col("i")).alias("left"))
-    some = written(some.join(family.select("p", "x", "c", "nx", "m", "close"), ["p", "x"]))
+    some = rarest.select(*own, F.size("all").alias("of"), F.posexplode(F.slice("all", 1, F.greatest("first", F.lit(0)))).alias("i", "one")).where("one.often > 1")
+    some = written(some.select(*own, F.col("one.t").alias("t"), (F.col("of") - F.col("i")).alias("left")))
     of_x = some.where("close").select("p", "t", "x", F.col("c").alias("cx"), "nx", F.col("m").alias("mx"), F.col("left").alias("lx"))
     of_y = some.select("p", "t", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("nx").alias("ny"), F.col("m").alias("my"), F.col("left").alias("ly"))
     enough = f"{100 + percent} * (least(lx, ly) + least(mx, my)) >= {percent} * (nx + ny)"

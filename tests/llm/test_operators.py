@@ -171,8 +171,8 @@ def test_links_of_settled_nodes_are_found(spark):
 
     def check(have, buckets):
         text = spark.createDataFrame([(i, " ".join(map(str, v))) for i, v in have.items()], "id long, text string")
-        members = spark.createDataFrame([(k, i) for k, ids in enumerate(buckets) for i in ids], "key long, id long")
-        got = {r.id: r.component for r in banding.linked(members, lambda ids: text.join(ids, "id"), sets, 80).collect()}
+        nodes = spark.createDataFrame([(i, [k]) for k, ids in enumerate(buckets) for i in ids], "id long, bands array<long>")
+        got = {r.id: r.component for r in banding.linked(nodes, lambda ids: text.join(ids, "id"), sets, 80).collect()}
         root = {i: i for i in have}
         for a, b in (x for ids in buckets for x in itertools.combinations(ids, 2)):
             if 100 * len(have[a] & have[b]) >= 80 * len(have[a] | have[b]):
