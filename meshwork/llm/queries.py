@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, license_scan, quality_rules, substring_dedup
+from . import decontaminate, lexical_search, license_scan, periodic_runs, quality_rules, substring_dedup
 from .decontaminate import op9_benchmark_decontamination
 from .lattice_lm import op6_lattice_scores
+from .lexical_search import op11_lexical_search
 from .license_scan import op10_license_scan
 from .line_dedup import op3_line_dedup
 from .mixing import op2_source_mixing
 from .near_dedup import op1_minhash_near_dedup
+from .periodic_runs import op12_periodic_runs
 from .quality_rules import op7_quality_rules
 from .substring_dedup import op5_substring_dedup
 from .surrogates import op4_pii_surrogates
 from .token_counts import op8_token_counts
+from .toxicity import op13_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -29,6 +32,9 @@ QUERIES = {
         op8_token_counts,
         op9_benchmark_decontamination,
         op10_license_scan,
+        op11_lexical_search,
+        op12_periodic_runs,
+        op13_toxicity,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -37,4 +43,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
     "op10_license_scan": license_scan.sql(),
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }
