@@ -44,7 +44,7 @@ from .shared import drop, written
 SPAN, DECAY, WINDOW, GAP, BEGIN, CLOSE = 5, 0.6, 32, "\0", "\1", "\2"
 LANDMARKS, MOST_TOXIC, MOST_CLEAN = 320, 2000, 2000
 ROUNDS, STEPS, RIDGE, SHARE, TOP = 3, 6, 0.3, 0.3, 3
-CHUNK, MOST_KNOWN, MOST_WITNESSES = 1 << 22, 1 << 20, 4000
+CHUNK, MOST_KNOWN, MOST_WITNESSES = 1 << 21, 1 << 20, 4000
 MARK = np.array([i < 0x80 and not chr(i).isalnum() for i in range(256)])
 PARTS = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?\n]")
