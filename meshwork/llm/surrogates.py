@@ -1,15 +1,16 @@
 """PII surrogates: detected entities get keyed replacements of the same type, and keep their format.
 
 Types: e-mail addresses, IPv4 and IPv6 addresses, payment card, phone and passport numbers, social security numbers, IBANs,
-dates of birth, street addresses, secrets (values named token, secret, password, API key, and long hexadecimal strings, however long), and names after a
-title or a phrase such as "my name is".  An entity's canonical form (lower case for e-mail, digits for numbers, what follows the
+dates of birth, street addresses, secrets (values named token, secret, password, API key; tokens and private keys of known form; long hexadecimal
+strings, however long), and names after a title or a phrase such as "my name is"; once a document has a name, its parts alone are entities there too.  An entity's canonical form (lower case for e-mail, digits for numbers, what follows the
 words that name it) is replaced by one that a keyed hash chooses: digits by digits, letters by letters of the same case and
 script, the rest as it was.  A phone number keeps its country code; a card its first digit and an IBAN its country, and both
 whether their checks hold; an address its kind of street; a name its script and the gender that its title says
 (after neutral titles: that of its ending).  Each mention is then written in the mention's own format.
 
 Equal entities get equal surrogates in all documents (coreference), different ones different surrogates (distinctness).  A name's parts are
-entities of their own, so that a person keeps the surname with and without a given name or a title.
+entities of their own, so that a person keeps the surname with and without a given name or a title.  Where a part is both a given name and a surname
+in a document, it stands alone as the given name; particles such as "von" stay.
 Surrogates are compared over the whole corpus, with each other and with the real entities; those that collide are chosen anew.
 Each attempt has more to choose from than the one before: names grow by syllables, all others get a tail from attempt TRIES on, of 8
 hexadecimal digits more each time.  So a type whose form has too few values (addresses a@b.com) ends as well.  What has neither a letter nor a digit is no entity.
@@ -21,6 +22,8 @@ doc_id and its text get equal results; other columns pass through, whatever thei
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,32 +66,42 @@ ALPHABETS = (
 
 _ALL = (*MALE, *FEMALE, *NEUTRAL)
 _TITLES = "|".join(sorted(_ALL, key=len, reverse=True))
-_CAP = r"(?:\p{Lu}[\p{Ll}'\-]+|\p{Lo}{2,32})"
+_PARTICLES = "von|van|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|ter|ten|bin|ibn|al|el"
+_CAP = r"(?:\p{Lu}(?:['’]\p{Lu})?\p{Ll}\p{L}*(?:['’\-]\p{Lu}\p{L}*)*|\p{Lo}{2,32})"
 _SECRET_NAME = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)"
+#: Tokens and keys that their form tells, by how they begin
+_SECRET_FORM = r"AKIA|gh[pousr]_|sk-|eyJ|(?i:\bbearer )|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s{0,2}"
+_PHONE_NAME = r"(?i:\b(?:call|tel|tél|telephone|phone|fax|mobile?|handy|teléfono|téléphone)\b\.?:? {0,2})"
 _PASSPORT_NAME = r"(?i:\bpassport(?: (?:no|number|nr)\b)?\.?\s{0,2}[:#]?\s{0,2})"
 _BIRTH_NAME = r"(?i:\b(?:date of birth|dob|born(?: on)?|geboren am|née? le|nacid[oa] el)\b\s{0,2}:?\s{0,2})"
 _STREETS, _STRASSE = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square", "straße|strasse|weg|platz|allee"
 _HEX = "[0-9A-Fa-f]{1,4}"
 TYPES = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": _SECRET_NAME + r"(?=[_\-/+]*+[A-Za-z0-9])[A-Za-z0-9_\-/+]{12,}|(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}|(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@localhost\b",
+    # named ones: long, or short with a digit, or in quotes
+    "secret": rf"{_SECRET_NAME}(?:(?=[_\-/+]*+[A-Za-z0-9])[A-Za-z0-9_\-/+]{{12,}}|(?=[A-Za-z_\-/+]*+\d)[A-Za-z0-9_\-/+]{{4,}}|(?<=[\"'])[^\"'\s_\-]+)"
+    + r"|(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9\-]{20,}|\beyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]+)?"
+    + r"|(?i:\bbearer )[A-Za-z0-9_\-.=]{12,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s{0,2}[A-Za-z0-9+/=\s]*[A-Za-z0-9+/=]",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    # 15 to 34 characters, in groups of four and what is left
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7} ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3}\b|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "birth": _BIRTH_NAME + r"(?:\d{1,2}[./\-]\d{1,2}[./\-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})(?!\d)",
     "passport": _PASSPORT_NAME + r"[A-Z]{0,2}\d{6,9}\b",
     "card": r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
+    "phone": rf"{_PHONE_NAME}0\d{{1,4}}(?:[ /\-]?\d{{2,8}}){{1,3}}(?!\d)|" + r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
     "street": rf"\b\d{{1,5}} (?:\p{{Lu}}[\p{{L}}'\-]+ ){{1,3}}(?:{_STREETS})\b|\b\p{{Lu}}\p{{L}}{{2,40}}?(?:{_STRASSE}) \d{{1,4}}\b",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAP}(?: {_CAP})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:(?:{_PARTICLES}) ){{0,3}}{_CAP}(?:(?: (?:{_PARTICLES})){{0,3}} {_CAP})?",
 }
+#: A name's part or what is between such; together they are the whole text
+_WORD = r"\p{L}+(?:['’\-]\p{Lu}\p{L}*)*|\P{L}+"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Cheaper to look for, and in every text that PATTERN is in; by type: e-mail; card, ssn, passport and local phone numbers; ip and dates; secrets and IPv6;
-#: international phone numbers, which may come in pairs; IBANs, of which only two digits are sure; streets; names
-MAYBE = rf"@|[0-9]{{3}}|[0-9][./\-][0-9]|[=:]|[0-9a-f]{{8}}|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9] \p{{Lu}}|[egz] [0-9]|(?<!\p{{L}})(?:{_TITLES})[. ]"
+#: international phone numbers, which may come in pairs, and national ones after a word; IBANs, of which only two digits are sure; streets; names
+MAYBE = rf"@|[0-9]{{3}}|[0-9][./\-][0-9]|[=:]|[0-9a-f]{{8}}|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9] \p{{Lu}}|[egz] [0-9]|AKIA|gh[pousr]_|sk-|eyJ|(?i:bearer )|-----BEGIN|(?<!\p{{L}})(?:{_TITLES})[. ]"
 #: What a mention keeps
-_BEFORE = {"secret": _SECRET_NAME, "birth": _BIRTH_NAME, "passport": _PASSPORT_NAME, "name": rf"(?:{_TITLES})\.? "}
+_BEFORE = {"secret": f"(?:{_SECRET_NAME}|{_SECRET_FORM})", "phone": _PHONE_NAME, "birth": _BIRTH_NAME, "passport": _PASSPORT_NAME, "name": rf"(?:{_TITLES})\.? (?:(?:{_PARTICLES}) )*"}
 
 _DIGITS, _NIBBLES = "0123456789", "0123456789abcdef"
 
@@ -107,6 +120,11 @@ def _before(kind: Column, mention: Column) -> Column:
     return out
 
 
+def _own(kind: Column, mention: Column) -> Column:
+    """The mention without what it keeps before."""
+    return F.substring(mention, F.length(_before(kind, mention)) + 1, F.length(mention))
+
+
 def _canon(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     return (
@@ -122,12 +140,12 @@ def _canon(kind: Column, mention: Column) -> Column:
 def _parts(kind: Column, mention: Column) -> Column:
     """(kind, canon) of what is to be replaced in a mention: a name's parts, else one."""
     before = _before(kind, mention)
-    own = F.substring(mention, F.length(before) + 1, F.length(mention))
+    own = _own(kind, mention)
     given = F.substring_index(own, " ", 1)
     female = F.when(before.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), True).when(before.rlike(rf"^(?:{'|'.join(MALE)})\.? "), False).otherwise(given.rlike("[aаяαήةת]$") | given.isin(*" ".join(n[1] for n in NAMES.values()).split()))
     first = F.struct(F.when(female, "given_f").otherwise("given_m").alias("kind"), given.alias("canon"))
     last = F.struct(F.lit("surname").alias("kind"), F.substring_index(own, " ", -1).alias("canon"))
-    called = before.rlike(r" .* $| .*зовут $")  # a phrase, after which a single name is a given one
+    called = before.rlike(rf"^(?:{'|'.join(x for x in NEUTRAL if ' ' in x)}) ")  # a phrase, after which a single name is a given one
     name = F.when(own.contains(" "), F.array(first, last)).when(called, F.array(first)).otherwise(F.array(last))
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), _canon(kind, own).alias("canon"))))
 
@@ -229,7 +247,7 @@ def _surrogate(secret: str, kind: Column, canon: Column, attempt: int) -> Column
     local = F.substring_index(canon, "@", 1)
     # all the host's labels but the last, and then one that no real host has
     labels = F.substring(host, F.lit(1), F.length(host) - last_dot - 1)
-    mail = F.concat(_mapped(local, random, F.lit(0)), F.lit("@"), _mapped(labels, F.reverse(random), F.lit(0)), F.lit(".example."), F.substring(canon, -1 * last_dot, last_dot))
+    mail = F.when(~host.contains("."), F.concat(_mapped(local, random, F.lit(0)), F.lit("@"), host)).otherwise(F.concat(_mapped(local, random, F.lit(0)), F.lit("@"), _mapped(labels, F.reverse(random), F.lit(0)), F.lit(".example."), F.substring(canon, -1 * last_dot, last_dot)))
     address = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, _number(random, i) % 223 + 1).otherwise(_number(random, i) % 256).cast("string")), ".")
     card = _mapped(canon, random, F.lit(1))
     fixed = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(F.substring(card, -1, 1).cast("int") + _luhn(canon) - _luhn(card), F.lit(10)).cast("string"))
@@ -295,20 +313,38 @@ def with_surrogates(docs: DataFrame, secret: str) -> DataFrame:
     has = F.coalesce(text.rlike(MAYBE) & text.rlike(PATTERN), F.lit(False))
     found = rows.where(has).select("_d", "_k", F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("i", "mention")).withColumn("of", _type(F.col("mention")))
     found = written(found.select("*", F.posexplode(_parts(F.col("of"), F.col("mention"))).alias("j", "part")).select("_d", "_k", "i", "j", "mention", "of", "part.kind", "part.canon"))
-    named = found.join(assigned(found.select("kind", "canon"), secret), ["kind", "canon"])
-    piece = F.concat(F.when(F.col("j") == 0, _before(F.col("of"), F.col("mention"))).otherwise(" "), _written(F.col("of"), F.col("mention"), F.col("surrogate")))
+    named = written(found.join(assigned(found.select("kind", "canon"), secret), ["kind", "canon"]))
+    of, mention = F.col("of"), F.col("mention")
+    # a surname's particles stay
+    between = F.regexp_extract(mention, rf"((?: (?:{_PARTICLES}))* )\S+$", 1)
+    piece = F.concat(F.when(F.col("j") == 0, _before(of, mention)).otherwise(between), _written(F.col("kind"), _own(of, mention), F.col("surrogate")))
     # a mention's pieces, then a document's mentions
     whole = named.groupBy("_d", "_k", "i").agg(F.sort_array(F.collect_set(F.struct("j", piece.alias("s")))).alias("of"))
-    lists = whole.groupBy("_d", "_k").agg(F.sort_array(F.collect_list(F.struct("i", F.array_join("of.s", "").alias("s")))).alias("all")).alias("y")
-    dirty = rows.where(has).alias("x").join(lists, F.col("x._d").eqNullSafe(F.col("y._d")) & (F.col("x._k") == F.col("y._k")))
+    lists = whole.groupBy("_d", "_k").agg(F.sort_array(F.collect_list(F.struct("i", F.array_join("of.s", "").alias("s")))).alias("all"))
+    # and what a document's names' parts are replaced by, where they stand alone
+    parts = named.where("of = 'name'").groupBy("_d", "_k", "canon").agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("s"))
+    parts = parts.groupBy("_d", "_k").agg(F.map_from_entries(F.collect_list(F.struct("canon", "s"))).alias("known"))
+    both = lists.alias("y").join(parts.alias("z"), F.col("y._d").eqNullSafe(F.col("z._d")) & (F.col("y._k") == F.col("z._k")), "left").select("y.*", "known").alias("y")
+    dirty = rows.where(has).alias("x").join(both, F.col("x._d").eqNullSafe(F.col("y._d")) & (F.col("x._k") == F.col("y._k")))
     pieces = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("all", i)["s"], F.lit("")))), "")
-    dirty = dirty.select("_row", whole.alias("_text"), F.size("all").cast("long").alias("_entities"))
+    words = lambda p: F.regexp_extract_all(p, F.lit(_WORD), F.lit(0))
+    bare = lambda p: F.array_join(F.transform(words(p), lambda w: F.coalesce(F.element_at("known", w), w)), "")
+    more = F.when(F.col("known").isNotNull(), F.aggregate(pieces, F.lit(0), lambda n, p: n + F.size(F.filter(words(p), lambda w: F.array_contains(F.map_keys("known"), w))))).otherwise(0)
+    shown = lambda p: F.when(F.col("known").isNull(), p).otherwise(bare(p))
+    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(shown(p), F.coalesce(F.get("all", i)["s"], F.lit("")))), "")
+    dirty = dirty.select("_row", whole.alias("_text"), (F.size("all") + more).cast("long").alias("_entities"))
     clean = rows.where(~has).select("_row", text.alias("_text"), F.lit(0).cast("long").alias("_entities"))
     return dirty.union(clean).select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "_entities")
 
 
+def key_of(spark: SparkSession) -> str:
+    """The setting KEY; where it is unset, a random one that this session keeps."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text with surrogates, and the number of entities; the key is the setting KEY, which has to be kept secret."""
+    """Each document's text with surrogates, and the number of entities; the key is the setting KEY, which has to be kept secret, or the session's own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_surrogates(docs, secret=spark.conf.get(KEY, "set your own")).select("doc_id", F.col("_entities").alias("n_entities"), "text")
+    return with_surrogates(docs, secret=key_of(spark)).select("doc_id", F.col("_entities").alias("n_entities"), "text")
