@@ -38,15 +38,15 @@ def _fitted(rows: DataFrame, features: list[Column], target: Column, train: Colu
 
 def with_residual_strengths(rows: DataFrame, covariates: list[str]) -> DataFrame:
     """rows with pos_res and neg_res: strengths less what covariates predict of them, learnt on the training rows."""
-    by, train = ["run_id", "fold"], ~F.col("is_test")
-    cov = [F.col(c) for c in covariates]
-    for name in ("pos", "neg"):
-        fit = _fitted(rows, cov, F.col(name), train, by)
-        k = len(cov) + 1
-        fit = fit.withColumnsRenamed({f"beta_{i}": f"_b{i}" for i in range(k)})
-        predicted = sum((F.col(f"_b{i + 1}") * c for i, c in enumerate(cov)), F.col("_b0"))
-        rows = rows.join(fit, by).withColumn(f"{name}_res", F.col(name) - predicted).drop(*[f"_b{i}" for i in range(k)])
-    return rows
+    by, k, cov = ["run_id", "fold"], len(covariates) + 1, [F.col(c) for c in covariates]
+    # one aggregate has the covariates' products, which both fits share, and those with either strength
+    own = [F.when(~F.col("is_test"), f).otherwise(0.0) for f in (F.lit(1.0), *cov)]
+    fit = rows.groupBy(*by).agg(*gram(own, F.when(~F.col("is_test"), F.col("pos")).otherwise(0.0)), *[F.sum(f * F.col("neg")).alias(f"c_{i}") for i, f in enumerate(own)])
+    shared = {f"g_{i}_{j}": f"h_{i}_{j}" for i in range(k) for j in range(i, k)}
+    fit = solved(fit.withColumns({h: F.col(g) for g, h in shared.items()}), k).withColumnsRenamed({f"beta_{i}": f"_pos{i}" for i in range(k)} | {f"c_{i}": f"b_{i}" for i in range(k)} | {h: g for g, h in shared.items()})
+    fit = solved(fit, k).withColumnsRenamed({f"beta_{i}": f"_neg{i}" for i in range(k)})
+    left = {f"{n}_res": F.col(n) - sum((F.col(f"_{n}{i + 1}") * c for i, c in enumerate(cov)), F.col(f"_{n}0")) for n in ("pos", "neg")}
+    return rows.join(fit, by).withColumns(left).drop(*[f"_{n}{i}" for n in ("pos", "neg") for i in range(k)])
 
 
 def design(rows: DataFrame, covariates: list[str]) -> DataFrame:

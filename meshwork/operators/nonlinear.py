@@ -1,110 +1,18 @@
-"""Trees, forests and additive models on strengths, a small fit for each run, fold and network."""
+"""The non-linear models of connectome and full designs, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .additive import additive_predictions
+from .trees import tree_predictions
 
-def _tree(x: np.ndarray, y: np.ndarray) -> list:
-    """A regression tree grown until leaves are pure, as nodes (feature, cut, left, right, value)."""
-    nodes: list = []
-    work = [(np.arange(len(y)), -1, False)]
-    while work:
-        rows, parent, right = work.pop()
-        at = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, float(y[rows].mean())])
-        if parent >= 0:
-            nodes[parent][3 if right else 2] = at
-        best = (1e-12, -1, 0.0)
-        for f in range(x.shape[1]):
-            order = rows[np.argsort(x[rows, f], kind="stable")]
-            v, t = x[order, f], y[order]
-            cut = np.flatnonzero(v[1:] > v[:-1]) + 1
-            if not len(cut):
-                continue
-            sums, total = np.cumsum(t)[cut - 1], t.sum()
-            gain = sums**2 / cut + (total - sums) ** 2 / (len(t) - cut) - total**2 / len(t)
-            i = int(gain.argmax())
-            if gain[i] > best[0]:
-                best = (float(gain[i]), f, float((v[cut[i] - 1] + v[cut[i]]) / 2))
-        if best[1] >= 0:
-            nodes[at][:2] = best[1:]
-            low = x[rows, best[1]] <= best[2]
-            work += [(rows[~low], at, True), (rows[low], at, False)]
-    return nodes
-
-
-def _guess(nodes: list, x: np.ndarray) -> np.ndarray:
-    """All rows go down the tree together, a level at a time."""
-    feature, cut, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
-    at = np.zeros(len(x), np.int64)
-    while len(rows := np.flatnonzero(feature[at] >= 0)):
-        now = at[rows]
-        at[rows] = np.where(x[rows, feature[now]] <= cut[now], left[now], right[now])
-    return value[at]
-
-
-def tree(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
-    return _guess(_tree(x, y), new)
-
-
-def forest(x: np.ndarray, y: np.ndarray, new: np.ndarray, trees: int = 50, seed: int = 0) -> np.ndarray:
-    random = np.random.default_rng(seed)
-    out = np.zeros(len(new))
-    for _ in range(trees):
-        rows = random.integers(len(y), size=len(y))
-        out += _guess(_tree(x[rows], y[rows]), new)
-    return out / trees
-
-
-def additive(x: np.ndarray, y: np.ndarray, new: np.ndarray, knots: int = 20, penalty: float = 0.6) -> np.ndarray:
-    """Penalised cubic B-splines of each feature, and an intercept."""
-
-    def basis(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
-        step = (hi - lo) / (knots - 3) or 1.0
-        t = lo + step * np.arange(-3, knots + 1)
-        v = np.clip(v, lo, hi)[:, None]
-        b = ((v >= t[:-1]) & (v < t[1:])).astype(float)
-        b[v[:, 0] >= t[knots], knots - 1] = 1.0
-        for d in range(1, 4):
-            b = (v - t[: -d - 1]) / (d * step) * b[:, :-1] + (t[d + 1 :] - v) / (d * step) * b[:, 1:]
-        return b
-
-    rough = np.diff(np.eye(knots), 2, axis=0)
-    lows, highs = x.min(0), x.max(0)
-    parts = lambda m: np.hstack([np.ones((len(m), 1)), *[basis(m[:, f], lows[f], highs[f]) for f in range(m.shape[1])]])
-    b, p = parts(x), np.zeros((1 + knots * x.shape[1],) * 2)
-    for f in range(x.shape[1]):
-        at = slice(1 + f * knots, 1 + (f + 1) * knots)
-        p[at, at] = penalty * rough.T @ rough + 1e-6 * np.eye(knots)
-    return parts(new) @ np.linalg.lstsq(b.T @ b + p, b.T @ y, rcond=None)[0]
-
-
-METHODS: dict[str, Callable[..., np.ndarray]] = {"tree": tree, "forest": forest, "additive": additive}
-
-
-def nonlinear_predictions(design: DataFrame, method: str | Callable[..., np.ndarray]) -> DataFrame:
-    """Like linear_predictions, for regression, of the models connectome and full; a group is one fold's samples of one run.
-
-    method: one of METHODS, or any function of (train features, train target, test features).
-    """
-    fit = METHODS[method] if isinstance(method, str) else method
-    features = sorted((c for c in design.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    keys = ["run_id", "fold", "model", "network"]
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_id")
-        test = group["is_test"].to_numpy()
-        x = group[features].to_numpy()
-        x = x[:, x.any(0)] if x.any() else x[:, :1]
-        out = group.loc[test, [*keys, "sample_id"]].assign(y_true=group.loc[test, "y"])
-        return out.assign(y_pred=fit(x[~test], group["y"].to_numpy()[~test], x[test]))
-
-    schema = "run_id int, fold int, model string, network string, sample_id long, y_true double, y_pred double"
-    return design.where("model in ('connectome', 'full')").groupBy(*keys).applyInPandas(one, schema)
+METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {"tree": tree_predictions, "forest": partial(tree_predictions, trees=50), "additive": additive_predictions}
 
 
+def nonlinear_predictions(design: DataFrame, method: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Like linear_predictions, for regression, of the models connectome and full; method: one of METHODS, or any such function of a design."""
+    return (METHODS[method] if isinstance(method, str) else method)(design)

@@ -201,10 +201,12 @@ def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: boo
 
 
 def design_rows(subjects: DataFrame, samples: DataFrame, selected: DataFrame, s: Settings, gaps: bool = False) -> DataFrame:
+    """Each run's and split's samples with their strengths and what covariates leave of them; written, as strengths are dear and read often."""
     rows = roles(samples, s, gaps)
     values = edge_values(subjects, rows, s, gaps)
     blocked = None if "fold" in values.columns else subjects
-    return models.with_residual_strengths(models.strengths(values, selected, rows, blocked), list(s.covariates))
+    own = materialized(models.strengths(values, selected, rows, blocked))
+    return models.with_residual_strengths(own, list(s.covariates))
 
 
 def predictions(rows: DataFrame, s: Settings) -> DataFrame:

@@ -97,6 +97,65 @@ def predicted(keys: str = "fold") -> str:
     return f"{fit},\npred AS (SELECT {by}, sample_id, y AS y_true, beta_0 + beta_1 * f1 + beta_2 * f2 + beta_3 * f3 + beta_4 * f4 AS y_pred FROM d JOIN co USING ({by}) WHERE is_test)"
 
 
+FEATURES = 4
+
+
+def grown(trees: int, depth: int, bins: int = 32) -> tuple[str, ...]:
+    """pred: what trees of equal ranges say; a level is a table of each row's node in each tree."""
+    by, f = "fold, model, network", range(1, FEATURES + 1)
+    at = [f"CAST(greatest(0, least({bins - 1}, coalesce(floor((f{i} - lo{i}) * {bins} / nullif(hi{i} - lo{i}, 0)), 0))) AS INTEGER) AS b{i}" for i in f]
+    ends = ", ".join(f"min(f{i}) FILTER (NOT is_test) AS lo{i}, max(f{i}) FILTER (NOT is_test) AS hi{i}" for i in f)
+    u = "CAST(CAST('0x' || substr(md5('tree:42:' || tree || ':' || sample_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+    times = " + ".join(f"CAST({u} >= {p} AS INTEGER)" for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676))
+    out = [
+        "dd AS (SELECT * FROM d WHERE model IN ('connectome', 'full'))",
+        f"ends AS (SELECT {by}, {ends} FROM dd GROUP BY ALL)",
+        f"bb AS (SELECT {by}, sample_id, is_test, y, {', '.join(at)} FROM dd JOIN ends USING ({by}))",
+        f"n0 AS MATERIALIZED (SELECT *, {times if trees > 1 else 1} AS w, 1 AS node FROM bb, (SELECT unnest(range({trees})) AS tree))",
+    ]
+    for k in range(depth):
+        each = " UNION ALL ".join(f"SELECT {by}, tree, node, w, y, {i - 1} AS feature, b{i} AS b FROM n{k} WHERE NOT is_test AND w > 0 AND node >= {1 << k}" for i in f)
+        cut = " ".join(f"WHEN {i - 1} THEN b{i}" for i in f)
+        out += [
+            f"e{k} AS (SELECT {by}, tree, node, feature, b, sum(w) AS n, sum(w * y) AS s FROM ({each}) GROUP BY ALL)",
+            f"c{k} AS (SELECT *, sum(n) OVER o AS n0, sum(s) OVER o AS s0, sum(n) OVER (o ORDER BY b) AS n1, sum(s) OVER (o ORDER BY b) AS s1 FROM e{k} WINDOW o AS (PARTITION BY {by}, tree, node, feature))",
+            f"g{k} AS (SELECT *, round(s1 * s1 / n1 + (s0 - s1) * (s0 - s1) / (n0 - n1) - s0 * s0 / n0, 6) AS gain FROM c{k} WHERE n1 < n0)",
+            f"x{k} AS (SELECT {by}, tree, node, feature, b AS cut FROM g{k} WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY {by}, tree, node ORDER BY gain DESC, feature, b) = 1)",
+            f"n{k + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node), CASE WHEN feature IS NULL THEN node ELSE 2 * node + CAST(CASE feature {cut} END > cut AS INTEGER) END AS node FROM n{k} n LEFT JOIN x{k} USING ({by}, tree, node))",
+        ]
+    out.append(f"v AS (SELECT {by}, tree, node, CAST(sum(w * y) AS DOUBLE) / sum(w) AS v FROM n{depth} WHERE NOT is_test AND w > 0 GROUP BY ALL)")
+    out.append(f"guess AS (SELECT {by}, sample_id, y AS y_true, avg(v) AS y_pred FROM n{depth} JOIN v USING ({by}, tree, node) WHERE is_test GROUP BY {by}, sample_id, y)")
+    return tuple(out)
+
+
+def basis_sums(knots: int = 10) -> tuple[str, ...]:
+    """sums: products of cubic B-splines; a basis function is listed where it isn't 0, or is next to that."""
+    by, f = "fold, model, network", range(1, FEATURES + 1)
+    ends = ", ".join(f"min(f{i}) FILTER (NOT is_test) AS lo{i}, max(f{i}) FILTER (NOT is_test) AS hi{i}" for i in f)
+    at = " UNION ALL ".join(f"SELECT {by}, sample_id, y, {1 + (i - 1) * knots} AS k, greatest(0.0, least(1.0, coalesce((f{i} - lo{i}) / nullif(hi{i} - lo{i}, 0), 0.0))) * {knots - 3} AS t FROM dd JOIN ends USING ({by}) WHERE NOT is_test" for i in f)
+    values = "(VALUES (0, (1 - u) * (1 - u) * (1 - u) / 6), (1, (3 * u * u * u - 6 * u * u + 4) / 6), (2, (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6), (3, u * u * u / 6)) b(j, v)"
+    return (
+        "dd AS (SELECT * FROM d WHERE model IN ('connectome', 'full'))",
+        f"ends AS (SELECT {by}, {ends} FROM dd GROUP BY ALL)",
+        f"pl AS (SELECT *, CAST(least(floor(t), {knots - 4}) AS INTEGER) AS s, t - least(floor(t), {knots - 4}) AS u FROM ({at}))",
+        f"en AS MATERIALIZED (SELECT {by}, sample_id, y, k + s + j AS i, v FROM pl, LATERAL (SELECT * FROM {values}) UNION ALL SELECT {by}, sample_id, y, 0, 1.0 FROM dd WHERE NOT is_test)",
+        f"sums AS (SELECT {by}, a.i, b.i AS j, sum(a.v * b.v) AS total FROM en a JOIN en b USING ({by}, sample_id) WHERE a.i <= b.i GROUP BY ALL UNION ALL SELECT {by}, i, -1, sum(v * y) FROM en GROUP BY ALL UNION ALL SELECT {by}, -1, -1, sum(y * y) FROM dd WHERE NOT is_test GROUP BY ALL)",
+    )
+
+
+def reweighted(rounds: int) -> tuple[str, ...]:
+    """b<rounds>: coefficients of y on pos and neg after so many steps from 0."""
+    f = ("1.0", "pos", "neg")
+    out = ["b0 AS (SELECT DISTINCT fold, CAST(0 AS DOUBLE) AS k0, CAST(0 AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k2 FROM rows0)"]
+    for k in range(rounds):
+        p = "1 / (1 + exp(-(k0 + k1 * pos + k2 * neg)))"
+        sums = ", ".join([f"sum({a} * {f[j]} * greatest(p * (1 - p), 1e-8)) AS g_{i}_{j}" for i, a in enumerate(f) for j in range(i, 3)] + [f"sum({a} * (y - p)) AS b_{i}" for i, a in enumerate(f)])
+        out.append(f"lg{k} AS (SELECT fold, {sums} FROM (SELECT *, {p} AS p FROM rows0 JOIN b{k} USING (fold) WHERE NOT is_test) GROUP BY fold)")
+        out.append(solved_sql(f"lg{k}", "fold", 3, f"ls{k}"))
+        out.append(f"b{k + 1} AS MATERIALIZED (SELECT fold, k0 + beta_0 AS k0, k1 + beta_1 AS k1, k2 + beta_2 AS k2 FROM b{k} JOIN ls{k} USING (fold))")
+    return tuple(out)
+
+
 BASE = (S, E_, fold(), ROLES, TRAIN, stat())
 CHAIN = (*BASE, MASK, STRENGTH, residual(), design(), predicted())
 
@@ -286,6 +345,10 @@ def oracles() -> dict[str, str]:
     o["residualized_strength"] = _with(*BASE, MASK, STRENGTH, residual(), body=f"SELECT fold, sample_id, {r6('pos_res')} AS pos_res, {r6('neg_res')} AS neg_res FROM rows1 WHERE is_test")
     for model in ("connectome", "covariates", "full", "residuals"):
         o[f"cv_pred_{model}"] = _with(*CHAIN, body=f"SELECT fold, network, sample_id, {r6('y_true')} AS y_true, {r6('y_pred')} AS y_pred FROM pred WHERE model = '{model}'")
+    for name, kind in (("tree", grown(1, 4)), ("forest", grown(10, 3))):
+        o[f"nonlinear_{name}"] = _with(*CHAIN[:-1], *kind, f"met AS ({reg('guess', 'fold, model, network')})", body=f"SELECT fold, model, network, {ROUNDED} FROM met")
+    o["additive_sums"] = _with(*CHAIN[:-1], *basis_sums(), body=f"SELECT fold, model, network, i, j, {r6('total')} AS total FROM sums")
+    o["logistic_coefficients"] = _with(SB, E_, fold(K, 'y'), *BASE[3:], MASK, STRENGTH, *reweighted(4), body="SELECT fold, " + ", ".join(f"{r6(f'k{i}')} AS beta_{i}" for i in range(3)) + " FROM b4")
     o["cv_metrics_regression"] = _with(*CHAIN, MET, body=f"SELECT fold, model, network, {ROUNDED} FROM met")
     o["metrics_large"] = _with("x AS (SELECT l_returnflag, l_extendedprice AS y_true, l_quantity * CAST(1500 AS DOUBLE) AS y_pred FROM lineitem)", f"m AS ({reg('x', 'l_returnflag')})", body=f"SELECT l_returnflag, {ROUNDED} FROM m")
     q = f"CAST(sum(CASE WHEN t = {{}} AND (g > 0.5) = {{}} THEN 1 ELSE 0 END) AS DOUBLE)"  # noqa: F541

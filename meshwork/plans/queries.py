@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import clean, p_of, z_of
-from ..operators import adjust, graph, models, nonlinear, prepare, report, results, scoring, splits
+from ..operators import additive, adjust, graph, models, prepare, report, results, scoring, splits, trees
 from ..operators import edges as E
-from ..operators.logistic import logistic_predictions
+from ..operators.logistic import fit_logistic, logistic_predictions
 from ..operators.vectors import edge_dim, long_edges, matrix_to_vector, nodes_column, vector_to_matrix
 from ..sources.tables import embedding_subjects, materialized, table
 from . import analysis
@@ -274,16 +274,34 @@ def logistic_irls(spark, sf_dir):
     return _clean(scoring.classification_metrics(p).drop("run_id"), *scoring.CLASSIFICATION)
 
 
-def _nonlinear(method: str):
+@query
+def logistic_coefficients(spark, sf_dir):
+    """Coefficients on both strengths after four iterations."""
+    d = models.design(_rows(spark, sf_dir, binary=True), COV).where("model = 'connectome' and network = 'both'")
+    fit = fit_logistic(d, ["fold"], ["f1", "f2"], rounds=4, near=0.0)
+    return _clean(fit.select("fold", *[F.col("beta")[i].alias(f"beta_{i}") for i in range(3)]), *[f"beta_{i}" for i in range(3)])
+
+
+def _curved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.design(_rows(spark, sf_dir), COV).where("model in ('connectome', 'full')")
+
+
+def _nonlinear(predict):
     def of(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = nonlinear.nonlinear_predictions(models.design(_rows(spark, sf_dir), COV), method)
-        return _clean(scoring.regression_metrics(p).drop("run_id"), *scoring.REGRESSION)
+        return _clean(scoring.regression_metrics(predict(_curved(spark, sf_dir))).drop("run_id"), *scoring.REGRESSION)
 
     return of
 
 
-for _method in nonlinear.METHODS:
-    QUERIES[f"nonlinear_{_method}"] = _nonlinear(_method)
+QUERIES["nonlinear_tree"] = _nonlinear(lambda d: trees.tree_predictions(d, depth=4))
+QUERIES["nonlinear_forest"] = _nonlinear(lambda d: trees.tree_predictions(d, trees=10, depth=3))
+QUERIES["nonlinear_additive"] = _nonlinear(additive.additive_predictions)
+
+
+@query
+def additive_sums(spark, sf_dir):
+    """What additive models are fitted from."""
+    return _clean(additive.basis_sums(_curved(spark, sf_dir)).drop("run_id"), "total")
 
 
 # --- metrics and results

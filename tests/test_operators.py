@@ -1,5 +1,6 @@
 """Operators that SQL cannot check, and their properties, against NumPy."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions.stats import critical_z, erfc
-from meshwork.operators import adjust, edges, graph, models, nonlinear, prepare, report, results, scoring, simulate, splits
-from meshwork.operators.logistic import logistic_predictions
+from meshwork.operators import additive, adjust, edges, graph, models, nonlinear, prepare, report, results, scoring, simulate, splits, trees
+from meshwork.operators.logistic import fit_logistic, logistic_predictions
 from meshwork.operators.vectors import check_n_features, edge_dim, infer_n_nodes, long_edges, matrix_to_vector, vector_to_matrix
 from meshwork.plans import analysis
 from meshwork.plans.analysis import Settings
@@ -167,6 +168,8 @@ def test_logistic_against_newton(spark):
     rows = [(0, 0, "connectome", "both", i, i % 4 == 0, float(y[i]), float(f[i, 0]), float(f[i, 1])) for i in range(200)]
     df = spark.createDataFrame(rows, "run_id int, fold int, model string, network string, sample_id long, is_test boolean, y double, f1 double, f2 double")
     got = [r.y_pred for r in logistic_predictions(df).orderBy("sample_id").collect()]
+    # a group of several blocks
+    assert [r.y_pred for r in logistic_predictions(df, block=40).orderBy("sample_id").collect()] == pytest.approx(got, abs=1e-7)
     t = np.arange(200) % 4 != 0
     a, b = np.column_stack([np.ones(200), f]), np.zeros(3)
     for _ in range(30):
@@ -175,15 +178,110 @@ def test_logistic_against_newton(spark):
     assert got == pytest.approx(list(1 / (1 + np.exp(-a[~t] @ b))), abs=1e-5)
 
 
-@pytest.mark.parametrize("method", list(nonlinear.METHODS))
-def test_nonlinear_fits(method):
+def test_logistic_over_many_runs(spark):
+    """A hundred permuted targets; runs of different classes stop on their own, separable ones at the last round."""
+    rng = np.random.default_rng(2)
+    f = rng.normal(size=(60, 2))
+    ys = {run: (rng.random(60) < 0.5).astype(float) for run in range(100)}
+    ys[100] = (f[:, 0] > 0).astype(float)
+    rows = [(run, 0, "connectome", "both", i, i % 3 == 0, float(y[i]), *map(float, f[i])) for run, y in ys.items() for i in range(60)]
+    df = spark.createDataFrame(rows, DESIGN)
+    got = {r.run_id: r.beta for r in fit_logistic(df, ["run_id"], ["f1", "f2"]).collect()}
+    t, x = np.arange(60) % 3 != 0, np.column_stack([np.ones(60), f])
+    assert len(got) == 101 and abs(got[100][1]) > 20
+    for run in range(100):
+        p = 1 / (1 + np.exp(-x[t] @ got[run]))
+        assert x[t].T @ (ys[run][t] - p) == pytest.approx([0, 0, 0], abs=1e-5)
+
+
+DESIGN = "run_id int, fold int, model string, network string, sample_id long, is_test boolean, y double, f1 double, f2 double"
+
+
+def curved(spark, n=300):
     rng = np.random.default_rng(1)
-    x = rng.uniform(-2, 2, size=(300, 2))
+    x = rng.uniform(-2, 2, size=(n, 2))
     y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2
-    guess = nonlinear.METHODS[method](x[:200], y[:200], x[200:])
-    assert np.corrcoef(guess, y[200:])[0, 1] > 0.85
-    if method == "tree":
-        assert nonlinear.tree(x, y, x) == pytest.approx(y)
+    rows = [(run, 0, model, "both", i, i % 3 == 0, float(y[i]), *map(float, x[i])) for run in (0, 1) for model in ("connectome", "covariates") for i in range(n)]
+    return spark.createDataFrame(rows, DESIGN).repartition(3), x, y
+
+
+@pytest.mark.parametrize("method", list(nonlinear.METHODS))
+def test_nonlinear_fits(spark, method):
+    df, x, y = curved(spark)
+    predict = (lambda d: trees.tree_predictions(d, trees=15)) if method == "forest" else method
+    got = nonlinear.nonlinear_predictions(df, predict).collect()
+    assert len(got) == 200 and {r.model for r in got} == {"connectome"}
+    for run in (0, 1):
+        own = {r.sample_id: r for r in got if r.run_id == run}
+        assert np.corrcoef([r.y_true for r in own.values()], [r.y_pred for r in own.values()])[0, 1] > 0.85
+    assert {(r.sample_id, round(r.y_pred, 9)) for r in got if r.run_id == 0} == {(r.sample_id, round(r.y_pred, 9)) for r in got if r.run_id == 1}
+
+
+def test_trees_against_growing_one_by_one(spark):
+    df, x, y = curved(spark)
+    test, bins = np.arange(len(y)) % 3 == 0, 8
+    lo, hi = x[~test].min(0), x[~test].max(0)
+    b = np.clip(np.floor((x - lo) * bins / (hi - lo)), 0, bins - 1).astype(int)
+
+    def draw(tree, i):
+        u = int(hashlib.md5(f"tree:42:{tree}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+        return sum(u >= p for p in trees.POISSON)
+
+    def guess(rows, w, who, depth):
+        mean = (w[rows] * y[rows]).sum() / w[rows].sum()
+        best = (1e-6, None)
+        for f in range(2):
+            for cut in np.unique(b[rows, f])[:-1]:
+                left = b[rows, f] <= cut
+                n, s = [w[rows][m].sum() for m in (left, ~left)], [(w[rows] * y[rows])[m].sum() for m in (left, ~left)]
+                gain = round(s[0] ** 2 / n[0] + s[1] ** 2 / n[1] - sum(s) ** 2 / sum(n), 6)
+                if gain > best[0]:
+                    best = (gain, (f, cut))
+        if depth == 0 or best[1] is None:
+            return dict.fromkeys(who, mean)
+        f, cut = best[1]
+        out = {}
+        for side in (True, False):
+            out |= guess(rows[(b[rows, f] <= cut) == side], w, [i for i in who if (b[i, f] <= cut) == side], depth - 1)
+        return out
+
+    for n in (1, 3):
+        w = [np.array([draw(t, i) if n > 1 else 1 for i in range(len(y))]) for t in range(n)]
+        each = [guess(np.flatnonzero(~test & (w[t] > 0)), w[t], np.flatnonzero(test).tolist(), 3) for t in range(n)]
+        got = trees.tree_predictions(df, trees=n, depth=3, bins=bins).where("run_id = 0").collect()
+        assert [r.y_pred for r in sorted(got, key=lambda r: r.sample_id)] == pytest.approx([np.mean([e[i] for e in each]) for i in np.flatnonzero(test)])
+
+
+def test_trees_of_constant_and_empty_designs(spark):
+    df, _, _ = curved(spark, 30)
+    flat = trees.tree_predictions(df.withColumns({"f1": F.lit(1.0), "f2": F.lit(0.0)})).collect()
+    mean = df.where("not is_test and run_id = 0 and model = 'connectome'").agg(F.avg("y")).first()[0]
+    assert len(flat) == 20 and all(r.y_pred == pytest.approx(mean) for r in flat)
+    assert trees.tree_predictions(df.limit(0), trees=2).count() == additive.additive_predictions(df.limit(0)).count() == 0
+
+
+def test_additive_against_a_dense_solve(spark):
+    df, x, y = curved(spark)
+    t, knots = np.arange(len(y)) % 3 != 0, 10
+    b = np.zeros((len(y), 1 + 2 * knots))
+    b[:, 0] = 1
+    for f in range(2):
+        at = np.clip((x[:, f] - x[t, f].min()) / np.ptp(x[t, f]), 0, 1) * (knots - 3)
+        for j in range(knots):  # a cubic B-spline as a sum of truncated cubes
+            b[:, 1 + f * knots + j] = sum((-1) ** i * c * np.maximum(at + 3 - j - i, 0) ** 3 for i, c in enumerate((1, 4, 6, 4, 1))) / 6
+    assert b[:, 1 : 1 + knots].sum(1) == pytest.approx(np.ones(len(y)))
+    rough, second = np.zeros((21, 21)), np.diff(np.eye(knots), 2, axis=0)
+    for f in range(2):
+        rough[1 + f * knots : 1 + (f + 1) * knots, 1 + f * knots : 1 + (f + 1) * knots] = second.T @ second
+    best = None
+    for penalty in additive.PENALTIES:
+        a = b[t].T @ b[t] + penalty * rough + np.diag([0.0] + [1e-6] * 20)
+        hat = b[t] @ np.linalg.solve(a, b[t].T)
+        score = t.sum() * ((y[t] - hat @ y[t]) ** 2).sum() / (t.sum() - np.trace(hat)) ** 2
+        if best is None or score < best[0]:
+            best = (score, b[~t] @ np.linalg.solve(a, b[t].T @ y[t]))
+    got = additive.additive_predictions(df).where("run_id = 0").orderBy("sample_id").collect()
+    assert [r.y_pred for r in got] == pytest.approx(best[1], abs=1e-5)
 
 
 def test_metrics(spark):
