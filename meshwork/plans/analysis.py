@@ -15,8 +15,8 @@ from ..operators import graph, models, prepare, results, scoring, splits
 from ..operators.adjust import adjusted
 from ..operators.logistic import logistic_predictions
 from ..operators.nonlinear import nonlinear_predictions
-from ..operators.vectors import edge_dim, long_edges
-from ..sources.tables import materialized
+from ..operators.vectors import check_n_features, edge_dim, long_edges
+from ..sources.tables import materialized, surveyed
 
 
 @dataclass(frozen=True)
@@ -101,14 +101,6 @@ def roles(samples: DataFrame, s: Settings, gaps: bool = False) -> DataFrame:
     return prepare.imputed_covariates(rows, list(s.covariates)) if gaps and s.impute else rows
 
 
-def has_gaps(subjects: DataFrame, s: Settings) -> bool:
-    """Whether edge values or covariates are missing."""
-    missing = F.exists("x", lambda v: v.isNull() | F.isnan(v.cast("double")))
-    for c in s.covariates:
-        missing = missing | F.col(c).isNull()
-    return bool(subjects.where(missing).take(1))
-
-
 def edge_values(subjects: DataFrame, rows: DataFrame, s: Settings, gaps: bool) -> DataFrame:
     """(sample_id, edge_id, value), with fold where imputed and residual values depend on it; rows: roles()."""
     values, observed = long_edges(subjects), rows.where("run_id = 0")
@@ -221,12 +213,18 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """All result tables of an analysis, lazily: selection, strengths, predictions, metrics, summary, stability, and with permutations
-    p_values, nbs_edges, nbs_components and tfce_edges."""
+    """All result tables of an analysis: selection, strengths, predictions, metrics, summary, stability, and with permutations
+    p_values, nbs_edges, nbs_components, nbs_diagnostics and tfce_edges.
+
+    Subjects are surveyed first, in one pass, and what can't be analysed is a ValueError (see surveyed); classes may be 0 and 1 or -1 and 1.
+    Selection, strengths and metrics are written, the others are lazy.
+    """
+    n_edges, gaps = surveyed(subjects, list(s.covariates), s.impute, s.task)
+    if s.task == "classification":
+        subjects = subjects.withColumn("y", (F.col("y") > 0).cast("double"))
     samples = folded(subjects, s)
     if s.permutations or s.inner_folds:
         samples = materialized(samples)
-    gaps = has_gaps(subjects, s)
     selected, choice = chosen_mask(subjects, samples, s, gaps)
     selected = materialized(selected)
     rows = design_rows(subjects, samples, selected, s, gaps)
@@ -239,15 +237,13 @@ def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
     if choice is not None:
         out["parameters"] = choice
     if s.permutations:
-        n = subjects.select(F.size("x")).first()[0]
-        from ..operators.vectors import check_n_features
-
-        named = stability.join(F.broadcast(edge_dim(subjects.sparkSession, check_n_features(n))), "edge_id")
+        named = stability.join(F.broadcast(edge_dim(subjects.sparkSession, check_n_features(n_edges))), "edge_id")
         runs = subjects.sparkSession.range(s.permutations + 1).select(F.col("id").cast("int").alias("run_id"))
         names = [f"{m}__mean" for m in scoring.metrics_of(s.task)]
         out["p_values"] = results.permutation_p(summary, names)
         if "nbs" in s.inference:
             out["nbs_edges"], out["nbs_components"], out["nbs_critical"] = graph.nbs(named, runs, s.nbs_threshold, s.n_splits, s.nbs_statistic)
+            out["nbs_diagnostics"] = graph.nbs_diagnostics(out["nbs_edges"], out["nbs_components"], out["nbs_critical"])
         if "tfce" in s.inference:
             out["tfce_edges"] = graph.tfce_p(graph.tfce(named), runs)
     return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections import Counter
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,28 +58,47 @@ def embedding_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", y, {c: v(i) for c, i in COVARIATES.items()}, N_EDGES)
 
 
-def checked(subjects: DataFrame, covariates: list[str], impute: bool = False) -> DataFrame:
-    """subjects, or a ValueError: a missing target always is one, a missing value only without imputation; sizes must agree."""
+def surveyed(subjects: DataFrame, covariates: list[str], impute: bool = False, task: str | None = None) -> tuple[int, bool]:
+    """How many edges samples have, and whether values are missing, from one aggregate over subjects; or a ValueError: for no samples,
+    missing targets, missing values without imputation, differing or impossible numbers of edges, and a target that isn't the task's."""
     from ..operators.vectors import check_n_features
 
-    missing = lambda c: F.col(c).isNull()
+    missing = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    y = F.col("y").cast("double")
     counts = subjects.agg(
         F.count("*").alias("n"),
         F.count_if(missing("y")).alias("y"),
-        F.sum(F.size(F.filter("x", lambda v: v.isNull() | F.isnan(v)))).alias("x"),
+        F.sum(F.size(F.filter("x", lambda v: v.isNull() | F.isnan(v.cast("double"))))).alias("x"),
         F.sum(sum((missing(c).cast("int") for c in covariates), F.lit(0))).alias("c"),
-        F.min(F.size("x")).alias("lo"),
-        F.max(F.size("x")).alias("hi"),
+        F.min(F.coalesce(F.size("x"), F.lit(-1))).alias("lo"),
+        F.max(F.coalesce(F.size("x"), F.lit(-1))).alias("hi"),
+        F.min(y).alias("least"),
+        F.max(y).alias("most"),
+        F.count_if((y != 0) & (y != 1)).alias("other"),
+        F.count_if((y != -1) & (y != 1)).alias("other_signs"),
     ).first()
     if not counts["n"]:
         raise ValueError("there are no samples")
     if counts["y"]:
         raise ValueError(f"the target is missing in {counts['y']} samples")
     if counts["lo"] != counts["hi"]:
-        raise ValueError(f"samples have between {counts['lo']} and {counts['hi']} edges")
-    if (counts["x"] or counts["c"]) and not impute:
+        raise ValueError(f"samples have between {max(counts['lo'], 0)} and {counts['hi']} edges")
+    gaps = bool(counts["x"] or counts["c"])
+    if gaps and not impute:
         raise ValueError(f"{counts['x']} edge values and {counts['c']} covariate values are missing; impute them")
     check_n_features(counts["hi"])
+    if task is not None:
+        if counts["least"] == counts["most"]:
+            raise ValueError("the target has fewer than two values")
+        found = "classification" if not counts["other"] or not counts["other_signs"] else "regression"
+        if found != task:
+            raise ValueError(f"the target looks like {found}, not {task}")
+    return counts["hi"], gaps
+
+
+def checked(subjects: DataFrame, covariates: list[str], impute: bool = False) -> DataFrame:
+    """subjects, or the ValueError of surveyed()."""
+    surveyed(subjects, covariates, impute)
     return subjects
 
 
@@ -109,6 +130,10 @@ def atlas_of(spark: SparkSession, rows: list[dict], n_nodes: int | None = None)
         data = [(i, *[float(r[c]) if c in "xyz" else r[c] for c in names]) for i, r in enumerate(rows)]
     except (TypeError, ValueError) as e:
         raise ValueError("an atlas's x, y and z must be numbers") from e
+    if any(not math.isfinite(r[1 + names.index(c)]) for r in data for c in "xyz"):
+        raise ValueError("an atlas's x, y and z must be finite")
+    if twice := sorted(x for x, n in Counter(r["region"] for r in rows).items() if n > 1):
+        raise ValueError(f"an atlas's regions must differ; {twice} are repeated")
     return spark.createDataFrame(data, "node_id int, " + ", ".join(f"{c} {'double' if c in 'xyz' else 'string'}" for c in names))
 
 
