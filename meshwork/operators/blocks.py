@@ -110,10 +110,10 @@ def _added(names: list[str]):
     return lambda part: [_matrix(part.column(c)).sum(0) for c in names]
 
 
-def statistics(parts: DataFrame, covariates: list[str], least_z: float | None = None) -> DataFrame:
+def statistics(parts: DataFrame, covariates: list[str], least_z: float | None = None, trained: bool = False) -> DataFrame:
     """(run_id, edge_id, fold, n, r, z) over each fold's training part, of moments(): all, or those with |z| above least_z.
 
-    The same as edges.statistics(edges.train_moments(...)), on a block's arrays.
+    The same as edges.statistics(edges.train_moments(...)), on a block's arrays.  trained: a fold's sums are those of its training part already.
     """
     full, other = _names(covariates)
     names = [*full, *other]
@@ -122,22 +122,22 @@ def statistics(parts: DataFrame, covariates: list[str], least_z: float | None =
         block, folds = None, {}
         for key, arrays in _held(_added(names), lambda key, arrays: (key, arrays), batches):
             if key[:2] != block and folds:
-                yield from _tested(block, folds, names, covariates, least_z)
+                yield from _tested(block, folds, names, covariates, least_z, trained)
                 folds = {}
             block = key[:2]
             folds[key[2]] = arrays
         if folds:
-            yield from _tested(block, folds, names, covariates, least_z)
+            yield from _tested(block, folds, names, covariates, least_z, trained)
 
     return _whole(parts).mapInArrow(of, "run_id int, edge_id int, fold int, n long, r double, z double")
 
 
-def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: list[str], covariates: list[str], least_z: float | None) -> Iterator[pa.RecordBatch]:
+def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: list[str], covariates: list[str], least_z: float | None, trained: bool) -> Iterator[pa.RecordBatch]:
     whole = [sum(a) for a in zip(*folds.values(), strict=True)]
     left = ["x", "y", *covariates]
     pairs = [(a, b) for i, a in enumerate(left) for b in left[i:]]
     for fold, own in folds.items():
-        s = {c: a - b for c, a, b in zip(names, whole, own, strict=True)}
+        s = dict(zip(names, own, strict=True)) if trained else {c: a - b for c, a, b in zip(names, whole, own, strict=True)}
         edges, runs = len(s["n"]), len(s["s_y"])
         shape = lambda c: (runs, edges) if c == "s_x_y" else (1, edges) if c == "n" or c == "s_x" or c.startswith("s_x_") else (runs, 1) if c == "s_y" or c.startswith("s_y_") else (1, 1)  # noqa: E731, B023
         s = {c: a.reshape(shape(c)) for c, a in s.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import LEAST_VARIANCE, correlation, critical_z, p_of, z_of
+from ..sources.tables import materialized
 from . import blocks
 
 STATISTICS = ("pearson", "pearson_partial", "spearman", "spearman_partial", "point_biserial", "point_biserial_partial")
@@ -89,12 +90,46 @@ def ordinal_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return rows.withColumns({c: (F.row_number().over(Window.partitionBy(*by).orderBy(c, "sample_id")) - 1).cast("double") for c in columns})
 
 
+def training_ranks(rows: DataFrame, by: list[str], columns: list[str], folds: int) -> DataFrame:
+    """rows (by, sample_id, sample_fold, columns) with each column replaced by an array: for each fold its rank from 0 within the fold's
+    training part, null in the fold that the sample is tested in.  Equal values are in the order of sample_id.
+
+    Rows are sorted once: a rank within a training part is that within all samples less the number of the test part's samples below.
+    """
+    for c in columns:
+        before = Window.partitionBy(*by).orderBy(c, "sample_id").rowsBetween(Window.unboundedPreceding, -1)
+        others = [F.count(F.when(F.col("sample_fold") != k, 1)).over(before).alias(f"_{k}") for k in range(folds)]
+        rows = rows.select(*[x for x in rows.columns if x != c], *others)
+        rows = rows.withColumn(c, F.array(*[F.when(F.col("sample_fold") != k, F.col(f"_{k}").cast("double")) for k in range(folds)])).drop(*[f"_{k}" for k in range(folds)])
+    return rows
+
+
+def _by_part(rows: DataFrame, columns: list[str], folds: int) -> DataFrame:
+    """rows of training_ranks() with a row for each fold that trains on the sample, which (sample_id, fold) then is a sample of."""
+    rows = rows.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("_f <> sample_fold")
+    return rows.withColumns({"sample_id": F.struct("sample_id", F.col("_f").alias("fold")), "sample_fold": F.col("_f"), **{c: F.get(c, F.col("_f")) for c in columns}}).drop("_f")
+
+
+def _ranked_blocks(subjects: DataFrame, samples: DataFrame, covariates: list[str], least_z: float | None) -> DataFrame:
+    """Rank correlations by blocks: each training part's ranks, of edges once for all runs, are samples of their own."""
+    folds = samples.agg(F.max("sample_fold")).first()[0] + 1
+    who = samples.where("run_id = 0").select("sample_id", "sample_fold")
+    ranked = training_ranks(subjects.select("sample_id", F.posexplode("x").alias("edge_id", "x")).join(who, "sample_id"), ["edge_id"], ["x"], folds)
+    lists = ranked.groupBy("sample_id", "sample_fold").agg(F.sort_array(F.collect_list(F.struct("edge_id", "x"))).alias("e"))
+    in_fold = lambda k: F.transform("e", lambda e: F.get(e["x"], F.lit(k)))
+    parts = F.array(*map(in_fold, range(folds)))
+    own = materialized(_by_part(lists.select("sample_id", "sample_fold", parts.alias("x")), ["x"], folds).select("sample_id", "x"))
+    columns = ["y", *covariates]
+    targets = _by_part(training_ranks(samples, ["run_id"], columns, folds), columns, folds)
+    return blocks.statistics(blocks.moments(own, targets, covariates), covariates, least_z, trained=True)
+
+
 def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None, least_z: float | None = None) -> DataFrame:
     """run_id, edge_id, fold, n, r, z, p of each edge in the training part of each fold, by one of STATISTICS.
 
-    samples: run_id, sample_id, sample_fold, y, covariates.  Spearman's ranks are taken within each training part, so it
-    expands the samples by folds; the others don't.  With subjects (sample_id, x array), which must not have missing values,
-    sums are taken by blocks of edges and runs, and with least_z only edges whose |z| is above it are listed.
+    samples: run_id, sample_id, sample_fold, y, covariates.  With subjects (sample_id, x array), which must not have missing values,
+    sums are taken by blocks of edges and runs, and with least_z only edges whose |z| is above it are listed.  Spearman's ranks are
+    those within each training part, so it has a sample's ranks once for each; without subjects it sorts each training part.
     """
     if method not in STATISTICS:
         raise NotImplementedError(f"{method} is none of {STATISTICS}")
@@ -102,6 +137,9 @@ def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates
     if method.endswith("_partial") and not used:
         raise ValueError(f"{method} needs covariates")
     samples = samples.select("run_id", "sample_id", "sample_fold", "y", *used)
+    if subjects is not None and method.startswith("spearman"):
+        found = _ranked_blocks(subjects, samples, used, least_z)
+        return found.select("run_id", "edge_id", "fold", "n", "r", "z", p_of(F.col("z")).alias("p"))
     if not method.startswith("spearman"):
         if subjects is not None:
             found = blocks.statistics(blocks.moments(subjects, samples, used), used, least_z)

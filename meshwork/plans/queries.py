@@ -174,7 +174,8 @@ def _statistic(method: str, covariates: list[str], binary: bool = False):
     def of(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = embedding_subjects(spark, sf_dir)
         s = _binary(s) if binary else s
-        out = E.edge_statistic(method, long_edges(s), _samples(s), covariates)
+        # edge_pearson shows the rows, the others the blocks
+        out = E.edge_statistic(method, long_edges(s), _samples(s), covariates, None if method == "pearson" else s)
         return _clean(out.select("fold", "edge_id", "n", "r", "z"), "r", "z")
 
     return of

@@ -426,3 +426,17 @@ def test_streamed_moments(spark, subjects, tmp_path):
 def test_masks_and_models_are_lazy(subjects):
     rows = models.strengths(long_edges(subjects), subjects.sparkSession.createDataFrame([(0, 0, 1, "positive")], "run_id int, fold int, edge_id int, network string"), subjects.select(F.lit(0).alias("run_id"), F.lit(0).alias("fold"), "sample_id"))
     assert rows.where("neg <> 0").count() == 0 and rows.count() == 120
+
+
+def test_ranks_of_training_parts_by_one_sort(spark, subjects):
+    """Blocks and rows agree on all runs, with ties, and the analysis takes the blocks."""
+    tied = subjects.withColumns({"x": F.transform("x", lambda v: F.round(v, 1)), "c1": F.round("c1", 0), "y": F.round("y", 1)})
+    samples = analysis.folded(tied, Settings(folds=4, permutations=3))
+    for method in ("spearman", "spearman_partial"):
+        rows, packed = (edges.edge_statistic(method, long_edges(tied), samples, ["c1"], s).collect() for s in (None, tied))
+        key = lambda r: (r.run_id, r.fold, r.edge_id)
+        a, b = sorted(rows, key=key), sorted(packed, key=key)
+        assert [(key(r), r.n) for r in a] == [(key(r), r.n) for r in b]
+        assert [r.r for r in a] == pytest.approx([r.r for r in b]) and [r.z for r in a] == pytest.approx([r.z for r in b])
+        some = edges.edge_statistic(method, long_edges(tied), samples, ["c1"], tied, 2.0).collect()
+        assert {key(r) for r in some} == {key(r) for r in a if abs(r.z) > 2.0}
