@@ -17,7 +17,7 @@ Labels mark documents.  All sentences of clean documents are clean.  A toxic doc
 occur in toxic documents so much more often than in clean ones that, of all words, none would by chance (by the likelihood ratio).  Without any
 such words, each document's most telling word is its first witness, and in turn with fitting the one of highest margin, if that is above 0.
 Witnesses also count with a gap at each place and between all letters.
-A quarter of the labelled documents is left out of this and gives the logistic function, which no margin lowers.
+A quarter of the labelled documents is left out of this and gives the logistic function, which no margin lowers; classes weigh what they do among all labels.
 
 Bounds, of the labelled sample only: MOST_TOXIC and MOST_CLEAN documents, by hash; every text is scored whole.
 
@@ -300,9 +300,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("apart"), pa.array(lists, pa.list_(pa.string()))], ["toxic", "apart", "strings"])
 
 
-def sampled(docs: DataFrame, labels: DataFrame, taught: Column) -> DataFrame:
-    """(doc_id, toxic, text) of the labelled documents to learn from: at most MOST_TOXIC and MOST_CLEAN by hash; taught: of doc_id, which may teach."""
-    known = labels.where(F.col("doc_id").isNotNull() & taught & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def known_labels(labels: DataFrame, taught: Column) -> DataFrame:
+    """(doc_id, toxic) of the labels to learn from; taught: of doc_id, which may teach."""
+    return labels.where(F.col("doc_id").isNotNull() & taught & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def sampled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of labelled documents: at most MOST_TOXIC and MOST_CLEAN by hash."""
     some = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     found = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
     return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
@@ -360,18 +364,19 @@ def _moments(landmarks, w: np.ndarray):
     return of
 
 
-def fit_curve(margins: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def fit_curve(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Slopes (0 at least) and intercept of the logistic function, by Newton steps; targets are drawn in a little, so that classes that don't overlap
     have one too."""
+    weight = np.ones(len(toxic)) if weight is None else weight
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     target = np.where(toxic == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
     full, some = np.column_stack([margins, np.ones(len(margins))]), np.ones(margins.shape[1] + 1, bool)
     while True:
         x, beta = full[:, some], np.zeros(some.sum())
-        loss = lambda b: float((np.logaddexp(0, x @ b) - target * (x @ b)).sum() + 1e-3 * b @ b)  # noqa: B023, E731
+        loss = lambda b: float((weight * (np.logaddexp(0, x @ b) - target * (x @ b))).sum() + 1e-3 * b @ b)  # noqa: B023, E731
         for _ in range(50):
             p = 1 / (1 + np.exp(-(x @ beta)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(len(beta)), x.T @ (target - p) - 2e-3 * beta)
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(len(beta)), x.T @ (weight * (target - p)) - 2e-3 * beta)
             size = 1.0
             while loss(beta + size * step) > loss(beta) and size > 1e-6:
                 size /= 2
@@ -389,7 +394,8 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, landmarks: int = LAN
     """A machine from docs (doc_id, text) and labels (doc_id, toxic)."""
     context = docs.sparkSession.sparkContext
     none = Machine(Table(np.empty(0, tk.U)), np.empty(0), -1.0, np.append(np.zeros(TOP), -800.0))
-    rows = sampled(docs, labels, taught).select("toxic", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(4)) == 0).alias("apart"), "text")
+    known = known_labels(labels, taught)
+    rows = sampled(docs, known).select("toxic", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(4)) == 0).alias("apart"), "text")
     bags = written(rows.repartition(8).mapInArrow(_bags, "toxic int, apart boolean, strings array<string>"))
     counts = {(r["toxic"], r["apart"]): r["count"] for r in bags.groupBy("toxic", "apart").count().collect()}
     if not all(counts.get((t, False)) for t in (0, 1)):
@@ -439,7 +445,10 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, landmarks: int = LAN
     machine = marks.machine(w)
     apart = bags.where("apart") if all(counts.get((t, True)) for t in (0, 1)) else bags
     seen = apart.mapInArrow(_top(context.broadcast(machine)), TOPS).select("toxic", "margins").collect()
-    machine.curve = fit_curve(np.array([r["margins"] for r in seen]), np.array([r["toxic"] for r in seen]))
+    # the classes count as they do among all labels, not as in the sample
+    toxic, all_ = np.array([r["toxic"] for r in seen]), {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weight = np.where(toxic == 1, all_[1] / max((toxic == 1).sum(), 1), all_[0] / max((toxic == 0).sum(), 1))
+    machine.curve = fit_curve(np.array([r["margins"] for r in seen]), toxic, weight / weight.mean())
     drop(bags, words, clean_words)
     return machine
 
