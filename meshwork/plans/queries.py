@@ -516,7 +516,7 @@ def report_node_degrees(spark, sf_dir):
 
 @query
 def report_matrix_order(spark, sf_dir):
-    """Suppliers in the order of their nations' regions, as matrix rows."""
+    """Nations in the order of their regions, as matrix rows."""
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("node_id"), F.col("n_regionkey").cast("string").alias("group"))
     return report.matrix_order(nodes)
 
