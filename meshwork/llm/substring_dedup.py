@@ -1,6 +1,6 @@
 """Substring dedup: every word that lies in a window of `window` words that also starts elsewhere goes.
 
-Relative Lempel-Ziv parsing against all documents.  Each text is parsed into reference blocks at anchors: the anchor of
+In place of a greedy relative Lempel-Ziv parse (see the README) each text is cut into blocks at anchors: the anchor of
 a window is its k-word gram of least hash, and a block is the run of windows with one anchor (at most
 window - k + 1 of them), with the words they span.  Which block a window falls in depends on its own words only, so
 equal windows anywhere have equal anchors at equal places.  The index holds every block of every document.
