@@ -110,10 +110,11 @@ def _added(names: list[str]):
     return lambda part: [_matrix(part.column(c)).sum(0) for c in names]
 
 
-def statistics(parts: DataFrame, covariates: list[str], least_z: float | None = None, trained: bool = False) -> DataFrame:
+def statistics(parts: DataFrame, covariates: list[str], least_z: float | None = None, trained: bool = False, controlled: int | None = None) -> DataFrame:
     """(run_id, edge_id, fold, n, r, z) over each fold's training part, of moments(): all, or those with |z| above least_z.
 
     The same as edges.statistics(edges.train_moments(...)), on a block's arrays.  trained: a fold's sums are those of its training part already.
+    controlled: edges are what the covariates leave of them, and the test controls for all covariates (their number) or none (0).
     """
     full, other = _names(covariates)
     names = [*full, *other]
@@ -122,17 +123,17 @@ def statistics(parts: DataFrame, covariates: list[str], least_z: float | None =
         block, folds = None, {}
         for key, arrays in _held(_added(names), lambda key, arrays: (key, arrays), batches):
             if key[:2] != block and folds:
-                yield from _tested(block, folds, names, covariates, least_z, trained)
+                yield from _tested(block, folds, names, covariates, least_z, trained, controlled)
                 folds = {}
             block = key[:2]
             folds[key[2]] = arrays
         if folds:
-            yield from _tested(block, folds, names, covariates, least_z, trained)
+            yield from _tested(block, folds, names, covariates, least_z, trained, controlled)
 
     return _whole(parts).mapInArrow(of, "run_id int, edge_id int, fold int, n long, r double, z double")
 
 
-def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: list[str], covariates: list[str], least_z: float | None, trained: bool) -> Iterator[pa.RecordBatch]:
+def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: list[str], covariates: list[str], least_z: float | None, trained: bool, controlled: int | None) -> Iterator[pa.RecordBatch]:
     whole = [sum(a) for a in zip(*folds.values(), strict=True)]
     left = ["x", "y", *covariates]
     pairs = [(a, b) for i, a in enumerate(left) for b in left[i:]]
@@ -151,8 +152,9 @@ def _tested(block: tuple[int, int], folds: dict[int, list[np.ndarray]], names: l
                 ok = v[c, c] > all_c[c] * 1e-10
                 v |= {(a, b): v[a, b] - np.where(ok, of(a, c) * of(b, c) / v[c, c], 0.0) for i, a in enumerate(rest) for b in rest[i:]}
             related = lambda yy: np.clip(v["x", "y"] / (np.sqrt(np.maximum(v["x", "x"] * yy, 0.0)) + TINY), -CLAMP, CLAMP)  # noqa: E731, B023
-            varies = all_x / (n - 1) > LEAST_VARIANCE
-            partial, free = related(v["y", "y"]), n - 2 - len(covariates)
+            varies = (all_x if controlled is None else v["x", "x"]) / (n - 1) > LEAST_VARIANCE
+            partial = related(all_y if controlled == 0 else v["y", "y"])
+            free = n - 2 - (len(covariates) if controlled is None else controlled)
             z = np.where(varies, partial * np.sqrt(free / (1 - partial**2)) / np.sqrt(free / (free + 1)), 0.0)
             r = np.where(varies, related(all_y), 0.0)
         run, edge = np.nonzero(np.ones_like(z) if least_z is None else np.abs(z) > least_z)

@@ -90,72 +90,91 @@ def ordinal_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return rows.withColumns({c: (F.row_number().over(Window.partitionBy(*by).orderBy(c, "sample_id")) - 1).cast("double") for c in columns})
 
 
-def training_ranks(rows: DataFrame, by: list[str], columns: list[str], folds: int) -> DataFrame:
-    """rows (by, sample_id, sample_fold, columns) with each column replaced by an array: for each fold its rank from 0 within the fold's
-    training part, null in the fold that the sample is tested in.  Equal values are in the order of sample_id.
+def training_ranks(rows: DataFrame, by: list[str], columns: list[str], parts: int) -> DataFrame:
+    """rows (by, sample_id, trains, columns) with each column replaced by an array: for each part its rank from 0 within the part's training
+    samples, null where the sample isn't one; trains says for each part whether it is.  Equal values are in the order of sample_id.
 
-    Rows are sorted once: a rank within a training part is that within all samples less the number of the test part's samples below.
+    Rows are sorted once: a rank within a training part is the number of its samples before.
     """
     for c in columns:
         before = Window.partitionBy(*by).orderBy(c, "sample_id").rowsBetween(Window.unboundedPreceding, -1)
-        others = [F.count(F.when(F.col("sample_fold") != k, 1)).over(before).alias(f"_{k}") for k in range(folds)]
-        rows = rows.select(*[x for x in rows.columns if x != c], *others)
-        rows = rows.withColumn(c, F.array(*[F.when(F.col("sample_fold") != k, F.col(f"_{k}").cast("double")) for k in range(folds)])).drop(*[f"_{k}" for k in range(folds)])
+        trains = [F.get("trains", F.lit(k)) for k in range(parts)]
+        rows = rows.select(*[x for x in rows.columns if x != c], *[F.count(F.when(t, 1)).over(before).alias(f"_{k}") for k, t in enumerate(trains)])
+        rows = rows.withColumn(c, F.array(*[F.when(t, F.col(f"_{k}").cast("double")) for k, t in enumerate(trains)])).drop(*[f"_{k}" for k in range(parts)])
     return rows
 
 
-def _by_part(rows: DataFrame, columns: list[str], folds: int) -> DataFrame:
-    """rows of training_ranks() with a row for each fold that trains on the sample, which (sample_id, fold) then is a sample of."""
-    rows = rows.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("_f <> sample_fold")
-    return rows.withColumns({"sample_id": F.struct("sample_id", F.col("_f").alias("fold")), "sample_fold": F.col("_f"), **{c: F.get(c, F.col("_f")) for c in columns}}).drop("_f")
+def _by_part(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows of training_ranks() with a row for each part that trains on the sample, which (sample_id, part) then is a sample of."""
+    rows = rows.select("*", F.posexplode("trains").alias("_k", "_in")).where("_in")
+    return rows.withColumns({"sample_id": F.struct("sample_id", F.col("_k").alias("fold")), "sample_fold": F.col("_k"), **{c: F.get(c, F.col("_k")) for c in columns}}).drop("_k", "_in", "trains")
 
 
-def _ranked_blocks(subjects: DataFrame, samples: DataFrame, covariates: list[str], least_z: float | None) -> DataFrame:
-    """Rank correlations by blocks: each training part's ranks, of edges once for all runs, are samples of their own."""
-    folds = samples.agg(F.max("sample_fold")).first()[0] + 1
-    who = samples.where("run_id = 0").select("sample_id", "sample_fold")
-    ranked = training_ranks(subjects.select("sample_id", F.posexplode("x").alias("edge_id", "x")).join(who, "sample_id"), ["edge_id"], ["x"], folds)
-    lists = ranked.groupBy("sample_id", "sample_fold").agg(F.sort_array(F.collect_list(F.struct("edge_id", "x"))).alias("e"))
-    in_fold = lambda k: F.transform("e", lambda e: F.get(e["x"], F.lit(k)))
-    parts = F.array(*map(in_fold, range(folds)))
-    own = materialized(_by_part(lists.select("sample_id", "sample_fold", parts.alias("x")), ["x"], folds).select("sample_id", "x"))
+def _ranked_blocks(subjects: DataFrame, samples: DataFrame, covariates: list[str], parts: int, least_z: float | None) -> DataFrame:
+    """Rank correlations by blocks: each training part's ranks, of edges once for all runs, are samples of their own.
+
+    samples: run_id, sample_id, y, covariates, trains."""
+    who = samples.where("run_id = 0").select("sample_id", "trains")
+    ranked = training_ranks(subjects.select("sample_id", F.posexplode("x").alias("edge_id", "x")).join(who, "sample_id"), ["edge_id"], ["x"], parts)
+    lists = ranked.groupBy("sample_id", "trains").agg(F.sort_array(F.collect_list(F.struct("edge_id", "x"))).alias("e"))
+    in_part = lambda k: F.transform("e", lambda e: F.get(e["x"], F.lit(k)))
+    own = materialized(_by_part(lists.select("sample_id", "trains", F.array(*map(in_part, range(parts))).alias("x")), ["x"]).select("sample_id", "x"))
     columns = ["y", *covariates]
-    targets = _by_part(training_ranks(samples, ["run_id"], columns, folds), columns, folds)
+    targets = _by_part(training_ranks(samples, ["run_id"], columns, parts), columns)
     return blocks.statistics(blocks.moments(own, targets, covariates), covariates, least_z, trained=True)
 
 
-def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None, least_z: float | None = None) -> DataFrame:
+def _used(method: str, covariates: list[str] | None) -> list[str]:
+    """The covariates that a method controls for."""
+    if method not in STATISTICS:
+        raise NotImplementedError(f"{method} is none of {STATISTICS}")
+    if method.endswith("_partial") and not covariates:
+        raise ValueError(f"{method} needs covariates")
+    return list(covariates or []) if method.endswith("_partial") else []
+
+
+def _with_p(found: DataFrame, keys: tuple[str, ...] = ("run_id", "fold")) -> DataFrame:
+    return found.select(*keys, "edge_id", "n", "r", "z", p_of(F.col("z")).alias("p"))
+
+
+def _swept(method: str, covariates: list[str] | None, residual: bool) -> tuple[list[str], int | None]:
+    """The covariates that blocks sweep out of the edges, and how many of them the test controls for (None: all)."""
+    if residual and method.startswith("spearman"):
+        raise NotImplementedError("residuals have to be made to be ranked")
+    used = _used(method, covariates)
+    return (list(covariates or []), len(used)) if residual else (used, None)
+
+
+def edge_statistic(method: str, edges: DataFrame, samples: DataFrame, covariates: list[str] | None = None, subjects: DataFrame | None = None, least_z: float | None = None, residual: bool = False) -> DataFrame:
     """run_id, edge_id, fold, n, r, z, p of each edge in the training part of each fold, by one of STATISTICS.
 
     samples: run_id, sample_id, sample_fold, y, covariates.  With subjects (sample_id, x array), which must not have missing values,
     sums are taken by blocks of edges and runs, and with least_z only edges whose |z| is above it are listed.  Spearman's ranks are
     those within each training part, so it has a sample's ranks once for each; without subjects it sorts each training part.
+    residual (with subjects, not for ranks): of what the covariates leave of the edges, learnt on the training part.  That is never made:
+    its sums with others are the edge's own, once covariates are swept out of them.
     """
-    if method not in STATISTICS:
-        raise NotImplementedError(f"{method} is none of {STATISTICS}")
-    used = list(covariates or []) if method.endswith("_partial") else []
-    if method.endswith("_partial") and not used:
-        raise ValueError(f"{method} needs covariates")
-    samples = samples.select("run_id", "sample_id", "sample_fold", "y", *used)
+    swept, controlled = _swept(method, covariates, residual)
+    samples = samples.select("run_id", "sample_id", "sample_fold", "y", *swept)
     if subjects is not None and method.startswith("spearman"):
-        found = _ranked_blocks(subjects, samples, used, least_z)
-        return found.select("run_id", "edge_id", "fold", "n", "r", "z", p_of(F.col("z")).alias("p"))
+        folds = samples.agg(F.max("sample_fold")).first()[0] + 1
+        trains = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("sample_fold"))
+        return _with_p(_ranked_blocks(subjects, samples.withColumn("trains", trains).drop("sample_fold"), swept, folds, least_z))
+    if subjects is not None:
+        return _with_p(blocks.statistics(blocks.moments(subjects, samples, swept), swept, least_z, controlled=controlled))
+    if residual:
+        raise ValueError("residuals of edges as rows are made by models.residual_edges")
     if not method.startswith("spearman"):
-        if subjects is not None:
-            found = blocks.statistics(blocks.moments(subjects, samples, used), used, least_z)
-            return found.select("run_id", "edge_id", "fold", "n", "r", "z", p_of(F.col("z")).alias("p"))
-        return statistics(train_moments(test_moments(edges, samples, used)), used)
+        return statistics(train_moments(test_moments(edges, samples, swept)), swept)
     folds = samples.select(F.col("sample_fold").alias("fold")).distinct()
     train = samples.join(F.broadcast(folds), F.col("sample_fold") != F.col("fold")).drop("sample_fold")
-    return training_statistic(method, edges, train, used)
+    return training_statistic(method, edges, train, swept)
 
 
 def training_statistic(method: str, values: DataFrame, train: DataFrame, covariates: list[str], keys: tuple[str, ...] = ("run_id", "fold")) -> DataFrame:
     """The keys, edge_id, n, r, z, p over training parts that are listed: values (sample_id, edge_id, value, and the keys that they
     depend on), train (keys, sample_id, y, covariates)."""
-    if method not in STATISTICS:
-        raise NotImplementedError(f"{method} is none of {STATISTICS}")
-    used = list(covariates) if method.endswith("_partial") else []
+    used = _used(method, covariates)
     train = train.select(*keys, "sample_id", "y", *used)
     if method.startswith("spearman"):
         # an edge's ranks depend on who is in the training part, not on the run
@@ -167,6 +186,28 @@ def training_statistic(method: str, values: DataFrame, train: DataFrame, covaria
     return statistics(all_moments(values, train, used, keys), used)
 
 
+def listed_statistic(method: str, subjects: DataFrame, train: DataFrame, covariates: list[str], inner: int = 0, least_z: float | None = None, residual: bool = False) -> DataFrame:
+    """The same as training_statistic() by blocks of edges and runs, where values are the subjects' own (or their residuals, see edge_statistic).
+
+    Training parts may overlap: inner is the number of inner splits of each fold, 0 where train (run_id, fold, sample_id, y, covariates) has no inner_fold.
+    All runs must have the same parts.  Sums are taken once for each part a sample is in; ranks are those of one sort.
+    """
+    swept, controlled = _swept(method, covariates, residual)
+    part = (F.col("fold") * inner + F.col("inner_fold") if inner else F.col("fold")).cast("int")
+    samples = train.select("run_id", "sample_id", part.alias("sample_fold"), "y", *swept)
+    if method.startswith("spearman"):
+        parts = samples.agg(F.max("sample_fold")).first()[0] + 1
+        whose = samples.groupBy("run_id", "sample_id", "y", *swept).agg(F.collect_set("sample_fold").alias("_in"))
+        trains = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.array_contains("_in", k))
+        found = _ranked_blocks(subjects, whose.withColumn("trains", trains).drop("_in"), swept, parts, least_z)
+    else:
+        found = blocks.statistics(blocks.moments(subjects, samples, swept), swept, least_z, True, controlled)
+    if not inner:
+        return _with_p(found)
+    found = found.withColumns({"fold": F.floor(F.col("fold") / inner).cast("int"), "inner_fold": F.col("fold") % inner})
+    return _with_p(found, ("run_id", "fold", "inner_fold"))
+
+
 def selected(statistics: DataFrame, alpha: float) -> DataFrame:
     """The keys and edge_id of edges with p below alpha, by |z|, and their network."""
     keys = [c for c in statistics.columns if c in ("run_id", "fold", "param_id", "inner_fold", "edge_id")]

@@ -84,11 +84,12 @@ def null_maxima(stability: DataFrame, runs: DataFrame, threshold: float, n_folds
 
 
 def nbs_diagnostics(edges: DataFrame, found: DataFrame, critical: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """(network, critical_value, observed_max, n_significant_edges) of what nbs() returns; 0 where a network has no component."""
-    most = found.groupBy("network").agg(F.max("statistic").cast("double").alias("observed_max"))
+    """(network, critical_value, observed_max, n_significant_edges, largest_component_edges, n_significant_components) of what nbs() returns; 0 where a network
+    has no component."""
+    own = found.groupBy("network").agg(F.max("statistic").cast("double").alias("observed_max"), F.max("n_edges").alias("largest_component_edges"), F.count_if("significant").alias("n_significant_components"))
     count = edges.where(F.col("p_value") < alpha).groupBy("network").agg(F.count("*").alias("n_significant_edges"))
-    out = critical.join(most, "network", "left").join(count, "network", "left")
-    return out.select("network", "critical_value", F.coalesce("observed_max", F.lit(0.0)).alias("observed_max"), F.coalesce("n_significant_edges", F.lit(0)).alias("n_significant_edges"))
+    out = critical.join(own, "network", "left").join(count, "network", "left").fillna(0, ["n_significant_edges", "largest_component_edges", "n_significant_components"])
+    return out.select("network", "critical_value", F.coalesce("observed_max", F.lit(0.0)).alias("observed_max"), "n_significant_edges", "largest_component_edges", "n_significant_components")
 
 
 def tfce(stability: DataFrame, n_steps: int = 10, e: float = 0.5, h: float = 2.0) -> DataFrame:
@@ -104,3 +105,10 @@ def tfce(stability: DataFrame, n_steps: int = 10, e: float = 0.5, h: float = 2.0
 def tfce_p(scores: DataFrame, runs: DataFrame) -> DataFrame:
     """(network, node_i, node_j, score, p_value) of run 0."""
     return _exceeding(scores.where("run_id = 0 and score > 0").drop("run_id"), _maxima(scores, runs, "score"), "score", ["network"])
+
+
+def tfce_diagnostics(scores: DataFrame, edges: DataFrame, runs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(network, critical_value, observed_max, n_significant_edges) of scores of all runs and the edges of tfce_p(); 0 where a network has no edge."""
+    critical = _maxima(scores, runs, "score").groupBy("network").agg(F.expr(f"percentile(top, {1 - alpha})").alias("critical_value"))
+    own = edges.groupBy("network").agg(F.max("score").alias("observed_max"), F.count_if(F.col("p_value") < alpha).alias("n_significant_edges"))
+    return critical.join(own, "network", "left").select("network", "critical_value", F.coalesce("observed_max", F.lit(0.0)).alias("observed_max"), F.coalesce("n_significant_edges", F.lit(0)).alias("n_significant_edges"))

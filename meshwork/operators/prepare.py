@@ -70,6 +70,16 @@ def data_summary(subjects: DataFrame, covariates: list[str]) -> DataFrame:
     return subjects.agg(F.count("*").alias("n_samples"), F.max(F.size("x")).cast("long").alias("n_features"), F.lit(len(covariates)).cast("long").alias("n_covariates"), missing.cast("long").alias("n_missing"))
 
 
+def missing_values(subjects: DataFrame, covariates: list[str]) -> DataFrame:
+    """(name, n_missing, share) of the target, each covariate and all edges together, from one pass; NaN is missing too."""
+    gone = lambda v: (v.isNull() | F.isnan(v)).cast("long")
+    columns = {"y": "y", **{c: c for c in covariates}}
+    total = subjects.agg(F.count("*").alias("_n"), F.sum(F.size("x")).alias("_edges"), F.sum(F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + gone(v))).alias("_gone"), *[F.sum(gone(F.col(c))).alias(f"_gone_{c}") for c in columns])
+    one = lambda name, n, of: F.struct(F.lit(name).alias("name"), F.coalesce(n, F.lit(0)).alias("n_missing"), F.coalesce(F.try_divide(n, of), F.lit(0.0)).alias("share"))
+    rows = [one(c, F.col(f"_gone_{c}"), F.col("_n")) for c in columns] + [one("edges", F.col("_gone"), F.col("_edges"))]
+    return total.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """(by, bin, n): equally wide bins from the least to the greatest value, the last one closed; without empty bins."""
     by = by or []

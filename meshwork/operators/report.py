@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .figures import quantiles
+
 # Display order
 MODEL_ORDER = ("covariates", "connectome", "full", "residuals", "increment")
 NETWORK_ORDER = ("positive", "negative", "both")
@@ -51,11 +53,6 @@ def in_order(table: DataFrame) -> DataFrame:
     return table.withColumn("position", _order("model", MODEL_ORDER) * 10 + _order("network", NETWORK_ORDER)).orderBy("position")
 
 
-def parameters_per_fold(table: DataFrame) -> DataFrame:
-    """One row for each fold: its chosen parameters."""
-    return table.dropDuplicates(["fold"])
-
-
 def signed_stability(stability: DataFrame) -> DataFrame:
     """(node_i, node_j, signed): positive less negative stability."""
     signed = F.when(F.col("network") == "positive", F.col("stability")).otherwise(-F.col("stability"))
@@ -100,8 +97,9 @@ def melted(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 
 def boxes(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return long.groupBy(*by).agg(q.alias("_q")).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(("least", "lower", "median", "upper", "greatest"))])
+    """(by, least, lower, median, upper, greatest): what box plots show, exactly (see quantiles)."""
+    found = quantiles(long, by, value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.select(*by, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("least", "lower", "median", "upper", "greatest"))])
 
 
 def fit_lines(df: DataFrame, by: list[str], y: str = "y_true", x: str = "y_pred") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
-from ..operators import graph, models, prepare, results, scoring, splits
+from ..operators import figures, graph, models, prepare, results, scoring, splits
 from ..operators.adjust import adjusted
 from ..operators.logistic import logistic_predictions
 from ..operators.nonlinear import nonlinear_predictions
@@ -112,10 +112,12 @@ def edge_values(subjects: DataFrame, rows: DataFrame, s: Settings, gaps: bool) -
 def edge_table(subjects: DataFrame, samples: DataFrame, s: Settings, method: str | None = None, gaps: bool = False) -> DataFrame:
     """The statistics of all runs' and splits' edges that may be selected."""
     method, cov = method or s.grid[0][0], list(s.covariates)
-    if s.partition and not gaps and not s.residual_edges:
+    if not gaps and not (s.residual_edges and method.startswith("spearman")):
         # without corrections only edges that some alpha lets pass matter
         least = None if any(c for _, c, _ in s.grid) else E.critical_z(max(s.alphas))
-        return E.edge_statistic(method, long_edges(subjects), samples, cov, subjects, least)
+        if s.partition:
+            return E.edge_statistic(method, long_edges(subjects), samples, cov, subjects, least, s.residual_edges)
+        return E.listed_statistic(method, subjects, roles(samples, s).where("not is_test"), cov, 0, least, s.residual_edges)
     rows = roles(samples, s, gaps)
     return E.training_statistic(method, edge_values(subjects, rows, s, gaps), rows.where("not is_test"), cov)
 
@@ -166,12 +168,20 @@ def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: boo
     """
     rows = roles(samples, s, gaps)
     values = edge_values(subjects, rows, s, gaps)
+    blocked = None if "fold" in values.columns else subjects
     outer = rows.where("not is_test").select("run_id", "fold", "sample_id", "y", *s.covariates)
     own = splits.roles(outer.where("run_id = 0").select("fold", "sample_id", "y"), s.inner_splitter, s.inner_folds, s.seed, ["fold"], s.inner_repeats, s.inner_test_share, "inner_fold")
     inner = materialized(outer.join(own, ["fold", "sample_id"]))
     keys = ("run_id", "fold", "inner_fold")
     train = inner.where("not is_test")
-    masks = materialized(grid_masks(lambda method: E.training_statistic(method, values, train, list(s.covariates), keys), s, list(keys)))
+    least = None if any(c for _, c, _ in s.grid) else E.critical_z(max(s.alphas))
+
+    def statistic(method: str) -> DataFrame:
+        if blocked is None:
+            return E.training_statistic(method, values, train, list(s.covariates), keys)
+        return E.listed_statistic(method, subjects, train, list(s.covariates), s.n_inner, least)
+
+    masks = materialized(grid_masks(statistic, s, list(keys)))
     # a number for each run, outer and inner split, as the run that the models group by
     unit = ((F.col("run_id") * s.n_splits + F.col("fold")) * s.n_inner + F.col("inner_fold")).cast("int")
     params = F.explode(F.sequence(F.lit(0), F.lit(len(s.grid) - 1)))
@@ -179,7 +189,7 @@ def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: boo
     if "fold" in values.columns:
         values = values.withColumnRenamed("fold", "unit")
     own_mask = masks.select(unit.alias("run_id"), F.col("fold").alias("unit"), F.col("param_id").alias("fold"), "edge_id", "network")
-    found = models.strengths(values, own_mask, named)
+    found = models.strengths(values, own_mask, named, blocked)
     both = found.select("run_id", "fold", "sample_id", "is_test", "y", F.lit("connectome").alias("model"), F.lit("both").alias("network"), F.col("pos").alias("f1"), F.col("neg").alias("f2"))
     if s.task == "classification":
         guesses = logistic_predictions(both)
@@ -193,12 +203,14 @@ def inner_search(subjects: DataFrame, samples: DataFrame, s: Settings, gaps: boo
 
 
 def design_rows(subjects: DataFrame, samples: DataFrame, selected: DataFrame, s: Settings, gaps: bool = False) -> DataFrame:
-    """Each run's and split's samples with their strengths and what covariates leave of them; written, as strengths are dear and read often."""
+    """Each run's and split's samples with their strengths and what covariates leave of them; written, as strengths are dear and read often.
+
+    Strengths of residual edges aren't sums of these: a sum of residuals is the residual of the sum."""
     rows = roles(samples, s, gaps)
-    values = edge_values(subjects, rows, s, gaps)
-    blocked = None if "fold" in values.columns else subjects
-    own = materialized(models.strengths(values, selected, rows, blocked))
-    return models.with_residual_strengths(own, list(s.covariates))
+    if gaps:
+        return models.with_residual_strengths(materialized(models.strengths(edge_values(subjects, rows, s, gaps), selected, rows)), list(s.covariates))
+    own = models.with_residual_strengths(materialized(models.strengths(long_edges(subjects), selected, rows, subjects)), list(s.covariates))
+    return own.withColumns({"pos": F.col("pos_res"), "neg": F.col("neg_res")}) if s.residual_edges else own
 
 
 def predictions(rows: DataFrame, s: Settings) -> DataFrame:
@@ -214,7 +226,8 @@ def predictions(rows: DataFrame, s: Settings) -> DataFrame:
 
 def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """All result tables of an analysis: selection, strengths, predictions, metrics, summary, stability, and with permutations
-    p_values, nbs_edges, nbs_components, nbs_diagnostics and tfce_edges.
+    p_values, nbs_edges, nbs_components, nbs_diagnostics, tfce_edges and tfce_diagnostics; with inner folds
+    parameters, what each fold chose (by name: params).
 
     Subjects are surveyed first, in one pass, and what can't be analysed is a ValueError (see surveyed); classes may be 0 and 1 or -1 and 1.
     Selection, strengths and metrics are written, the others are lazy.
@@ -235,7 +248,7 @@ def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
     stability = results.stability(selected, s.n_splits)
     out = {"selection": selected, "strengths": strengths, "predictions": guesses, "metrics": metrics, "summary": summary, "stability": stability}
     if choice is not None:
-        out["parameters"] = choice
+        out["parameters"] = figures.named_parameters(choice, s.grid)
     if s.permutations:
         named = stability.join(F.broadcast(edge_dim(subjects.sparkSession, check_n_features(n_edges))), "edge_id")
         runs = subjects.sparkSession.range(s.permutations + 1).select(F.col("id").cast("int").alias("run_id"))
@@ -245,5 +258,7 @@ def run(subjects: DataFrame, s: Settings) -> dict[str, DataFrame]:
             out["nbs_edges"], out["nbs_components"], out["nbs_critical"] = graph.nbs(named, runs, s.nbs_threshold, s.n_splits, s.nbs_statistic)
             out["nbs_diagnostics"] = graph.nbs_diagnostics(out["nbs_edges"], out["nbs_components"], out["nbs_critical"])
         if "tfce" in s.inference:
-            out["tfce_edges"] = graph.tfce_p(graph.tfce(named), runs)
+            scores = graph.tfce(named)
+            out["tfce_edges"] = graph.tfce_p(scores, runs)
+            out["tfce_diagnostics"] = graph.tfce_diagnostics(scores, out["tfce_edges"], runs)
     return out

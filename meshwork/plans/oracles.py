@@ -168,6 +168,7 @@ def reg(source: str, keys: str, digits: int = 6) -> str:
     return f"SELECT {keys}, {ev} AS explained_variance_score, {r} AS pearson_score, avg((y_true - y_pred) * (y_true - y_pred)) AS mean_squared_error, avg(abs(y_true - y_pred)) AS mean_absolute_error FROM {source} GROUP BY {keys}"
 
 
+QUARTILES = (("least", 0), ("lower", 0.25), ("median", 0.5), ("upper", 0.75), ("greatest", 1))
 METRICS = ("explained_variance_score", "pearson_score", "mean_squared_error", "mean_absolute_error")
 MET = f"met AS ({reg('pred', 'fold, model, network')})"
 INC = "inc AS (SELECT a.fold, a.network, " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in METRICS) + " FROM met a JOIN met b USING (fold, network) WHERE a.model = 'full' AND b.model = 'covariates')"
@@ -231,6 +232,10 @@ def histogram(source: str, column: str, bins: int, by: str = "") -> str:
     return _with(ends, body=f"SELECT {keys}CAST(least(coalesce(floor(({column} - lo) * {bins} / nullif(hi - lo, 0)), 0), {bins - 1}) AS INTEGER) AS bin, count(*) AS n FROM {source} {join} WHERE {column} IS NOT NULL GROUP BY ALL")
 
 
+def binned(value: str, lo: str, hi: str, bins: int = 20) -> str:
+    return f"CAST(least(coalesce(floor(({value} - {lo}) * {bins} / nullif({hi} - {lo}, 0)), 0), {bins - 1}) AS INTEGER)"
+
+
 def _adjusted(method: str) -> str:
     w = "PARTITION BY fold"
     up = f"({w} ORDER BY p, edge_id ROWS UNBOUNDED PRECEDING)"
@@ -332,6 +337,11 @@ def oracles() -> dict[str, str]:
     o["permuted_targets"] = _with(S, TARGETS, body=f"SELECT run_id, sample_id, {r6('y')} AS y FROM tg")
     for name, base, k, ranked in (("edge_pearson", S, 0, False), ("edge_pearson_blocked", S, 0, False), ("edge_spearman", S, 0, True), ("edge_point_biserial", SB, 0, False), ("edge_partial_1cov", S, 1, False), ("edge_partial_2cov", S, 2, False), ("edge_spearman_partial", S, 1, True), ("edge_point_biserial_partial", SB, 1, False)):
         o[name] = _statistic(base, k, ranked)
+    gone = (_gram(["c1", "c2"], "x", "t", "fold, edge_id", "xr", "true"), "t2 AS (SELECT t.fold, t.edge_id, sample_id, x - beta_0 - beta_1 * c1 - beta_2 * c2 AS x, y, c1, c2 FROM t JOIN xr USING (fold, edge_id))", stat(0, "t2"))
+    o["edge_residual"] = _with(*BASE[:5], *gone, body=f"SELECT fold, edge_id, n, {r6('r')} AS r, {r6('z')} AS z FROM st")
+    twice = "roles AS (SELECT CAST(r * 5 + k AS INTEGER) AS fold, sample_id, own = k AS is_test, y, c1, c2 FROM (SELECT s.*, r, (row_number() OVER (PARTITION BY r ORDER BY md5('fold:' || (r + 42) || ':' || sample_id), sample_id) - 1) % 5 AS own FROM s, (SELECT unnest(range(2)) AS r)), (SELECT unnest(range(5)) AS k))"
+    for name, ranked in (("", False), ("_spearman", True)):
+        o[f"edge_repeated_splits{name}"] = _with(S, E_, twice, TRAIN, *((RANKED,) if ranked else ()), stat(0, "tr" if ranked else "t"), body=f"SELECT fold, edge_id, n, {r6('r')} AS r, {r6('z')} AS z FROM st")
     o["edge_pvalue"] = _with(*BASE, P, body=f"SELECT fold, edge_id, {r6('p')} AS p FROM p")
     o["edge_select"] = _with(*BASE, MASK, body="SELECT * FROM mask")
     grid = ", ".join(f"({i}, CAST({critical_z(a)!r} AS DOUBLE))" for i, a in enumerate((0.05, 0.01, 0.001)))
@@ -359,10 +369,18 @@ def oracles() -> dict[str, str]:
     o["cv_increment"] = _with(*CHAIN, MET, INC, body=f"SELECT fold, network, {ROUNDED} FROM inc")
     both = "allm AS (SELECT fold, model, network, " + ", ".join(METRICS) + " FROM met UNION ALL SELECT fold, 'increment', network, " + ", ".join(METRICS) + " FROM inc)"
     pairs = ", ".join(f"{r6(f'avg({m})')} AS {m}__mean, {r6(f'stddev_samp({m})')} AS {m}__std" for m in METRICS)
+    left = "ex AS (SELECT r.fold, e.sample_id, e.edge_id, value - beta_0 - beta_1 * c1 - beta_2 * c2 AS value FROM e JOIN roles r USING (sample_id) JOIN xr USING (fold, edge_id))"
+    o["residual_cv_metrics"] = _with(*BASE[:5], *gone, MASK, left, STRENGTH.replace("JOIN e USING (edge_id)", "JOIN ex e USING (fold, edge_id)"), residual(), design(), predicted(), MET, INC, both, body=f"SELECT fold, model, network, {ROUNDED} FROM allm")
     o["cv_summary"] = _with(*CHAIN, MET, INC, both, body=f"SELECT model, network, {pairs} FROM allm GROUP BY 1, 2")
     o["edge_stability"] = _with(*BASE, MASK, STAB, body="SELECT * FROM stab")
     o["stable_edges"] = _with(*BASE, MASK, STAB, body="SELECT edge_id, network, n_selected FROM stab WHERE n_selected > 3")
     o["inner_cv_best_param"] = _with(*_inner(), body=f"SELECT fold, param_id, {r6('mean')} AS mean FROM best")
+    o["report_parameters"] = _with(*_inner(), body="SELECT fold, 'correction: none' || chr(10) || 'method: pearson' || chr(10) || 'threshold: ' || CASE param_id WHEN 0 THEN '0.05' ELSE '0.01' END AS params FROM best")
+    chosen = "v AS (SELECT CASE param_id WHEN 0 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END AS t FROM best)"
+    places = ", ".join(f"{r6(f'quantile_cont(t, {v})')} AS {n}" for n, v in QUARTILES)
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("mean", "std", *(n for n, _ in QUARTILES)))
+    text = " UNION ALL ".join(f"SELECT '{k}', count(*), {none}, 1, '{v}', count(*) FROM v" for k, v in (("method", "pearson"), ("correction", "none")))
+    o["report_parameter_summary"] = _with(*_inner(), chosen, body=f"SELECT 'threshold' AS name, count(*) AS n, {r6('avg(t)')} AS mean, {r6('stddev_samp(t)')} AS std, {places}, CAST(NULL AS BIGINT) AS n_values, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS n_top FROM v UNION ALL {text}")
     by_z, by_p = (f"mask AS (SELECT fold, edge_id, {NETWORK} AS network FROM st_s JOIN best USING (fold) JOIN g USING (param_id) WHERE {x})" for x in ("abs(z) > z_min", "p_adjusted < alpha AND r <> 0"))
     o["nested_cv_metrics"] = _outer(by_z, *_inner())
     o["nested_cv_spearman"] = _outer(by_z, *_inner(ranked=True), ranked=True)
@@ -385,7 +403,8 @@ mm AS (SELECT run_id, model, network, {', '.join(f'avg({m}) AS {m}' for m in MET
     o["nbs_extent_components"] = _rec(*extent, body=f"SELECT {columns} FROM found")
     o["nbs_intensity_components"] = _rec(*intensity, body=f"SELECT {columns} FROM found")
     o["nbs_critical_value"] = _rec(*extent, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value FROM nul GROUP BY 1")
-    o["nbs_diagnostics"] = _rec(*extent, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value, CAST(coalesce((SELECT max(statistic) FROM found WHERE found.network = nul.network), 0) AS DOUBLE) AS observed_max, (SELECT count(*) FROM named JOIN found USING (network, component) WHERE run_id = 0 AND network = nul.network AND p_value < 0.05) AS n_significant_edges FROM nul GROUP BY network")
+    most = "CAST(coalesce((SELECT max(n_edges) FROM found WHERE found.network = nul.network), 0) AS BIGINT) AS largest_component_edges, (SELECT count(*) FROM found WHERE found.network = nul.network AND p_value < 0.05) AS n_significant_components"
+    o["nbs_diagnostics"] = _rec(*extent, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value, CAST(coalesce((SELECT max(statistic) FROM found WHERE found.network = nul.network), 0) AS DOUBLE) AS observed_max, (SELECT count(*) FROM named JOIN found USING (network, component) WHERE run_id = 0 AND network = nul.network AND p_value < 0.05) AS n_significant_edges, {most} FROM nul GROUP BY network")
     bins = "eb AS (SELECT network, CAST(min(top) AS DOUBLE) AS lo, CAST(max(top) AS DOUBLE) AS hi, least(40, greatest(10, count(DISTINCT top))) AS bins FROM nul GROUP BY 1)"
     at = "ab AS (SELECT network, lo, (hi - lo) / bins AS width, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((top - lo) / ((hi - lo) / bins)), bins - 1) END AS INTEGER) AS bin FROM nul JOIN eb USING (network))"
     o["report_null_histogram"] = _rec(*extent, bins, at, body=f"SELECT network, bin, {r6('lo + bin * width')} AS lo, {r6('lo + (bin + 1) * width')} AS hi, count(*) AS n, CAST(coalesce((SELECT max(statistic) FROM found WHERE found.network = ab.network), 0) AS DOUBLE) AS observed FROM ab GROUP BY network, bin, lo, width")
@@ -394,6 +413,7 @@ mm AS (SELECT run_id, model, network, {', '.join(f'avg({m}) AS {m}' for m in MET
     o["tfce_scores"] = _rec(*TFALL, body=f"SELECT run_id, network, node_i, node_j, {r6('score')} AS score FROM sc")
     tnull = NULLS.replace("max(statistic)", "max(score)").replace("LEFT JOIN sz", "LEFT JOIN sc")
     o["tfce_pvalues"] = _rec(*TFALL, tnull, body=f"SELECT network, node_i, node_j, {r6('score')} AS score, {r6(f'(1 + (SELECT count(*) FROM nul WHERE nul.network = sc.network AND top >= score - 1e-12)) / CAST({RUNS + 1} AS DOUBLE)')} AS p_value FROM sc WHERE run_id = 0")
+    o["tfce_diagnostics"] = _rec(*TFALL, tnull, body=f"SELECT network, {r6('quantile_cont(CAST(top AS DOUBLE), 0.95)')} AS critical_value, {r6('coalesce((SELECT max(score) FROM sc WHERE sc.network = nul.network AND run_id = 0), 0)')} AS observed_max, (SELECT count(*) FROM sc WHERE sc.network = nul.network AND run_id = 0 AND score > 0 AND (1 + (SELECT count(*) FROM nul m WHERE m.network = sc.network AND top >= score - 1e-12)) / CAST({RUNS + 1} AS DOUBLE) < 0.05) AS n_significant_edges FROM nul GROUP BY 1")
     observed = (*extent, OBS)
     signed = "sg AS (SELECT node_i, node_j, sum(CASE WHEN network = 'positive' THEN stability ELSE -stability END) AS signed FROM obs GROUP BY 1, 2)"
     o["report_edge_table"] = _rec(*observed, body=f"SELECT 'R' || node_j AS region_a, 'R' || node_i AS region_b, {r6('stability', 5)} AS stability, {r6('p_value', 5)} AS p_value FROM obs")
@@ -404,8 +424,24 @@ mm AS (SELECT run_id, model, network, {', '.join(f'avg({m}) AS {m}' for m in MET
     o["report_matrix_order"] = 'WITH n AS (SELECT CAST(n_nationkey AS INTEGER) AS node_id, CAST(n_regionkey AS VARCHAR) AS g FROM nation) SELECT node_id, g AS "group", CAST(row_number() OVER (ORDER BY g, node_id) - 1 AS INTEGER) AS place, coalesce(lag(g) OVER (ORDER BY g, node_id) <> g, true) AS starts_block FROM n'
     long = "lm AS (" + " UNION ALL ".join(f"SELECT fold, model, network, '{m}' AS metric, {m} AS value FROM met" for m in METRICS) + ")"
     o["report_metrics_melt"] = _with(*CHAIN, MET, long, body=f"SELECT fold, model, network, metric, {r6('value')} AS value FROM lm")
-    quart = ", ".join(f"{r6(f'quantile_cont(value, {v})')} AS {n}" for n, v in (("least", 0), ("lower", 0.25), ("median", 0.5), ("upper", 0.75), ("greatest", 1)))
+    quart = ", ".join(f"{r6(f'quantile_cont(value, {v})')} AS {n}" for n, v in QUARTILES)
     o["report_metrics_box"] = _with(*CHAIN, MET, long, body=f"SELECT model, network, metric, {quart} FROM lm GROUP BY 1, 2, 3")
+    low = ", ".join(f"{r6(f'quantile_cont(l_extendedprice, {v})')} AS {n}" for n, v in (("low", 0.05), ("median", 0.5), ("high", 0.95)))
+    o["report_quantiles"] = f"SELECT l_returnflag, count(*) AS n, {low} FROM lineitem GROUP BY 1"
+    ended = "z AS (SELECT l_returnflag, min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d, count(*) AS m FROM lineitem GROUP BY 1)"
+    o["report_cells"] = _with(ended, body=f"SELECT l_returnflag, {binned('l_quantity', 'a', 'b')} AS x_bin, {binned('l_extendedprice', 'c', 'd')} AS y_bin, count(*) AS n, {r6('count(*) / CAST(any_value(m) AS DOUBLE)')} AS share FROM lineitem JOIN z USING (l_returnflag) GROUP BY 1, 2, 3")
+    facets = "fa AS (SELECT * FROM pred WHERE model = 'connectome' OR model = 'covariates' AND network = 'both'), fe AS (SELECT model, network, min(y_true) AS lo, max(y_true) AS hi FROM fa GROUP BY 1, 2)"
+    o["report_predictions_facets"] = _with(*CHAIN, facets, body=f"SELECT model, network, {binned('y_true', 'lo', 'hi')} AS x_bin, count(*) AS n FROM fa JOIN fe USING (model, network) GROUP BY 1, 2, 3")
+    kinds = "(SELECT unnest(['connectome', 'residuals']) AS model), (SELECT unnest(['positive', 'negative']) AS network)"
+    o["report_strengths_facets"] = _with(*BASE, MASK, STRENGTH, residual(), "ye AS (SELECT min(y) AS lo, max(y) AS hi FROM rows1 WHERE is_test)", body=f"SELECT model, network, {binned('y', 'lo', 'hi')} AS y_bin, count(*) AS n FROM rows1, ye, {kinds} WHERE is_test GROUP BY 1, 2, 3")
+    o["report_class_histogram"] = _with("z AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)", body=f"SELECT o_orderstatus, {binned('o_totalprice', 'lo', 'hi')} AS bin, count(*) AS n FROM orders, z GROUP BY 1, 2")
+    o["report_class_probabilities"] = f"SELECT l_returnflag AS network, CAST(l_extendedprice > 40000.0 AS DOUBLE) AS y_true, {binned('l_quantity / CAST(50 AS DOUBLE)', 'CAST(0 AS DOUBLE)', 'CAST(1 AS DOUBLE)')} AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"
+    level = {c: f"CAST({binned(f'CAST({c} AS DOUBLE)', f'(SELECT CAST(min({c}) AS DOUBLE) FROM orders)', f'(SELECT CAST(max({c}) AS DOUBLE) FROM orders)', 10)} AS VARCHAR)" for c in ("o_totalprice", "o_custkey")} | {c: c for c in ("o_orderstatus", "o_orderpriority")}
+    drawn = list(level)
+    o["report_pair_plot"] = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {level[a]} AS x, {level[b] if a != b else 'CAST(NULL AS VARCHAR)'} AS y, count(*) AS n FROM orders GROUP BY 3, 4" for i, a in enumerate(drawn) for b in drawn[i:])
+    o["report_shares"] = f"SELECT o_orderpriority, o_orderstatus, count(*) AS n, {r6('count(*) / CAST(sum(count(*)) OVER (PARTITION BY o_orderpriority) AS DOUBLE)')} AS share FROM orders GROUP BY 1, 2"
+    holes = "count(*) FILTER ((sample_id * 7 + edge_id) % 11 = 0)"
+    o["missing_values"] = _with(S, E_, body=f"SELECT 'edges' AS name, {holes} AS n_missing, {r6(f'{holes} / CAST(count(*) AS DOUBLE)')} AS share FROM e UNION ALL SELECT 'c1', count(*) FILTER (sample_id % 3 = 0), {r6('count(*) FILTER (sample_id % 3 = 0) / CAST(count(*) AS DOUBLE)')} FROM s UNION ALL VALUES ('y', 0, CAST(0 AS DOUBLE)), ('c2', 0, CAST(0 AS DOUBLE))")
     o["report_fit_lines"] = _with(*CHAIN, body=f"SELECT model, network, count(*) AS n, {r6('corr(y_true, y_pred)')} AS r, {r6('regr_slope(y_true, y_pred)')} AS slope, {r6('regr_intercept(y_true, y_pred)')} AS intercept, {r6('min(y_pred)')} AS x_min, {r6('max(y_pred)')} AS x_max FROM pred WHERE model <> 'covariates' GROUP BY 1, 2")
     o["report_crosstab"] = "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2"
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

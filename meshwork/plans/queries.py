@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import clean, p_of, z_of
-from ..operators import additive, adjust, graph, models, prepare, report, results, scoring, splits, trees
+from ..operators import additive, adjust, figures, graph, models, prepare, report, results, scoring, splits, trees
 from ..operators import edges as E
 from ..operators.logistic import fit_logistic, logistic_predictions
 from ..operators.vectors import edge_dim, long_edges, matrix_to_vector, nodes_column, vector_to_matrix
@@ -193,6 +193,27 @@ for _name, _method, _cov, _bin in (
     QUERIES[_name] = _statistic(_method, _cov, _bin)
 
 
+@query
+def edge_residual(spark, sf_dir):
+    """Correlations of what covariates leave of the edges."""
+    s = embedding_subjects(spark, sf_dir)
+    out = E.edge_statistic("pearson", long_edges(s), _samples(s), COV, s, residual=True)
+    return _clean(out.select("fold", "edge_id", "n", "r", "z"), "r", "z")
+
+
+def _repeated(method: str):
+    def of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        subjects, s = embedding_subjects(spark, sf_dir), Settings(folds=K, splitter="repeated", repeats=2)
+        train = analysis.roles(analysis.folded(subjects, s), s).where("not is_test")
+        return _clean(E.listed_statistic(method, subjects, train, []).select("fold", "edge_id", "n", "r", "z"), "r", "z")
+
+    return of
+
+
+QUERIES["edge_repeated_splits"] = _repeated("pearson")
+QUERIES["edge_repeated_splits_spearman"] = _repeated("spearman")
+
+
 @query
 def edge_pearson_blocked(spark, sf_dir):
     """The same as edge_pearson, by matrix products within tasks."""
@@ -341,6 +362,13 @@ def cv_increment(spark, sf_dir):
     return _clean(m.where("model = 'increment'").drop("run_id", "model"), *scoring.REGRESSION)
 
 
+@query
+def residual_cv_metrics(spark, sf_dir):
+    """Metrics where edges are those without what covariates explain."""
+    out = analysis.run(embedding_subjects(spark, sf_dir), Settings(folds=K, residual_edges=True))
+    return _clean(out["metrics"].drop("run_id"), *scoring.REGRESSION)
+
+
 @query
 def cv_summary(spark, sf_dir):
     out = results.summary(results.with_increment(scoring.regression_metrics(_predictions(spark, sf_dir)))).drop("run_id")
@@ -369,6 +397,23 @@ def inner_cv_best_param(spark, sf_dir):
     return _clean(best.select("fold", "param_id", "mean"), "mean")
 
 
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = embedding_subjects(spark, sf_dir)
+    best, _ = analysis.inner_search(s, analysis.folded(s, _NESTED), _NESTED)
+    return figures.named_parameters(best, _NESTED.grid)
+
+
+@query
+def report_parameters(spark, sf_dir):
+    return figures.parameter_table(_chosen(spark, sf_dir))
+
+
+@query
+def report_parameter_summary(spark, sf_dir):
+    out = figures.parameter_summary(_chosen(spark, sf_dir))
+    return _clean(out, "mean", "std", "least", "lower", "median", "upper", "greatest")
+
+
 @query
 def nested_cv_metrics(spark, sf_dir):
     """Metrics where inner folds choose alpha."""
@@ -474,6 +519,13 @@ def tfce_pvalues(spark, sf_dir):
     return _clean(graph.tfce_p(graph.tfce(stability), runs), "score", "p_value")
 
 
+@query
+def tfce_diagnostics(spark, sf_dir):
+    stability, runs = _permuted_stability(spark, sf_dir)
+    scores = graph.tfce(stability)
+    return _clean(graph.tfce_diagnostics(scores, graph.tfce_p(scores, runs), runs), "critical_value", "observed_max")
+
+
 # --- report tables
 
 
@@ -533,6 +585,64 @@ def report_metrics_box(spark, sf_dir):
     return _clean(report.boxes(long, ["model", "network", "metric"]), "least", "lower", "median", "upper", "greatest")
 
 
+@query
+def report_quantiles(spark, sf_dir):
+    """Exact quantiles of prices by return flag."""
+    out = figures.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return _clean(out.select("l_returnflag", "n", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("low", "median", "high"))]), "low", "median", "high")
+
+
+@query
+def report_cells(spark, sf_dir):
+    """Quantities against prices, a facet for each return flag."""
+    return _clean(figures.cells(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), "share")
+
+
+@query
+def report_predictions_facets(spark, sf_dir):
+    """How many predictions each facet has, and its fullest row's count; all models' facets."""
+    p = _predictions(spark, sf_dir)
+    both = figures.predictions_facets(p).unionByName(figures.predictions_facets(p, "covariates"))
+    return both.groupBy("model", "network", "x_bin").agg(F.sum("n").alias("n"))
+
+
+@query
+def report_strengths_facets(spark, sf_dir):
+    rows = _rows(spark, sf_dir).where("is_test").withColumnRenamed("y", "y_true")
+    return figures.strengths_facets(rows).groupBy("model", "network", "y_bin").agg(F.sum("n").alias("n"))
+
+
+@query
+def report_class_histogram(spark, sf_dir):
+    """How prices are distributed for each status of an order, in bins that all share."""
+    return figures.histogram_by(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus")
+
+
+@query
+def report_class_probabilities(spark, sf_dir):
+    """Guesses that depend on quantity, by whether the price is high."""
+    guesses = _classified(spark, sf_dir).select(F.lit(0).alias("run_id"), F.lit("connectome").alias("model"), F.col("l_returnflag").alias("network"), "y_true", "y_pred")
+    return figures.class_probabilities(guesses)
+
+
+@query
+def report_pair_plot(spark, sf_dir):
+    return figures.pair_plot(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority"], 10)
+
+
+@query
+def report_shares(spark, sf_dir):
+    return _clean(figures.shares(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus"), "share")
+
+
+@query
+def missing_values(spark, sf_dir):
+    """Of subjects with holes in every eleventh edge and some covariates."""
+    s = embedding_subjects(spark, sf_dir)
+    holes = s.withColumns({"x": F.transform("x", lambda v, i: F.when((F.col("sample_id") * 7 + i) % 11 != 0, v)), "c1": F.when(F.col("sample_id") % 3 != 0, F.col("c1"))})
+    return _clean(prepare.missing_values(holes, COV), "share")
+
+
 @query
 def report_fit_lines(spark, sf_dir):
     return _clean(report.fit_lines(_predictions(spark, sf_dir).where("model <> 'covariates'"), ["model", "network"]), "r", "slope", "intercept", "x_min", "x_max")

@@ -175,3 +175,46 @@ def test_blocks_of_many_runs(subjects, monkeypatch):
     keys = ["run_id", "fold", "sample_id"]
     a, b = (rows(models.strengths(long_edges(subjects), mask, roles, x).select(*keys, "pos", "neg"), keys) for x in (None, subjects))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("case", ["pearson", "pearson_partial", "spearman", "spearman_partial"])
+def test_blocks_of_listed_parts_and_residuals(subjects, case):
+    """Blocks and rows agree for overlapping and inner splits, and for edges without what covariates explain."""
+    key = lambda r: tuple(r[k] for k in ("run_id", "fold", "inner_fold", "edge_id") if k in r)
+
+    def same(a, b):
+        a, b = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+        assert a and [(key(r), r.n) for r in a] == [(key(r), r.n) for r in b]
+        assert [r.r for r in a] == pytest.approx([r.r for r in b], abs=1e-9) and [r.z for r in a] == pytest.approx([r.z for r in b], abs=1e-7)
+
+    cov, long = ["c1", "c2"], long_edges(subjects)
+    for more in ({"splitter": "repeated", "repeats": 2}, {"splitter": "shuffle", "test_share": 0.3}):
+        s = Settings(folds=3, permutations=2, method=case, **more)
+        rows = analysis.roles(analysis.folded(subjects, s), s).cache()
+        train = rows.where("not is_test")
+        same(edges.training_statistic(case, long, train, cov), edges.listed_statistic(case, subjects, train, cov))
+        if not case.startswith("spearman"):
+            made = models.residual_edges(long, rows.where("run_id = 0"), cov)
+            same(edges.training_statistic(case, made, train, cov), edges.listed_statistic(case, subjects, train, cov, residual=True))
+    own = splits.roles(train.where("run_id = 0").select("fold", "sample_id", "y"), "shuffle", 2, by=["fold"], name="inner_fold")
+    inner = train.join(own.where("not is_test").drop("is_test"), ["fold", "sample_id"])
+    keys = ("run_id", "fold", "inner_fold")
+    same(edges.training_statistic(case, long, inner, cov, keys), edges.listed_statistic(case, subjects, inner, cov, 2))
+
+
+@pytest.mark.parametrize("more", [{}, {"splitter": "repeated", "repeats": 2}])
+def test_strengths_of_residual_edges_are_residual_strengths(subjects, more):
+    s = Settings(folds=3, permutations=1, residual_edges=True, alphas=(0.3,), **more)
+    out = analysis.run(subjects, s)
+    rows = analysis.roles(analysis.folded(subjects, s), s)
+    made = models.residual_edges(long_edges(subjects), rows.where("run_id = 0"), list(s.covariates))
+    want = models.strengths(made, out["selection"], rows).where("is_test")
+    at = lambda df: {(r.run_id, r.fold, r.sample_id): (r.pos, r.neg) for r in df.collect()}
+    a, b = at(want), at(out["strengths"])
+    assert a.keys() == b.keys() and any(p for p, _ in a.values()) and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_ranks_of_residuals_need_rows(subjects):
+    with pytest.raises(NotImplementedError):
+        edges.listed_statistic("spearman", subjects, subjects, ["c1"], residual=True)
+    assert analysis.run(subjects, Settings(folds=3, method="spearman", residual_edges=True))["metrics"].count() == 45
