@@ -3,15 +3,20 @@
 A text is cut into lines at newlines and after . ! ? before white space, without comment leaders.  A line is normalised (lower case,
 all but letters and digits as one space).  A line, or several that follow one another without a blank line or a sentence's end between
 them (a wrapped notice), is looked up among the known licence sentences; of lines within lines that make the same sentence only the
-fewest count.  That makes the text's sequence of sentence identifiers, by where they begin.  A rule is an ordered sequence of
+fewest count.  That makes the text's sequence of sentence identifiers, by where they begin.  How a notice
+refers to a licence ("is released under the terms of the") becomes one word first, references to several licences and SPDX expressions
+a sentence for each, and what follows a version ("or later") goes.  A rule is an ordered sequence of
 identifiers; it matches where its identifiers follow one another, with at most `GAP` other known sentences between two of them.
 All of it is expressions on a row: no shuffle.
 
-Defined results: a null or empty text has no sentences; known sentences that no rule uses are listed but name no licence.
+Defined results: a null or empty text has no sentences, an empty table no rows; known sentences that no rule uses are listed but name no
+licence.  Repeated rows have a row each with the same result, as a row's result depends on its text alone; further columns, whatever
+their names, aren't read.  Nothing is ranked, so there are no ties.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +37,34 @@ LICENCES = {
     "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgplv2 1"],
     "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lesser general public license v3 0", "lgplv3"],
     "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu affero general public license v3 0", "agplv3"],
-    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0"],
+    "EPL-1.0": ["eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v1 0", "eclipse public license v 1 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license v 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "Zlib": ["zlib license", "zlib libpng license", "the zlib libpng license"],
+    "Artistic-2.0": ["artistic license 2 0", "the artistic license 2 0"],
+    "CDDL-1.0": ["common development and distribution license version 1 0", "common development and distribution license 1 0"],
+    "EUPL-1.2": ["european union public licence v 1 2", "european union public licence 1 2"],
+    "PostgreSQL": ["postgresql license", "the postgresql licence"],
     "Unlicense": ["unlicense"],
     "CC0-1.0": ["cc0 1 0", "cc0 1 0 universal"],
     "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
     "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
     "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
 }
-#: How a notice refers to a licence; a name of "license" may also stand on a line of its own, as a title
-REFERENCES = ("licensed under", "released under", "distributed under", "available under", "this project is licensed under", "this work is licensed under", "this software is licensed under", "this program is licensed under", "this file is licensed under")
+#: The GNU licences' names, and the dates under their titles
+GNU = {"GPL": "general public license", "LGPL": "lesser general public license", "AGPL": "affero general public license"}
+DATED = {"GPL-2.0": "version 2 june 1991", "GPL-3.0": "version 3 29 june 2007", "LGPL-2.1": "version 2 1 february 1999", "LGPL-3.0": "version 3 29 june 2007", "AGPL-3.0": "version 3 19 november 2007"}
+#: The word that stands for how a notice refers to a licence; a name of "license" may also stand on a line of its own, as a title
+REF = "licensedunder"
+#: What REF stands for, at the beginning of a sentence
+REFERRING = r"(?:(?:this|the) (?:project|work|software|program|file|code|library|package|module) is )?(?:dual )?(?:licensed|released|distributed|available|published|provided) under (?:either )?(?:of )?(?:the )?(?:terms of )?(?:the )?"
+#: What may follow the version of a licence
+LATER = r"only|or later|or newer|or any later version|or at your option any later version"
+TAG = "spdx license identifier"
 #: Sentences of the licences' own texts and notices, normalised
 TEXTS = {
-    "apache2-use": ["you may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "apache2-use": ["you may not use this file except in compliance with the license", "licensedunder apache license version 2 0 the license you may not use this file except in compliance with the license"],
     "apache2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0", "you may obtain a copy of the license at"],
     "apache2-basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "apache2-see": ["see the license for the specific language governing permissions and limitations under the license"],
@@ -77,23 +98,38 @@ def _slug(name: str) -> str:
     return short if short.startswith("cc") else re.sub(r"-([0-9])", r"\1", short)
 
 
+def _called(name: str) -> list[str]:
+    """A licence's names; those of a GNU licence by rule as well."""
+    family, _, version = name.rpartition("-")
+    if family not in GNU:
+        return LICENCES[name]
+    numbers = {version.replace(".", " "), version.removesuffix(".0").replace(".", " ")}
+    made = {f"{gnu}{x} {v}{n}" for gnu in ("", "gnu ") for x in (GNU[family], family.lower()) for v in ("version ", "v", "") for n in numbers}
+    return [*LICENCES[name], *sorted(made - set(LICENCES[name]))]
+
+
 def _references() -> dict[str, list[str]]:
-    """For each licence, the sentences that name it: ...-ref, and SPDX tags and titles as ...-tag and ...-title."""
+    """For each licence, the sentences that name it: ...-ref, and SPDX tags, titles and addresses as ...-tag, ...-title and ...-url."""
     out = {}
-    for name, called in LICENCES.items():
-        slug, spdx = _slug(name), re.sub("[^a-z0-9]+", " ", name.lower())
+    for name in LICENCES:
+        slug, spdx, called = _slug(name), re.sub("[^a-z0-9]+", " ", name.lower()), _called(name)
         variants = [spdx, *(f"{spdx} {x}" for x in ("only", "or later") if "GPL" in name)]
-        out[f"{slug}-tag"] = [f"spdx license identifier {x}" for x in variants]
-        out[f"{slug}-ref"] = [f"{verb} {the}{x}" for verb in REFERENCES for x in called for the in ("", "the ")]
-        out[f"{slug}-title"] = [x for x in called if "license" in x and x != "unlicense"]
-    out["apache2-ref"].append("licensed under the apache license version 2 0 the license")
+        out[f"{slug}-tag"] = [f"{begin} {x}" for begin in (TAG, "license") for x in variants] + [f"license {x}" for x in called if x != spdx]
+        out[f"{slug}-ref"] = [f"{REF} {x}" for x in [*called, *([] if spdx in called else [spdx])]]
+        family = name.rpartition("-")[0]
+        titles = [f"gnu {GNU[family]} {DATED[name]}"] if family in GNU else ["apache license version 2 0 january 2004"] if name == "Apache-2.0" else []
+        out[f"{slug}-title"] = [x for x in LICENCES[name] if "licen" in x and x != "unlicense"] + titles
+        # Apache's address is part of its notice
+        places = [] if name == "Apache-2.0" else [f"www gnu org licenses {spdx}{x}" for x in ("", " html", " en html", " txt")] if family in GNU else [f"creativecommons org licenses {spdx[3:]}"] if spdx.startswith("cc by") else [f"{www}opensource org licenses {spdx}" for www in ("", "www ")]
+        out[f"{slug}-url"] = [f"{scheme} {x}" for scheme in ("http", "https") for x in places]
+    out["apache2-ref"].append(f"{REF} apache license version 2 0 the license")
     return {name: forms for name, forms in out.items() if forms}
 
 
 SENTENCES = TEXTS | _references()
 #: A licence, the sentences that name it, in this order, and licences that are more exact
 RULES = [
-    *[(name, [f"{_slug(name)}-{kind}"], ()) for name in LICENCES for kind in ("ref", "tag", "title") if f"{_slug(name)}-{kind}" in SENTENCES],
+    *[(name, [f"{_slug(name)}-{kind}"], ()) for name in LICENCES for kind in ("ref", "tag", "title", "url") if f"{_slug(name)}-{kind}" in SENTENCES],
     ("Apache-2.0", ["apache2-use", "apache2-copy", "apache2-basis"], ()),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-received"], ()),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-received"], ()),
@@ -132,16 +168,33 @@ def _inner(form: str, forms: list[str]) -> str | None:
     return f"(?<![^\n])(?:{'|'.join(shorter)})(?![^\n])" if shorter else None
 
 
+def _plain(lines: Column) -> Column:
+    """Normalised lines with a word for how they refer to licences, and a sentence for each of several licences (four at most)."""
+    # words may be on the next line; of a sentence's words at most 12 are looked through
+    space, words = "[ \n]", "(?:[ \n][a-z0-9]+)"
+    # what a wrapped sentence about "the license" begins a line with is no reference; possessive, so that no part of the phrase is left
+    phrase = REFERRING.replace(" ", space).replace(")?", ")?+")
+    lines = F.regexp_replace(lines, f"(?<=\n){phrase}(?!licen[sc]e[ \n])(?=[a-z0-9])", f"{REF} ")
+    for begin in (REF, TAG):
+        for _ in range(3):
+            lines = F.regexp_replace(lines, f"(\n{begin}{words}{{1,12}}?){space}(?:or|and){space}(?!later|newer|any later|any\nlater|at your)(?:the{space})?(?=[a-z0-9])", f"$1\n\n{begin} ")
+    lines = F.regexp_replace(lines, f"(\n{TAG} [a-z0-9 ]+?) with [a-z0-9 ]+(?=\n)", "$1")
+    lines = F.regexp_replace(lines, f"(\n{REF}{words}{{1,12}}?){space}at your option(?=\n)", "$1")
+    return F.regexp_replace(lines, f"(\n{REF}{words}{{0,12}}[ \n][a-z0-9]*[0-9]){space}(?:{LATER.replace(' ', space)})(?=\n)", "$1")
+
+
 def _found(text: Column) -> Column:
     """The identifiers of the known sentences of text (lower case)."""
     # a sentence's end makes an empty line, as a blank line does
     cut = F.regexp_replace(F.regexp_replace(text, LEADER, ""), r"[.!?](?:[ \t]+|[ \t\r]*(?=\n))", "\n\n")
     lines = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), F.lit("\n")), " ?\n ?", "\n")
+    lines = _plain(lines)
     forms = sorted(((form, name, _inner(form, all_)) for name, all_ in SENTENCES.items() for form in all_), key=lambda x: (len(x[0]), x[0]))
     begins = "|".join(sorted({_wrapped(" ".join(form.split()[:2])) for form, *_ in forms}))
     # from each line that begins as a known sentence does, as many characters as the longest one has, and the one after it
     starts = F.regexp_extract_all(lines, F.lit(rf"(?<=\n)(?=((?:{begins})[ \n][a-z0-9 \n]{{0,{len(forms[-1][0])}}}))"), F.lit(1))
-    known = F.array(*[F.struct(F.lit(form).alias("form"), F.lit(name).alias("id"), F.lit(inner).cast("string").alias("inner")) for form, name, inner in forms])
+    # one literal, as the plan would have some thousand otherwise
+    known = F.from_json(F.lit(json.dumps([{"form": form, "id": name, "inner": inner} for form, name, inner in forms])), "array<struct<form string, id string, inner string>>")
 
     def here(start: Column, x: Column) -> Column:
         n = F.length(x["form"])
@@ -180,8 +233,9 @@ def sql() -> str:
     return rf"""
 WITH known(form, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}), exact(name, better) AS (SELECT DISTINCT * FROM (VALUES {exact})),
 d AS (SELECT doc_id, row_number() OVER () AS r, lower(coalesce(text, '')) AS t FROM documents),
-s AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM d)),
-f AS (SELECT r, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM s JOIN known ON form = trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) GROUP BY r),
+s0 AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM d)),
+s AS (SELECT r, i, regexp_replace(regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), '^{REFERRING}', '{REF} '), '^({REF} .*[0-9]) (?:{LATER})$', '\1') AS s FROM s0),
+f AS (SELECT r, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM s JOIN known ON form = s GROUP BY r),
 n AS (SELECT DISTINCT r, name FROM f JOIN rules ON regexp_matches(' ' || ids || ' ', pattern)),
 m AS (SELECT r, string_agg(name, ' ' ORDER BY name) AS licenses FROM (SELECT * FROM n ANTI JOIN (SELECT n.r, e.name FROM n JOIN exact e ON e.better = n.name) USING (r, name)) GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses

@@ -450,6 +450,39 @@ def test_licenses_of_wrapped_notices(spark):
     assert got[0] == (["mit-ref"], ["MIT"])
 
 
+def test_licences_by_reference(spark):
+    """References in many forms, SPDX expressions, addresses, titles over two lines; and what only looks like one."""
+    cases = [
+        ("Distributed under the terms of the MIT License", ["MIT"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("This project is dual licensed under the MIT License and the Apache License 2.0.", ["Apache-2.0", "MIT"]),
+        ("released under the GNU GPL version 3 or later", ["GPL-3.0"]),
+        ("This library is released under the GNU Lesser\nGeneral Public License v2.1 or\nany later version", ["LGPL-2.1"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", ["Apache-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND ISC */", ["BSD-3-Clause", "GPL-2.0", "ISC"]),
+        ("License: MIT", ["MIT"]),
+        ("https://opensource.org/licenses/MIT", ["MIT"]),
+        ("see\n<https://www.gnu.org/licenses/gpl-3.0.html>\n", ["GPL-3.0"]),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", ["CC-BY-SA-4.0"]),
+        ("Boost Software License - Version 1.0", ["BSL-1.0"]),
+        ("Eclipse Public License v2.0", ["EPL-2.0"]),
+        ("The zlib/libpng License", ["Zlib"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", ["GPL-3.0"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", ["Apache-2.0"]),
+        ("Files that are not licensed under the GPL or the MIT License", []),
+        ("It was released under pressure or the mit license", []),
+        ("The license: MIT or not", []),
+        ("licensedunder", []),
+        ("Software that is\ndistributed under the terms of the license\nis MIT", []),
+        ("SPDX-License-Identifier:", []),
+        ("Licensed under either of", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scanned(df).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(cases)} == dict(cases)
+
+
 def test_published_licences(spark, empty):
     """Notices and texts as their authors publish them."""
     grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.'
