@@ -600,7 +600,7 @@ def report_cells(spark, sf_dir):
 
 @query
 def report_predictions_facets(spark, sf_dir):
-    """How many predictions each facet has, and its fullest row's count; all models' facets."""
+    """How many predictions each column of cells has, in the facets of the network's model and the covariates'."""
     p = _predictions(spark, sf_dir)
     both = figures.predictions_facets(p).unionByName(figures.predictions_facets(p, "covariates"))
     return both.groupBy("model", "network", "x_bin").agg(F.sum("n").alias("n"))
