@@ -1,21 +1,26 @@
-"""Substring dedup: every word that lies in a window of `window` words that also starts elsewhere goes.
+"""Substring dedup by relative Lempel-Ziv parsing: every word that lies in a window of `window` words that also starts
+elsewhere goes.
 
-In place of a greedy relative Lempel-Ziv parse (see the README) each text is cut into blocks at anchors: the anchor of
-a window is its k-word gram of least hash, and a block is the run of windows with one anchor (at most
-window - k + 1 of them), with the words they span.  Which block a window falls in depends on its own words only, so
-equal windows anywhere have equal anchors at equal places.  The index holds every block of every document.
+Index.  Each text is cut into blocks at anchors: the anchor of a window is its k-word gram of least hash, and a block is
+the run of windows with one anchor (at most window - k + 1 of them), with the words they span.  Which block a window
+falls in depends on its own words only, so equal windows anywhere have equal anchors at equal places.  The index holds
+every block of every document; the reference is made of each repeated block's first occurrence, by (doc_id, place).
 
-- A block that is found again whole is a factor: all of its windows start elsewhere.
-- An anchor found nowhere else ends a factor: none of its windows do.
-- Where an anchor is found again in another block (at a factor's boundary, where texts begin to differ), the block's
-  windows are looked up one by one.  Of blocks that occur more than once, one occurrence stands for all.
+Parse.  As a block is in the reference once, a document is parsed greedily from left to right: a factor begins at a block that
+is in the reference and goes on for as long as the next block is the reference's next one in the same document; so none can be longer.  A factor has
+at least `window` words and is a (start, words, reference, reference_start).
 
-Neighbouring factors join to the longest ones; these are the spans to remove.  Per key only counts and least and
-largest hashes are gathered, with partial sums; occurrences are joined, and Spark splits the joins of frequent passages.
-The documents' texts are shuffled once.
+Boundaries.  Where an anchor is found again in another block (at a factor's end, where texts begin to differ), the block's
+windows are looked up one by one among those of other such blocks; those found lengthen factors or are factors themselves.  An anchor found
+nowhere else ends a factor.  So every window that starts elsewhere is in a factor, and no other is.
+
+Per key only counts, least and largest hashes and first places are gathered, with partial sums.  Joins with the index spread the
+rows of its `HOT` most frequent keys over `SALTS` parts, so that no key has more than one in `SALTS` of all rows in a part
+(a key that isn't among them has at most one in `HOT`).  The documents' texts are shuffled once.
 
 Windows are judged on the input.  Blocks are compared by 128 bits of hash (anchor and words), as are windows.  Defined results: a
-null text has no words; rows that repeat a text are documents of their own, also under the same doc_id.
+null text has no words; rows that repeat a text are documents of their own, also under the same doc_id (the reference names them as one);
+no documents give no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +38,10 @@ from . import textkit as tk
 from .shared import written
 
 WINDOW, GRAM = 35, 8
+#: Frequent keys whose rows are spread in joins, and over how many parts
+HOT, SALTS = 1024, 128
+#: The place of a block's or window's first occurrence
+_PLACE = ("doc_id", "key", "at")
 
 
 def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,58 +95,103 @@ def _windows(window: int):
     return of
 
 
-def _cut(window: int):
+def _factors(spans: pa.ListScalar, names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's factors: first words, numbers of words, the spans that they begin with, and those spans' places in the reference.
+
+    spans: (at, m, place) each; names: numbers that tell the places' documents apart.
+    """
+    at, m = (spans.field(c).to_numpy().astype(np.int64) for c in ("at", "m"))
+    place = spans.field("place").field("at").to_numpy().astype(np.int64)
+    order = np.lexsort((-m, at))
+    at, m, place, names = at[order], m[order], place[order], names[order]
+    # a window within a span adds nothing
+    new = at >= np.concatenate(([-1], np.maximum.accumulate(at + m)[:-1]))
+    at, m, place, names, order = at[new], m[new], place[new], names[new], order[new]
+    goes_on = (at[1:] == at[:-1] + m[:-1]) & (names[1:] == names[:-1]) & (np.diff(place) == np.diff(at))
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last] + m[last] - at[first] + window - 1, order[first], place[first]
+
+
+def _parsed(window: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch):
-                out = []
-                for text, at, m in zip(part.column("text"), part.column("at"), part.column("m"), strict=True):
+                spans = part.column("spans")
+                flat = spans.flatten()
+                place = flat.field("place")
+                # a document of the reference by number: its doc_id and its text's key
+                names = np.unique(np.stack([place.field(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("doc_id", "key")], 1), axis=0, return_inverse=True)[1].reshape(-1)
+                end = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+                out, factors, of_span = [], [], []
+                for text, a, b in zip(part.column("text"), np.append(0, end[:-1]).tolist(), end.tolist(), strict=True):
                     words = (text.as_py() or "").encode().split()
-                    n = len(words)
-                    if at.is_valid:
+                    n, found = len(words), 0
+                    if b > a:
+                        start, size, first, at = _factors(flat.slice(a, b - a), names[a:b], window)
                         change = np.zeros(n + 1, np.int64)
-                        at, m = (x.values.to_numpy() for x in (at, m))
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + m + window - 1, -1)
-                        keep = np.cumsum(change[:-1]) == 0
-                        words = [words[i] for i in np.flatnonzero(keep)]
+                        np.add.at(change, start, 1)
+                        np.add.at(change, start + size, -1)
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
+                        factors.append((start, size, at))
+                        of_span.append(first + a)
+                        found = len(start)
                     kept = b" ".join(words)
-                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-                n, removed, sha, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), found))
+                n, removed, sha, kept, found = zip(*out, strict=True)
+                start, size, at = map(np.concatenate, zip(*factors, strict=True)) if factors else (np.empty(0, np.int64),) * 3
+                reference = place.field("doc_id").take(pa.array(np.concatenate(of_span) if of_span else np.empty(0, np.int64)))
+                lists = pa.StructArray.from_arrays([pa.array(start), pa.array(size), reference, pa.array(at)], ["start", "words", "reference", "reference_start"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found)).astype(np.int32)), lists)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), lists], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"])
 
     return of
 
 
+def _indexed(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with index (one row a key, with the number c of its rows), whose most frequent keys are spread."""
+    hot = index.orderBy(F.desc("c"), *keys).limit(HOT).select(*keys, F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*_PLACE), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hot = written(hot)  # at most HOT rows of keys
+    mine = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("hot")
+    theirs = index.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return mine.join(theirs, [*keys, "salt"]).drop("salt")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept of each row of docs (doc_id, text): kept has the words that stay,
-    with a space between."""
+    """doc_id, n_words, n_removed, kept_sha256, kept, factors of each row of docs (doc_id, text): kept has the words that stay,
+    with a space between; factors are (start, words, reference, reference_start) each, in words, the reference a
+    doc_id.  A factor that names its own document and start is the one that others refer to."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     blocks = rows.mapInArrow(_blocks(window, gram), f"doc_id {kind}, key long, anchor long, block long, at int, m int")
-    # written, so that the join reads it by a shuffle of its own and Spark can split a frequent anchor's rows
-    again = written(blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("whole")))
-    found = written(blocks.join(again, "anchor"))
-
-    edge = found.where("not whole")
-    kinds = edge.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "at")).alias("one"))
-    edge = edge.join(kinds, ["anchor", "block"])
-    asked = edge.where(F.col("one").eqNullSafe(F.struct("doc_id", "key", "at"))).dropDuplicates(["anchor", "block"])
-    asked = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "at", "m")).alias("asked"))
-    here = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "key")]
-    windows = asked.alias("y").join(rows.alias("x"), here[0] & here[1]).select("x.doc_id", "x.key", "x.text", "y.asked").mapInArrow(_windows(window), f"doc_id {kind}, key long, anchor long, words long, at int")
-    twice = windows.groupBy("anchor", "words").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "words")
-    single = windows.join(twice, ["anchor", "words"]).select("doc_id", "key", "at", F.lit(1).alias("m"))
-
-    spans = found.where("whole").select("doc_id", "key", "at", "m").union(edge.where("c > 1").select("doc_id", "key", "at", "m")).union(single)
-    spans = spans.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
-    out = rows.alias("x").join(spans.alias("y"), here[0] & here[1], "left").select("x.doc_id", "x.text", "y.at", "y.m")
-    return out.mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    first = F.min(F.struct(*_PLACE))
+    index = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi"), first.alias("place")).where("c > 1")
+    whole = F.col("lo") == F.col("hi")
+    index = written(index.select("anchor", "c", whole.alias("whole"), F.when(whole, F.col("place")).alias("place")))
+    found = written(_indexed(blocks, index, ["anchor"]).drop("c"))
+
+    edge = found.where("not whole").drop("place")
+    kinds = written(edge.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min("m").alias("m"), first.alias("place")))
+    again = _indexed(edge, kinds.where("c > 1").drop("m"), ["anchor", "block"])
+    # of each such block the first occurrence is looked into, window by window
+    asked = kinds.select(*[F.col(f"place.{c}").alias(c) for c in _PLACE], "anchor", "m").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "at", "m")).alias("asked"))
+    here = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.col("x.key").eqNullSafe(F.col("y.key"))
+    windows = asked.alias("y").join(rows.alias("x"), here).select("x.doc_id", "x.key", "x.text", "y.asked").mapInArrow(_windows(window), f"doc_id {kind}, key long, anchor long, words long, at int")
+    twice = written(windows.groupBy("anchor", "words").agg(F.count("*").alias("c"), first.alias("place")).where("c > 1"))
+    single = _indexed(windows, twice, ["anchor", "words"]).withColumn("m", F.lit(1))
+
+    spans = [df.select("doc_id", "key", F.struct("at", "m", "place").alias("span")) for df in (found.where("whole"), again, single)]
+    spans = spans[0].union(spans[1]).union(spans[2]).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    out = rows.alias("x").join(spans.alias("y"), here, "left").select("x.doc_id", "x.text", "y.spans")
+    factors = f"array<struct<start: long, words: long, reference: {kind}, reference_start: long>>"
+    return out.mapInArrow(_parsed(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, factors {factors}")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document without the 35-word passages that repeat."""
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "factors")
 
 
 SQL = r"""

@@ -206,6 +206,61 @@ def test_substring_dedup(docs, rows, empty, window, gram):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("window,gram", [(35, 8), (12, 3)])
+def test_factors_of_substrings(docs, rows, window, gram):
+    """Factors are passages of the reference, and a place that nothing precedes; neighbours can't be joined; they cover what goes."""
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(spaced(t))
+    some = 0
+    for r in substring_dedup.without_repeats(docs, window, gram).collect():
+        covered = set()
+        for f, g in itertools.zip_longest(r.factors, r.factors[1:]):
+            assert f.words >= window
+            passages = [tuple(w[f.start : f.start + f.words]) for w in texts[r.doc_id]]
+            assert any(tuple(w[f.reference_start : f.reference_start + f.words]) in passages for w in texts[f.reference])
+            covered.update(range(f.start, f.start + f.words))
+            if g is not None:
+                joined = g.start == f.start + f.words - window + 1 and g.reference == f.reference and g.reference_start - f.reference_start == g.start - f.start
+                assert g.start > f.start and (not joined or len(texts[f.reference]) > 1)
+            some += f.reference != r.doc_id
+        assert len(covered) == r.n_removed
+    assert some
+
+
+def test_factor_of_a_whole_copy(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x y " + " ".join(words[50:300]) + " z"), (3, " ".join(words[:200] + words[300:]))], "doc_id long, text string")
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.without_repeats(docs).collect()}
+    assert got[2] == [(2, 250, 1, 50)]
+    assert got[3] == [(0, 200, 1, 0), (200, 100, 1, 300)]
+    assert got[1] == [(0, 300, 1, 0), (300, 100, 1, 300)]
+
+
+def test_hot_passages_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    monkeypatch.setattr(substring_dedup, "SALTS", 4)
+    hot = " ".join(f"h{i}" for i in range(60))
+    texts = [f"{' '.join(f'a{i}_{j}' for j in range(i % 50))} {hot} {' '.join(f'b{i}_{j}' for j in range(40))}" for i in range(300)]
+    want = [(i, *x) for i, x in enumerate(removed_words(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(docs).collect()]
+    assert sorted(got) == want
+    assert all(r[2] == 60 for r in want)
+
+
+def test_substring_dedup_of_texts_over_a_chunk(spark):
+    """A text longer than textkit's chunk, and one after it, keep their rows."""
+    rng = random.Random(5)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(250_000))
+    assert len(long) > 1 << 20
+    texts = ["before " * 5, long, " ".join(long.split()[1000:1100]), None, "after"]
+    want = [(i, *x) for i, x in enumerate(removed_words(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(docs).collect()]
+    assert sorted(got) == want
+
+
 def segmentations(word, pieces):
     if not word:
         yield ()
