@@ -6,11 +6,13 @@ how often they occur in all documents, and only document words that are some win
 place of the rarest word within the window gives the only possible start, which must leave room for the window within the document
 (positional and length bounds).  What is left is verified word by word over the window.
 
-The windows are sent to the tasks in blocks of at most `block` windows; however large the benchmark is, a task holds one block at
-a time.  The documents are never shuffled.
+The windows are sent to the tasks in blocks of at most `block` windows.  With more than one, what a block finds is written before
+the next is sent, and the block is destroyed; so however large the benchmark is, driver and tasks hold one block.  With one block
+documents aren't shuffled.
 
 Words are compared by 64 bits of hash each, ten to a window.  Defined results: a null or empty text has no words; a
-null item_id is written as an empty string; rows that repeat an item_id are one item; each row of documents has its own result.
+null item_id is written as an empty string; rows that repeat an item_id are one item; each row of documents has its own result; of equally rare
+words a window's first one is its prefix; without documents there are no rows, without items no hits; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,20 +89,25 @@ def _found(sorted_words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Block:
     """Some windows, by their rarest words: those of prefixes[i] are by[i] to by[i + 1]."""
 
-    def __init__(self, rows: list, rarity: dict[int, int]):
-        self.items, item = np.unique([r["item"] for r in rows] or np.empty(0, str), return_inverse=True)
-        lists = [r["words"] for r in rows]
-        rare = [min(range(len(w)), key=lambda i, w=w: (rarity.get(w[i], 0), i)) for w in lists]
-        key = np.array([w[i] for w, i in zip(lists, rare, strict=True)], np.int64).view(tk.U)
+    def __init__(self, windows: pa.Table, counted: np.ndarray, times: np.ndarray):
+        """windows: (item, words); counted: all their words, sorted, and how many times each occurs in the documents."""
+        names = pa.chunked_array(windows.column("item").chunks, pa.string()).combine_chunks().dictionary_encode()
+        self.items, item = names.dictionary.to_numpy(zero_copy_only=False), names.indices.to_numpy()
+        lists = windows.column("words")
+        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(lists).to_numpy().view(tk.U)
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        words = np.zeros((len(size), size.max(initial=1)), tk.U)
+        words[row, place] = flat
+        often = np.full(words.shape, np.iinfo(np.int64).max)
+        often[row, place] = times[np.searchsorted(counted, flat)]
+        rare = often.argmin(1)
+        key = words[np.arange(len(size)), rare]
         order = np.argsort(key, kind="stable")
-        self.prefixes, by = np.unique(key, return_index=False), None
-        by = np.searchsorted(key[order], self.prefixes)
+        self.prefixes, by = np.unique(key[order], return_index=True)
         self.by = np.append(by, len(order))
-        self.item, self.offset = item[order], np.array(rare, np.int64)[order]
-        self.size = np.array([len(w) for w in lists], np.int64)[order]
-        self.words = np.zeros((len(lists), max(map(len, lists), default=1)), tk.U)
-        for i, j in enumerate(order.tolist()):
-            self.words[i, : self.size[i]] = np.array(lists[j], np.int64).view(tk.U)
+        self.item, self.offset, self.size, self.words = item[order], rare[order], size[order], words[order]
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each occurrence's row, first word, number of words, and item."""
@@ -117,7 +125,7 @@ class Block:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Iterator:
-    """The benchmark's windows as broadcast blocks of at most `block` windows, one at a time."""
+    """The benchmark's windows as broadcast blocks of at most `block` windows, one at a time, each with whether it is the only one."""
     context = docs.sparkSession.sparkContext
     windows = written(item_windows(benchmark, window).withColumn("b", F.monotonically_increasing_id()))
     n = windows.count()
@@ -129,10 +137,14 @@ def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: i
         before[p], total = total, total + sizes[p]
     rank = F.element_at(F.create_map(*[F.lit(x) for p, c in before.items() for x in (p, c)]), F.shiftright("b", 33)) + F.col("b").bitwiseAND((1 << 33) - 1) if before else F.lit(0)
     for i in range(parts):
-        rows = windows.where((rank >= i * block) & (rank < (i + 1) * block)).collect() if n else []
-        words = context.broadcast(np.unique(np.array([x for r in rows for x in r["words"]], np.int64).view(tk.U)))
-        counts = docs.select("text").mapInArrow(_counted(words), "word long, m long").groupBy("word").agg(F.sum("m").alias("m"))
-        yield context.broadcast(Block(rows, {r["word"]: r["m"] for r in counts.collect()}))
+        own = windows.where((rank >= i * block) & (rank < (i + 1) * block)).select("item", "words").toArrow()
+        words = np.unique(pc.list_flatten(own.column("words")).to_numpy().view(tk.U))
+        wanted = context.broadcast(words)
+        counts = docs.select("text").mapInArrow(_counted(wanted), "word long, m long").groupBy("word").agg(F.sum("m").alias("m")).toArrow()
+        wanted.destroy()
+        times = np.zeros(len(words), np.int64)
+        times[np.searchsorted(words, counts.column("word").to_numpy().view(tk.U))] = counts.column("m").to_numpy()
+        yield context.broadcast(Block(own, words, times)), parts == 1
 
 
 def _marked(block):
@@ -166,7 +178,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of each row of docs (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    marked = [rows.mapInArrow(_marked(b), f"doc_id {kind}, key long, n_words long, start array<long>, size array<long>, items array<string>") for b in blocks(docs, benchmark, window, block)]
+    marked = []
+    for b, alone in blocks(docs, benchmark, window, block):
+        found = rows.mapInArrow(_marked(b), f"doc_id {kind}, key long, n_words long, start array<long>, size array<long>, items array<string>")
+        marked.append(found if alone else written(found))
+        if not alone:
+            b.destroy()
     out = marked[0]
     if len(marked) > 1:
         for more in marked[1:]:
@@ -181,20 +198,42 @@ def _clean(block):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch):
-                h, first = _words(part.column("text"))
-                keep = np.ones(part.num_rows, bool)
-                keep[block.value.hits(h, first)[0]] = False
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(~_hit(part, block)))
+
+    return of
+
+
+def _hit(part: pa.RecordBatch, block) -> np.ndarray:
+    h, first = _words(part.column("text"))
+    hit = np.zeros(part.num_rows, bool)
+    hit[block.value.hits(h, first)[0]] = True
+    return hit
+
+
+def _bad(block):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.chunks(batch):
+                yield part.filter(pa.array(_hit(part, block))).select(["key"])
 
     return of
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in whose text no window of the benchmark occurs, with all their columns."""
-    out = docs
-    for b in blocks(docs, benchmark, window, block):
-        out = out.mapInArrow(_clean(b), docs.schema)
-    return out
+    """The rows of docs in whose text no window of the benchmark occurs, with all their columns.
+
+    One block's look is a filter; with several, each block lists the texts that it hits, and these go by one join.
+    """
+    texts, bad = docs.select("text", F.sha2("text", 256).alias("key")), None
+    for b, alone in blocks(docs, benchmark, window, block):
+        if alone:
+            return docs.mapInArrow(_clean(b), docs.schema)
+        hit = written(texts.mapInArrow(_bad(b), "key string"))
+        bad = hit if bad is None else bad.union(hit)
+        b.destroy()
+    # written, so that Spark can split a text of many copies
+    bad = written(bad.distinct().withColumnRenamed("key", "_hit_text"))
+    return docs.join(bad, F.sha2(docs["text"], 256) == bad["_hit_text"], "left_anti")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

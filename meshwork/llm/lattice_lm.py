@@ -21,7 +21,8 @@ vocabulary has) and at most `most_frequent` words with their scores are sent to
 histogram of counts gives.  The other words of each document are joined.
 
 Defined results: a null text is an empty one: only its end is scored; a null doc_id is taken as empty text (and is held
-out); rows that repeat a doc_id and its text get equal results.
+out); rows that repeat a doc_id and its text get equal results; words of equal counts
+are frequent together or not at all; an empty table has no rows; further columns but lang aren't read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ doc_id; its table of word weights has BUCKETS rows, so both may be sent to all t
 
 Defined results: a null or empty text has no tokens and the prior's posteriors; labels with a null are left out, and of several for a
 doc_id the greatest of each kind count; without labels all domains are equally likely.  Rows that repeat a doc_id are
-documents of their own.
+documents of their own; without documents there are no rates, and all targets are 0; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -104,6 +104,19 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return rates(written(posteriors(docs, weights, priors)), targets or TARGETS, budget)
 
 
+def attained(members: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
+    """domain, target, tokens, available, met of each domain, from what mixed() returned: tokens are those expected at the rates, available
+    those at rates of 1, met whether tokens are within NEAR of the budget from the target.  A domain that no document has can't be met."""
+    targets = targets or TARGETS
+    sums = [F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{d}") * x), F.lit(0.0)) for x in (F.col("rate"), F.lit(1.0)) for d in range(len(DOMAINS))]
+    n, share = len(DOMAINS), sum(targets.values())
+    one = members.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    whole = F.lit(float(budget)) if budget is not None else sum((F.col(f"s{n + d}") for d in range(1, n)), F.col(f"s{n}"))
+    rows = [F.struct(F.lit(name).alias("domain"), (whole * targets[name] / share).alias("target"), F.col(f"s{d}").alias("tokens"), F.col(f"s{n + d}").alias("available")) for d, name in enumerate(DOMAINS)]
+    near = F.abs(F.col("tokens") - F.col("target")) <= F.greatest(F.col("goal") * NEAR, F.lit(NEAR))
+    return one.select(whole.alias("goal"), F.explode(F.array(*rows)).alias("r")).select("goal", "r.*").withColumn("met", near).drop("goal")
+
+
 def copies(rate: Column, key: Column) -> Column:
     """How often to take a document: its rate rounded up or down by a hash, so that the expected number is the rate."""
     part = (F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)).cast("double")

@@ -10,7 +10,7 @@ With the defaults (240 coordinates in 40 bands of 6), two sets of similarity 0.8
 
 Defined results: an empty or null text has no shingle and is linked with nothing.  Rows are told apart by doc_id; rows
 that repeat a doc_id are each linked by their own text.  A null doc_id gets the component of the other documents
-with its text, and null if there are none.  Further columns of the input are ignored.
+with its text, and null if there are none.  Further columns of the input are ignored, an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ All of it is DataFrame expressions.  What is shuffled are hashes and numbers of
 the texts with the numbers of their lines to remove.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; rows that
-repeat a doc_id, its text and its host get equal results, and count as one document.
+repeat a doc_id, its text and its host get equal results, and count as one document; an empty table has no rows.
 """
 
 from __future__ import annotations

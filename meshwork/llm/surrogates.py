@@ -17,7 +17,8 @@ hexadecimal digits more each time.  So a type whose form has too few values (add
 Only entities are shuffled for that; texts are only in documents with entities.
 
 Everything is DataFrame expressions.  Defined results: a null text stays null and has no entities; rows that repeat a
-doc_id and its text get equal results; other columns pass through, whatever their names.
+doc_id and its text get equal results; other columns pass through, whatever their names; an empty table stays empty; of
+entities that want the same surrogate the least canonical form has it, the others try again.
 """
 
 from __future__ import annotations

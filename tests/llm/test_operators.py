@@ -472,6 +472,26 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert decontaminate.decontaminated(docs, bench.where("1 = 0")).count() == len(rows)
 
 
+def test_texts_over_a_chunk_keep_their_rows(spark):
+    """A text longer than textkit's chunk between short ones: sets, lines, windows and tokens are each text's own."""
+    rng = random.Random(12)
+    long = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(12_000))
+    assert len(long) > tk.CHUNK_BYTES
+    short = [" ".join(spaced(long)[i : i + 40]) for i in (0, 70_000, 143_000)]
+    texts = [short[0], long, short[1], None, short[2], long.splitlines()[9_000], "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sets = [len(set(zip(spaced(lower(t)), spaced(lower(t))[1:]))) for t in texts]
+    assert {r.doc_id: r.n_shingles for r in near_dedup.near_duplicates(docs, 2).collect()} == dict(enumerate(sets))
+    bench = spark.createDataFrame([(str(i), " ".join(spaced(long)[i : i + 10])) for i in (5, 70_010, 143_020)], "item_id string, text string")
+    for block in (100, 1):
+        got = {r.doc_id: (r.n_words, r["items"]) for r in decontaminate.contamination(docs, bench, block=block).collect()}
+        want = {0: ["5"], 1: ["143020", "5", "70010"], 2: ["70010"], 4: ["143020"]}
+        assert got == {i: (len(spaced(t)), want.get(i, [])) for i, t in enumerate(texts)}
+        assert {r.doc_id for r in decontaminate.decontaminated(docs, bench, block=block).collect()} == {3, 5, 6}
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept[1] == long and kept[5] == "" and kept[0] == short[0] and kept[3] is None
+
+
 def test_license_scan(spark, docs):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
     part = mit.split("\n")
@@ -759,6 +779,13 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     for k, name in enumerate(mixing.DOMAINS):
         assert sum(r.rate * r.n_tokens * r[f"p{k}"] for r in got) / total == pytest.approx(mixing.TARGETS[name], abs=1e-3)
     assert all(r.rate >= 0 for r in got)
+    reached = {r.domain: r for r in mixing.attained(mixing.mixed(df, lab)).collect()}
+    assert set(reached) == set(mixing.DOMAINS) and all(r.met for r in reached.values())
+    assert sum(r.available for r in reached.values()) == pytest.approx(total)
+    plain = spark.createDataFrame([(0, 10, 1.0, 0.0, 0.0, 0.0, 3.0), (1, 30, 1.0, 0.0, 0.0, 0.0, 1.0)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double, rate double")
+    missed = {r.domain: (r.target, r.tokens, r.available, r.met) for r in mixing.attained(plain, dict.fromkeys(mixing.DOMAINS, 1)).collect()}
+    assert missed == {"plain": (10.0, 60.0, 40.0, False), **{d: (10.0, 0.0, 0.0, False) for d in mixing.DOMAINS[1:]}}
+    assert [(r.target, r.tokens) for r in mixing.attained(mixing.mixed(empty, lab)).collect()] == [(0.0, 0.0)] * 4
     assert mixing.mixed(empty, lab.where("1 = 0")).count() == 0
     assert mixing.mixed(docs, lab.where("1 = 0")).count() == docs.count()
 
