@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,32 @@ def test_trees_against_growing_one_by_one(spark):
         assert [r.y_pred for r in sorted(got, key=lambda r: r.sample_id)] == pytest.approx([np.mean([e[i] for e in each]) for i in np.flatnonzero(test)])
 
 
+def test_trees_deal_small_tables_to_all_cores(spark, monkeypatch):
+    made, keep = [], trees.materialized
+    monkeypatch.setattr(trees, "materialized", lambda df: made.append(keep(df)) or made[-1])
+    trees.tree_predictions(curved(spark)[0].coalesce(1), trees=2, depth=1)
+    rows = [df for df in made if "bin" in df.columns]
+    assert [len(df.inputFiles()) for df in rows] == [spark.sparkContext.defaultParallelism]
+
+
+def test_trees_shuffle_cells_not_rows():
+    rng, n = np.random.default_rng(3), 5000
+    g, y, place, w, node = rng.choice([7, 1 << 40], n), rng.normal(size=n), rng.integers(0, 4, (n, 2)), rng.integers(0, 3, (n, 3)), rng.integers(1, 4, (n, 3))
+    for some in (n, 3):  # many rows of few cells, and the other way round
+        columns = [pa.array(g[:some]), pa.array(y[:some]), *[pa.array(v[:some].astype(np.int32).tolist(), pa.list_(pa.int32())) for v in (place, w, node)]]
+        got = [r for b in trees.added_up(2)(iter([pa.RecordBatch.from_arrays(columns, ["g", "y", "place", "w", "node"])])) for r in b.to_pylist()]
+        want = {}
+        for i in range(some):
+            for t in range(3):
+                for f in range(2):
+                    if w[i, t] and node[i, t] >= 2:
+                        cell = want.setdefault((g[i], t, node[i, t], f, place[i, f]), [0, 0.0])
+                        cell[0], cell[1] = cell[0] + w[i, t], cell[1] + w[i, t] * y[i]
+        assert len(got) == len(want) <= 2 * 3 * 2 * 2 * 4
+        for r in got:
+            assert [r["n"], r["s"]] == pytest.approx(want[r["g"], r["tree"], r["node"], r["feature"], r["b"]])
+
+
 def test_trees_of_constant_and_empty_designs(spark):
     df, _, _ = curved(spark, 30)
     flat = trees.tree_predictions(df.withColumns({"f1": F.lit(1.0), "f2": F.lit(0.0)})).collect()
