@@ -922,3 +922,19 @@ def test_lines_of_every_length_are_found():
             x, y = (tk.bands(tk.one_permutation(np.ascontiguousarray(v).reshape(-1), first, 24), 3) for v in (a, b))
             found += int((x == y).any(1).sum())
         assert found >= 0.99 * 2000, (n, found)
+
+
+def test_families_are_named_without_arrays(spark, monkeypatch):
+    """Only families with a close node meet the components, and their members' arrays aren't dealt out for it."""
+    from meshwork.llm import banding
+
+    made, keep = [], banding.written
+    monkeypatch.setattr(banding, "written", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(banding, "drop", lambda *tables: None)
+    rows = [(1, 11, True, 9, 10, 11, [20, 21], [10]), (1, 12, True, 9, 10, 12, [20, 21, 22], [10])]
+    rows += [(2, x, True, 4, 10, 10, list(range(x, x + 6)), list(range(5, 11))) for x in (30, 40)]
+    tried = spark.createDataFrame(rows, "p long, x long, open boolean, both int, np int, nx int, more array<long>, less array<long>")
+    label = banding._within(tried, spark.createDataFrame([], "id long, component long"), 80)
+    assert {tuple(r) for r in label.collect()} == {(11, 11), (12, 11)}
+    named = [df for df in made if set(df.columns) == {"p", "x", "close", "c", "f"}]
+    assert [sorted(r.x for r in df.collect()) for df in named] == [[11, 12]]
