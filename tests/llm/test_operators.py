@@ -938,3 +938,46 @@ def test_families_are_named_without_arrays(spark, monkeypatch):
     assert {tuple(r) for r in label.collect()} == {(11, 11), (12, 11)}
     named = [df for df in made if set(df.columns) == {"p", "x", "close", "c", "f"}]
     assert [sorted(r.x for r in df.collect()) for df in named] == [[11, 12]]
+
+
+def test_small_buckets_are_compared_without_rounds(spark, monkeypatch):
+    """All pairs of a bucket of up to FEW nodes are compared at once; only larger ones need pivots and families. Both ways find the same."""
+    texts = {i: " ".join(f"w{j}" for j in range(i * 3, i * 3 + 60)) for i in range(12)}
+    text = spark.createDataFrame(list(texts.items()), "id long, text string")
+    nodes = spark.createDataFrame([(i, [7, 8 + i // 4, (1 << 62) + i // 2]) for i in texts] * 2, "id long, bands array<long>")
+    rounds, compared = [], banding.compared
+    monkeypatch.setattr(banding, "compared", lambda *a: rounds.append(1) or compared(*a))
+    want = {i: 0 for i in texts}  # neighbours share 57 of 63 words
+    for few, least in ((12, 0), (5, 1), (1, 1)):
+        rounds.clear()
+        monkeypatch.setattr(banding, "FEW", few)
+        label = banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
+        assert {r.id: r.component for r in label.collect()} == want and min(len(rounds), 1) == least, few
+
+
+def test_keys_are_dealt_in_few_rows():
+    """A task tells of a key at most few + 1 nodes, however many it has, and of repeated nodes one; keys that are met once make nothing."""
+    import pyarrow as pa
+
+    keys = np.array([5, 1 << 63, (1 << 64) - 1], np.uint64).view(np.int64).tolist()
+    batch = pa.RecordBatch.from_pydict({"id": [*range(100), 3, 200, 201, 202], "bands": [keys[:1]] * 101 + [keys[1:], keys[2:], None]}, pa.schema([("id", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+    dealt = list(banding._dealt(4, 3)(iter([batch])))
+    assert [(r["part"], r["keys"]) for b in dealt for r in b.to_pylist()] == [(0, keys[:1] * 4), (2, keys[1:2]), (3, keys[2:] * 2)]
+    met = [r for b in banding._met(3)(iter(dealt)) for r in b.to_pylist()]
+    assert met == [{"key": 5, "a": None, "b": None}, {"key": None, "a": 200, "b": 201}]
+
+
+def test_shingles_of_any_characters(monkeypatch):
+    """Shingles are the same in whatever company a line is parsed, and two are equal as their characters are."""
+    import pyarrow as pa
+
+    lines = ["abcdefghijkl", "abcdefghijké", "é" * 12, "abcdefgh中ijklmnop", "xabcdefgh中ijk", "\U0001f600 abcdefghijkl", "abc", "中", "Abcdefghijkl"]
+    for k in (3, 8, 11):
+        whole, at = line_dedup.line_shingles(pa.array(lines), k)
+        for i, s in enumerate(lines):
+            alone, _ = line_dedup.line_shingles(pa.array([s]), k)
+            assert alone.tolist() == whole[at[i] : at[i + 1]].tolist()
+        want = [{s.lower()[j : j + k] for j in range(len(s) - k + 1)} or {s.lower()} for s in lines]
+        got = [set(whole[at[i] : at[i + 1]].tolist()) for i in range(len(lines))]
+        for a, b in itertools.combinations(range(len(lines)), 2):
+            assert len(want[a]) == len(got[a]) and len(want[a] & want[b]) == len(got[a] & got[b]), (k, a, b)
