@@ -955,6 +955,40 @@ def test_small_buckets_are_compared_without_rounds(spark, monkeypatch):
         assert {r.id: r.component for r in label.collect()} == want and min(len(rounds), 1) == least, few
 
 
+def test_unlike_nodes_of_one_bucket_are_dealt_anew(spark, monkeypatch):
+    """Nodes that are unlike their pivots aren't all compared with each other, and none of their links is lost."""
+    asked, compared = [], banding.compared
+    monkeypatch.setattr(banding, "compared", lambda pairs, *a: asked.append(pairs.count()) or compared(pairs, *a))
+    monkeypatch.setattr(banding, "FEW", 4)
+    texts = {i: " ".join(f"w{i // 2}x{j}" for j in range(30)) + f" own{i}" for i in range(120)}  # 60 pairs, unlike each other
+    text = spark.createDataFrame(list(texts.items()), "id long, text string")
+    nodes = spark.createDataFrame([(i, [7]) for i in texts], "id long, bands array<long>")
+    label = banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
+    assert {r.id: r.component for r in label.collect()} == {i: i // 2 * 2 for i in texts}
+    assert sum(asked) < 3 * len(texts), asked
+
+
+def test_rarest_values_meet():
+    """Two sets that share `share` values have one of each other's rarest in common, however counts collide; values of one node only are left out."""
+    import types
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [sorted(set(rng.integers(0, 40, 12).tolist())) for _ in range(60)]
+    for slots in (np.full(banding.SLOTS, 9, np.uint16), rng.integers(2, 5, banding.SLOTS).astype(np.uint16)):
+        share = [max(1, -(-8 * len(r) // 10)) for r in rows]
+        batch = pa.RecordBatch.from_pydict({"id": list(range(60)), "h": [0] * 60, "share": share, "more": rows}, pa.schema([("id", pa.int64()), ("h", pa.int64()), ("share", pa.int64()), ("more", pa.list_(pa.int64()))]))
+        (out,) = banding._rarest(types.SimpleNamespace(value=slots), ["id"])(iter([batch]))
+        got = [set(t) for t in out.column("t").to_pylist()]
+        assert all(len(g) == len(r) - s + 1 for g, r, s in zip(got, rows, share, strict=True))
+        for a, b in itertools.combinations(range(60), 2):
+            if len(set(rows[a]) & set(rows[b])) >= max(share[a], share[b]):
+                assert got[a] & got[b], (rows[a], rows[b])
+    (none,) = banding._rarest(types.SimpleNamespace(value=np.ones(banding.SLOTS, np.uint16)), ["id"])(iter([batch]))
+    assert none.column("t").to_pylist() == [[]] * 60
+
+
 def test_keys_are_dealt_in_few_rows():
     """A task tells of a key at most few + 1 nodes, however many it has, and of repeated nodes one; keys that are met once make nothing."""
     import pyarrow as pa
