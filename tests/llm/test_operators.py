@@ -968,6 +968,19 @@ def test_unlike_nodes_of_one_bucket_are_dealt_anew(spark, monkeypatch):
     assert sum(asked) < 3 * len(texts), asked
 
 
+def test_buckets_meet_their_pivots_once(spark, monkeypatch):
+    """What a round's buckets have with their pivots is joined once and written; keys that only the sieve lets pass don't come along."""
+    made, keep = [], banding.written
+    monkeypatch.setattr(banding, "written", lambda df: made.append((df.columns, keep(df))) or made[-1][1])
+    monkeypatch.setattr(banding, "drop", lambda *tables: None)
+    monkeypatch.setattr(banding, "FEW", 4)
+    nodes = spark.createDataFrame([(i, [7, 7 + banding.SIEVE * (1 + i // 3)]) for i in range(9)], "id long, bands array<long>")
+    text = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(9)], "id long, text string")
+    banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
+    led = [df for columns, df in made if columns == ["key", "id", "w", "p", "done"]]
+    assert len(led) == 1 and {(r.key, r.id) for r in led[0].collect()} == {(7, i) for i in range(8)}
+
+
 def test_rarest_values_meet():
     """Two sets that share `share` values have one of each other's rarest in common, however counts collide; values of one node only are left out."""
     import types
