@@ -55,7 +55,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, n_band
     nodes = written(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
 
-    label = linked(nodes, lambda ids: texts.join(ids, "id", "left_semi"), lambda t: word_shingles(t, shingle), percent)
+    label = linked(nodes, lambda ids: texts.join(ids, "id"), lambda t: word_shingles(t, shingle), percent)
     of_set = nodes.select("d1", "d2", "n", "id").join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("rep"))
     out = rows.select("doc_id", "key", "n", "d1", "d2").join(of_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")

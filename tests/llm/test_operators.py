@@ -1028,3 +1028,18 @@ def test_shingles_of_any_characters(monkeypatch):
         got = [set(whole[at[i] : at[i + 1]].tolist()) for i in range(len(lines))]
         for a, b in itertools.combinations(range(len(lines)), 2):
             assert len(want[a]) == len(got[a]) and len(want[a] & want[b]) == len(got[a] & got[b]), (k, a, b)
+
+
+def test_rounds_deal_with_crowded_nodes_only(spark, monkeypatch):
+    """Links and texts outside large buckets don't go through the rounds again: they are contracted before and after them, however many rounds there are."""
+    edges, texts_seen, components, compared = [], [], banding.components, banding.compared
+    monkeypatch.setattr(banding, "components", lambda df: edges.append(df.count()) or components(df))
+    monkeypatch.setattr(banding, "compared", lambda pairs, texts, *a: texts_seen.append(texts.count()) or compared(pairs, texts, *a))
+    monkeypatch.setattr(banding, "FEW", 4)
+    texts = {i: " ".join(f"w{i // 2}x{j}" for j in range(30)) + f" own{i}" for i in range(240)}
+    text = spark.createDataFrame(list(texts.items()), "id long, text string")
+    # pairs in buckets of their own; of the last 20 pairs all are in one bucket, too, and some only there
+    nodes = spark.createDataFrame([(i, [7] * (i >= 200) + [100 + i // 2] * (i < 220)) for i in texts], "id long, bands array<long>")
+    label = banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
+    assert {r.id: r.component for r in label.collect()} == {i: i // 2 * 2 for i in texts}
+    assert len(edges) > 2 and max(edges[1:-1]) <= 60 and max(texts_seen) <= 40, (edges, texts_seen)
