@@ -1043,3 +1043,27 @@ def test_rounds_deal_with_crowded_nodes_only(spark, monkeypatch):
     label = banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
     assert {r.id: r.component for r in label.collect()} == {i: i // 2 * 2 for i in texts}
     assert len(edges) > 2 and max(edges[1:-1]) <= 60 and max(texts_seen) <= 40, (edges, texts_seen)
+
+
+def test_left_nodes_are_compared_at_once(spark, monkeypatch):
+    """What the first round leaves is in buckets that take no further round, up to FEW_LEFT nodes; the links are the same."""
+    rounds, compared = [], banding.compared
+    monkeypatch.setattr(banding, "compared", lambda *a: rounds.append(1) or compared(*a))
+    monkeypatch.setattr(banding, "FEW", 4)
+    texts = {i: " ".join(f"w{i // 8}x{j}" for j in range(30)) + f" own{i}" for i in range(80)}  # families of 8, unlike each other
+    text = spark.createDataFrame(list(texts.items()), "id long, text string")
+    nodes = spark.createDataFrame([(i, [7]) for i in texts], "id long, bands array<long>")
+    label = banding.linked(nodes, lambda ids: text.join(ids, "id"), lambda t: near_dedup.word_shingles(t, 1), 80)
+    assert {r.id: r.component for r in label.collect()} == {i: i // 8 * 8 for i in texts}
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("held", [1, 20, 1 << 20])
+def test_pairs_of_several_buckets_are_told_once(monkeypatch, held):
+    import pyarrow as pa
+
+    monkeypatch.setattr(banding, "PAIRS_A_BATCH", held)
+    batch = pa.RecordBatch.from_pydict({"part": [0], "keys": [[k for k in range(5) for _ in range(7 - k)]], "ids": [[10 + i for k in range(5) for i in range(7 - k)]]})
+    met = [[r for r in b.to_pylist() if r["key"] is None] for b in banding._met(7)(iter([batch]))]
+    assert {(r["a"], r["b"]) for rows in met for r in rows} == set(itertools.combinations(range(10, 17), 2))
+    assert held <= 20 or sum(map(len, met)) == 21
