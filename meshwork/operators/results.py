@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from .scoring import KEYS
 
+#: Means that agree in so many digits are equal: parameters that select the same edges differ in the order of sums only
+MEAN_DIGITS = 9
+
 
 def with_increment(metrics: DataFrame) -> DataFrame:
     """metrics with the model increment: each metric of full less that of covariates."""
@@ -40,10 +43,10 @@ def stable_edges(stability: DataFrame, share: float, n_folds: int) -> DataFrame:
 
 
 def best_parameters(metrics: DataFrame, metric: str) -> DataFrame:
-    """The parameter with the greatest mean over folds of the connectome model on both networks; the first of equals."""
+    """The parameter with the greatest mean over folds of the connectome model on both networks; the first of those that are equal in MEAN_DIGITS digits."""
     keys = [c for c in ("run_id", "fold") if c in metrics.columns and not (c == "fold" and "inner_fold" not in metrics.columns)]
     means = metrics.where("model = 'connectome' and network = 'both'").groupBy(*keys, "param_id").agg(F.avg(metric).alias("mean"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("mean"), "param_id")
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("mean", MEAN_DIGITS)), "param_id")
     return means.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
 
 

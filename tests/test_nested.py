@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions.stats import critical_z
-from meshwork.operators import blocks, edges, models, splits
+from meshwork.operators import blocks, edges, models, results, splits
 from meshwork.operators.vectors import long_edges
 from meshwork.plans import analysis
 from meshwork.plans.analysis import Settings
@@ -218,3 +218,11 @@ def test_ranks_of_residuals_need_rows(subjects):
     with pytest.raises(NotImplementedError):
         edges.listed_statistic("spearman", subjects, subjects, ["c1"], residual=True)
     assert analysis.run(subjects, Settings(folds=3, method="spearman", residual_edges=True))["metrics"].count() == 45
+
+
+def test_parameters_that_differ_by_rounding_are_equal(spark):
+    scores = [(0, 0, 0.2), (0, 1, 0.2 + 1e-15), (1, 0, 0.2), (1, 1, 0.2 + 1e-6), (2, 0, 0.3), (2, 1, 0.3 - 1e-15), (3, 0, math.nan), (3, 1, math.nan)]
+    rows = [(fold, inner, param, "connectome", "both", v) for fold, param, v in scores for inner in range(3)]
+    metrics = spark.createDataFrame(rows, "fold int, inner_fold int, param_id int, model string, network string, pearson_score double")
+    best = results.best_parameters(metrics, "pearson_score").orderBy("fold").collect()
+    assert [(r.fold, r.param_id) for r in best] == [(0, 0), (1, 1), (2, 0), (3, 0)]
