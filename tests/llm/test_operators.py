@@ -1067,3 +1067,23 @@ def test_pairs_of_several_buckets_are_told_once(monkeypatch, held):
     met = [[r for r in b.to_pylist() if r["key"] is None] for b in banding._met(7)(iter([batch]))]
     assert {(r["a"], r["b"]) for rows in met for r in rows} == set(itertools.combinations(range(10, 17), 2))
     assert held <= 20 or sum(map(len, met)) == 21
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for at in manager.localDirsString() for _, _, files in os.walk(at) for f in files if f.startswith("shuffle_")}
+
+
+def test_no_shuffle_files_of_written_steps_stay(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(words(rng, 12))
+    base = [line() for _ in range(40)]
+    texts = ["\n".join([line(), b, " ".join([*b.split()[:-1], f"end{i}"])]) for i in range(3) for b in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    setting, before = spark.conf.get(shared.CLEANED, None), _shuffle_files(spark)
+    removed = line_dedup.removed_lines(docs)
+    verdict = near_dedup.near_duplicates(docs)
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get(shared.CLEANED, None) == setting
+    for _ in range(2):  # lazy results can be read again
+        assert removed.count() == len(removed.collect()) > 0 and len(verdict.collect()) == verdict.count() == len(texts)
