@@ -1087,3 +1087,11 @@ def test_no_shuffle_files_of_written_steps_stay(spark):
     assert spark.conf.get(shared.CLEANED, None) == setting
     for _ in range(2):  # lazy results can be read again
         assert removed.count() == len(removed.collect()) > 0 and len(verdict.collect()) == verdict.count() == len(texts)
+
+
+def test_no_shuffle_files_of_pipeline_stages_stay(spark, docs):
+    docs.count()  # the cached table's own ones
+    before = _shuffle_files(spark)
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_copies):
+        docs = shared.written(stage(spark, docs, ""))
+    assert _shuffle_files(spark) <= before and docs.count() > 0
